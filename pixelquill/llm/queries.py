@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_duplicates, quality_rules
+from . import bpe, decontaminate, near_duplicates, quality_rules, token_store
 from ._spark import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,19 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(comp.c, d.doc_id) AS component_id, coalesce(comp.c, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
 """
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_store(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+@_query
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), digests=True)
