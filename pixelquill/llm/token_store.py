@@ -28,9 +28,9 @@ store.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -58,6 +58,7 @@ _no_cut[:0x21] = True
 _no_cut[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = True  # first bytes of Unicode's white space
 _letter = np.isin(_codes := np.arange(256), np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8))
 _mark = np.isin(_codes, np.frombuffer(b".,!?;:", np.uint8))
+_gap = (_codes == 0x20) | (_codes == 0x0A)
 _black = (_codes > 0x20) & (_codes < 0x7F)
 
 
@@ -95,26 +96,29 @@ class Encoder:
         n = len(self.known)
         self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
 
-    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, keys: list[int]) -> None:
-        """Encode new pieces; plain ones (a space or line feed leads) many at a time."""
-        raw = [data[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        alone = re.compile(rb"[ \n][^ \n]+").fullmatch
-        plain = [i for i, x in enumerate(raw) if alone(x)]
-        others = [i for i, x in enumerate(raw) if not alone(x)]
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray) -> None:
+        """Encode new pieces; plain ones (a space or line feed leads, none follows) many at a time."""
+        gaps = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(_gap[data], out=gaps[1:])
+        plain = _gap[data[start]] & (end > start + 1)
+        plain[plain] = gaps[end[plain]] == gaps[start[plain] + 1]
+        others = np.flatnonzero(~plain).tolist()
+        plain = np.flatnonzero(plain)
+        length = end - start
         for group in (plain[i : i + 8192] for i in range(0, len(plain), 8192)):
-            joined = b"".join(raw[i] for i in group).decode("utf-8", "replace")
+            joined = gather(data, start[group], length[group]).tobytes().decode("utf-8", "replace")
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
             begin = np.flatnonzero(self.leads[ids])
             if len(begin) != len(group):
-                others += group
+                others += group.tolist()
                 continue
-            self._store(np.diff(np.r_[begin, len(ids)]), ids)
-            self._name([keys[i] for i in group])
+            self._store(np.diff(np.append(begin, len(ids))), ids)
+            self._name(keys[group].tolist())
         for group in (others[i : i + 1024] for i in range(0, len(others), 1024)):
-            found = self.tokenizer.encode_batch_fast([raw[i].decode("utf-8", "replace") for i in group], add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast([data[start[i] : end[i]].tobytes().decode("utf-8", "replace") for i in group], add_special_tokens=False)
             ids = [x.ids for x in found]
             self._store(np.array([len(x) for x in ids]), np.array([t for x in ids for t in x], np.int32))
-            self._name([keys[i] for i in group])
+            self._name(keys[group].tolist())
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and each text's range of them."""
@@ -134,11 +138,13 @@ class Encoder:
         if len(code):
             begins = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1))
             listed = keys.tolist()
-            new = [i for i, k in enumerate(listed) if k not in self.known]
-            if new:
+            held = np.fromiter(map(self.known.get, listed, repeat(-1)), np.int64, len(listed))
+            new = np.flatnonzero(held < 0)
+            if len(new):
                 at = begins[new]
-                self._learn(data, start[at], end[at], [listed[i] for i in new])
-            piece = np.array([self.known[k] for k in listed], np.int64)[code]
+                self._learn(data, start[at], end[at], keys[new])
+                held[new] = np.fromiter(map(self.known.__getitem__, keys[new].tolist()), np.int64, len(new))
+            piece = held[code]
         else:
             piece = np.zeros(0, np.int64)
         lengths = self.end[piece + 1] - self.end[piece]
@@ -158,56 +164,63 @@ def gather(flat: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarr
     return flat[np.arange(total) + np.repeat(start - out, lengths)]
 
 
-def compress(seq: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair: (symbols, their document ends, rules as rows of two symbols).
-    `last` marks the final symbol of each document; nonterminals count from base."""
+def compress(seq: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair: (symbols, the places of documents' final symbols, rules as rows of two symbols).
+    `ends` are those places before; nonterminals count from base."""
     room = (1 << 16) - base
     narrow = room > 0
     room = room if narrow else 1 << 15
     word, shift = (np.uint32, 16) if narrow else (np.uint64, 32)
+    multiplier, drop = (np.uint32(0x9E3779B1), np.uint32(16)) if narrow else (np.uint64(0x9E3779B97F4A7C15), np.uint64(48))
     seq = seq.astype(np.uint16 if narrow else np.uint32)
     rules = np.zeros((0, 2), np.int64)
     for _ in range(MAX_ROUNDS):
         if len(seq) < 2 or len(rules) >= room:
             break
-        key = (seq[:-1].astype(word) << word(shift)) | seq[1:]
-        inner = ~last[:-1]
-        ordered = np.sort(key[inner])
-        if not len(ordered):
-            break
-        begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        uses = np.diff(np.r_[begin, len(ordered)])
+        key = seq[:-1].astype(word)
+        key <<= word(shift)
+        key |= seq[1:]
+        key[ends[:-1]] = np.iinfo(word).max  # pairs of two documents; no pair of symbols has this key
+        ordered = np.sort(key)
+        begin = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
+        begin = np.concatenate([[0], begin])
+        uses = np.diff(np.append(begin, len(ordered)))
         often = np.flatnonzero(uses >= MIN_USES)
+        often = often[ordered[begin[often]] != np.iinfo(word).max]
         if not len(often):
             break
-        often = often[np.argsort(-uses[often], kind="stable")][: min(ROUND_RULES, room - len(rules))]
+        if len(often) > ROUND_RULES:
+            often = often[np.argpartition(-uses[often], ROUND_RULES)[:ROUND_RULES]]
+        often = often[np.argsort(-uses[often], kind="stable")][: room - len(rules)]
         chosen = ordered[begin[often]]
-        slots = 1 << 18
-        place = lambda k: ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-        with np.errstate(over="ignore"):
-            own, where = place(chosen), place(key)
-        held = np.zeros(slots, word)
-        rank = np.full(slots, len(chosen), np.int32)
-        held[own[::-1]], rank[own[::-1]] = chosen[::-1], np.arange(len(chosen), dtype=np.int32)[::-1]  # the better of two in a slot stays
-        r = np.where((held[where] == key) & inner, rank[where], len(chosen)).astype(np.int32)
-        take = r < len(chosen)
-        take[:-1] &= r[:-1] <= r[1:]
-        take[1:] &= r[1:] < r[:-1]
-        count = np.bincount(r[take], minlength=len(chosen))
-        pays = count >= MIN_USES
+        none = len(chosen)
+        rank = np.full(1 << 16, none, np.uint16)  # by hash; the better of two in a slot stays
+        rank[((chosen * multiplier) >> drop)[::-1]] = np.arange(none, dtype=np.uint16)[::-1]
+        r = rank[(key * multiplier) >> drop]
+        at = np.flatnonzero(r < none)
+        r = r[at]
+        right = chosen[r] == key[at]
+        at, r = at[right], r[right].astype(np.int32)
+        if not len(at):
+            break
+        touch = at[1:] == at[:-1] + 1
+        take = np.ones(len(at), bool)
+        take[:-1] &= ~touch | (r[:-1] <= r[1:])
+        take[1:] &= ~touch | (r[1:] < r[:-1])
+        at, r = at[take], r[take]
+        pays = np.bincount(r, minlength=none) >= MIN_USES
         if not pays.any():
             break
+        good = pays[r]
+        at, r = at[good], r[good]
         number = np.cumsum(pays) - 1
-        take &= np.append(pays, False)[r]
-        at = np.flatnonzero(take)
-        left, right = chosen[pays] >> word(shift), chosen[pays] & word((1 << shift) - 1)
-        seq[at] = base + len(rules) + number[r[at]]
-        last[at] = last[at + 1]
-        rules = np.concatenate([rules, np.stack([left, right], 1).astype(np.int64)])
+        seq[at] = base + len(rules) + number[r]
+        rules = np.concatenate([rules, np.stack([chosen[pays] >> word(shift), chosen[pays] & word((1 << shift) - 1)], 1).astype(np.int64)])
         stays = np.ones(len(seq), bool)
         stays[at + 1] = False
-        seq, last = seq[stays], last[stays]
-    return seq, last, rules
+        seq = seq[stays]
+        ends = ends - np.searchsorted(at + 1, ends, "right")
+    return seq, ends, rules
 
 
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,16 +260,13 @@ def _write(path: str, end_id: int):
             ids = pa.concat_arrays([x[0] for x in held])
             counts = np.concatenate([x[2] for x in held])
             tokens = np.concatenate([x[1] for x in held])
-            last = np.zeros(len(tokens), bool)
-            last[np.cumsum(counts) - 1] = True
             n = len(tokens)
-            symbols, last, rules = compress(tokens, last, base)
-            ends = np.flatnonzero(last) + 1
+            symbols, ends, rules = compress(tokens, np.cumsum(counts) - 1, base)
             width = symbols.dtype
             _, _, length = expansions(rules, base)
             row = pa.RecordBatch.from_pydict({
                 "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "first_token": pa.array([first], pa.int64()), "n_tokens": pa.array([n], pa.int64()), "base": pa.array([base], pa.int32()),
-                "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "doc_symbol": pa.array([np.r_[0, ends].astype("<u4").tobytes()], pa.binary()),
+                "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "doc_symbol": pa.array([np.r_[0, ends + 1].astype("<u4").tobytes()], pa.binary()),
                 "doc_token": pa.array([np.r_[0, np.cumsum(counts)].astype("<u8").tobytes()], pa.binary()), "rules": pa.array([rules.astype(width).tobytes()], pa.binary()),
                 "lengths": pa.array([length[base:].astype("<u4").tobytes()], pa.binary()), "symbols": pa.array([symbols.tobytes()], pa.binary()),
             })
@@ -266,7 +276,7 @@ def _write(path: str, end_id: int):
 
         size = 0
         for batch in batches:
-            for piece in pieces(batch, "text", 1 << 21):
+            for piece in pieces(batch, "text"):
                 tokens, first_id = encoder.encode(*texts_of(piece.column(1)))
                 counts = np.diff(first_id)
                 closed = np.insert(tokens, first_id[1:], end_id)
