@@ -48,8 +48,8 @@ BLOCK_TOKENS = 1 << 20
 ROUND_RULES = 4096
 MIN_USES = 4
 MAX_ROUNDS = 6
-#: Distinct pieces a task remembers.
-CACHE = 700_000
+#: Distinct pieces a Python worker remembers, from task to task.
+CACHE = 1_000_000
 
 SCHEMA = "shard int, block int, first_token long, n_tokens long, base int, ids array<{id}>, doc_symbol binary, doc_token binary, rules binary, lengths binary, symbols binary"
 
@@ -154,6 +154,16 @@ class Encoder:
         return ids, total[np.searchsorted(start, off)]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """The worker's encoder of a file; what it remembers only saves work."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def gather(flat: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """flat[start : start + length] of each, in a row."""
     total = int(lengths.sum())
@@ -250,7 +260,7 @@ def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np
 def _write(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encoder = Encoder(path)
+        encoder = encoder_for(path)
         base = encoder.size
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         block = first = 0
