@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lm_score, near_duplicates, quality_classifier, quality_rules, secrets, token_store, url_filter
+from . import bpe, decontaminate, lm_score, near_duplicates, quality_classifier, quality_rules, secrets, suffix_dedup, token_store, url_filter
 from ._spark import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,22 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_repeated_passages"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS k FROM w, unnest(range(1, len(w) - 48)) AS r(i) WHERE len(w) >= 50
+), many AS (SELECT k FROM s GROUP BY k HAVING count(DISTINCT doc_id) > 1), hit AS (
+  SELECT DISTINCT doc_id, i FROM s SEMI JOIN many USING (k)
+), cut AS (
+  SELECT doc_id, i, CASE WHEN i <= 50 + lag(i) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM hit
+), span AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM cut)
+SELECT doc_id, CAST(min(i) - 1 AS BIGINT) AS first_word, CAST(max(i) + 50 - min(i) AS BIGINT) AS n_words FROM span GROUP BY doc_id, g
+"""
