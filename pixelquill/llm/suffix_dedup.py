@@ -42,13 +42,22 @@ LEAST = 50
 GRAM, WINDOW = 8, 16
 
 
+SHAPE = "key long, doc long, at int"
+
+
+def _placed(piece: pa.RecordBatch, words: Words, keys: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """Keys with their document and the position inside it."""
+    text = words.text[places]
+    return pa.RecordBatch.from_arrays([pa.array(keys), piece.column(0).take(pa.array(text)), pa.array((places - words.first[text]).astype(np.int32))], ["key", "doc", "at"])
+
+
 def _suffixes(least: int):
     reach = least - WINDOW + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                data, off = texts_of(piece.column(2))
+                data, off = texts_of(piece.column(1))
                 words = Words(data, off, SPACED)
                 h = words.hashes(LOWER)
                 gram, at = ngrams(h, words.first, GRAM)
@@ -58,11 +67,7 @@ def _suffixes(least: int):
                 keep[keep == len(where)] = 0
                 good = where[keep] == places if len(where) else np.zeros(len(places), bool)
                 places, keep = places[good], keep[good]
-                text = words.text[places]
-                own = pa.array(text)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(prefix[keep])), piece.column(0).take(own), piece.column(1).take(own), pa.array((places - words.first[text]).astype(np.int32))], ["key", "id", "row", "at"]
-                )
+                yield _placed(piece, words, signed(prefix[keep]), places)
 
     return run
 
@@ -99,7 +104,7 @@ def _neighbours(within: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, doc = np.asarray(batch.column(0)), np.asarray(batch.column(4))
+            key, doc = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             end = np.append(begin[1:], len(key))
             # Rows of a key are in order of documents: one document if the first and the last are one.
@@ -134,37 +139,32 @@ def _neighbours(within: bool):
 
 
 def repeated(rows: DataFrame, within: bool) -> DataFrame:
-    """Rows (key, id, row, at) whose key two documents have."""
+    """Rows (key, doc, at) whose key two documents have."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kinds = dict(rows.dtypes)
-    placed = rows.withColumn("doc", F.xxhash64("id", "row"))
-    ordered = placed.repartitionByRange(n, "key", "doc", "at").sortWithinPartitions("key", "doc", "at")
-    found = kept(ordered.mapInArrow(_neighbours(within), f"key long, id {kinds['id']}, row long, at int, doc long, state int, part int, many boolean"))
+    ordered = rows.repartitionByRange(n, "key", "doc", "at").sortWithinPartitions("key", "doc", "at")
+    found = kept(ordered.mapInArrow(_neighbours(within), f"{SHAPE}, state int, part int, many boolean"))
     edges = found.where("state = 2").groupBy("key").agg(F.max("many").alias("many"), F.countDistinct("part").alias("parts"), F.min("doc").alias("low"), F.max("doc").alias("high"))
     edges = edges.where(F.col("many") | (F.col("low") != F.col("high")) | (F.lit(within) & (F.col("parts") > 1))).select("key")
     settled = found.where("state = 1").join(edges, "key", "left_semi")
-    return found.where("state = 0").unionByName(settled).select("key", "id", "row", "at")
+    return found.where("state = 0").unionByName(settled).select("key", "doc", "at")
 
 
 def _stretches(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                data, off = texts_of(piece.column(2))
+                data, off = texts_of(piece.column(1))
                 words = Words(data, off, SPACED)
                 gram, at = ngrams(words.hashes(LOWER), words.first, least)
                 wanted = np.zeros(len(words) + 1, np.int32)
-                places = piece.column(3)
+                places = piece.column(2)
                 counts = np.diff(np.asarray(places.offsets))
                 flat = np.asarray(places.flatten()) + np.repeat(words.first[:-1], counts)
                 owner = np.repeat(words.first[:-1], counts)
                 np.add.at(wanted, np.maximum(flat - WINDOW + 1, owner), 1)
                 np.add.at(wanted, flat + 1, -1)
                 keep = np.cumsum(wanted)[at] > 0
-                gram, at = gram[keep], at[keep]
-                text = words.text[at]
-                own = pa.array(text)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(gram)), piece.column(0).take(own), piece.column(1).take(own), pa.array((at - words.first[text]).astype(np.int32))], ["key", "id", "row", "at"])
+                yield _placed(piece, words, signed(gram[keep]), at[keep])
 
     return run
 
@@ -174,15 +174,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Spans of one document may overlap only if their parts repeat in different places."""
     if least <= WINDOW + GRAM:
         raise ValueError(f"least must exceed {WINDOW + GRAM}")
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    shape = f"key long, id {kind}, row long, at int"
-    candidates = repeated(rows.mapInArrow(_suffixes(least), shape), within)
-    places = kept(candidates.groupBy("id", "row").agg(F.collect_set("at").alias("places")))  # bounded by the document's length
-    met = rows.join(places.withColumnsRenamed({"id": "_id", "row": "_row"}), F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")))
-    stretches = met.select("id", "row", "text", "places").mapInArrow(_stretches(least), shape)
-    hits = repeated(stretches, within).groupBy("id", "row").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    spans = hits.select("id", F.explode(_spans(F.col("at"), least)).alias("s"))
+    # A document is a 64-bit hash of its id and text; the id comes back at the end.
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.xxhash64(text_col)).alias("doc"), F.col(text_col).alias("text"))
+    candidates = repeated(rows.select("doc", "text").mapInArrow(_suffixes(least), SHAPE), within)
+    places = kept(candidates.groupBy("doc").agg(F.collect_set("at").alias("places")))  # bounded by the document's length
+    met = rows.select("doc", "text").join(places, "doc")
+    hits = repeated(met.mapInArrow(_stretches(least), SHAPE), within).groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    named = rows.select("id", "doc").distinct()
+    spans = hits.join(named, "doc").select("id", F.explode(_spans(F.col("at"), least)).alias("s"))
     return spans.select(F.col("id").alias(id_col), F.col("s.first").cast("long").alias("first_word"), F.col("s.n").cast("long").alias("n_words"))
 
 
