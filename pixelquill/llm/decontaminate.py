@@ -194,8 +194,8 @@ def contaminated() -> F.Column:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns.  A null id is kept if its text is clean."""
-    found = scan(docs, items, id_col, text_col, **kw).where(contaminated()).select(F.col("id").alias("_bad")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("_bad")), "left_anti")
+    found = scan(docs, items, id_col, text_col, **kw).where(contaminated()).select(F.col("id").alias("_bad_by_decontaminate")).distinct()
+    return docs.join(found, docs[id_col].eqNullSafe(F.col("_bad_by_decontaminate")), "left_anti")
 
 
 def digest(ids: list[str]) -> str:

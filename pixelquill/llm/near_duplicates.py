@@ -266,5 +266,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose id names their class, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col, size, percent).where("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, size, percent).where("NOT kept").select(F.col(id_col).alias("_gone_by_near_duplicates")).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone_by_near_duplicates")), "left_anti")

@@ -7,7 +7,7 @@ never meets in one task) gives the quartiles, and a document fails if it lies
 far outside its group's quartiles.
 
 Cases: a null or empty text has no words, fails the base rule and is not kept.
-Null languages or sources form groups of their own.  Repeated rows are judged
+Null or absent languages and sources form groups of their own.  Repeated rows are judged
 each.  An empty table gives no rows.  Other columns are ignored.
 """
 
@@ -90,7 +90,8 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row of counts per row of docs, the id named `id`."""
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
+    have = lambda c: (F.col(c) if c in docs.columns else F.lit(None)).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), have(lang_col).alias("lang"), have(source_col).alias("source"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_stats, STATS.format(id=kind))
 
 

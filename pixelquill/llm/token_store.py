@@ -353,10 +353,9 @@ def _read(before: dict[int, int]):
     return run
 
 
-def read_index(spark, path: str) -> DataFrame:
-    """Per stored document: id, start, n_tokens and the crc32 of its ids, decoded from the files."""
-    stored = spark.read.parquet(path)
-    kind = dict(stored.dtypes)["ids"][len("array<") : -1]
+def read_index(spark, path: str, kind: str = "bigint") -> DataFrame:
+    """Per stored document: id (of type `kind`), start, n_tokens and the crc32 of its ids, decoded from the files."""
+    stored = spark.read.schema(SCHEMA.format(id=kind)).parquet(path)
     totals = {r["shard"]: r["n"] for r in stored.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()}  # one row a shard
     before, so_far = {}, 0
     for shard in sorted(totals):
@@ -368,4 +367,4 @@ def token_store(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     """Write docs to a store in the shared folder and read it back."""
     spark = docs.sparkSession
     path = write_store(docs, tokenizer, new_path(spark, "tokens"), id_col, text_col, end_id)
-    return read_index(spark, path).withColumnRenamed("id", id_col)
+    return read_index(spark, path, dict(docs.dtypes)[id_col]).withColumnRenamed("id", id_col)
