@@ -11,19 +11,23 @@ from ._spark import kept
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges(a, b); the label is the least node of the component.
 
-    Every round points each node at the least label around it and then at that
-    label's own label, so paths shrink by halves; rounds end when no label moves.
-    Each round is kept in the shared folder, so lost executors cost one round.
+    Each round every node moves to the neighbour (or itself) that comes first in an order
+    drawn anew by hashing, and edges are carried over to where their ends went.  Edges
+    inside a place vanish, so the graph shrinks by a constant factor a round and a star of
+    any size in one.  Each round is kept in the shared folder; lost executors cost one.
     """
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = kept(both)
-    labels = kept(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
-    while True:
-        around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(around.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        moved = kept(lower.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")))
-        changed = moved.where("label <> was").limit(1).count()
-        labels = moved.select("node", "label")
-        if not changed:
-            return labels
+    nodes = kept(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    place = nodes.select("node", F.col("node").alias("label"))
+    rest = kept(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    turn = 0
+    while not rest.isEmpty():
+        both = rest.unionAll(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("order"), F.col(c).alias("to"))  # noqa: B023, E731
+        move = kept(both.groupBy("a").agg(F.min(first("b")).alias("m")).select(F.col("a").alias("at"), F.least(first("a"), "m")["to"].alias("to")))
+        start = rest.join(move.select(F.col("at").alias("a"), F.col("to").alias("to_a")), "a")
+        moved = start.join(move.select(F.col("at").alias("b"), F.col("to").alias("to_b")), "b").where("to_a <> to_b")
+        rest = kept(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+        place = kept(place.join(move, F.col("label") == F.col("at"), "left").select("node", F.coalesce("to", "label").alias("label")))
+        turn += 1
+    least = place.groupBy("label").agg(F.min("node").alias("least"))
+    return place.join(least, "label").select("node", F.col("least").alias("label"))

@@ -90,4 +90,4 @@ def test_odd_sketches_estimate_similarity():
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (300, 300)]
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert found == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200}
+    assert found == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200, 300: 300}
