@@ -5,29 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import kept
+from ._spark import written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges(a, b); the label is the least node of the component.
 
-    Each round every node moves to the neighbour (or itself) that comes first in an order
-    drawn anew by hashing, and edges are carried over to where their ends went.  Edges
-    inside a place vanish, so the graph shrinks by a constant factor a round and a star of
-    any size in one.  Each round is kept in the shared folder; lost executors cost one.
+    Each round every node moves to the neighbour (or itself) that comes first, and edges
+    are carried over to where their ends went; edges inside a place vanish.  First is the
+    least node in even rounds, which takes a star around its least node at once, and the
+    first of an order drawn anew by hashing in odd ones, which shrinks any graph (long
+    paths too) by a constant factor.  Each round is kept in the shared folder; lost
+    executors cost one.
     """
-    nodes = kept(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    nodes = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     place = nodes.select("node", F.col("node").alias("label"))
-    rest = kept(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rest = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     turn = 0
     while not rest.isEmpty():
         both = rest.unionAll(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        first = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("order"), F.col(c).alias("to"))  # noqa: B023, E731
-        move = kept(both.groupBy("a").agg(F.min(first("b")).alias("m")).select(F.col("a").alias("at"), F.least(first("a"), "m")["to"].alias("to")))
+        order = (lambda c: F.xxhash64(F.lit(turn), c)) if turn % 2 else F.col  # noqa: B023
+        first = lambda c: F.struct(order(c).alias("order"), F.col(c).alias("to"))  # noqa: B023, E731
+        move = written(both.groupBy("a").agg(F.min(first("b")).alias("m")).select(F.col("a").alias("at"), F.least(first("a"), "m")["to"].alias("to")))
         start = rest.join(move.select(F.col("at").alias("a"), F.col("to").alias("to_a")), "a")
         moved = start.join(move.select(F.col("at").alias("b"), F.col("to").alias("to_b")), "b").where("to_a <> to_b")
-        rest = kept(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
-        place = kept(place.join(move, F.col("label") == F.col("at"), "left").select("node", F.coalesce("to", "label").alias("label")))
+        rest = written(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+        place = written(place.join(move, F.col("label") == F.col("at"), "left").select("node", F.coalesce("to", "label").alias("label")))
         turn += 1
     least = place.groupBy("label").agg(F.min("node").alias("least"))
     return place.join(least, "label").select("node", F.col("least").alias("label"))
