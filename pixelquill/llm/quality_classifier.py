@@ -124,7 +124,7 @@ def fit(rows: Rows, y: np.ndarray, size: int, least: float = 0.0, steps: int = 8
     owner = np.repeat(np.arange(len(y)), np.diff(rows.first))
     for _ in range(steps):
         d = weight * (sigmoid(rows.dot(w) + w[size]) - y)
-        g = np.bincount(rows.index, rows.value * d[owner], size + 1)
+        g = np.bincount(rows.index, rows.value * d[owner], size + 1).astype(np.float64)  # of no rows it makes integers
         g[size] = d.sum()
         g += shrink * w / len(w)
         seen += g * g
