@@ -36,8 +36,9 @@ from ._text import ALNUM, LOWER, U64, Words, mix, per_text, pieces, texts_of
 
 SAMPLE, POOL = 4000, 4000
 ROUNDS = 3
-#: Rows that a view may label for the other in one round, and how sure it must be.
-EXCHANGE, SURE = 500, 0.97
+#: Rows that a view may label for the other in one round, how sure it must be, and by
+#: how much its log odds must differ from those of the labels at large.
+EXCHANGE, SURE, LIFT = 500, 0.9, 1.5
 TEXT_BITS, PAGE_BITS = 20, 12
 #: Standard errors by which a feature's log odds must differ from 0 to be used, by view.
 TELLING = (3.0, 0.0)
@@ -183,9 +184,11 @@ def cotrain(labelled: tuple[Rows, Rows], y: np.ndarray, pool: tuple[Rows, Rows],
             head.scales.append(platt(held.dot(w) + w[-1], y[out]))
         if turn == ROUNDS or not n:
             break
-        p = sigmoid(head.views(pool))
+        odds = head.views(pool)
+        p = sigmoid(odds)
+        usual = np.log(y.sum() / (1 - y).sum())
         for view in (0, 1):
-            sure = np.maximum(p[view], 1 - p[view])
+            sure = np.where(np.abs(odds[view] - usual) >= LIFT, np.maximum(p[view], 1 - p[view]), 0.0)
             best = np.argsort(-sure, kind="stable")
             fresh = [i for i in best.tolist() if sure[i] >= SURE and i not in given[1 - view]][:EXCHANGE]
             given[1 - view].update((i, float(p[view][i] > 0.5)) for i in fresh)
