@@ -55,7 +55,7 @@ def _cropped(frames: DataFrame, o: argparse.Namespace, side: str) -> DataFrame:
     if not any(edges):
         return frames
     cut = F.transform("planes", lambda p: sampling.crop_plane(p, F.col("width"), F.col("height"), *edges))
-    return frames.withColumns({"planes": cut, "width": F.col("width") - edges[2] - edges[3], "height": F.col("height") - edges[0] - edges[1]})
+    return frames.withColumn("planes", cut).withColumns({"width": F.col("width") - edges[2] - edges[3], "height": F.col("height") - edges[0] - edges[1]})
 
 
 def compare(spark: SparkSession, o: argparse.Namespace) -> tuple[DataFrame, list[str]]:
