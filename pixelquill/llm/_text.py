@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled at once.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 #: Bytes hashed at once; small enough for the caches.
 HASH_BYTES = 256 << 10
 

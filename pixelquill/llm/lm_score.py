@@ -47,7 +47,7 @@ MAX_BROADCAST = 128 << 20
 #: Weight of the pair's relative frequency.
 PAIR_WEIGHT = 0.6
 #: N-grams a task counts before it ships them.
-FLUSH = 3_000_000
+FLUSH = 1_500_000
 END = U64(0x1234567)
 
 
