@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelquill.llm import bpe, decontaminate, near_duplicates, quality_classifier, secrets
-from pixelquill.llm._spark import new_path, table
+from pixelquill.llm._spark import new_path, small_batches, table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -27,6 +27,7 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_duplicates.drop_near_duplicates(docs)
 
 
@@ -35,12 +36,14 @@ def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return secrets.redact(docs)
 
 
 def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    small_batches(spark)
     return bpe.encode_decode(docs, public_tokenizers.path(VOCABULARY))
 
 
