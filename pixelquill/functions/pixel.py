@@ -203,3 +203,50 @@ def pixels_per_degree(width: Column, height: Column, diagonal_inches: Column, di
 
 def black_level(peak: Column, contrast: Column, ambient: Column) -> Column:
     return F.when(contrast > 0, peak / contrast).otherwise(F.lit(0.0)) + F.when(ambient > 0, ambient * (0.005 / math.pi)).otherwise(F.lit(0.0))
+
+
+def decode(sample: Column, kind: str) -> Column:
+    """A stored sample of 0..full scale as 0..1; float samples stay."""
+    top = {"uint8": 255.0, "uint16": 65535.0, "half": 1.0, "float": 1.0}[kind]
+    return sample.cast("double") / F.lit(top)
+
+
+def yuv_to_rgb(y: Column, cb: Column, cr: Column, depth: int = 8, full: bool = False, lines: int = 1080) -> list[Column]:
+    """Sample values to RGB of 0..1; matrix 709 above 650 lines, else 601."""
+    kr, kb = (0.2126, 0.0722) if lines > 650 else (0.299, 0.114)
+    top, unit, half = float((1 << depth) - 1), 1 << (depth - 8), float(1 << (depth - 1))
+    luma = y / top if full else (y - 16.0 * unit) / (219.0 * unit)
+    blue, red = ((c - half) / (top if full else 224.0 * unit) for c in (cb, cr))
+    r, b = luma + red * (2 * (1 - kr)), luma + blue * (2 * (1 - kb))
+    return [r, (luma - r * kr - b * kb) / (1 - kr - kb), b]
+
+
+def interval_place(v: Column, axis: list[float]) -> Column:
+    """Fractional place of v on an ascending axis: the first interval that holds it, 0 outside."""
+    out = F.lit(0.0)
+    for i in reversed(range(len(axis) - 1)):
+        out = F.when(v.between(axis[i], axis[i + 1]), (v - axis[i]) / (axis[i + 1] - axis[i]) + i).otherwise(out)
+    return out
+
+
+def bilinear(table: list[list[float]], x: Column, y: Column) -> Column:
+    """table[y][x] at fractional places, clamped to the table; the table is a literal."""
+    h, w = len(table), len(table[0])
+    flat = F.array(*(F.lit(float(v)) for row in table for v in row))
+    x, y = F.least(F.greatest(x, F.lit(0.0)), F.lit(w - 1.0)), F.least(F.greatest(y, F.lit(0.0)), F.lit(h - 1.0))
+    x0, y0 = F.floor(x).cast("int"), F.floor(y).cast("int")
+    x1, y1 = F.least(x0 + 1, F.lit(w - 1)), F.least(y0 + 1, F.lit(h - 1))
+    at = lambda r, c: F.get(flat, r * w + c)
+    upper, lower = (at(r, x0) * (F.lit(1.0) - (x - x0)) + at(r, x1) * (x - x0) for r in (y0, y1))
+    return upper * (F.lit(1.0) - (y - y0)) + lower * (y - y0)
+
+
+def sensitivity(log_background: Column, log_frequency: Column, backgrounds: list[float], frequencies: list[float], table: list[list[float]], gain: float = 1.0) -> Column:
+    """Contrast sensitivity from a table of log10 values over log10 axes."""
+    log_s = bilinear(table, interval_place(log_frequency, frequencies), interval_place(log_background, backgrounds))
+    return F.pow(F.lit(10.0), log_s + K.DISPLAY_PARAMETERS["sensitivity_correction"] / 20) * gain
+
+
+def base_difference(t: Column, r: Column, s: Column) -> Column:
+    """The base band's difference: weighted, not masked."""
+    return F.abs(t - r) * s

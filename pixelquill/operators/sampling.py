@@ -117,3 +117,15 @@ def crop_plane(plane: F.Column, width: F.Column, height: F.Column, top: int, bot
     """The crop of a row-major plane held in an array column."""
     rows = F.sequence(F.lit(top), height - bottom - 1)
     return F.flatten(F.transform(rows, lambda y: F.slice(plane, y * width + left + 1, width - left - right)))
+
+
+def clip_slice(frames: DataFrame, begin: int, end: int, skip: int = 1, column: str = "frame_idx") -> DataFrame:
+    """clip[begin:end:skip] with `position` (0, 1, ...) and the source index begin + skip * position."""
+    cut = sample(frames, Span(begin, end, skip, 0), column)
+    return cut.withColumn("position", ((F.col(column) - begin) / skip).cast("long"))
+
+
+def with_properties(frames: DataFrame, pairs: DataFrame, scores: DataFrame, values: list[str], carry: str = "enc_frame") -> DataFrame:
+    """Scores as columns of the frames that carry them (the other video's, or with src_frame the source's)."""
+    named = pairs.join(scores.select("ord", *values), "ord").select(F.col(carry).alias("frame_idx"), *values)
+    return frames.join(named, "frame_idx", "left")

@@ -80,3 +80,29 @@ def reduce_level(pixels: DataFrame, height: int, width: int, value: str = "v", k
         sent = out.select(*keys, across, where, value)
         out = sent.groupBy(*keys, across, F.col("t.c").alias(along)).agg(F.sum(F.col("t.w") * F.col(value)).alias(value))
     return out
+
+
+def clamped_blur(pixels: DataFrame, dilate: int, value: str = "v", keys: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """Separable Gaussian of 4 * dilate + 1 taps; the edge pixel stands for what lies beyond it."""
+    r = (4 * dilate + 1) // 2
+    raw = [math.exp(-(j * j) / (2.0 * dilate * dilate)) for j in range(-r, r + 1)]
+    out = pixels
+    for along, across in (("x", "y"), ("y", "x")):
+        w = Window.partitionBy(*keys, across).orderBy(along)
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        edge = lambda j, w=whole: F.first(value).over(w) if j < 0 else F.last(value).over(w)
+        terms = [(F.coalesce(F.lag(value, -j).over(w), edge(j)) if j else F.col(value)) * (t / sum(raw)) for j, t in zip(range(-r, r + 1), raw, strict=True)]
+        out = out.withColumn(value, sum(terms[1:], terms[0]))
+    return out
+
+
+def expand_level(pixels: DataFrame, height: int, width: int, value: str = "v", keys: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """A pyramid level at the given, doubled size: zeros between, five taps, replicated borders."""
+    out = pixels
+    for along, across, n in (("y", "x", height), ("x", "y", width)):
+        have = max(1, n // 2)
+        taps = [(o, max(0, min(have - 1, (o - k + 2) // 2)), 2 * w) for o in range(n) for k, w in enumerate(PYRAMID_TAPS) if (o - k) % 2 == 0]
+        where = F.explode(F.filter(F.array(*(F.struct(F.lit(o).alias("o"), F.lit(i).alias("i"), F.lit(w).alias("w")) for o, i, w in taps)), lambda t: t["i"] == F.col(along))).alias("t")
+        sent = out.select(*keys, across, where, value)
+        out = sent.groupBy(*keys, across, F.col("t.o").alias(along)).agg(F.sum(F.col("t.w") * F.col(value)).alias(value))
+    return out

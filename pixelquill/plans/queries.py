@@ -409,6 +409,89 @@ def channel_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.table(spark, sf_dir, "events").select("user_id", (n - 1).cast("long").alias("ord"), F.when(n > 1, 4).otherwise(3).alias("channels"), F.when(n == 1, F.lit(P["image_int"])).otherwise(F.lit(1.0)).alias("factor"))
 
 
+# --- decoding, slicing, lookups ---------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n, round(sum(l_partkey % 256 / 255.0), 6) + 0.0 AS u8, round(sum(l_partkey % 65536 / 65535.0), 6) + 0.0 AS u16 FROM lineitem GROUP BY 1, 2")
+def sample_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_partkey")
+    return fixtures.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), r6(F.sum(pixel.decode(k % 256, "uint8")), "u8"), r6(F.sum(pixel.decode(k % 65536, "uint16")), "u16"))
+
+
+_yuv = [f"((r * 255 - 16.0) / 219.0 + (b * 255 - 128.0) / 224.0 * {2 * (1 - 0.2126)!r})", f"((r * 255 - 16.0) / 219.0 + (g * 255 - 128.0) / 224.0 * {2 * (1 - 0.0722)!r})"]
+_colour_query(
+    "yuv_to_rgb", ["r_", "g_", "b_"], lambda r, g, b: pixel.yuv_to_rgb(r * 255, g * 255, b * 255),
+    [_yuv[0], f"((r * 255 - 16.0) / 219.0 - {_yuv[0]} * 0.2126 - {_yuv[1]} * 0.0722) / {1 - 0.2126 - 0.0722!r}", _yuv[1]],
+)
+
+
+@query("SELECT event_id AS frame_idx, (event_id - 50) // 3 AS position FROM events WHERE event_id >= 50 AND event_id < 900 AND (event_id - 50) % 3 = 0")
+def clip_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.clip_slice(fixtures.table(spark, sf_dir, "events").select(F.col("event_id").alias("frame_idx")), 50, 900, 3)
+
+
+@query(f"WITH {NORMS}, f AS (SELECT DISTINCT event_id // 256 AS frame_idx FROM events) SELECT frame_idx, round(norm_3, 6) + 0.0 AS norm_3 FROM f LEFT JOIN (SELECT frame + 2 AS frame_idx, norm_3 FROM n WHERE frame + 2 IN (SELECT frame_idx FROM f)) USING (frame_idx)")
+def frame_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = fixtures.table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 256).alias("frame_idx")).distinct()
+    scores = _frame_norms(spark, sf_dir).withColumnRenamed("frame", "ord")
+    pairs = scores.select("ord", F.col("ord").alias("src_frame"), (F.col("ord") + 2).alias("enc_frame"))
+    return sampling.with_properties(frames, pairs, scores, ["norm_3"]).select("frame_idx", r6(F.col("norm_3"), "norm_3"))
+
+
+# A small made-up table: log10 axes of 4 backgrounds and 5 frequencies.
+_LB, _LF = [-2.0, 0.0, 1.5, 3.0], [-1.0, -0.25, 0.5, 1.0, 1.75]
+_TABLE = [[0.5 + 0.3 * i - 0.2 * (j - 1.5) ** 2 for j in range(5)] for i in range(4)]
+
+
+def _place_sql(v: str, axis: list[float]) -> str:
+    return "CASE " + " ".join(f"WHEN {v} BETWEEN {a!r} AND {b!r} THEN ({v} - {a!r}) / {b - a!r} + {i}" for i, (a, b) in enumerate(zip(axis, axis[1:], strict=False))) + " ELSE 0.0 END"
+
+
+_SENSITIVITY = f""", lb AS (SELECT frame, y, x, v, d, v * 8 - 3 AS b, d * 4 - 1.5 AS f FROM pair), pl AS (
+  SELECT *, {_place_sql('f', _LF)} AS px_, {_place_sql('b', _LB)} AS py_ FROM lb
+), t AS (SELECT CAST(unnest(range(20)) AS INTEGER) AS i, unnest([{", ".join(repr(v) for row in _TABLE for v in row)}]) AS s), s AS (
+  SELECT p.*, (a.s * (1 - (px_ - floor(px_))) + b.s * (px_ - floor(px_))) * (1 - (py_ - floor(py_))) + (c.s * (1 - (px_ - floor(px_))) + e.s * (px_ - floor(px_))) * (py_ - floor(py_)) AS logs
+  FROM pl p JOIN t a ON a.i = floor(py_) * 5 + floor(px_) JOIN t b ON b.i = floor(py_) * 5 + least(floor(px_) + 1, 4) JOIN t c ON c.i = least(floor(py_) + 1, 3) * 5 + floor(px_) JOIN t e ON e.i = least(floor(py_) + 1, 3) * 5 + least(floor(px_) + 1, 4)
+)"""
+
+
+@query(f"WITH {GRAY}{_SENSITIVITY} SELECT frame, y, x, round(px_, 6) + 0.0 AS place, round(pow(10.0, logs + {P['sensitivity_correction'] / 20!r}) * 1.45, 6) + 0.0 AS s, round(abs(v - d) * pow(10.0, logs + {P['sensitivity_correction'] / 20!r}) * 1.45, 6) + 0.0 AS base FROM s")
+def csf_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval lookup on two axes, bilinear sensitivity, base-band difference."""
+    g = fixtures.gray(spark, sf_dir)
+    b, f = F.col("v") * 8 - 3, F.col("d") * 4 - 1.5
+    s = pixel.sensitivity(b, f, _LB, _LF, _TABLE, K.CHANNEL_GAIN[1])
+    return g.select("frame", "y", "x", r6(pixel.interval_place(f, _LF), "place"), r6(s, "s"), r6(pixel.base_difference(F.col("v"), F.col("d"), s), "base"))
+
+
+def _clamped_sql() -> str:
+    import math
+
+    raw = [math.exp(-(j * j) / 18.0) for j in range(-6, 7)]
+    taps = ", ".join(f"({j}, {w / sum(raw)!r})" for j, w in zip(range(-6, 7), raw, strict=True))
+    one = lambda src, out, axis, other: f"{out} AS (SELECT a.frame, a.y, a.x, sum(b.v * t.w) AS v FROM {src} a JOIN (VALUES {taps}) t(j, w) ON true JOIN {src} b ON b.frame = a.frame AND b.{other} = a.{other} AND b.{axis} = least(greatest(a.{axis} + t.j, 0), 15) GROUP BY 1, 2, 3)"
+    return f"{one('px', 'c1', 'x', 'y')}, {one('c1', 'c2', 'y', 'x')}"
+
+
+@query(f"WITH {GRAY}, {_clamped_sql()} SELECT frame, y, x, round(v * {10.0 ** P['mask_c']!r}, 6) + 0.0 AS v FROM c2")
+def phase_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    soft = stencil.clamped_blur(fixtures.gray(spark, sf_dir).select("frame", "y", "x", "v"), P["pu_dilate"])
+    return soft.select("frame", "y", "x", r6(F.col("v") * 10.0 ** P["mask_c"], "v"))
+
+
+@query(f"""WITH {GRAY}, v1 AS (SELECT frame, o AS y, x, sum(2 * w * v) AS v FROM range(32) r(o), {_five}, px WHERE (o - k) % 2 = 0 AND px.y = least(greatest((o - k) // 2, 0), 15) GROUP BY 1, 2, 3)
+SELECT frame, CAST(y AS INTEGER) AS y, CAST(o AS INTEGER) AS x, round(sum(2 * w * v), 11) + 0.0 AS v FROM range(32) r(o), {_five}, v1 WHERE (o - k) % 2 = 0 AND v1.x = least(greatest((o - k) // 2, 0), 15) GROUP BY 1, 2, 3""")
+def lpyr_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.expand_level(fixtures.gray(spark, sf_dir).select("frame", "y", "x", "v"), 32, 32).select("frame", "y", "x", r6(F.col("v"), "v", 11))
+
+
+@query(f"SELECT i AS band, greatest(1, 1920 >> i) AS width, greatest(1, 1080 >> i) AS height, round(CASE WHEN i = 8 THEN 0.1 WHEN i = 0 THEN 30.0 ELSE 0.3228 * pow(2.0, -(i - 1)) * 30.0 END, 9) + 0.0 AS frequency FROM range(9) r(i)")
+def band_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.planes import band_sizes
+
+    return spark.createDataFrame([(i, w, h, round(f, 9)) for i, (w, h, f) in enumerate(band_sizes(1920, 1080, 60.0))], "band long, width long, height long, frequency double")
+
+
 # --- whole metrics ----------------------------------------------------------------
 
 
@@ -426,3 +509,12 @@ def psychovisual(spark: SparkSession, sf_dir: str) -> DataFrame:
 def display(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a made-up sensitivity table: the values are not calibrated."""
     return display_difference(fixtures.colour_pairs(spark, sf_dir), Display(ambient=250.0), fixtures.made_up_sensitivity())
+
+
+@query()
+def display_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.visibility import band_scores, contrast_bands
+    from ..sources.scores import telemetry
+
+    pairs, shown, table = fixtures.colour_pairs(spark, sf_dir), Display(ambient=250.0), fixtures.made_up_sensitivity()
+    return telemetry(display_difference(pairs, shown, table), band_scores(contrast_bands(pairs, shown, table)), shown.ppd, shown.name)

@@ -42,3 +42,11 @@ def report(summary: DataFrame, label: str) -> str:
         raise UnsupportedInput("a report needs one summary row")
     names = {"average": "Average", "deviation": "Standard Deviation", "median": "Median", "p5": "5th percentile", "p95": "95th percentile", "minimum": "Minimum", "maximum": "Maximum"}
     return "\n".join([f"{label:-^33}", *(f"{title:>18} : {rows[0][k]:12.6f}" for k, title in names.items())])
+
+
+def telemetry(scores: DataFrame, bands: DataFrame, ppd: float, display: str) -> DataFrame:
+    """(pair_id, ord, json): a frame's quality, the viewing setup and every band's pooled channels."""
+    per_band = bands.groupBy("pair_id", "ord", "band").agg(F.array_sort(F.collect_list(F.struct("ch", "q"))).alias("channels"))
+    listed = per_band.groupBy("pair_id", "ord").agg(F.array_sort(F.collect_list(F.struct("band", "channels"))).alias("bands"))
+    both = scores.join(listed, ["pair_id", "ord"])
+    return both.select("pair_id", "ord", F.to_json(F.struct(F.col("ord").alias("frame"), F.col("score").alias("jod"), F.lit(ppd).alias("ppd"), F.lit(display).alias("display"), "bands")).alias("json"))
