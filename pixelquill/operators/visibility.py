@@ -1,8 +1,10 @@
 """Display-aware visual difference in quality units (10: identical, 0: worst).
 
-Stages as DataFrames: a pair's row becomes one row per band; each band is filtered over
-time and masked in groups of bounded length; pooling over pixels, bands and channels and
-the quality map are aggregates and expressions.
+Stages as DataFrames: a pair's row becomes rows of its bands' strips (some lines, with as
+many more at both sides as the mask's blur reaches); each strip is filtered over time and
+masked in groups of a bounded number of frames, so memory depends on neither the frame
+size nor the length; pooling over pixels, bands and channels and the quality map are
+aggregates and expressions.
 
 The contrast sensitivity table is given by the caller; none is part of this library.
 """
@@ -27,6 +29,9 @@ from .rows import plane_arrays
 from .temporal import filter_length, kernels, with_history
 
 P = K.DISPLAY_PARAMETERS
+#: Pixels of a strip, and lines that its neighbours share with it.
+STRIP = 1 << 16
+HALO = (4 * P["pu_dilate"] + 1) // 2
 MODES = ("weber_g1", "weber_g1_ref", "weber_g0_ref")
 
 
@@ -71,7 +76,7 @@ def light(planes: np.ndarray, display: Display) -> np.ndarray:
     return np.tensordot(m, v, 1)
 
 
-def _bands(display: Display, table: Sensitivity, mode: str):
+def _bands(display: Display, table: Sensitivity, mode: str, strip: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -87,32 +92,37 @@ def _bands(display: Display, table: Sensitivity, mode: str):
                     if k < len(sizes) - 1:
                         lap = [np.minimum(x / y, 1000) for x, y in zip(lap, back, strict=True)]
                     t, r = (x * np.stack(gains[:3]) for x in lap)
-                    yield pa.RecordBatch.from_pydict({
-                        "pair_id": batch.column(0).slice(i, 1), "ord": batch.column(1).slice(i, 1), "band": pa.array([k], pa.int32()), "bands": pa.array([len(sizes)], pa.int32()),
-                        "width": pa.array([w], pa.int32()), "height": pa.array([h], pa.int32()), "test": pa.array([t.ravel()], pa.list_(pa.float64())), "ref": pa.array([r.ravel()], pa.list_(pa.float64())),
-                    })
+                    lines = max(1, strip // w)
+                    for y in range(0, h, lines):
+                        top, end = max(0, y - HALO), min(h, y + lines + HALO)
+                        whole = {"band": k, "bands": len(sizes), "width": w, "height": h, "strip": y, "first": y - top, "lines": min(lines, h - y)}
+                        yield pa.RecordBatch.from_pydict({
+                            "pair_id": batch.column(0).slice(i, 1), "ord": batch.column(1).slice(i, 1), **{n: pa.array([v], pa.int32()) for n, v in whole.items()},
+                            "test": pa.array([t[:, top:end].ravel()], pa.list_(pa.float64())), "ref": pa.array([r[:, top:end].ravel()], pa.list_(pa.float64())),
+                        })
 
     return run
 
 
-def contrast_bands(pairs: DataFrame, display: Display, table: Sensitivity, mode: str = "weber_g1") -> DataFrame:
-    """(pair_id, ord, band, bands, width, height, test, ref): weighted contrasts of three channels."""
+def contrast_bands(pairs: DataFrame, display: Display, table: Sensitivity, mode: str = "weber_g1", strip: int = STRIP) -> DataFrame:
+    """Weighted contrasts of three channels, a row per strip: (pair_id, ord, band, bands, width, height of the band,
+    strip's first line, first own line in it, own lines, test, ref)."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
     rows = pairs.select("pair_id", F.col("ord").cast("int"), "a_width", "a_height", "a_planes", "b_width", "b_height", "b_planes")
     kind = dict(pairs.dtypes)["pair_id"]
-    return rows.mapInArrow(_bands(display, table, mode), f"pair_id {kind}, ord int, band int, bands int, width int, height int, test array<double>, ref array<double>")
+    return rows.mapInArrow(_bands(display, table, mode, strip), f"pair_id {kind}, ord int, band int, bands int, width int, height int, strip int, first int, lines int, test array<double>, ref array<double>")
 
 
 def _power(v: np.ndarray, p: float) -> np.ndarray:
     return (v + 1e-5) ** p - 1e-5**p
 
 
-def masked(t: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Masked differences of (channels, height, width) contrasts."""
+def masked(t: np.ndarray, r: np.ndarray, size: tuple[int, int]) -> np.ndarray:
+    """Masked differences of (channels, lines, width) contrasts out of a band of the given size."""
     n = len(t)
     mutual = np.minimum(np.abs(t), np.abs(r))
-    if P["pu_dilate"] and min(t.shape[1:]) > 2 * P["pu_dilate"]:
+    if P["pu_dilate"] and min(size) > 2 * P["pu_dilate"]:
         mutual = np.stack([clamped_blur(m, P["pu_dilate"]) for m in mutual])
     mutual = mutual * 10.0 ** P["mask_c"]
     across = (2.0 ** np.array(P["xcm_weights"]).reshape(4, 4))[:n, :n]
@@ -125,22 +135,23 @@ def masked(t: np.ndarray, r: np.ndarray) -> np.ndarray:
 def _filtered(length: int, taps: np.ndarray, chunk: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ord", kind="stable")
-        w, h, base = int(rows["width"].iloc[0]), int(rows["height"].iloc[0]), int(rows["band"].iloc[0]) == int(rows["bands"].iloc[0]) - 1
+        w, h, first, lines = (int(rows[c].iloc[0]) for c in ("width", "height", "first", "lines"))
+        pair, band, bands = (rows[c].iloc[0] for c in ("pair_id", "band", "bands"))
         at, own = rows["ord"].to_numpy(), rows["ord"].to_numpy() // chunk == rows["chunk"].to_numpy()
-        planes = {o: (np.reshape(t, (3, h, w)), np.reshape(r, (3, h, w))) for o, t, r in zip(at, rows["test"], rows["ref"], strict=True)}
+        planes = {o: (np.reshape(t, (3, -1, w)), np.reshape(r, (3, -1, w))) for o, t, r in zip(at, rows["test"], rows["ref"], strict=True)}
         out = []
         for o in at[own]:
             t, r = planes[o]
-            if base:
+            if band == bands - 1:
                 d = np.abs(t - r)
             else:
                 past = [planes[max(o - k, 0)] for k in range(length)]
                 t, r = (_fir([p[s] for p in past], taps) for s in (0, 1))
                 n = 3 if o == 0 else 4
-                d = masked(t[:n], r[:n])
-            pooled = (np.abs(d) ** P["beta"]).mean(axis=(1, 2)) ** (1 / P["beta"])
-            out += [(rows["pair_id"].iloc[0], int(o), int(rows["band"].iloc[0]), int(rows["bands"].iloc[0]), c, float(q)) for c, q in enumerate(pooled)]
-        return pd.DataFrame(out, columns=["pair_id", "ord", "band", "bands", "ch", "q"])
+                d = masked(t[:n], r[:n], (h, w))
+            total = (np.abs(d[:, first : first + lines]) ** P["beta"]).sum(axis=(1, 2))
+            out += [(pair, int(o), int(band), int(bands), c, float(q), lines * w) for c, q in enumerate(total)]
+        return pd.DataFrame(out, columns=["pair_id", "ord", "band", "bands", "ch", "total", "pixels"])
 
     return run
 
@@ -155,14 +166,15 @@ def _fir(past: list[np.ndarray], taps: np.ndarray) -> np.ndarray:
 def band_scores(bands: DataFrame, fps: float = 30.0, chunk: int = 64) -> DataFrame:
     """(pair_id, ord, band, bands, ch, q): filtered over time, masked, pooled over pixels."""
     length, taps = filter_length(fps, P["filter_len"]), kernels(fps, P["filter_len"])
-    spread = with_history(bands, ["pair_id", "band"], length, chunk)
+    spread = with_history(bands, ["pair_id", "band", "strip"], length, chunk)
     kind = dict(bands.dtypes)["pair_id"]
-    return spread.groupBy("pair_id", "band", "chunk").applyInPandas(_filtered(length, taps, chunk), f"pair_id {kind}, ord int, band int, bands int, ch int, q double")
+    sums = spread.groupBy("pair_id", "band", "strip", "chunk").applyInPandas(_filtered(length, taps, chunk), f"pair_id {kind}, ord int, band int, bands int, ch int, total double, pixels long")
+    return sums.groupBy("pair_id", "ord", "band", "bands", "ch").agg(F.pow(F.sum("total") / F.sum("pixels"), F.lit(1 / P["beta"])).alias("q"))
 
 
-def display_difference(pairs: DataFrame, display: Display, table: Sensitivity, fps: float = 30.0, mode: str = "weber_g1", chunk: int = 64) -> DataFrame:
+def display_difference(pairs: DataFrame, display: Display, table: Sensitivity, fps: float = 30.0, mode: str = "weber_g1", chunk: int = 64, strip: int = STRIP) -> DataFrame:
     """(pair_id, ord, score); ord numbers a pair's frames from 0 without gaps."""
-    scores = band_scores(contrast_bands(pairs, display, table, mode), fps, chunk)
+    scores = band_scores(contrast_bands(pairs, display, table, mode, strip), fps, chunk)
     pooled = pool_bands(scores, ["pair_id", "ord", "bands"])
     still = (F.col("ord") == 0) | (F.col("bands") == 1)  # no band has a second frame yet
     return pooled.select("pair_id", "ord", pixel.quality_units(F.col("q") * F.when(still, F.lit(P["image_int"])).otherwise(F.lit(1.0))).alias("score"))

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,3 +178,36 @@ def read_raw(spark: SparkSession, path: str, width: int, height: int, sample: st
 def frame_index(frames: DataFrame) -> DataFrame:
     """Per video: frames, size and rate; what a caller needs to resolve a range."""
     return frames.groupBy("video_id").agg(F.count("*").alias("frames"), F.max("width").alias("width"), F.max("height").alias("height"), F.max("fps").alias("fps"), (F.countDistinct("width", "height") == 1).alias("one_size"))
+
+
+def file_index(spark: SparkSession, path: str, cache: str | None = None) -> DataFrame:
+    """(path, modified, bytes, width, height, fps, frames) of Y4M files.
+
+    With a cache (a Parquet table), files that it knows at the same time and size are not
+    opened; new ones are added to it."""
+    shape = "path string, modified timestamp, bytes long, width int, height int, fps double, frames long"
+    files = spark.read.format("binaryFile").load(path)
+    present = files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, content in enumerate(batch.column(3)):
+                sizes = [(w, h, fps) for w, h, fps, _ in _y4m_frames(memoryview(content.as_buffer()))]
+                w, h, fps = sizes[0] if sizes else (0, 0, 0.0)
+                more = [pa.array([w], pa.int32()), pa.array([h], pa.int32()), pa.array([fps]), pa.array([len(sizes)], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 1) for k in range(3)), *more], ["path", "modified", "bytes", "width", "height", "fps", "frames"])
+
+    opened = lambda rows: rows.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"), "content").mapInArrow(run, shape)
+    if cache is None:
+        return opened(files)
+    try:
+        known = spark.read.schema(shape).parquet(cache)
+        known.limit(1).collect()
+    except AnalysisException:
+        opened(files).write.parquet(cache)
+        return spark.read.schema(shape).parquet(cache)
+    fresh = present.join(known, ["path", "modified", "bytes"], "left_anti")
+    names = [r["path"] for r in fresh.select("path").collect()]  # new files only
+    if names:
+        opened(spark.read.format("binaryFile").load(names)).write.mode("append").parquet(cache)
+    return spark.read.schema(shape).parquet(cache).join(present, ["path", "modified", "bytes"], "left_semi")

@@ -63,8 +63,8 @@ def test_temporal_filter_in_chunks_equals_one_pass(spark, frames):
     rng = np.random.default_rng(0)
     many = [(frames[0][k % 5], np.clip(frames[0][k % 5] + rng.normal(0, 0.02, (3, 19, 23)), 0, 1)) for k in range(20)]
     p = pairs(spark, many)
-    one, small = (np.array(scores(visibility.display_difference(p, Display(), made_up_sensitivity(), chunk=c), "score")) for c in (64, 3))
-    assert np.allclose(one, small, atol=1e-12) and len(one) == 20
+    one, small, strips = (np.array(scores(visibility.display_difference(p, Display(), made_up_sensitivity(), chunk=c, strip=s), "score")) for c, s in ((64, 1 << 16), (3, 1 << 16), (7, 50)))
+    assert np.allclose(one, small, atol=1e-12) and np.allclose(one, strips, atol=1e-12) and len(one) == 20
 
 
 def test_first_frame_is_filtered_against_itself():

@@ -34,6 +34,20 @@ def test_y4m(spark, tmp_path):
     assert (index.frames, index.width, index.one_size) == (3, 7, True)
 
 
+def test_file_index_with_cache(spark, tmp_path):
+    plain = lambda v: (np.full((4, 4), v), np.full((2, 2), 128), np.full((2, 2), 128))
+    (tmp_path / "v").mkdir()
+    y4m(tmp_path / "v" / "a.y4m", [plain(20)] * 3)
+    cache, glob = str(tmp_path / "cache"), str(tmp_path / "v" / "*.y4m")
+    name = lambda r: r.path.rsplit("/", 1)[1]
+    assert [(name(r), r.frames, r.width) for r in video.file_index(spark, glob, cache).collect()] == [("a.y4m", 3, 4)]
+    y4m(tmp_path / "v" / "b.y4m", [plain(20)] * 5)
+    assert sorted((name(r), r.frames) for r in video.file_index(spark, glob, cache).collect()) == [("a.y4m", 3), ("b.y4m", 5)]
+    y4m(tmp_path / "v" / "a.y4m", [plain(20)] * 7)  # changed: opened again
+    assert sorted((name(r), r.frames) for r in video.file_index(spark, glob, cache).collect()) == [("a.y4m", 7), ("b.y4m", 5)]
+    assert video.file_index(spark, glob).count() == 2
+
+
 @pytest.mark.parametrize(("sample", "kind", "top"), [("uint8", "<u1", 255), ("uint16", "<u2", 65535), ("half", "<f2", 1), ("float", "<f4", 1)])
 def test_raw_planes_and_padding(spark, tmp_path, sample, kind, top):
     rng = np.random.default_rng(0)
