@@ -18,7 +18,8 @@ grows with the data; passes do.
 The model is linear interpolation: p(w | v) = a * c(vw) / c(v) + (1 - a) * (c(w) + 1) /
 (N + V + 1), counts read from the filter; a pair in the filter adds to its pass, all
 others count in the pass of their pair's bucket with the second term only.  The
-word filter is needed by every pass and goes with each.
+word filter is needed by every pass and goes with each; it has at most MAX_WORDS bytes,
+beyond which it still holds every word, with more one-sided errors.
 
 Cases: null and empty texts have the end token only; a document without an id
 trains as one whose id reads as the empty text; repeated rows count each; with no
@@ -44,6 +45,8 @@ FOLDS, HELD_OUT = 7, 2
 BITS_EACH, PROBES = 9, 4
 #: Bytes of tables broadcast in one pass.
 MAX_BROADCAST = 128 << 20
+#: Bytes of the word filter, which every pass broadcasts.
+MAX_WORDS = 64 << 20
 #: Weight of the pair's relative frequency.
 PAIR_WEIGHT = 0.6
 #: N-grams a task counts before it ships them.
@@ -125,8 +128,9 @@ def _gather(buckets: int):
     return run
 
 
-def bloom_bits(entries: int) -> int:
-    return max(64, -(-entries * BITS_EACH // 64) * 64)
+def bloom_bits(entries: int, most: int | None = None) -> int:
+    bits = max(64, -(-entries * BITS_EACH // 64) * 64)
+    return bits if most is None else min(bits, max(64, most // 64 * 64))
 
 
 def levels(count: np.ndarray) -> np.ndarray:
@@ -141,9 +145,10 @@ def _cells(h: np.ndarray, level: np.ndarray | int, bits: int) -> np.ndarray:
         return np.stack([((x + U64(i) * step) >> U64(11)) % U64(bits) for i in range(PROBES)])
 
 
-def build_filter(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+def build_filter(h: np.ndarray, count: np.ndarray, most: int | None = None) -> np.ndarray:
+    """The filter of n-grams and their counts, of at most `most` bits."""
     level = levels(count)
-    bits = bloom_bits(int(level.sum()))
+    bits = bloom_bits(int(level.sum()), most)
     out = np.zeros(bits // 8, np.uint8)
     for q in range(1, int(level.max(initial=0)) + 1):
         own = h[level >= q]
@@ -173,14 +178,14 @@ def probe(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 VALUE = np.r_[0.0, 1.0, 1.5 * 2.0 ** np.arange(1, 62)]
 
 
-def _merge(rows: pd.DataFrame) -> pd.DataFrame:
+def _merge(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     h = np.concatenate([np.cumsum(np.frombuffer(x, U64), dtype=U64) for x in rows["hashes"]])
     c = np.concatenate([np.frombuffer(x, "<u4") for x in rows["counts"]]).astype(np.int64)
     h, c = count_sorted(h, c)
     n, bucket = int(rows["n"].iloc[0]), int(rows["bucket"].iloc[0])
     exact = n == 1
     return pd.DataFrame({
-        "n": [n], "bucket": [bucket], "entries": [len(h)], "total": [int(c.sum())], "bloom": [build_filter(h, c).tobytes()],
+        "n": [n], "bucket": [bucket], "entries": [len(h)], "total": [int(c.sum())], "bloom": [build_filter(h, c, MAX_WORDS * 8 // buckets if exact else None).tobytes()],
         "hashes": [h.tobytes() if exact else b""], "counts": [np.minimum(c, 0xFFFFFFFF).astype("<u4").tobytes() if exact else b""],
     })
 
@@ -189,7 +194,7 @@ def ngram_tables(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col
     """A row per order (1, 2) and bucket: its filter, and the exact word counts."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     packed = rows.mapInArrow(_gather(buckets), "n int, bucket int, hashes binary, counts binary")
-    return packed.groupBy("n", "bucket").applyInPandas(_merge, "n int, bucket int, entries long, total long, bloom binary, hashes binary, counts binary")
+    return packed.groupBy("n", "bucket").applyInPandas(lambda rows: _merge(rows, buckets), "n int, bucket int, entries long, total long, bloom binary, hashes binary, counts binary")
 
 
 class Tables:
