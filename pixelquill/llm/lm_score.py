@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import kept
-from ._text import LOWER, SPACED, U64, Words, mix, per_text, pieces, signed, texts_of
+from ._text import LOWER, SPACED, U64, Words, in_sorted, mix, per_text, pieces, signed, texts_of
 
 FOLDS, HELD_OUT = 7, 2
 #: Filter bits per inserted (n-gram, level), and probes of each.
@@ -137,12 +137,15 @@ def levels(count: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(np.maximum(count, 1))).astype(np.int64)
 
 
-def _cells(h: np.ndarray, level: np.ndarray | int, bits: int) -> np.ndarray:
+def _cells(h: np.ndarray, level: int, bits: np.ndarray) -> Iterator[np.ndarray]:
     """PROBES cells of each (hash, level)."""
     with np.errstate(over="ignore"):
-        x = mix(h + np.asarray(level).astype(U64) * U64(0xA24BAED4963EE407))
+        x = mix(h + U64(level) * U64(0xA24BAED4963EE407))
         step = (x >> U64(32)) | U64(1)
-        return np.stack([((x + U64(i) * step) >> U64(11)) % U64(bits) for i in range(PROBES)])
+    for i in range(PROBES):
+        with np.errstate(over="ignore"):
+            cell = x + U64(i) * step
+        yield (cell >> U64(11)) % bits
 
 
 def build_filter(h: np.ndarray, count: np.ndarray, most: int | None = None) -> np.ndarray:
@@ -153,25 +156,37 @@ def build_filter(h: np.ndarray, count: np.ndarray, most: int | None = None) -> n
     for q in range(1, int(level.max(initial=0)) + 1):
         own = h[level >= q]
         for i in range(0, len(own), 1 << 20):
-            cell = _cells(own[i : i + (1 << 20)], q, bits).ravel()
-            np.bitwise_or.at(out, (cell >> U64(3)).astype(np.int64), (U64(1) << (cell & U64(7))).astype(np.uint8))
+            for cell in _cells(own[i : i + (1 << 20)], q, U64(bits)):
+                np.bitwise_or.at(out, (cell >> U64(3)).astype(np.int64), (U64(1) << (cell & U64(7))).astype(np.uint8))
     return out
 
 
-def probe(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The quantised level of each hash: probes go on while a level is there."""
-    level = np.zeros(len(h), np.int64)
-    live = np.arange(len(h))
-    bits, q = len(table) * 8, 1
-    while len(live) and bits:
-        cell = _cells(h[live], q, bits)
-        there = np.ones(len(live), bool)
-        for row in cell:
-            there &= ((table[(row >> U64(3)).astype(np.int64)] >> (row & U64(7)).astype(np.uint8)) & 1).astype(bool)
-        live = live[there]
-        level[live] = q
-        q += 1
-    return level
+class Filters:
+    """The filters of several buckets in a row."""
+
+    def __init__(self, buckets: int, parts: dict[int, bytes]):
+        self.bits, self.base = np.zeros(buckets, U64), np.zeros(buckets, U64)
+        at = 0
+        for b in sorted(parts):
+            self.bits[b], self.base[b] = len(parts[b]) * 8, at
+            at += len(parts[b]) * 8
+        self.data = np.frombuffer(b"".join(parts[b] for b in sorted(parts)), np.uint8)
+
+    def probe(self, h: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """The quantised level of each hash: probes go on while a level is there."""
+        level = np.zeros(len(h), np.int64)
+        live = np.flatnonzero(self.bits[bucket] > 0)
+        q = 1
+        while len(live):
+            b = bucket[live]
+            there = np.ones(len(live), bool)
+            for cell in _cells(h[live], q, self.bits[b]):
+                cell += self.base[b]
+                there &= ((self.data[(cell >> U64(3)).astype(np.int64)] >> (cell & U64(7)).astype(np.uint8)) & 1).astype(bool)
+            live = live[there]
+            level[live] = q
+            q += 1
+        return level
 
 
 #: The count a level stands for: the middle of its range, for the few levels there are.
@@ -198,59 +213,46 @@ def ngram_tables(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col
 
 
 class Tables:
-    """One pass's buckets, and the word filters of all."""
+    """One pass's buckets, and the word filters of all.  Buckets are ranges of hashes in
+    order, so the exact words of all stand in order too."""
 
-    def __init__(self, buckets: int, n: int, v: int, words: dict, exact: dict, pair: dict):
-        self.buckets, self.n, self.v, self.words, self.exact, self.pair = buckets, n, v, words, exact, pair
+    def __init__(self, buckets: int, n: int, v: int, words: Filters, exact: dict[int, tuple[bytes, bytes]], pair: Filters, own: list[int]):
+        self.buckets, self.n, self.v, self.words, self.pair = buckets, n, v, words, pair
+        self.own = np.zeros(buckets, bool)
+        self.own[own] = True
+        self.keys = np.frombuffer(b"".join(exact[b][0] for b in sorted(exact)), U64)
+        self.counts = np.frombuffer(b"".join(exact[b][1] for b in sorted(exact)), "<u4")
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted((np.arange(1, buckets + 1, dtype=np.int64) << 24) // buckets, (h >> U64(40)).astype(np.int64), "right")
 
 
-def by_bucket(h: np.ndarray, buckets: int, own) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, places of its hashes) for the buckets at hand."""
-    b = bucket_of(h, buckets)
-    order = np.argsort(b, kind="stable")
-    edge = np.searchsorted(b[order], np.arange(buckets + 1))
-    for k in own:
-        at = order[edge[k] : edge[k + 1]]
-        if len(at):
-            yield k, at
-
-
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: Tables = shared.value
         log_all = np.log10(t.n + t.v + 1.0)
         for batch in batches:
-            for piece in pieces(batch, "text", 1 << 21):
+            for piece in pieces(batch, "text", 1 << 22):
                 data, off = texts_of(piece.column(1))
                 h, first = tokens(data, off)
                 code, distinct = pd.factorize(h)  # words repeat: look each up once
                 distinct = np.asarray(distinct, U64)
-                exact, own_word = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), bool)
-                for k, at in by_bucket(distinct, t.buckets, t.exact):
-                    keys, counts = t.exact[k]
-                    place = np.minimum(np.searchsorted(keys, distinct[at]), max(len(keys) - 1, 0))
-                    if len(keys):
-                        exact[at] = np.where(keys[place] == distinct[at], counts[place], 0)
-                    own_word[at] = True
-                near = np.zeros(len(distinct))
-                for k, at in by_bucket(distinct, t.buckets, t.words):
-                    near[at] = VALUE[probe(t.words[k], distinct[at])]
+                bucket = bucket_of(distinct, t.buckets)
+                place = in_sorted(distinct, t.keys)
+                exact = np.where(place >= 0, t.counts[place] if len(t.keys) else 0, 0).astype(np.int64)
+                near = VALUE[t.words.probe(distinct, bucket)]
                 unigram = (near + 1) / (t.n + t.v + 1)
-                base = np.where(own_word, np.log10(exact + 1.0) - log_all, 0.0)[code]
+                base = np.where(t.own[bucket], np.log10(exact + 1.0) - log_all, 0.0)[code]
                 known = (exact > 0)[code]
-                p = pairs(h, first)
                 ahead = np.empty(len(h))  # c(v): each token's predecessor, the end token at a text's start
                 ahead[1:] = near[code[:-1]]
                 ahead[first[:-1]] = near[code[first[1:] - 1]]
-                model = np.zeros(len(h))
-                for k, at in by_bucket(p, t.buckets, t.pair):
-                    both = VALUE[probe(t.pair[k], p[at])]
-                    share = np.minimum(both / np.maximum(ahead[at], 1.0), 1.0)
-                    model[at] = np.log10(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * unigram[code[at]])
+                p = pairs(h, first)
+                bucket = bucket_of(p, t.buckets)
+                both = VALUE[t.pair.probe(p, bucket)]
+                share = np.minimum(both / np.maximum(ahead, 1.0), 1.0)
+                model = np.where(t.own[bucket], np.log10(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * unigram[code]), 0.0)
                 ids = piece.column(0)
                 yield pa.RecordBatch.from_pydict({
                     "id": ids, "row": piece.column(2), "held_out": pa.array(fold(ids.to_pylist()) == HELD_OUT), "n_tokens": pa.array(np.diff(first), pa.int64()), "n_known": pa.array(per_text(known.astype(np.int8), first), pa.int64()),
@@ -283,19 +285,19 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
             held = 0
         groups[-1].append(b)
         held += per_bucket[b]
-    words = {r["bucket"]: np.frombuffer(bytes(r["bloom"]), np.uint8) for r in tables.where("n = 1").select("bucket", "bloom").collect()}
+    words = Filters(buckets, {r["bucket"]: bytes(r["bloom"]) for r in tables.where("n = 1").select("bucket", "bloom").collect()})
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
     kind = dict(docs.dtypes)[id_col]
-    empty = (np.zeros(0, U64), np.zeros(0, "<u4"))
     parts = None
     for own in groups:
-        exact, pair = {b: empty for b in own}, {b: np.zeros(0, np.uint8) for b in own}
+        exact, pair = {}, {}
         for r in tables.where(F.col("bucket").between(own[0], own[-1])).toLocalIterator():
             if r["n"] == 1:
-                exact[r["bucket"]] = (np.frombuffer(bytes(r["hashes"]), U64), np.frombuffer(bytes(r["counts"]), "<u4"))
+                exact[r["bucket"]] = (bytes(r["hashes"]), bytes(r["counts"]))
             else:
-                pair[r["bucket"]] = np.frombuffer(bytes(r["bloom"]), np.uint8)
-        shared = spark.sparkContext.broadcast(Tables(buckets, n, v, words, exact, pair))
+                pair[r["bucket"]] = bytes(r["bloom"])
+        shared = spark.sparkContext.broadcast(Tables(buckets, n, v, words, exact, Filters(buckets, pair), own))
+        del exact, pair
         part = rows.mapInArrow(_score(shared), f"id {kind}, row long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
         parts = part if parts is None else parts.unionAll(part)
     if len(groups) > 1:

@@ -57,11 +57,14 @@ def test_edges(spark, edges, empty):
 
 def test_filter_levels():
     rng = np.random.default_rng(0)
-    h = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64))
+    h = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64) * np.uint64(2))
     c = rng.geometric(0.3, len(h))
-    table = L.build_filter(h, c)
-    level = L.probe(table, h)
+    halves = L.bucket_of(h, 2)
+    table = L.Filters(2, {b: L.build_filter(h[halves == b], c[halves == b]).tobytes() for b in (0, 1)})
+    ask = lambda x: table.probe(x, L.bucket_of(x, 2))
+    level = ask(h)
     assert (level >= L.levels(c)).all()  # never too low
     assert (level > L.levels(c)).mean() < 0.05
-    assert (L.probe(table, rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) > 0).mean() < 0.05
-    assert L.probe(np.zeros(0, np.uint8), h).max() == 0
+    assert (ask(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) > 0).mean() < 0.05
+    assert L.Filters(2, {}).probe(h, halves).max() == 0
+    assert len(L.build_filter(h, c, most=640)) == 80
