@@ -402,7 +402,7 @@ def temporal_fir(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
-SELECT user_id, n - 1 AS ord, CAST(CASE WHEN n > 1 THEN 4 ELSE 3 END AS INTEGER) AS channels, CASE WHEN n = 1 THEN 0.577918291091919 ELSE 1.0 END AS factor FROM s""")
+SELECT user_id, n - 1 AS ord, CAST(CASE WHEN n > 1 THEN 4 ELSE 3 END AS INTEGER) AS channels, CAST(CASE WHEN n = 1 THEN 0.577918291091919 ELSE 1.0 END AS DOUBLE) AS factor FROM s""")
 def channel_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three channels and the still-image factor at a pair's first frame, four and none later."""
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
