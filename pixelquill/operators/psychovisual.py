@@ -1,7 +1,7 @@
 """Psychovisual distance: a difference map and its norms (0: identical).
 
-Each pair becomes two rows, full and half size; tasks compute their maps apart, and an
-equi-join brings the halves to the full maps again.
+Tasks turn a pair into its map (full and half size, added up) without moving its planes;
+norms are expressions over the map.
 """
 
 from __future__ import annotations
@@ -101,44 +101,25 @@ def difference_map(a: np.ndarray, b: np.ndarray, intensity: float) -> np.ndarray
     return np.sqrt(gain(0.829591754942, 0.451936922203, 2.5485944793) * ac + gain(0.20025578522, 3.87449418804, 0.505054525019) * dc)
 
 
-def _sizes(intensity: float):
+def _maps(intensity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                half = batch.column(2)[i].as_py()
-                both = [np.sign(p) * np.abs(p) ** 2.4 for p in (plane_arrays(batch, i, s) for s in ("a", "b"))]
-                if half:
-                    both = [np.stack([halve(p) for p in planes]) for planes in both]
-                d = difference_map(*both, intensity)
-                yield pa.RecordBatch.from_pydict({
-                    "pair_id": batch.column(0).slice(i, 1), "ord": batch.column(1).slice(i, 1), "half": pa.array([half], pa.int32()),
-                    "width": pa.array([d.shape[1]], pa.int32()), "height": pa.array([d.shape[0]], pa.int32()), "data": pa.array([d.ravel()], pa.list_(pa.float64())),
-                })
+                full = [np.sign(p) * np.abs(p) ** 2.4 for p in (plane_arrays(batch, i, s) for s in ("a", "b"))]
+                half = [np.stack([halve(p) for p in planes]) for planes in full]
+                d, small = difference_map(*full, intensity), difference_map(*half, intensity)
+                h, w = d.shape
+                d = d * 0.85 + 0.5 * small.repeat(2, 0).repeat(2, 1)[:h, :w]
+                size = [pa.array([w], pa.int32()), pa.array([h], pa.int32())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), *size, pa.array([d.ravel()], pa.list_(pa.float64()))], ["pair_id", "ord", "width", "height", "data"])
 
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """full * 0.85 + 0.5 * the half-size pixel above."""
-    for batch in batches:
-        out = []
-        for w, h, full, small in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
-            s = small.values.to_numpy().reshape((h + 1) // 2, (w + 1) // 2)
-            out.append(full.values.to_numpy() * 0.85 + 0.5 * s.repeat(2, 0).repeat(2, 1)[:h, :w].ravel())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.list_(pa.float64()))], ["pair_id", "ord", "width", "height", "data"])
-
-
 def distortion_maps(pairs: DataFrame, intensity: float = 203.0) -> DataFrame:
     """(pair_id, ord, width, height, data) of pairs(pair_id, ord, a_*, b_*)."""
-    kind = dict(pairs.dtypes)["pair_id"]
-    spread = pairs.select("pair_id", F.col("ord").cast("int"), F.explode(F.array(F.lit(0), F.lit(1))).alias("half"), "a_width", "a_height", "a_planes", "b_width", "b_height", "b_planes")
-    maps = spread.repartition("pair_id", "ord").mapInArrow(_sizes(intensity), f"pair_id {kind}, ord int, half int, width int, height int, data array<double>")
-    # Both rows of a pair stand in one partition already; one grouped pass joins them without computing maps twice.
-    joined = maps.groupBy("pair_id", "ord").agg(
-        F.max(F.when(F.col("half") == 0, F.col("width"))).alias("width"), F.max(F.when(F.col("half") == 0, F.col("height"))).alias("height"),
-        F.first(F.when(F.col("half") == 0, F.col("data")), True).alias("data"), F.first(F.when(F.col("half") == 1, F.col("data")), True).alias("small"),
-    )
-    return joined.mapInArrow(_merge, f"pair_id {kind}, ord int, width int, height int, data array<double>")
+    rows = pairs.select("pair_id", F.col("ord").cast("int"), "a_width", "a_height", "a_planes", "b_width", "b_height", "b_planes")
+    return rows.mapInArrow(_maps(intensity), f"pair_id {dict(pairs.dtypes)['pair_id']}, ord int, width int, height int, data array<double>")
 
 
 def psychovisual_distance(pairs: DataFrame, q: float = 2.0, intensity: float = 203.0) -> DataFrame:

@@ -1,7 +1,7 @@
 """Structural score: one number of at most 100 per frame pair (100: identical).
 
-A pair is spread over its scales as rows; tasks compute the pooled maps of a scale and
-the rest (4-norms, weights, polynomial) is a join with a 108-row table and a sum.
+Tasks turn a pair into pooled maps, a few rows per scale, without moving its planes; the
+rest (weights, polynomial) is a join with a 108-row table and a sum.
 """
 
 from __future__ import annotations
@@ -48,26 +48,22 @@ def _maps(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
 def _scales(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            scale = batch.column(2)[i].as_py()
-            both = [plane_arrays(batch, i, name) for name in ("a", "b")]
-            both = [np.sign(p) * np.abs(p) ** 2.4 for p in both]
-            for _ in range(scale):
-                both = [np.stack([halve(p) for p in planes]) for planes in both]
-            a, b = (_xyb(p) for p in both)
-            rows = [(plane, name, float(v.mean()), float((v**4).mean() ** 0.25)) for plane in range(3) for name, v in zip(MAPS, _maps(a[plane], b[plane]), strict=True)]
-            n = len(rows)
-            yield pa.RecordBatch.from_pydict({
-                "pair_id": batch.column(0).slice(i, 1).take(pa.array([0] * n)), "ord": batch.column(1).slice(i, 1).take(pa.array([0] * n)), "scale": pa.array([scale] * n, pa.int32()),
-                "plane": pa.array([r[0] for r in rows], pa.int32()), "map": [r[1] for r in rows], "mean": [r[2] for r in rows], "norm4": [r[3] for r in rows],
-            })
+            both = [np.sign(p) * np.abs(p) ** 2.4 for p in (plane_arrays(batch, i, name) for name in ("a", "b"))]
+            rows = []
+            for scale in range(K.STRUCTURAL_SCALES):
+                if scale:
+                    both = [np.stack([halve(p) for p in planes]) for planes in both]
+                a, b = (_xyb(p) for p in both)
+                rows += [(scale, plane, name, float(v.mean()), float((v**4).mean() ** 0.25)) for plane in range(3) for name, v in zip(MAPS, _maps(a[plane], b[plane]), strict=True)]
+            own = pa.array([i] * len(rows))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *columns], ["pair_id", "ord", "scale", "plane", "map", "mean", "norm4"])
 
 
 def scale_maps(pairs: DataFrame) -> DataFrame:
     """(pair_id, ord, scale, plane, map, mean, norm4) of pairs(pair_id, ord, a_*, b_*)."""
-    spread = pairs.select("pair_id", F.col("ord").cast("int"), F.explode(F.sequence(F.lit(0), F.lit(K.STRUCTURAL_SCALES - 1))).alias("scale"), "a_width", "a_height", "a_planes", "b_width", "b_height", "b_planes")
-    kind = dict(pairs.dtypes)["pair_id"]
-    # Scales of one pair differ in work by powers of four; dealing them out evens that.
-    return spread.repartition("pair_id", "ord", "scale").mapInArrow(_scales, f"pair_id {kind}, ord int, scale int, plane int, map string, mean double, norm4 double")
+    rows = pairs.select("pair_id", F.col("ord").cast("int"), "a_width", "a_height", "a_planes", "b_width", "b_height", "b_planes")
+    return rows.mapInArrow(_scales, f"pair_id {dict(pairs.dtypes)['pair_id']}, ord int, scale int, plane int, map string, mean double, norm4 double")
 
 
 def structural_score(pairs: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 Stages as DataFrames: a pair's row becomes rows of its bands' strips (some lines, with as
 many more at both sides as the mask's blur reaches); each strip is filtered over time and
 masked in groups of a bounded number of frames, so memory depends on neither the frame
-size nor the length; pooling over pixels, bands and channels and the quality map are
+size nor the length (strips travel as single-precision floats); pooling over pixels, bands and channels and the quality map are
 aggregates and expressions.
 
 The contrast sensitivity table is given by the caller; none is part of this library.
@@ -98,7 +98,7 @@ def _bands(display: Display, table: Sensitivity, mode: str, strip: int):
                         whole = {"band": k, "bands": len(sizes), "width": w, "height": h, "strip": y, "first": y - top, "lines": min(lines, h - y)}
                         yield pa.RecordBatch.from_pydict({
                             "pair_id": batch.column(0).slice(i, 1), "ord": batch.column(1).slice(i, 1), **{n: pa.array([v], pa.int32()) for n, v in whole.items()},
-                            "test": pa.array([t[:, top:end].ravel()], pa.list_(pa.float64())), "ref": pa.array([r[:, top:end].ravel()], pa.list_(pa.float64())),
+                            "test": pa.array([t[:, top:end].ravel().astype(np.float32)], pa.list_(pa.float32())), "ref": pa.array([r[:, top:end].ravel().astype(np.float32)], pa.list_(pa.float32())),
                         })
 
     return run
@@ -111,7 +111,7 @@ def contrast_bands(pairs: DataFrame, display: Display, table: Sensitivity, mode:
         raise ValueError(f"mode is one of {MODES}")
     rows = pairs.select("pair_id", F.col("ord").cast("int"), "a_width", "a_height", "a_planes", "b_width", "b_height", "b_planes")
     kind = dict(pairs.dtypes)["pair_id"]
-    return rows.mapInArrow(_bands(display, table, mode, strip), f"pair_id {kind}, ord int, band int, bands int, width int, height int, strip int, first int, lines int, test array<double>, ref array<double>")
+    return rows.mapInArrow(_bands(display, table, mode, strip), f"pair_id {kind}, ord int, band int, bands int, width int, height int, strip int, first int, lines int, test array<float>, ref array<float>")
 
 
 def _power(v: np.ndarray, p: float) -> np.ndarray:
@@ -138,7 +138,7 @@ def _filtered(length: int, taps: np.ndarray, chunk: int):
         w, h, first, lines = (int(rows[c].iloc[0]) for c in ("width", "height", "first", "lines"))
         pair, band, bands = (rows[c].iloc[0] for c in ("pair_id", "band", "bands"))
         at, own = rows["ord"].to_numpy(), rows["ord"].to_numpy() // chunk == rows["chunk"].to_numpy()
-        planes = {o: (np.reshape(t, (3, -1, w)), np.reshape(r, (3, -1, w))) for o, t, r in zip(at, rows["test"], rows["ref"], strict=True)}
+        planes = {o: (np.reshape(t, (3, -1, w)).astype(np.float64), np.reshape(r, (3, -1, w)).astype(np.float64)) for o, t, r in zip(at, rows["test"], rows["ref"], strict=True)}
         out = []
         for o in at[own]:
             t, r = planes[o]
