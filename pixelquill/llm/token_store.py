@@ -286,7 +286,7 @@ def _write(path: str, end_id: int):
 
         size = 0
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", 1 << 22):  # large, so that fewer pieces ask for the same words
                 tokens, first_id = encoder.encode(*texts_of(piece.column(1)))
                 counts = np.diff(first_id)
                 closed = np.insert(tokens, first_id[1:], end_id)
