@@ -10,16 +10,18 @@ n-gram.  Each bucket is merged on its own into
   1 + floor(log2 c), so its quantised count is read back by probing level after
   level until one is missing.  Errors are one-sided and halve with each level.
 
-Filters of word pairs are sharded by hash.  Scoring broadcasts, pass by pass, one
+Filters are sharded by hash and have BITS_EACH bits an entry at any size.  Scoring broadcasts, pass by pass, one
 group of buckets of at most MAX_BROADCAST bytes: a pass adds what its words and
 pairs contribute to each document, and the passes are summed.  So no broadcast
 grows with the data; passes do.
 
 The model is linear interpolation: p(w | v) = a * c(vw) / c(v) + (1 - a) * (c(w) + 1) /
 (N + V + 1), counts read from the filter; a pair in the filter adds to its pass, all
-others count in the pass of their pair's bucket with the second term only.  The
-word filter is needed by every pass and goes with each; it has at most MAX_WORDS bytes,
-beyond which it still holds every word, with more one-sided errors.
+others count in the pass of their pair's bucket with the second term only.  Every
+pass needs the words' levels.  Word filters of at most MAX_WORDS bytes in all go with
+each pass; larger ones are probed first, one group of buckets of at most MAX_WORDS
+bytes after the other, and the texts carry a byte per token, the level found, into
+the passes over pairs.
 
 Cases: null and empty texts have the end token only; a document without an id
 trains as one whose id reads as the empty text; repeated rows count each; with no
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import kept
+from ._spark import drop_path, kept, new_path
 from ._text import LOWER, SPACED, U64, Words, in_sorted, mix, per_text, pieces, signed, texts_of
 
 FOLDS, HELD_OUT = 7, 2
@@ -45,7 +47,7 @@ FOLDS, HELD_OUT = 7, 2
 BITS_EACH, PROBES = 9, 4
 #: Bytes of tables broadcast in one pass.
 MAX_BROADCAST = 128 << 20
-#: Bytes of the word filter, which every pass broadcasts.
+#: Bytes of word filters that are broadcast at once.
 MAX_WORDS = 64 << 20
 #: Weight of the pair's relative frequency.
 PAIR_WEIGHT = 0.6
@@ -173,11 +175,11 @@ class Filters:
         self.data = np.frombuffer(b"".join(parts[b] for b in sorted(parts)), np.uint8)
 
     def probe(self, h: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """The quantised level of each hash: probes go on while a level is there."""
+        """The quantised level of each hash: probes go on while a level is there, up to TOP."""
         level = np.zeros(len(h), np.int64)
         live = np.flatnonzero(self.bits[bucket] > 0)
         q = 1
-        while len(live):
+        while len(live) and q <= TOP:
             b = bucket[live]
             there = np.ones(len(live), bool)
             for cell in _cells(h[live], q, self.bits[b]):
@@ -191,17 +193,18 @@ class Filters:
 
 #: The count a level stands for: the middle of its range, for the few levels there are.
 VALUE = np.r_[0.0, 1.0, 1.5 * 2.0 ** np.arange(1, 62)]
+TOP = len(VALUE) - 1
 
 
-def _merge(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
+def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     h = np.concatenate([np.cumsum(np.frombuffer(x, U64), dtype=U64) for x in rows["hashes"]])
     c = np.concatenate([np.frombuffer(x, "<u4") for x in rows["counts"]]).astype(np.int64)
     h, c = count_sorted(h, c)
     n, bucket = int(rows["n"].iloc[0]), int(rows["bucket"].iloc[0])
     exact = n == 1
     return pd.DataFrame({
-        "n": [n], "bucket": [bucket], "entries": [len(h)], "total": [int(c.sum())], "bloom": [build_filter(h, c, MAX_WORDS * 8 // buckets if exact else None).tobytes()],
-        "hashes": [h.tobytes() if exact else b""], "counts": [np.minimum(c, 0xFFFFFFFF).astype("<u4").tobytes() if exact else b""],
+        "n": [n], "bucket": [bucket], "entries": [len(h)], "total": [int(c.sum())], "bloom": [build_filter(h, c).tobytes()],
+        "hashes": [h.tobytes() if exact else b""], "counts": [c.astype("<i8").tobytes() if exact else b""],
     })
 
 
@@ -209,25 +212,48 @@ def ngram_tables(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col
     """A row per order (1, 2) and bucket: its filter, and the exact word counts."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     packed = rows.mapInArrow(_gather(buckets), "n int, bucket int, hashes binary, counts binary")
-    return packed.groupBy("n", "bucket").applyInPandas(lambda rows: _merge(rows, buckets), "n int, bucket int, entries long, total long, bloom binary, hashes binary, counts binary")
+    return packed.groupBy("n", "bucket").applyInPandas(_merge, "n int, bucket int, entries long, total long, bloom binary, hashes binary, counts binary")
 
 
 class Tables:
-    """One pass's buckets, and the word filters of all.  Buckets are ranges of hashes in
-    order, so the exact words of all stand in order too."""
+    """One pass's buckets, and the word filters of all (None: the texts carry the levels).
+    Buckets are ranges of hashes in order, so the exact words of all stand in order too."""
 
-    def __init__(self, buckets: int, n: int, v: int, words: Filters, exact: dict[int, tuple[bytes, bytes]], pair: Filters, own: list[int]):
+    def __init__(self, buckets: int, n: int, v: int, words: Filters | None, exact: dict[int, tuple[bytes, bytes]], pair: Filters, own: list[int]):
         self.buckets, self.n, self.v, self.words, self.pair = buckets, n, v, words, pair
         self.own = np.zeros(buckets, bool)
         self.own[own] = True
         self.keys = np.frombuffer(b"".join(exact[b][0] for b in sorted(exact)), U64)
-        self.counts = np.frombuffer(b"".join(exact[b][1] for b in sorted(exact)), "<u4")
+        self.counts = np.frombuffer(b"".join(exact[b][1] for b in sorted(exact)), "<i8")
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted((np.arange(1, buckets + 1, dtype=np.int64) << 24) // buckets, (h >> U64(40)).astype(np.int64), "right")
 
 
+def _carried(piece: pa.RecordBatch) -> np.ndarray:
+    """The levels that texts carry, one after another."""
+    return np.frombuffer(b"".join(piece.column("levels").to_pylist()), np.uint8)
+
+
+def _levels(shared, begin: bool):
+    """The texts with the levels of the group's words added; words of other groups read as 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, words = shared.value
+        for batch in batches:
+            for piece in pieces(batch, "text", 1 << 22):
+                h, first = tokens(*texts_of(piece.column(1)))
+                code, distinct = pd.factorize(h)
+                distinct = np.asarray(distinct, U64)
+                level = words.probe(distinct, bucket_of(distinct, buckets)).astype(np.uint8)[code]
+                if not begin:
+                    level += _carried(piece)
+                yield pa.RecordBatch.from_pydict({"id": piece.column(0), "text": piece.column(1), "row": piece.column(2), "levels": pa.array([level[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())})
+
+    return run
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: Tables = shared.value
@@ -241,18 +267,18 @@ def _score(shared):
                 bucket = bucket_of(distinct, t.buckets)
                 place = in_sorted(distinct, t.keys)
                 exact = np.where(place >= 0, t.counts[place] if len(t.keys) else 0, 0).astype(np.int64)
-                near = VALUE[t.words.probe(distinct, bucket)]
+                near = VALUE[t.words.probe(distinct, bucket)[code] if t.words else _carried(piece)]
                 unigram = (near + 1) / (t.n + t.v + 1)
                 base = np.where(t.own[bucket], np.log10(exact + 1.0) - log_all, 0.0)[code]
                 known = (exact > 0)[code]
                 ahead = np.empty(len(h))  # c(v): each token's predecessor, the end token at a text's start
-                ahead[1:] = near[code[:-1]]
-                ahead[first[:-1]] = near[code[first[1:] - 1]]
+                ahead[1:] = near[:-1]
+                ahead[first[:-1]] = near[first[1:] - 1]
                 p = pairs(h, first)
                 bucket = bucket_of(p, t.buckets)
                 both = VALUE[t.pair.probe(p, bucket)]
                 share = np.minimum(both / np.maximum(ahead, 1.0), 1.0)
-                model = np.where(t.own[bucket], np.log10(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * unigram[code]), 0.0)
+                model = np.where(t.own[bucket], np.log10(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * unigram), 0.0)
                 ids = piece.column(0)
                 yield pa.RecordBatch.from_pydict({
                     "id": ids, "row": piece.column(2), "held_out": pa.array(fold(ids.to_pylist()) == HELD_OUT), "n_tokens": pa.array(np.diff(first), pa.int64()), "n_known": pa.array(per_text(known.astype(np.int8), first), pa.int64()),
@@ -267,27 +293,50 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, first[:-1]) if len(first) > 1 else np.zeros(0)
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def groups_of(sizes: dict[int, int], most: int) -> list[list[int]]:
+    """Neighbouring buckets of at most `most` bytes together, or one bucket."""
+    groups: list[list[int]] = [[]]
+    held = 0
+    for b in sorted(sizes):
+        if groups[-1] and held + sizes[b] > most:
+            groups.append([])
+            held = 0
+        groups[-1].append(b)
+        held += sizes[b]
+    return groups
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, max_broadcast: int = MAX_BROADCAST, max_words: int = MAX_WORDS) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     tables = kept(ngram_tables(docs, buckets, id_col, text_col))
-    sizes = tables.select("n", "bucket", "entries", "total", (F.length("bloom") + F.length("hashes") + F.length("counts")).alias("bytes")).collect()  # two short rows a bucket
+    bloom = F.length("bloom").alias("bloom")
+    sizes = tables.select("n", "bucket", "entries", "total", bloom, (bloom + F.length("hashes") + F.length("counts")).alias("bytes")).collect()  # two short rows a bucket
     n, v = sum(r["total"] for r in sizes if r["n"] == 1), sum(r["entries"] for r in sizes if r["n"] == 1)
-    per_bucket = {b: 0 for b in range(buckets)}
+    per_bucket, filters = dict.fromkeys(range(buckets), 0), dict.fromkeys(range(buckets), 0)
     for r in sizes:
-        per_bucket[r["bucket"]] += r["bytes"]
-    groups: list[list[int]] = [[]]
-    held = 0
-    for b in range(buckets):
-        if groups[-1] and held + per_bucket[b] > max_broadcast:
-            groups.append([])
-            held = 0
-        groups[-1].append(b)
-        held += per_bucket[b]
-    words = Filters(buckets, {r["bucket"]: bytes(r["bloom"]) for r in tables.where("n = 1").select("bucket", "bloom").collect()})
+        # Word filters have passes of their own.
+        per_bucket[r["bucket"]] += r["bytes"] - (r["bloom"] if r["n"] == 1 else 0)
+        filters[r["bucket"]] += r["bloom"] if r["n"] == 1 else 0
+    groups, word_groups = groups_of(per_bucket, max_broadcast), groups_of(filters, max_words)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
     kind = dict(docs.dtypes)[id_col]
+    before = None
+    for own in word_groups:
+        found = tables.where(F.col("bucket").between(own[0], own[-1]) & (F.col("n") == 1)).select("bucket", "bloom").collect()
+        words = Filters(buckets, {r["bucket"]: bytes(r["bloom"]) for r in found})
+        if len(word_groups) == 1:
+            break
+        shared = spark.sparkContext.broadcast((buckets, words))
+        path = new_path(spark, "levels")
+        carried = rows.mapInArrow(_levels(shared, before is None), f"id {kind}, text string, row long, levels binary")
+        carried.write.parquet(path)
+        rows = spark.read.schema(carried.schema).parquet(path)
+        if before:
+            drop_path(spark, before)
+        before, words = path, None
+        shared.destroy()
     parts = None
     for own in groups:
         exact, pair = {}, {}

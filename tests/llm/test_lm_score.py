@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 
 from pixelquill.llm import lm_score as L
 
@@ -68,3 +69,28 @@ def test_filter_levels():
     assert (ask(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) > 0).mean() < 0.05
     assert L.Filters(2, {}).probe(h, halves).max() == 0
     assert len(L.build_filter(h, c, most=640)) == 80
+
+
+def test_word_filter_grows_with_its_words(monkeypatch):
+    monkeypatch.setattr(L, "MAX_WORDS", 4096)
+    rng = np.random.default_rng(1)
+    h = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64) * np.uint64(2))
+    packed = np.diff(h, prepend=np.uint64(0)).tobytes()
+    many = np.full(len(h), 0xFFFFFFFF, "<u4").tobytes()
+    out = L._merge(pd.DataFrame({"n": 1, "bucket": 0, "hashes": [packed] * 2, "counts": [many] * 2})).iloc[0]
+    assert set(np.frombuffer(out["counts"], "<i8")) == {2 * 0xFFFFFFFF}
+    table = L.Filters(1, {0: out["bloom"]})
+    other = rng.integers(0, 1 << 63, 20_000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    assert (table.probe(other, np.zeros(len(other), np.int64)) > 0).mean() < 0.05
+
+
+def test_probing_ends():
+    h = np.arange(1, 100, dtype=np.uint64)
+    assert set(L.VALUE[L.Filters(1, {0: b"\xff" * 64}).probe(h, np.zeros(len(h), np.int64))]) == {L.VALUE[-1]}
+
+
+def test_word_passes_change_nothing(spark, real, edges):
+    for docs in (real, edges):
+        one, many, both = (L.lm_scores(docs, **kw).collect() for kw in ({}, {"max_words": 4000}, {"max_words": 4000, "max_broadcast": 20_000}))
+        order = lambda rows: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in rows)
+        assert order(one) == order(many) == order(both)
