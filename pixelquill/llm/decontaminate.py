@@ -193,9 +193,14 @@ def contaminated() -> F.Column:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns.  A null id is kept if its text is clean."""
-    found = scan(docs, items, id_col, text_col, **kw).where(contaminated()).select(F.col("id").alias("_bad_by_decontaminate")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("_bad_by_decontaminate")), "left_anti")
+    """The rows of docs that are not contaminated, with all their columns.  Rows go by id and
+    whole text, so one that shares a contaminated row's id, or has none either, stays if its text is clean."""
+    key = "_key_by_decontaminate"
+    of = F.struct(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("text"))
+    found = scan(docs.select(of.alias(key), text_col), items, key, text_col, **kw).where(contaminated()).select("id.*").distinct()
+    bad = found.select(F.col("id").alias("_bad_id_by_decontaminate"), F.col("text").alias("_bad_text_by_decontaminate"))
+    same = docs[id_col].eqNullSafe(F.col("_bad_id_by_decontaminate")) & (of["text"] == F.col("_bad_text_by_decontaminate"))
+    return docs.join(bad, same, "left_anti")
 
 
 def digest(ids: list[str]) -> str:

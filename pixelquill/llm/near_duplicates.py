@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._spark import kept
+from ._spark import kept, written
 from ._text import LOWER, SPACED, U64, Words, mix, ngrams, pieces, signed, texts_of
 
 #: Bands of ROWS MinHash values each: a pair at 0.8 misses all with probability (1 - 0.8^5)^40 = 1e-7.
@@ -265,6 +265,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose id names their class, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col, size, percent).where("NOT kept").select(F.col(id_col).alias("_gone_by_near_duplicates")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone_by_near_duplicates")), "left_anti")
+    """One row of each class, with all its columns: of the rows with the class's least id the first by text hash and place.
+
+    Rows are told apart by a number of their own, written with them first so that it stays; ids may repeat or be missing."""
+    own, key = "_row_of_near_duplicates", "_key_of_near_duplicates"
+    rows = written(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(own).alias("row"))
+    gone = near_duplicates(rows.select(order.alias(key), text_col), key, text_col, size, percent).where("NOT kept").select(F.col(f"{key}.row").alias(own))
+    return rows.join(gone, own, "left_anti").select(*(rows[f"`{c}`"] for c in docs.columns))

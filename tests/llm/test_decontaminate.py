@@ -72,3 +72,11 @@ def test_winnowing_guarantee():
     at = np.arange(300)
     picked = set(D.winnow(h, at).tolist())
     assert all(any(k in picked for k in range(i, i + D.SPAN)) for i in range(300 - D.SPAN + 1))
+
+
+@pytest.mark.parametrize("block", [1 << 20, 1])
+def test_clean_rows_stay_beside_contaminated_ones(spark, block):
+    bench = spark.createDataFrame([(1, "Zwei Wörter"), (2, "other words here")], "item_id long, text string")
+    rows = [(None, "Zwei Wörter"), (None, "clean"), (None, None), (5, "zwei wörter"), (5, "clean too"), (6, "Zwei Wörter"), (7, "clean")]
+    kept = D.drop_contaminated(make(spark, [t for _, t in rows], [i for i, _ in rows]), bench, max_block=block).collect()
+    assert sorted(r.row for r in kept) == [1, 2, 4, 6]

@@ -91,3 +91,14 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (300, 300)]
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200, 300: 300}
+
+
+def test_one_row_of_each_class_stays(spark):
+    rng = random.Random(9)
+    a, b, c, d, e = (" ".join(words(rng, 120, 5000)) for _ in range(5))
+    rows = [(1, a), (None, a + " end"), (None, b), (2, c), (2, a + " tail"), (3, d), (3, d), (3, d + " more"), (None, e), (None, e), (4, ""), (4, ""), (None, None)]
+    kept = N.drop_near_duplicates(make(spark, [t for _, t in rows], [i for i, _ in rows]))
+    got = sorted(((r.doc_id or 0), r.text or "") for r in kept.collect())
+    copies = [x for x in got if x[0] == 3]
+    assert len(copies) == 1 and copies[0][1].startswith(d)
+    assert [x for x in got if x[0] != 3] == sorted([(1, a), (0, b), (2, c), (0, e), (4, ""), (4, ""), (0, "")])
