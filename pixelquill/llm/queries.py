@@ -118,7 +118,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), multinomial=True)
 
 
 @_query

@@ -7,7 +7,10 @@ the vocabulary is ever held in one place; the search itself runs per name.
 
 A url that a rule fits trains the naive Bayes model with the rule's verdict; token
 counts are gathered by a grouped aggregate, and urls are scored by joining their
-tokens with those counts.  The rule's verdict stands; other urls get the model's.
+tokens with those counts.  The multinomial model counts every occurrence of a token,
+(occurrences + 1) / (tokens of the class + vocabulary); the other one counts the urls
+that have it, (urls + 1) / (urls of the class + 2).  Tokens that no trained url has
+do not count.  The rule's verdict stands; other urls get the model's.
 
 Cases: a null url, or one without "://", has an empty host and path, no tokens and
 the verdict of the classes' shares; names over MAX_PART code points are cut in
@@ -121,7 +124,7 @@ def segmented(parts: DataFrame, words: DataFrame) -> DataFrame:
     return parts.join(found, "part", "left").mapInArrow(split, "part string, tokens array<string>")
 
 
-def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", rules=RULES) -> DataFrame:
+def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", rules=RULES, multinomial: bool = False) -> DataFrame:
     """Per page: id, host, path, rule, verdict and the model's log odds of "block"."""
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
@@ -134,11 +137,16 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     tokens = segmented(parts, word_counts(pages, text_col))
     # Tokens of a host and of a path count apart; digits stand for their length.
     named = lambda t: F.concat(F.col("place"), F.lit(":"), F.when(t.rlike("^[0-9]+$"), F.concat(F.lit("#"), F.length(t).cast("string"))).otherwise(t))
-    each = tagged.join(tokens, "part").select("row", "fit", "place", F.explode("tokens").alias("t")).select("row", "fit", named(F.col("t")).alias("token")).distinct()
-    each = kept(each)
-    counted = each.where("fit IS NOT NULL").groupBy("token").agg(F.count_if(F.col("fit.verdict") == "block").alias("b"), F.count_if(F.col("fit.verdict") == "allow").alias("a"))
-    odds = F.log((F.col("b") + 1) / F.lit(block + 2)) - F.log((F.col("a") + 1) / F.lit(allow + 2))
-    scored = each.join(counted.select("token", odds.alias("odds")), "token").groupBy("row").agg(F.sum("odds").alias("odds"))
+    each = tagged.join(tokens, "part").select("row", "fit", "place", F.explode("tokens").alias("t")).select("row", F.col("fit.verdict").alias("verdict"), named(F.col("t")).alias("token"))
+    each = kept(each.groupBy("row", "verdict", "token").agg((F.count("*") if multinomial else F.lit(1).cast("long")).alias("n")))
+    of = lambda verdict: F.sum(F.when(F.col("verdict") == verdict, F.col("n")).otherwise(F.lit(0)))
+    counted = each.where("verdict IS NOT NULL").groupBy("token").agg(of("block").alias("b"), of("allow").alias("a"))
+    all_block, all_allow = block + 2, allow + 2
+    if multinomial:
+        whole = counted.agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.count("*").alias("v")).collect()[0]
+        all_block, all_allow = (whole["b"] or 0) + whole["v"], (whole["a"] or 0) + whole["v"]
+    odds = F.log((F.col("b") + 1) / F.lit(all_block)) - F.log((F.col("a") + 1) / F.lit(all_allow))
+    scored = each.join(counted.select("token", odds.alias("odds")), "token").groupBy("row").agg(F.sum(F.col("n") * F.col("odds")).alias("odds"))
     prior = math.log((block + 1) / (allow + 1))
     total = F.lit(prior) + F.coalesce("odds", F.lit(0.0))
     model = F.when(total > 0, F.lit("block")).otherwise(F.lit("allow")) if block and allow else F.lit("allow" if allow or not block else "block")

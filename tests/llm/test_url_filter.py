@@ -75,3 +75,24 @@ def test_repeats_and_empty(spark):
     pages = spark.createDataFrame([(1, "http://a.org/x", None), (1, "http://a.org/x", None), (None, None, "")], "page_id long, url string, html string")
     assert U.url_filter(pages).count() == 3
     assert U.url_filter(pages.limit(0)).count() == 0
+
+
+def test_query_is_multinomial(spark, tmp_path):
+    """Whole words as tokens, so that the model can be written down on its own."""
+    from pixelquill.llm.queries import QUERIES
+
+    urls = ["http://b.com/de/spam/spam/spam", "http://c.com/de/spam/x", "http://d.com/fr/news/news", "http://e.org/news/spam/page/page/page", "http://f.net/spam/spam/news", "http://g.net/news/news/news/spam", "http://h.net/12/345"]
+    names = sorted({w for u in urls for w in re.findall("[a-z]+", u.split("://")[1])})
+    spark.createDataFrame([(i, u, " ".join(names)) for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in QUERIES["op7_url_filter"](spark, str(tmp_path)).collect()}
+    bags = []
+    for u in urls:
+        host, path = parse(u)
+        bags.append([f"{place}:" + (f"#{len(t)}" if t.isdigit() else t) for place, text in (("h", host), ("p", path)) for t in re.findall("[a-z0-9]+", text)])
+    seen = {v: [t for i, b in enumerate(bags) if rule(got[i].host, got[i].path)[1] == v for t in b] for v in ("block", "allow")}
+    n = {v: sum(rule(got[i].host, got[i].path)[1] == v for i in range(len(urls))) for v in seen}
+    vocabulary = set(seen["block"]) | set(seen["allow"])
+    for i, b in enumerate(bags):
+        p = {v: math.log(n[v] + 1) + sum(math.log((seen[v].count(t) + 1) / (len(seen[v]) + len(vocabulary))) for t in b if t in vocabulary) for v in seen}
+        assert abs(p["block"] - p["allow"] - got[i].log_odds) < 1e-6, urls[i]
+        assert got[i].rule is not None or got[i].verdict == ("block" if p["block"] > p["allow"] else "allow")
