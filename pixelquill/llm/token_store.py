@@ -10,7 +10,8 @@ document's first symbol and token, so one document is decoded by expanding its
 own symbols only.
 
 One round replaces many pairs: the most frequent ones are ranked, and where two
-occurrences overlap the one of better rank is taken.
+occurrences overlap the one of better rank is taken.  The best pair of a round always
+gets all its uses, so each round shortens the sequence, and rounds go on to the end.
 
 File format: a folder of Parquet files with the columns of SCHEMA, written by
 Spark's committer; a row is a block, binary columns are little-endian arrays.
@@ -44,10 +45,9 @@ from ._text import U64, pieces, span_hashes, texts_of
 
 #: Tokens a block holds before it is closed.
 BLOCK_TOKENS = 1 << 20
-#: Pairs replaced in a round, and the uses that pay for a rule.
+#: Pairs replaced in one round (others wait for the next), and the uses that pay for a rule.
 ROUND_RULES = 4096
 MIN_USES = 4
-MAX_ROUNDS = 6
 #: Distinct pieces a Python worker remembers, from task to task.
 CACHE = 1_000_000
 
@@ -184,19 +184,23 @@ def compress(seq: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
     multiplier, drop = (np.uint32(0x9E3779B1), np.uint32(16)) if narrow else (np.uint64(0x9E3779B97F4A7C15), np.uint64(48))
     seq = seq.astype(np.uint16 if narrow else np.uint32)
     rules = np.zeros((0, 2), np.int64)
-    for _ in range(MAX_ROUNDS):
-        if len(seq) < 2 or len(rules) >= room:
-            break
+    none_such = np.iinfo(word).max  # no pair of symbols has this key
+    while len(seq) > 1 and len(rules) < room:
         key = seq[:-1].astype(word)
         key <<= word(shift)
         key |= seq[1:]
-        key[ends[:-1]] = np.iinfo(word).max  # pairs of two documents; no pair of symbols has this key
+        key[ends[:-1]] = none_such  # pairs of two documents
+        again = np.flatnonzero(key[1:] == key[:-1]) + 1
+        if len(again):  # in a run of one symbol every second pair counts, so uses never overlap themselves
+            breaks = np.flatnonzero(np.r_[True, again[1:] != again[:-1] + 1])
+            nth = np.arange(len(again)) - np.repeat(breaks, np.diff(np.append(breaks, len(again))))
+            key[again[nth % 2 == 0]] = none_such
         ordered = np.sort(key)
         begin = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
         begin = np.concatenate([[0], begin])
         uses = np.diff(np.append(begin, len(ordered)))
         often = np.flatnonzero(uses >= MIN_USES)
-        often = often[ordered[begin[often]] != np.iinfo(word).max]
+        often = often[ordered[begin[often]] != none_such]
         if not len(often):
             break
         if len(often) > ROUND_RULES:
@@ -211,16 +215,12 @@ def compress(seq: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
         r = r[at]
         right = chosen[r] == key[at]
         at, r = at[right], r[right].astype(np.int32)
-        if not len(at):
-            break
         touch = at[1:] == at[:-1] + 1
         take = np.ones(len(at), bool)
         take[:-1] &= ~touch | (r[:-1] <= r[1:])
         take[1:] &= ~touch | (r[1:] < r[:-1])
         at, r = at[take], r[take]
         pays = np.bincount(r, minlength=none) >= MIN_USES
-        if not pays.any():
-            break
         good = pays[r]
         at, r = at[good], r[good]
         number = np.cumsum(pays) - 1

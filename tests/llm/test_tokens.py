@@ -45,6 +45,23 @@ def test_grammar_round_trip(base):
             assert len(symbols) < 0.8 * len(tokens) and len(rules)
 
 
+def test_grammar_goes_on_to_its_end():
+    """No pair that pays is left, unless the symbols are used up; runs of one symbol take few rounds."""
+    rng = np.random.default_rng(7)
+    phrase = rng.integers(0, 50, 300)
+    for tokens in (np.full(1 << 16, 9), np.tile(phrase, 60), rng.zipf(1.5, 30_000) % 400):
+        tokens = tokens.astype(np.int32)
+        symbols, _, rules = T.compress(tokens, np.array([len(tokens) - 1]), 50257)
+        assert (T.expand(symbols, T.expansions(rules, 50257)) == tokens).all()
+        uses, last = {}, None
+        for p in zip(symbols.tolist(), symbols[1:].tolist(), strict=False):
+            last = None if p == last else p  # a run's overlapping pairs count once in two
+            if last:
+                uses[p] = uses.get(p, 0) + 1
+        assert max(uses.values(), default=0) < T.MIN_USES
+    assert len(T.compress(np.tile(phrase, 60).astype(np.int32), np.array([17_999]), 50257)[0]) < 40
+
+
 def key(r):
     return (r[0] is not None, r[0] or 0, *r[2:])
 
