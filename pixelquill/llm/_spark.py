@@ -6,14 +6,17 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where the session has none (tests on one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on one
+    machine only (a local master), a temporary one where the session has none."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: driver and executors need a folder that they share")
         known = tempfile.mkdtemp(prefix="pixelquill-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(known)
@@ -61,3 +64,21 @@ def written(df: DataFrame, name: str = "round") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A key is hot if more than one row in HOT_SHARE has it; so at most HOT_SHARE keys are.
+HOT_SHARE = 1000
+
+
+def join_by_key(rows: DataFrame, by_key: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows, of which any number may share a key, with a table of one row per key.
+
+    The hot keys (HOT_SHARE at most, by definition) are joined by a broadcast of their
+    rows of the table, so none of them meets in one task; all others by an exchange.
+    `rows` is read three times, so keep it first; null keys join with nothing."""
+    counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_times")).where("_times > 1")
+    total = rows.count()
+    hot = kept(counted.where(F.col("_times") * HOT_SHARE > total).select(key))
+    few = kept(by_key.join(F.broadcast(hot), key))
+    rest = rows.join(F.broadcast(hot), key, "left_anti").join(by_key, key)
+    return rows.join(F.broadcast(few), key).unionByName(rest)

@@ -5,16 +5,17 @@ search.  Its word counts come from all pages' texts: distinct name parts are cut
 into substrings, which are joined with the counted words, so neither the names nor
 the vocabulary is ever held in one place; the search itself runs per name.
 
-A url that a rule fits trains the naive Bayes model with the rule's verdict; token
-counts are gathered by a grouped aggregate, and urls are scored by joining their
-tokens with those counts.  The multinomial model counts every occurrence of a token,
-(occurrences + 1) / (tokens of the class + vocabulary); the other one counts the urls
-that have it, (urls + 1) / (urls of the class + 2).  Tokens that no trained url has
-do not count.  The rule's verdict stands; other urls get the model's.
+A url that a rule fits trains the multinomial naive Bayes model with the rule's
+verdict; token counts are gathered by a grouped aggregate, and urls are scored by
+joining their tokens with those counts.  Every occurrence of a token counts, as
+(occurrences + 1) / (tokens of the class + vocabulary); the vocabulary is that of the
+trained urls, and other tokens do not count.  The rule's verdict stands; other urls
+get the model's.  Names and tokens that very many urls share ("com", "www") are
+joined by a broadcast of the few hot ones.
 
 Cases: a null url, or one without "://", has an empty host and path, no tokens and
-the verdict of the classes' shares; names over MAX_PART code points are cut in
-pieces of that size first; a url without letters or digits has no tokens; repeated
+the verdict of the classes' shares; names and words may have any length; a url
+without letters or digits has no tokens; repeated
 pages are judged each; an empty table gives no rows; without trained rows every
 verdict is "allow".
 """
@@ -29,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import kept
+from ._spark import join_by_key, kept
 
 UPPER, LOWER_CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Longest word that is looked for, and longest name part that is split at once.
-MAX_WORD, MAX_PART = 20, 64
+#: Words up to this length are looked up by every substring of a name, longer ones by their first SHORT characters.
+SHORT = 20
 
 
 @dataclass(frozen=True)
@@ -76,29 +77,32 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def name_parts(host: Column, path: Column) -> Column:
-    """(place, part) of each run of letters and digits of host and path, at most MAX_PART long."""
-    cut = f"(?:[a-z0-9]|[^\\x00-\\x7F]){{1,{MAX_PART}}}"
+    """(place, part) of each run of letters and digits of host and path."""
+    cut = "(?:[a-z0-9]|[^\\x00-\\x7F])+"
     tag = lambda place, c: F.transform(F.regexp_extract_all(c, F.lit(f"({cut})"), F.lit(1)), lambda p: F.struct(F.lit(place).alias("place"), p.alias("part")))
     return F.concat(tag("h", host), tag("p", lower_ascii(path)))
 
 
 def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
-    """(word, n) over all texts: runs of letters, lower case, at most MAX_WORD long, without markup's tags."""
+    """(word, n) over all texts: runs of letters and digits, lower case, without markup's tags."""
     plain = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"(?s)<[^>]*>", " ")
     words = F.explode(F.split(lower_ascii(plain), r"(?:(?![a-z0-9])[\x00-\x7F])+")).alias("word")
-    return texts.select(words).where((F.length("word") > 0) & (F.length("word") <= MAX_WORD)).groupBy("word").agg(F.count("*").alias("n"))
+    return texts.select(words).where(F.length("word") > 0).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def segment(part: str, cost: dict[str, float], unknown: float) -> list[str]:
     """The cheapest split into known words; unknown pieces pay for every character."""
-    n = len(part)
+    n, per = len(part), math.log(10)
+    sizes = sorted({len(w) for w in cost}, reverse=True)
     best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+    origin = 0  # where an unknown piece begins at best: its price is best[origin] + unknown + per * (end - origin)
     for end in range(1, n + 1):
-        for begin in range(max(0, end - MAX_WORD), end):
-            word = part[begin:end]
-            price = best[begin] + cost.get(word, unknown + math.log(10) * (end - begin))
-            if price < best[end] - 1e-12:
-                best[end], back[end] = price, begin
+        best[end], back[end] = best[origin] + unknown + per * (end - origin), origin
+        for size in sizes:
+            if size <= end and (price := cost.get(part[end - size : end])) is not None and best[end - size] + price < best[end] - 1e-12:
+                best[end], back[end] = best[end - size] + price, end - size
+        if best[end] - per * end < best[origin] - per * origin - 1e-12:
+            origin = end
     out, end = [], n
     while end:
         out.append(part[back[end] : end])
@@ -110,9 +114,12 @@ def segmented(parts: DataFrame, words: DataFrame) -> DataFrame:
     """(part, tokens) for distinct parts."""
     total = words.agg(F.sum("n").alias("total")).collect()[0]["total"] or 0
     place = F.explode(F.sequence(F.lit(1), F.length("part"))).alias("at")
-    pieces = parts.select("part", place).select("part", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), F.length("part") - F.col("at") + 1))).alias("len"))
-    pieces = pieces.select("part", F.substr("part", "at", "len").alias("word")).distinct()
-    found = pieces.join(words, "word").groupBy("part").agg(F.collect_list(F.struct("word", "n")).alias("known"))  # at most MAX_PART * MAX_WORD of a part
+    pieces = parts.select("part", place).select("part", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(SHORT), F.length("part") - F.col("at") + 1))).alias("len"))
+    short = pieces.select("part", F.substr("part", "at", "len").alias("word")).distinct().join(words, "word")
+    heads = pieces.where(F.col("len") == SHORT).select("part", "at", F.substr("part", "at", "len").alias("head"))
+    long = heads.join(words.where(F.length("word") > SHORT).select(F.substring("word", 1, SHORT).alias("head"), "word", "n"), "head")
+    long = long.where(F.substr("part", "at", F.length("word")) == F.col("word")).select("part", "word", "n").distinct()
+    found = short.select("part", "word", "n").unionAll(long).groupBy("part").agg(F.collect_list(F.struct("word", "n")).alias("known"))  # words inside one name
     unknown = math.log(total + 1.0)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +131,7 @@ def segmented(parts: DataFrame, words: DataFrame) -> DataFrame:
     return parts.join(found, "part", "left").mapInArrow(split, "part string, tokens array<string>")
 
 
-def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", rules=RULES, multinomial: bool = False) -> DataFrame:
+def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", rules=RULES) -> DataFrame:
     """Per page: id, host, path, rule, verdict and the model's log odds of "block"."""
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
@@ -132,21 +139,20 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     shares = {r["verdict"]: r["count"] for r in rows.where("fit IS NOT NULL").groupBy(F.col("fit.verdict").alias("verdict")).count().collect()}
     block, allow = shares.get("block", 0), shares.get("allow", 0)
 
-    tagged = rows.select("row", "fit", F.explode(name_parts(F.col("host"), F.col("path"))).alias("p")).select("row", "fit", F.col("p.place").alias("place"), F.col("p.part").alias("part"))
+    tagged = rows.select("row", "fit", F.explode(name_parts(F.col("host"), F.col("path"))).alias("p")).select("row", F.col("fit.verdict").alias("verdict"), F.col("p.place").alias("place"), F.col("p.part").alias("part"))
+    tagged = kept(tagged)
     parts = kept(tagged.select("part").distinct())
-    tokens = segmented(parts, word_counts(pages, text_col))
+    tokens = kept(segmented(parts, kept(word_counts(pages, text_col))))
     # Tokens of a host and of a path count apart; digits stand for their length.
     named = lambda t: F.concat(F.col("place"), F.lit(":"), F.when(t.rlike("^[0-9]+$"), F.concat(F.lit("#"), F.length(t).cast("string"))).otherwise(t))
-    each = tagged.join(tokens, "part").select("row", "fit", "place", F.explode("tokens").alias("t")).select("row", F.col("fit.verdict").alias("verdict"), named(F.col("t")).alias("token"))
-    each = kept(each.groupBy("row", "verdict", "token").agg((F.count("*") if multinomial else F.lit(1).cast("long")).alias("n")))
+    each = join_by_key(tagged, tokens, "part").select("row", "verdict", "place", F.explode("tokens").alias("t")).select("row", "verdict", named(F.col("t")).alias("token"))
+    each = kept(each.groupBy("row", "verdict", "token").agg(F.count("*").alias("n")))
     of = lambda verdict: F.sum(F.when(F.col("verdict") == verdict, F.col("n")).otherwise(F.lit(0)))
-    counted = each.where("verdict IS NOT NULL").groupBy("token").agg(of("block").alias("b"), of("allow").alias("a"))
-    all_block, all_allow = block + 2, allow + 2
-    if multinomial:
-        whole = counted.agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.count("*").alias("v")).collect()[0]
-        all_block, all_allow = (whole["b"] or 0) + whole["v"], (whole["a"] or 0) + whole["v"]
+    counted = kept(each.where("verdict IS NOT NULL").groupBy("token").agg(of("block").alias("b"), of("allow").alias("a")))
+    whole = counted.agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.count("*").alias("v")).collect()[0]
+    all_block, all_allow = (whole["b"] or 0) + whole["v"], (whole["a"] or 0) + whole["v"]
     odds = F.log((F.col("b") + 1) / F.lit(all_block)) - F.log((F.col("a") + 1) / F.lit(all_allow))
-    scored = each.join(counted.select("token", odds.alias("odds")), "token").groupBy("row").agg(F.sum(F.col("n") * F.col("odds")).alias("odds"))
+    scored = join_by_key(each, counted.select("token", odds.alias("odds")), "token").groupBy("row").agg(F.sum(F.col("n") * F.col("odds")).alias("odds"))
     prior = math.log((block + 1) / (allow + 1))
     total = F.lit(prior) + F.coalesce("odds", F.lit(0.0))
     model = F.when(total > 0, F.lit("block")).otherwise(F.lit("allow")) if block and allow else F.lit("allow" if allow or not block else "block")

@@ -1,4 +1,6 @@
+import collections
 import math
+import random
 import re
 
 from pixelquill.llm import url_filter as U
@@ -43,24 +45,58 @@ def test_naive_bayes_against_counts(spark):
     cost = {w: unknown - math.log(n) for w, n in words.items()}
 
     def tokens(r):
-        out = set()
+        out = []
         for place, text in (("h", r.host), ("p", "".join(c.lower() if "A" <= c <= "Z" else c for c in r.path))):
-            for part in re.findall(r"(?:[a-z0-9]|[^\x00-\x7F]){1,64}", text):
-                out |= {f"{place}:" + (f"#{len(t)}" if re.fullmatch("[0-9]+", t) else t) for t in U.segment(part, cost, unknown)}
+            for part in re.findall(r"(?:[a-z0-9]|[^\x00-\x7F])+", text):
+                out += [f"{place}:" + (f"#{len(t)}" if re.fullmatch("[0-9]+", t) else t) for t in U.segment(part, cost, unknown)]
         return out
 
-    seen = [(tokens(r), r.verdict) for r in rows if r.rule]
-    n = {v: sum(x == v for _, x in seen) for v in ("allow", "block")}
-    count = {}
-    for ts, v in seen:
-        for t in ts:
-            count.setdefault(t, {"allow": 0, "block": 0})[v] += 1
+    bags = {v: [t for r in rows if r.rule and r.verdict == v for t in tokens(r)] for v in ("allow", "block")}
+    urls = {v: sum(r.verdict == v for r in rows if r.rule) for v in bags}
+    seen = {v: collections.Counter(b) for v, b in bags.items()}
+    vocabulary = set(bags["allow"]) | set(bags["block"])
     for r in rows:
-        odds = math.log((n["block"] + 1) / (n["allow"] + 1))
-        odds += sum(math.log((count[t]["block"] + 1) / (n["block"] + 2)) - math.log((count[t]["allow"] + 1) / (n["allow"] + 2)) for t in tokens(r) if t in count)
-        assert abs(odds - r.log_odds) < 1e-6
+        p = {v: math.log(urls[v] + 1) + sum(math.log((seen[v][t] + 1) / (len(bags[v]) + len(vocabulary))) for t in tokens(r) if t in vocabulary) for v in bags}
+        assert abs(p["block"] - p["allow"] - r.log_odds) < 1e-6
         if r.rule is None:
-            assert r.verdict == ("block" if odds > 0 else "allow")
+            assert r.verdict == ("block" if p["block"] > p["allow"] else "allow")
+
+
+def splits(part):
+    if not part:
+        yield []
+    for k in range(1, len(part) + 1):
+        for rest in splits(part[k:]):
+            yield [part[:k], *rest]
+
+
+def test_segmentation_against_all_splits():
+    rng = random.Random(4)
+    cost = {w: 1 + rng.random() * 6 for w in ("a", "ab", "abc", "bca", "cab", "b", "aaaa", "cc", "abcab")}
+    price = lambda ws: sum(cost.get(w, 8.0 + math.log(10) * len(w)) for w in ws)
+    for _ in range(60):
+        part = "".join(rng.choice("abcx") for _ in range(rng.randrange(1, 11)))
+        got = U.segment(part, cost, 8.0)
+        assert "".join(got) == part and abs(price(got) - min(price(s) for s in splits(part))) < 1e-9
+
+
+def test_names_and_words_of_any_length(spark):
+    """No length hides a name or a word from the model."""
+    word = "pneumonoultramicroscopicsilicovolcanoconiosis"
+    name = word + "shop" + "q" * 90 + "free" + word
+    texts = [(w,) for w in [word] * 4 + ["shop"] * 5 + ["free"] * 5]
+    parts = spark.createDataFrame([(name,), (word,)], "part string")
+    words = U.word_counts(spark.createDataFrame(texts, "html string"), "html")
+    got = {r.part: r.tokens for r in U.segmented(parts, words).collect()}
+    assert got[word] == [word] and got[name] == [word, "shop", "q" * 90, "free", word]
+
+
+def test_hot_names(spark):
+    """A third of all urls share a host; joins by broadcast and by exchange agree with the counts."""
+    pages = spark.createDataFrame([(i, f"http://hot.com/{'de' if i % 6 else 'fr'}/p{i}" if i % 3 == 0 else f"http://h{i}.net/x{i}", "p") for i in range(3000)], "page_id long, url string, html string")
+    rows = U.url_filter(pages).collect()
+    assert len(rows) == 3000 and len({r.page_id for r in rows}) == 3000
+    assert {r.rule for r in rows if r.page_id % 3 == 0} == {"com/de/", "com/fr/"}
 
 
 def test_segmentation_is_the_cheapest():
