@@ -13,6 +13,7 @@ reach.  The steps:
 3. buckets join nodes to candidate clusters.  Where a cluster is not one class
    yet, the nodes outside its largest class are compared with all its nodes, in
    blocks of bounded size; a block returns a forest of links, never its pairs.
+   Classes and nodes that many rows share get their names by broadcast (join_by_key).
 
 Equal sets share a node from the start, so copies cost one row each.
 
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._spark import kept, written
+from ._spark import join_by_key, kept, written
 from ._text import LOWER, SPACED, U64, Words, mix, ngrams, pieces, signed, texts_of
 
 #: Bands of ROWS MinHash values each: a pair at 0.8 misses all with probability (1 - 0.8^5)^40 = 1e-7.
@@ -253,12 +254,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both = far.unionAll(near).join(met.select("node", "sketch"), "node").join(sets, "node")
     more = both.groupBy("cluster", "i", "j").applyInPandas(_block(percent), "a long, b long")
 
-    final = components(kept(links.unionAll(more))).select("node", F.col("label").alias("class"))
-    named = nodes.select("node", "least").join(final, "node", "left").select("node", "least", F.coalesce("class", "node").alias("class"))
-    named = kept(named)
-    first = named.groupBy("class").agg(F.min("least").alias("component_id"))
-    found = named.join(first, "class").select("node", "component_id")
-    whole = full.select("id", "n", "node").join(found, "node").select("id", "n", "component_id")
+    # Blocks link whole classes, so the last pass runs over classes, not over nodes.
+    joined = components(kept(more)).select(F.col("node").alias("class"), F.col("label").alias("whole"))
+    own_class = kept(nodes.select("node", "least").join(placed.select("node", "class"), "node", "left").select("node", "least", F.coalesce("class", "node").alias("class")))
+    of_class = own_class.groupBy("class").agg(F.min("least").alias("least")).join(joined, "class", "left").select("class", "least", F.coalesce("whole", "class").alias("whole"))
+    of_class = kept(of_class)
+    first = of_class.groupBy("whole").agg(F.min("least").alias("component_id"))
+    named = kept(join_by_key(of_class.select("class", "whole"), first, "whole").select("class", "component_id"))
+    found = kept(join_by_key(own_class.select("node", "class"), named, "class").select("node", "component_id"))
+    whole = join_by_key(full.select("id", "n", "node"), found, "node").select("id", "n", "component_id")
     alone = signed_rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     out = whole.unionAll(alone)
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
