@@ -7,7 +7,8 @@ are extended to the windows around them, which are then compared whole.  Items
 of fewer than 13 words are one window each, looked up at their own length.
 
 The item windows are a stated query set.  They are counted first and split into
-blocks of at most MAX_BLOCK windows; each block is broadcast and scans all
+blocks of about MAX_BLOCK windows by a hash of item and window, so that an item of
+any length is split too; each block is broadcast and scans all
 documents in its own pass, so the broadcast has a fixed bound at any size.
 
 Cases: null or empty texts have no words and no hits; an item without words has
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import kept
 from ._text import ALNUM, LOWER, U64, Words, covered, in_sorted, ngrams, pieces, signed, texts_of
 
 WINDOW = 13
@@ -166,7 +168,7 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     """Per row of docs: id, n_words, n_hit and the sorted texts of the ids of items with occurring windows."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
-    windows = item_windows(items, item_col, item_text)
+    windows = kept(item_windows(items, item_col, item_text))
     blocks = max(1, -(-windows.count() // max_block))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if blocks == 1:
@@ -176,7 +178,7 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     rows = rows.withColumn("row", F.struct(F.xxhash64("text"), F.sha2(F.coalesce("text", F.lit("")), 256)).cast("string"))
     parts = None
     for b in range(blocks):
-        own = windows.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
+        own = windows.where(F.pmod(F.xxhash64("item", "window"), F.lit(blocks)) == b)
         shared = spark.sparkContext.broadcast(_block(own.toPandas()))
         part = rows.mapInArrow(_scan(shared, False), f"id {kind}, n_words long, row string, hits array<int>, items array<string>").withColumn("block", F.lit(b))
         parts = part if parts is None else parts.unionAll(part)
