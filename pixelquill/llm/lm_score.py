@@ -10,7 +10,8 @@ n-gram.  Each bucket is merged on its own into
   1 + floor(log2 c), so its quantised count is read back by probing level after
   level until one is missing.  Errors are one-sided and halve with each level.
 
-Filters are sharded by hash and have BITS_EACH bits an entry at any size.  Scoring broadcasts, pass by pass, one
+Filters are sharded by hash, in as many buckets as the texts' bytes call for, and have
+BITS_EACH bits an entry at any size.  Scoring broadcasts, pass by pass, one
 group of buckets of at most MAX_BROADCAST bytes: a pass adds what its words and
 pairs contribute to each document, and the passes are summed.  So no broadcast
 grows with the data; passes do.
@@ -110,7 +111,7 @@ def _gather(buckets: int):
                         where.append(b)
                         # The top bits name the bucket; sorted hashes are kept as differences, which compress better.
                         hashes.append(np.diff(h[part], prepend=U64(0)).tobytes())
-                        counts.append(np.minimum(c[part], 0xFFFFFFFF).astype("<u4").tobytes())
+                        counts.append(c[part].astype("<i8").tobytes() if c[part].max() >> 32 else c[part].astype("<u4").tobytes())
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(order, pa.int32()), pa.array(where, pa.int32()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], ["n", "bucket", "hashes", "counts"])
 
@@ -130,9 +131,8 @@ def _gather(buckets: int):
     return run
 
 
-def bloom_bits(entries: int, most: int | None = None) -> int:
-    bits = max(64, -(-entries * BITS_EACH // 64) * 64)
-    return bits if most is None else min(bits, max(64, most // 64 * 64))
+def bloom_bits(entries: int) -> int:
+    return max(64, -(-entries * BITS_EACH // 64) * 64)
 
 
 def levels(count: np.ndarray) -> np.ndarray:
@@ -150,10 +150,10 @@ def _cells(h: np.ndarray, level: int, bits: np.ndarray) -> Iterator[np.ndarray]:
         yield (cell >> U64(11)) % bits
 
 
-def build_filter(h: np.ndarray, count: np.ndarray, most: int | None = None) -> np.ndarray:
-    """The filter of n-grams and their counts, of at most `most` bits."""
+def build_filter(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The filter of n-grams and their counts."""
     level = levels(count)
-    bits = bloom_bits(int(level.sum()), most)
+    bits = bloom_bits(int(level.sum()))
     out = np.zeros(bits // 8, np.uint8)
     for q in range(1, int(level.max(initial=0)) + 1):
         own = h[level >= q]
@@ -198,7 +198,8 @@ TOP = len(VALUE) - 1
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     h = np.concatenate([np.cumsum(np.frombuffer(x, U64), dtype=U64) for x in rows["hashes"]])
-    c = np.concatenate([np.frombuffer(x, "<u4") for x in rows["counts"]]).astype(np.int64)
+    # A task's counts have four bytes each, or eight where one needs them.
+    c = np.concatenate([np.frombuffer(x, "<u4" if 2 * len(x) == len(k) else "<i8") for x, k in zip(rows["counts"], rows["hashes"], strict=True)]).astype(np.int64)
     h, c = count_sorted(h, c)
     n, bucket = int(rows["n"].iloc[0]), int(rows["bucket"].iloc[0])
     exact = n == 1
@@ -306,10 +307,21 @@ def groups_of(sizes: dict[int, int], most: int) -> list[list[int]]:
     return groups
 
 
+def buckets_for(docs: DataFrame, text_col: str, max_broadcast: int, max_words: int) -> int:
+    """So many buckets that the mean one stays well below the broadcasts, whatever the texts hold.
+
+    A text of b bytes has at most b / 2 + 1 tokens; each adds at most one entry of
+    BITS_EACH bits to a filter, and one of 16 bytes to the exact counts."""
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long")).alias("bytes"), F.count("*").alias("rows")).collect()[0]
+    tokens = (size["bytes"] or 0) // 2 + size["rows"]
+    most = max(tokens * (16 + BITS_EACH / 8) / max_broadcast, tokens * BITS_EACH / 8 / max_words)
+    return max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(2 * most) + 1)
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, max_broadcast: int = MAX_BROADCAST, max_words: int = MAX_WORDS) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or buckets_for(docs, text_col, max_broadcast, max_words)
     tables = kept(ngram_tables(docs, buckets, id_col, text_col))
     bloom = F.length("bloom").alias("bloom")
     sizes = tables.select("n", "bucket", "entries", "total", bloom, (bloom + F.length("hashes") + F.length("counts")).alias("bytes")).collect()  # two short rows a bucket

@@ -46,7 +46,7 @@ def test_against_counts(spark, real):
 
 def test_passes_add_up(spark, real, edges):
     for docs in (real, edges):
-        one, many = (L.lm_scores(docs, max_broadcast=b).collect() for b in (1 << 30, 20_000))
+        one, many = (L.lm_scores(docs, buckets=64, max_broadcast=b).collect() for b in (1 << 30, 20_000))
         order = lambda rows: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in rows)
         assert order(one) == order(many)
 
@@ -68,7 +68,6 @@ def test_filter_levels():
     assert (level > L.levels(c)).mean() < 0.05
     assert (ask(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) > 0).mean() < 0.05
     assert L.Filters(2, {}).probe(h, halves).max() == 0
-    assert len(L.build_filter(h, c, most=640)) == 80
 
 
 def test_word_filter_grows_with_its_words(monkeypatch):
@@ -79,6 +78,9 @@ def test_word_filter_grows_with_its_words(monkeypatch):
     many = np.full(len(h), 0xFFFFFFFF, "<u4").tobytes()
     out = L._merge(pd.DataFrame({"n": 1, "bucket": 0, "hashes": [packed] * 2, "counts": [many] * 2})).iloc[0]
     assert set(np.frombuffer(out["counts"], "<i8")) == {2 * 0xFFFFFFFF}
+    wide = np.full(len(h), 5 << 40, "<i8").tobytes()
+    both = L._merge(pd.DataFrame({"n": 1, "bucket": 0, "hashes": [packed] * 2, "counts": [many, wide]})).iloc[0]
+    assert set(np.frombuffer(both["counts"], "<i8")) == {0xFFFFFFFF + (5 << 40)}
     table = L.Filters(1, {0: out["bloom"]})
     other = rng.integers(0, 1 << 63, 20_000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     assert (table.probe(other, np.zeros(len(other), np.int64)) > 0).mean() < 0.05
@@ -91,6 +93,14 @@ def test_probing_ends():
 
 def test_word_passes_change_nothing(spark, real, edges):
     for docs in (real, edges):
-        one, many, both = (L.lm_scores(docs, **kw).collect() for kw in ({}, {"max_words": 4000}, {"max_words": 4000, "max_broadcast": 20_000}))
+        one, many, both = (L.lm_scores(docs, buckets=64, **kw).collect() for kw in ({}, {"max_words": 4000}, {"max_words": 4000, "max_broadcast": 20_000}))
         order = lambda rows: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in rows)
         assert order(one) == order(many) == order(both)
+
+
+def test_buckets_follow_the_texts(spark):
+    docs = spark.range(100).selectExpr("id AS doc_id", "repeat('ab ', 1000) AS text")
+    least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert L.buckets_for(docs, "text", 1 << 30, 1 << 30) == least
+    assert L.buckets_for(docs, "text", 1 << 10, 1 << 30) > 100 * 1500 * 16 / 1024
+    assert L.buckets_for(docs.limit(0), "text", 1, 1) == least
