@@ -3,8 +3,11 @@
 Fixed cutoffs that suit one language or site fail on another.  Here each
 measure's cutoff comes from its own distribution: a mergeable KLL quantile
 sketch per language and source (built by partial aggregation, so a hot source
-never meets in one task) gives the quartiles, and a document fails if it lies
-far outside its group's quartiles.
+never meets in one task) gives the quartiles and two far quantiles.  The cutoff is
+the fence FENCE interquartile ranges beyond the quartile, but never nearer than the
+quantile NEAR and never farther than FAR: so a long tail fails from NEAR on, an
+even distribution from FAR on, and where all values are the same none fails.  No
+cutoff has a fixed value in it.
 
 Cases: a null or empty text has no words, fails the base rule and is not kept.
 Null or absent languages and sources form groups of their own.  Repeated rows are judged
@@ -34,15 +37,17 @@ STATS = "id {id}, lang string, source string, n_words long, word_chars long, n_s
 _symbol = np.isin(np.arange(256), [ord(c) for c in SYMBOLS])
 _lead = (np.arange(256) & 0xC0) != 0x80
 
-#: Measure -> (expression, which sides count, least distance from the quartile).
+#: Measure -> (expression, which sides count).
 MEASURES = {
-    "symbol_ratio": ("n_symbols / n_words", "high", 0.25),
-    "dup_line_ratio": ("n_dup_lines / greatest(n_lines, 1)", "high", 0.30),
-    "repeat_ratio": ("n_repeat_words / n_words", "high", 0.20),
-    "word_length": ("word_chars / n_words", "both", 3.0),
+    "symbol_ratio": ("n_symbols / n_words", "high"),
+    "dup_line_ratio": ("n_dup_lines / greatest(n_lines, 1)", "high"),
+    "repeat_ratio": ("n_repeat_words / n_words", "high"),
+    "word_length": ("word_chars / n_words", "both"),
 }
 #: Width of the fence beyond a quartile, in interquartile ranges.
 FENCE = 4.0
+#: Ranks that a high cutoff stays between; a low one is their mirror image.
+NEAR, FAR = 0.97, 0.995
 
 
 def repeats(keys: np.ndarray) -> np.ndarray:
@@ -98,12 +103,13 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def thresholds(stats: DataFrame, k: int = 200) -> DataFrame:
     """Per language and source, the low and high cutoff of each measure."""
     sound = stats.where(F.col("n_words") > 0)
-    sketches = sound.groupBy("lang", "source").agg(*(F.kll_sketch_agg_double(F.expr(e).cast("double"), k).alias(m) for m, (e, _, _) in MEASURES.items()))
+    sketches = sound.groupBy("lang", "source").agg(*(F.kll_sketch_agg_double(F.expr(e).cast("double"), k).alias(m) for m, (e, _) in MEASURES.items()))
     cut = []
-    for m, (_, side, least) in MEASURES.items():
-        low, high = (F.kll_sketch_get_quantile_double(m, F.lit(q)) for q in (0.25, 0.75))
-        room = F.greatest(F.lit(FENCE) * (high - low), F.lit(least))
-        cut += [(high + room).alias(f"{m}_max"), (low - room if side == "both" else F.lit(float("-inf"))).alias(f"{m}_min")]
+    for m, (_, side) in MEASURES.items():
+        at = lambda q: F.kll_sketch_get_quantile_double(m, F.lit(q))  # noqa: E731, B023
+        room = F.lit(FENCE) * (at(0.75) - at(0.25))
+        cut.append(F.least(F.greatest(at(0.75) + room, at(NEAR)), at(FAR)).alias(f"{m}_max"))
+        cut.append((F.greatest(F.least(at(0.25) - room, at(1 - NEAR)), at(1 - FAR)) if side == "both" else F.lit(float("-inf"))).alias(f"{m}_min"))
     return sketches.select("lang", "source", *cut)
 
 
@@ -112,7 +118,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stats = kept(document_stats(docs, id_col, text_col, lang_col, source_col))
     limits = thresholds(stats).withColumnsRenamed({"lang": "lang_", "source": "source_"})
     joined = stats.join(limits, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")), "left")
-    outside = [F.when(~F.expr(e).between(F.col(f"{m}_min"), F.col(f"{m}_max")), F.lit(m)) for m, (e, _, _) in MEASURES.items()]
+    outside = [F.when(~F.expr(e).between(F.col(f"{m}_min"), F.col(f"{m}_max")), F.lit(m)) for m, (e, _) in MEASURES.items()]
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     failed = F.when(F.col("n_words") > 0, F.array_compact(F.array(*outside))).otherwise(F.array().cast("array<string>"))
     return joined.select(
