@@ -14,7 +14,7 @@ from ..operators.psychovisual import psychovisual_distance
 from ..operators.structural import structural_score
 from ..operators.visibility import display_difference
 from ..sources.config import Display
-from . import fixtures
+from . import fixtures, metric_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -495,14 +495,15 @@ def band_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- whole metrics ----------------------------------------------------------------
 
 
-@query()
+@query(metric_sql.structural(COLOUR))
 def structural(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structural_score(fixtures.colour_pairs(spark, sf_dir))
+    return structural_score(fixtures.colour_pairs(spark, sf_dir)).withColumn("score", r6(F.col("score"), "score"))
 
 
-@query()
+@query(metric_sql.psychovisual(COLOUR))
 def psychovisual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return psychovisual_distance(fixtures.colour_pairs(spark, sf_dir))
+    found = psychovisual_distance(fixtures.colour_pairs(spark, sf_dir))
+    return found.select("pair_id", "ord", *(r6(F.col(c), c) for c in ("norm_q", "norm_3", "norm_inf")))
 
 
 @query()
