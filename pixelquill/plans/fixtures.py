@@ -53,6 +53,10 @@ def colour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.lit("colour").alias("pair_id"), F.col("frame").cast("int").alias("ord"), size.alias("a_width"), size.alias("a_height"), a.alias("a_planes"), size.alias("b_width"), size.alias("b_height"), b.alias("b_planes"))
 
 
+#: Steepness and centre of the made-up sensitivities of the four channels.
+MADE_UP = ((0.9, 0.4), (0.7, -0.3), (0.7, -0.4), (0.8, 0.1))
+
+
 def made_up_sensitivity():
     """A smooth table for tests and examples; it is NOT a measured calibration."""
     import numpy as np
@@ -61,5 +65,5 @@ def made_up_sensitivity():
 
     background, frequency = np.logspace(-2, 4, 13), np.logspace(-1, 1.8, 15)
     lb, lf = np.log10(background)[:, None], np.log10(frequency)[None, :]
-    tables = [1.5 + 0.25 * lb - 0.08 * lb**2 - k * (lf - c) ** 2 for k, c in ((0.9, 0.4), (0.7, -0.3), (0.7, -0.4), (0.8, 0.1))]
+    tables = [1.5 + 0.25 * lb - 0.08 * lb**2 - k * (lf - c) ** 2 for k, c in MADE_UP]
     return Sensitivity.from_axes(background, frequency, tables)

@@ -141,3 +141,64 @@ d AS (SELECT part, frame, y, x, sqrt({gain(0.829591754942, 0.451936922203, 2.548
   FROM oriented o JOIN flat f USING (part, frame, y, x) JOIN masks USING (part, frame, y, x) JOIN eroded USING (part, frame, y, x)),
 full_ AS (SELECT a.frame, a.d * 0.85 + 0.5 * b.d AS d FROM d a JOIN d b ON a.part = 0 AND b.part = 1 AND a.frame = b.frame AND b.y = a.y // 2 AND b.x = a.x // 2)
 SELECT 'colour' AS pair_id, CAST(frame AS INTEGER) AS ord, round(sqrt(avg(d * d)), 6) + 0.0 AS norm_q, round(pow(avg(d * d * d), 1.0 / 3), 6) + 0.0 AS norm_3, round(max(d), 6) + 0.0 AS norm_inf FROM full_ GROUP BY frame"""
+
+
+def display(colour: str, shown, sensitivity: tuple[tuple[float, float], ...], digits: int = 4) -> str:
+    """The display difference of 8 x 8 frames at 30 a second: two bands, nine taps, a sensitivity given by
+    (steepness, centre) per channel over 13 backgrounds (10^-2 to 10^4) and 15 frequencies (10^-1 to 10^1.8)."""
+    import math
+
+    import numpy as np
+
+    p = K.DISPLAY_PARAMETERS
+    matrix = (np.array(K.LMS_TO_DKL) @ np.array(K.XYZ_TO_LMS) @ np.array(shown.rgb_to_xyz)).tolist()
+    mirror = "CASE WHEN 2 * o + k < 0 THEN -(2 * o + k) WHEN 2 * o + k > 7 THEN 14 - (2 * o + k) ELSE 2 * o + k END"
+    down = lambda src, out, axis, other: f"{out} AS (SELECT frame, side, c, o AS {axis}, {other}, sum(w * v) AS v FROM range(4) r(o), five, {src} WHERE {src}.{axis} = {mirror} GROUP BY ALL)"
+    up = lambda src, out, axis, other: f"{out} AS (SELECT frame, side, c, o AS {axis}, {other}, sum(2 * w * v) AS v FROM range(8) r(o), five, {src} WHERE (o - k) % 2 = 0 AND {src}.{axis} = least(greatest((o - k) // 2, 0), 3) GROUP BY ALL)"
+    around = lambda src, out, axis, other: f"{out} AS (SELECT p.frame, p.c, p.y, p.x, sum(w * q.v) AS v FROM {src} p, wide13 JOIN {src} q ON q.frame = p.frame AND q.c = p.c AND q.{other} = p.{other} AND q.{axis} = least(greatest(p.{axis} + j, 0), 7) GROUP BY ALL)"
+
+    def gain(band: int) -> str:
+        """10 to the bilinear sensitivity at the band's frequency and the pixel's background `lb`, per channel."""
+        f = math.log10(shown.ppd / 2) if band == 0 else -1.0
+        place = min((f + 1) / 0.2, 14.0)
+        low, part = int(place), place - int(place)
+        py = "(CASE WHEN lb BETWEEN -2 AND 4 THEN (lb + 2) / 0.5 ELSE 0.0 END)"
+        out = []
+        for c, (steep, centre) in enumerate(sensitivity[:3]):
+            at = lambda i, j: f"(1.5 + 0.25 * (-2 + 0.5 * {i}) - 0.08 * pow(-2 + 0.5 * {i}, 2) - {steep * (-1 + 0.2 * j - centre) ** 2!r})"  # noqa: E731, B023
+            row = lambda i: f"({at(i, low)} * {1 - part!r} + {at(i, min(low + 1, 14))} * {part!r})"  # noqa: E731, B023
+            under, over = f"floor({py})", f"least(floor({py}) + 1, 12)"
+            out.append(f"WHEN {c} THEN pow(10.0, {row(under)} * (1 - ({py} - floor({py}))) + {row(over)} * ({py} - floor({py})) + {p['sensitivity_correction'] / 20!r}) * {K.CHANNEL_GAIN[c]!r}")
+        return "CASE c " + " ".join(out) + " END"
+
+    power = lambda v, e: f"(pow({v} + 1e-5, {e}) - pow(1e-5, {e}))"
+    pick = lambda values: "CASE c " + " ".join(f"WHEN {c} THEN {v!r}" for c, v in enumerate(values)) + " END"
+    across = ", ".join(f"({s}, {d}, {2.0 ** p['xcm_weights'][s * 4 + d]!r})" for s in range(4) for d in range(4))
+    response = " UNION ALL ".join(f"SELECT {c} AS c, j, exp(-pow(j * 3.75, {p['beta_tf'][c]!r}) / {p['sigma_tf'][c]!r}) AS f FROM range(5) r(j)" for c in range(3))
+    most = 10.0 ** p["d_max"]
+    q = f"(q * CASE WHEN frame = 0 THEN {p['image_int']!r} ELSE 1.0 END)"
+    return f"""{_linear(colour)},
+five(k, w) AS (VALUES (-2, 0.05), (-1, 0.25), (0, 0.4), (1, 0.25), (2, 0.05)),
+wide13 AS (SELECT j, exp(-j * j / 18.0) / sum(exp(-j * j / 18.0)) OVER () AS w FROM range(-6, 7) r(j)),
+res AS ({response}), full_res AS (SELECT * FROM res UNION ALL SELECT 3, j, 1 - f FROM res WHERE c = 0),
+taps AS (SELECT c, k, sum(CASE WHEN j = 0 THEN f ELSE 2 * f * cos(2 * pi() * j * ((k + 5) % 9) / 9) END) AS w FROM full_res, range(9) r(k) GROUP BY c, k),
+lum AS (SELECT frame, side, c, y, x, {shown.black!r} + {shown.peak - shown.black!r} * CASE WHEN greatest(v, 0) <= 0.04045 THEN greatest(v, 0) / 12.92 ELSE pow((greatest(v, 0) + 0.055) / 1.055, 2.4) END AS v FROM enc),
+lw AS ({_wide("lum", "frame, side")}),
+l0 AS ({" UNION ALL ".join(f"SELECT frame, side, {c} AS c, y, x, {_mix(row, 'r', 'g', 'b')} AS v FROM lw" for c, row in enumerate(matrix))}),
+{down("l0", "l1y", "y", "x")}, {down("l1y", "l1", "x", "y")}, {up("l1", "ey", "y", "x")}, {up("ey", "e0", "x", "y")},
+back AS (SELECT 0 AS band, frame, side, y, x, greatest(v, 0.01) AS bk FROM l0 WHERE c = 0 UNION ALL SELECT 1, frame, side, y, x, greatest(v, 0.01) FROM l1 WHERE c = 0),
+logs AS (SELECT band, frame, y, x, avg(log10(bk)) AS lb FROM back GROUP BY ALL),
+raw AS (SELECT 0 AS band, frame, side, c, y, x, least((l0.v - e0.v) / bk, 1000.0) AS v FROM l0 JOIN e0 USING (frame, side, c, y, x) JOIN (SELECT * FROM back WHERE band = 0) USING (frame, side, y, x) UNION ALL SELECT 1, frame, side, c, y, x, v FROM l1),
+con AS (SELECT band, frame, side, c, y, x, CAST(CAST(v * CASE WHEN band = 0 THEN {gain(0)} ELSE {gain(1)} END AS FLOAT) AS DOUBLE) AS v FROM raw JOIN logs USING (band, frame, y, x)),
+fir AS (SELECT n.frame, side, t.c, y, x, sum(t.w * o.v) AS v FROM (SELECT DISTINCT frame FROM con) n, taps t JOIN con o ON o.band = 0 AND o.frame = greatest(n.frame - t.k, 0) AND o.c = t.c % 3 WHERE n.frame > 0 OR t.c < 3 GROUP BY ALL),
+tr AS (SELECT frame, c, y, x, max(v) FILTER (side = 1) AS t, max(v) FILTER (side = 0) AS r FROM fir GROUP BY ALL),
+mut AS (SELECT frame, c, y, x, least(abs(t), abs(r)) AS v FROM tr),
+{around("mut", "m1", "x", "y")}, {around("m1", "m2", "y", "x")},
+across(s, c, w) AS (VALUES {across}),
+mask AS (SELECT frame, a.c, y, x, greatest(sum(a.w * m2.v * {10.0 ** p['mask_c']!r}), 0.0) AS m FROM m2 JOIN across a ON a.s = m2.c WHERE frame > 0 OR a.c < 3 GROUP BY ALL),
+diff AS (SELECT frame, c, {power("abs(t - r)", repr(p['mask_p']))} / (1 + {power("m", pick(p['mask_q']))}) AS d FROM tr JOIN mask USING (frame, c, y, x)),
+pooled AS (SELECT 0 AS band, frame, c, pow(avg(pow({most!r} * d / ({most!r} + d), {p['beta']!r})), {1 / p['beta']!r}) AS q FROM diff GROUP BY ALL
+  UNION ALL SELECT 1, frame, c, pow(avg(pow(abs(d), {p['beta']!r})), {1 / p['beta']!r}) * {pick(p['baseband_weight'])} FROM (SELECT frame, c, y, x, max(v) FILTER (side = 1) - max(v) FILTER (side = 0) AS d FROM con WHERE band = 1 GROUP BY ALL) GROUP BY frame, c),
+channel AS (SELECT frame, c, pow(sum(pow(q, {p['beta_sch']!r})), {1 / p['beta_sch']!r}) * CASE WHEN c = 3 THEN {p['ch_trans_w']!r} WHEN c > 0 THEN {p['ch_chrom_w']!r} ELSE 1.0 END AS q FROM pooled GROUP BY frame, c),
+frames AS (SELECT frame, pow(sum(pow(q, {p['beta_tch']!r})), {1 / p['beta_tch']!r}) AS q FROM channel GROUP BY frame)
+SELECT 'colour' AS pair_id, CAST(frame AS INTEGER) AS ord, round(least(greatest(CASE WHEN {q} <= 0.1 THEN 10.0 - {q} * {p['jod_a'] * 0.1 ** (p['jod_exp'] - 1)!r} ELSE 10.0 - {p['jod_a']!r} * pow({q}, {p['jod_exp']!r}) END, 0.0), 10.0), {digits}) + 0.0 AS score FROM frames"""

@@ -506,10 +506,11 @@ def psychovisual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pair_id", "ord", *(r6(F.col(c), c) for c in ("norm_q", "norm_3", "norm_inf")))
 
 
-@query()
+@query(metric_sql.display(COLOUR, Display(ambient=250.0), fixtures.MADE_UP))
 def display(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a made-up sensitivity table: the values are not calibrated."""
-    return display_difference(fixtures.colour_pairs(spark, sf_dir), Display(ambient=250.0), fixtures.made_up_sensitivity())
+    found = display_difference(fixtures.colour_pairs(spark, sf_dir), Display(ambient=250.0), fixtures.made_up_sensitivity())
+    return found.withColumn("score", r6(F.col("score"), "score", 4))
 
 
 @query()
