@@ -138,3 +138,70 @@ WITH w AS (
 ), span AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM cut)
 SELECT doc_id, CAST(min(i) - 1 AS BIGINT) AS first_word, CAST(max(i) + 50 - min(i) AS BIGINT) AS n_words FROM span GROUP BY doc_id, g
 """
+
+
+# The parts of contracts that SQL can say, taken from the operators' own results.
+
+
+@_query
+def base_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op7_url_filter(spark, sf_dir)
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+_fits = lambda host, path: f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+_longest = sorted(url_filter.RULES, key=lambda r: -len(r.name))
+ORACLES["base_url_rules"] = f"""
+WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages), p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)
+SELECT page_id, host, path, CASE {" ".join(f"WHEN {_fits(r.host, r.path)} THEN '{r.name}'" for r in _longest)} END AS rule, CASE {" ".join(f"WHEN {_fits(r.host, r.path)} THEN '{r.verdict}'" for r in _longest)} END AS verdict FROM p
+"""
+
+
+@_query
+def base_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+ORACLES["base_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents), win AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS k FROM d, unnest(range(1, len(w) - 1)) AS r(i)
+), twice AS (SELECT doc_id, k FROM win GROUP BY ALL HAVING count(*) > 1), hit AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n FROM win SEMI JOIN twice USING (doc_id, k), unnest(range(3)) AS s(j) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM d
+)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(h.n, 0) AS BIGINT) AS n_repeat_words, n_words < 50 OR 100 * coalesce(h.n, 0) > 50 * n_words AS base_failed
+FROM m LEFT JOIN hit h USING (doc_id) LEFT JOIN lines l USING (doc_id)
+"""
+
+
+@_query
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+_any_case = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+_assign = "(?:" + "|".join(_any_case(w) for w in ("password", "passwd", "secret", "token")) + "|" + _any_case("api") + "_?" + _any_case("key") + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_long = lambda pattern, least, group=0: f"CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '{pattern}', {group}), lambda x: length(x) >= {least})) AS BIGINT)"
+ORACLES["base_secrets"] = f"SELECT doc_id, {_long(_assign, 6, 1)} AS n_assign, {_long('AKIA[A-Z0-9]+', 20)} AS n_access, {_long('[0-9a-f]+', 24)} AS n_hex FROM documents"
+
+
+@_query
+def base_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", (F.round("base_score", 5) + F.lit(0.0)).alias("base_score"))
+
+
+ORACLES["base_lm_score"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w, CAST(doc_id AS VARCHAR) AS name FROM documents
+), c AS (
+  SELECT doc_id, w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * length(name)), lambda b: (ascii(name[b // 8 + 1]) >> (b % 8)) & 1)), lambda a, b: xor(a >> 1, (xor(a, b) & 1) * 3988292384)), 4294967295) % 7 = 2 AS held_out FROM d
+), t AS (SELECT doc_id, held_out, unnest(list_append(w, ' ')) AS token FROM c), n AS (
+  SELECT token, count(*) AS k FROM t WHERE NOT held_out GROUP BY token
+), s AS (SELECT CAST(sum(k) AS BIGINT) AS total, count(*) AS v FROM n)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(k) AS n_known, any_value(total) AS train_tokens, round(sum(log10((coalesce(k, 0) + 1) / (total + 1.0 * (v + 1)))), 5) + 0.0 AS base_score
+FROM t LEFT JOIN n USING (token), s GROUP BY doc_id, held_out
+"""
