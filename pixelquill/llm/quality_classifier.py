@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import kept
+from ._spark import drop_path, new_path
 from ._text import ALNUM, LOWER, U64, Words, mix, per_text, pieces, texts_of
 
 #: Labelled rows of the fit, and bytes of text of one draw.
@@ -247,10 +247,12 @@ def _sure(shared):
     return run
 
 
-def _lessons(rows: DataFrame, named: DataFrame, heads: dict, told: dict) -> DataFrame:
+def _lessons(rows: DataFrame, named: DataFrame, heads: dict, told: dict) -> list[tuple]:
     """(head, view, y, mark): per head, view and label EXCHANGE / 2 rows without labels, drawn by hash from all it is sure of."""
-    shared = rows.sparkSession.sparkContext.broadcast((heads, told))
-    sure = kept(rows.mapInArrow(_sure(shared), f"head int, view int, mark long, id {dict(rows.dtypes)['id']}, y int"))
+    spark = rows.sparkSession
+    shared, path = spark.sparkContext.broadcast((heads, told)), new_path(spark, "sure")
+    rows.mapInArrow(_sure(shared), f"head int, view int, mark long, id {dict(rows.dtypes)['id']}, y int").write.parquet(path)
+    sure = spark.read.parquet(path)
     many = {tuple(r[:3]): r[3] for r in sure.groupBy("head", "view", "y").count().collect()}  # eight rows at most
     each = EXCHANGE // 2
     # The least hashes lie below a share of all hashes.
@@ -261,7 +263,9 @@ def _lessons(rows: DataFrame, named: DataFrame, heads: dict, told: dict) -> Data
     few = sure.where(F.col("mark") <= below).select("head", "view", "y", "mark", "id").distinct()
     few = few.join(named.select("_id"), F.col("id") == F.col("_id"), "left_anti")
     nth = F.row_number().over(Window.partitionBy("head", "view", "y").orderBy("mark", "id"))
-    return few.withColumn("nth", nth).where(F.col("nth") <= each).select("head", "view", "y", "mark")
+    found = [tuple(r) for r in few.withColumn("nth", nth).where(F.col("nth") <= each).select("head", "view", "y", "mark").collect()]
+    drop_path(spark, path)
+    return found
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[Head, Head]:
@@ -282,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             c.fit()
         if turn == ROUNDS or not able:
             break
-        lessons = [tuple(r) for r in _lessons(marked, named, {h: (c.head, c.usual) for h, c in able.items()}, told).collect()]
+        lessons = _lessons(marked, named, {h: (c.head, c.usual) for h, c in able.items()}, told)
         if not lessons:
             break
         marks = docs.sparkSession.createDataFrame([(m,) for m in sorted({r[3] for r in lessons})], "mark long")
