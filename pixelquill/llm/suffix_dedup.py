@@ -3,16 +3,20 @@
 Only suffixes that begin at content-selected places are kept: the word positions
 whose GRAM-word hash is the least of some WINDOW neighbours (minimisers).  Any
 passage of LEAST words holds such a place within its first WINDOW positions, so a
-repeat shows as two kept suffixes that agree for LEAST - WINDOW + 1 words and more.
-
-1. The kept suffixes are sorted by range over all documents and neighbours are
-   compared; a suffix that agrees with a neighbour this far is a candidate.  The
-   order ends with document and position, so a passage of any number of copies is
-   spread over partitions; runs that meet a partition's edge are settled from the
-   edges alone.
-2. Candidates are extended to the left and right: every LEAST-word stretch that
-   contains one is sorted and compared in the same way, and stretches found in two
-   documents are merged to maximal spans per document.
+repeat shows as two kept suffixes that agree for REACH = LEAST - WINDOW + 1 words and more.
+
+1. The kept suffixes of all documents are sorted by their words, in the order of the
+   words' one-byte codes, as deep as a match has to reach: a suffix's key is the
+   string of its first REACH codes, not a hash of them.  Neighbours are compared by
+   the length of their common prefix; a suffix that shares REACH words with one of
+   another document is a candidate.  The order ends with document and position, so
+   a passage of any number of copies is spread over partitions; runs that meet a
+   partition's edge are settled from the edges alone.
+2. Candidates are extended to the left and right: every stretch of LEAST whole words
+   that contains one is sorted (by a 64-bit hash, as all have one length) and compared
+   with its neighbours in the same way, and stretches found in two documents are
+   merged to maximal spans per document.  So equal codes of different words are
+   told apart here.
 
 Words are runs of bytes other than ASCII white space, compared as 64-bit hashes.
 
@@ -30,25 +34,43 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import kept
-from ._text import LOWER, SPACED, Words, ngrams, pieces, signed, texts_of
+from ._text import LOWER, SPACED, U64, Words, ngrams, pieces, signed, texts_of
 from .decontaminate import winnow
 
 LEAST = 50
-GRAM, WINDOW = 8, 16
+GRAM, WINDOW = 8, 32
 
 
-SHAPE = "key long, doc long, at int"
+SHAPE = "key {kind}, doc long, at int"
 
 
-def _placed(piece: pa.RecordBatch, words: Words, keys: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+def _placed(piece: pa.RecordBatch, words: Words, keys: pa.Array, places: np.ndarray) -> pa.RecordBatch:
     """Keys with their document and the position inside it."""
     text = words.text[places]
-    return pa.RecordBatch.from_arrays([pa.array(keys), piece.column(0).take(pa.array(text)), pa.array((places - words.first[text]).astype(np.int32))], ["key", "doc", "at"])
+    return pa.RecordBatch.from_arrays([keys, piece.column(0).take(pa.array(text)), pa.array((places - words.first[text]).astype(np.int32))], ["key", "doc", "at"])
+
+
+def strings(rows: np.ndarray) -> pa.Array:
+    """A binary value per row of bytes."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def common_prefixes(column: pa.Array) -> np.ndarray:
+    """How far each key agrees with the one before it: bytes of equally long strings, or 0 and 1 for numbers."""
+    if pa.types.is_binary(column.type):
+        data, off = texts_of(column)
+        rows = data.reshape(len(column), -1)
+        same = rows[1:] == rows[:-1]
+        return np.where(same.all(axis=1), rows.shape[1], same.argmin(axis=1))
+    key = np.asarray(column)
+    return (key[1:] == key[:-1]).astype(np.int64)
 
 
 def _suffixes(least: int):
@@ -62,12 +84,10 @@ def _suffixes(least: int):
                 h = words.hashes(LOWER)
                 gram, at = ngrams(h, words.first, GRAM)
                 places = at[winnow(gram, at, WINDOW)]
-                prefix, where = ngrams(h, words.first, reach)
-                keep = np.searchsorted(where, places)
-                keep[keep == len(where)] = 0
-                good = where[keep] == places if len(where) else np.zeros(len(places), bool)
-                places, keep = places[good], keep[good]
-                yield _placed(piece, words, signed(prefix[keep]), places)
+                places = places[places + reach <= words.first[words.text[places] + 1]]  # others have too few words left
+                codes = (h >> U64(56)).astype(np.uint8)
+                keys = sliding_window_view(codes, reach)[places] if len(places) else np.zeros((0, reach), np.uint8)
+                yield _placed(piece, words, strings(keys), places)
 
     return run
 
@@ -76,7 +96,7 @@ def _suffixes(least: int):
 class Run:
     """The run of equal keys that a partition's reader stands in."""
 
-    key: int
+    key: object
     doc: int
     many: bool
     lone: list  # its rows, as long as one document has them all
@@ -84,8 +104,8 @@ class Run:
     first: bool
 
 
-def _neighbours(within: bool):
-    """The rows of sorted partitions that agree with a row of another document (or any other row, `within`).
+def _neighbours(within: bool, reach: int):
+    """The rows of sorted partitions that agree for `reach` and more with a row of another document (or any other row, `within`).
 
     state 0: they do; 1: a run at a partition's edge, open until the other side is known; 2: the mark of such a run."""
 
@@ -104,17 +124,17 @@ def _neighbours(within: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, doc = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            end = np.append(begin[1:], len(key))
+            key, doc = batch.column(0), np.asarray(batch.column(1))
+            begin = np.flatnonzero(np.r_[True, common_prefixes(key) < reach])
+            end = np.append(begin[1:], len(doc))
             # Rows of a key are in order of documents: one document if the first and the last are one.
             many = (doc[begin] != doc[end - 1]) | (within & (end - begin > 1))
 
             def started(k: int, first: bool) -> Run:
                 rows = batch.slice(begin[k], end[k] - begin[k])  # noqa: B023
-                return Run(key[begin[k]], doc[begin[k]], bool(many[k]), [] if many[k] else [rows], rows.slice(0, 1), first)  # noqa: B023
+                return Run(key[int(begin[k])].as_py(), doc[begin[k]], bool(many[k]), [] if many[k] else [rows], rows.slice(0, 1), first)  # noqa: B023
 
-            if run is not None and run.key == key[0]:
+            if run is not None and run.key == key[0].as_py():
                 run.many = bool(many[0]) or run.many or run.doc != doc[0] or within
                 many[0] = run.many
                 if run.many:
@@ -138,11 +158,11 @@ def _neighbours(within: bool):
     return read
 
 
-def repeated(rows: DataFrame, within: bool) -> DataFrame:
-    """Rows (key, doc, at) whose key two documents have."""
+def repeated(rows: DataFrame, within: bool, reach: int = 1) -> DataFrame:
+    """Rows (key, doc, at) that agree with one of another document for the `reach` of their keys."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, "key", "doc", "at").sortWithinPartitions("key", "doc", "at")
-    found = kept(ordered.mapInArrow(_neighbours(within), f"{SHAPE}, state int, part int, many boolean"))
+    found = kept(ordered.mapInArrow(_neighbours(within, reach), f"{SHAPE.format(kind=dict(rows.dtypes)['key'])}, state int, part int, many boolean"))
     edges = found.where("state = 2").groupBy("key").agg(F.max("many").alias("many"), F.countDistinct("part").alias("parts"), F.min("doc").alias("low"), F.max("doc").alias("high"))
     edges = edges.where(F.col("many") | (F.col("low") != F.col("high")) | (F.lit(within) & (F.col("parts") > 1))).select("key")
     settled = found.where("state = 1").join(edges, "key", "left_semi")
@@ -164,7 +184,7 @@ def _stretches(least: int):
                 np.add.at(wanted, np.maximum(flat - WINDOW + 1, owner), 1)
                 np.add.at(wanted, flat + 1, -1)
                 keep = np.cumsum(wanted)[at] > 0
-                yield _placed(piece, words, signed(gram[keep]), at[keep])
+                yield _placed(piece, words, pa.array(signed(gram[keep])), at[keep])
 
     return run
 
@@ -172,14 +192,14 @@ def _stretches(least: int):
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, within: bool = False) -> DataFrame:
     """Maximal spans of `least` words and more that repeat: id, first_word, n_words.
     Spans of one document may overlap only if their parts repeat in different places."""
-    if least <= WINDOW + GRAM:
-        raise ValueError(f"least must exceed {WINDOW + GRAM}")
+    if least < WINDOW + GRAM - 1:
+        raise ValueError(f"least must be {WINDOW + GRAM - 1} or more")
     # A document is a 64-bit hash of its id and text; the id comes back at the end.
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.xxhash64(text_col)).alias("doc"), F.col(text_col).alias("text"))
-    candidates = repeated(rows.select("doc", "text").mapInArrow(_suffixes(least), SHAPE), within)
+    candidates = repeated(rows.select("doc", "text").mapInArrow(_suffixes(least), SHAPE.format(kind="binary")), within, least - WINDOW + 1)
     places = kept(candidates.groupBy("doc").agg(F.collect_set("at").alias("places")))  # bounded by the document's length
     met = rows.select("doc", "text").join(places, "doc")
-    hits = repeated(met.mapInArrow(_stretches(least), SHAPE), within).groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    hits = repeated(met.mapInArrow(_stretches(least), SHAPE.format(kind="long")), within).groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("at"))
     named = rows.select("id", "doc").distinct()
     spans = hits.join(named, "doc").select("id", F.explode(_spans(F.col("at"), least)).alias("s"))
     return spans.select(F.col("id").alias(id_col), F.col("s.first").cast("long").alias("first_word"), F.col("s.n").cast("long").alias("n_words"))
