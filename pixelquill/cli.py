@@ -9,13 +9,17 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.constants import DISPLAY_PARAMETERS
 from .operators import pooling, sampling
 from .operators.psychovisual import psychovisual_distance
 from .operators.structural import structural_score
+from .operators.visibility import display_difference
+from .sources import config
 from .sources import scores as files
 from .sources import video
 
@@ -33,6 +37,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--encoded-indices", default="")
     p.add_argument("--intensity-target", type=float, default=203.0)
     p.add_argument("--qnorm", type=float, default=2.0)
+    p.add_argument("--config-dir", help="folder of the display metric's documents")
+    p.add_argument("--sensitivity", help="JSON document of the contrast sensitivity")
+    p.add_argument("--parameters", help="JSON document of the display metric's parameters, to be checked")
+    p.add_argument("--display", default="standard_4k", help="a display of the configuration")
+    p.add_argument("--fps", type=float, default=0.0, help="frames a second for the display metric; else the source's")
     p.add_argument("--json")
     p.add_argument("--config-file")
     for side in ("source", "encoded"):
@@ -61,7 +70,8 @@ def _cropped(frames: DataFrame, o: argparse.Namespace, side: str) -> DataFrame:
 def compare(spark: SparkSession, o: argparse.Namespace) -> tuple[DataFrame, list[str]]:
     """The scores of the chosen frames, and the names of their columns."""
     source, encoded = _cropped(video.read_y4m(spark, o.source), o, "source"), _cropped(video.read_y4m(spark, o.encoded), o, "encoded")
-    counts = [f.select("frame_idx").count() for f in (source, encoded)]
+    indexes = [video.file_index(spark, p).collect() for p in (o.source, o.encoded)]  # one row a file
+    counts, rate = [sum(r["frames"] for r in i) for i in indexes], indexes[0][0]["fps"] if indexes[0] else 0.0
     span = sampling.resolve(*counts, o.start, o.end, o.every, o.encoded_offset)
     lists = sampling.index_list(o.source_indices), sampling.index_list(o.encoded_indices)
     if any(lists):
@@ -73,14 +83,26 @@ def compare(spark: SparkSession, o: argparse.Namespace) -> tuple[DataFrame, list
         return structural_score(both), ["score"]
     if sampling.metric_name(o.metric) == "psychovisual":
         return psychovisual_distance(both, o.qnorm, o.intensity_target), ["norm_q", "norm_3", "norm_inf"]
-    raise SystemExit("the display metric needs a sensitivity table: call display_difference from Python")
+    folder = config.find_folder(spark, [o.config_dir or ""])
+    shown = config.read_display(spark, folder, o.display)
+    if o.parameters:
+        given = config.check_parameters(spark, o.parameters, DISPLAY_PARAMETERS)
+        if changed := sorted(k for k, v in given.items() if v != DISPLAY_PARAMETERS[k]):
+            raise SystemExit(f"the display metric is calibrated for other values of {', '.join(changed)}")
+    if not o.sensitivity:
+        raise SystemExit("the display metric needs a contrast sensitivity: --sensitivity FILE")
+    table = config.read_sensitivity(spark, o.sensitivity)
+    return display_difference(both, shown, table, o.fps or rate or 30.0), ["score"]
 
 
 def main(argv: list[str] | None = None) -> int:
     o = options(sys.argv[1:] if argv is None else argv)
     spark = SparkSession.builder.appName("pixelquill").getOrCreate()
     found, values = compare(spark, o)
+    began = time.monotonic()
     found = found.persist()
+    frames = found.count()
+    print(f"{frames} frames, {frames / max(time.monotonic() - began, 1e-9):.2f} a second", file=sys.stderr)
     if o.json:
         files.write_json(found, o.json, values)
     for v in values:

@@ -1,7 +1,7 @@
 """Psychovisual distance: a difference map and its norms (0: identical).
 
 Tasks turn a pair into its map (full and half size, added up) without moving its planes;
-norms are expressions over the map.
+norms are taken there too, unless the map itself is asked for.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.planes import erode, halve, line_sums, psycho_blur
-from .rows import plane_arrays
+from .rows import both_planes
 
 _OPSIN = np.array(K.PSYCHO_OPSIN)
 
@@ -101,31 +101,48 @@ def difference_map(a: np.ndarray, b: np.ndarray, intensity: float) -> np.ndarray
     return np.sqrt(gain(0.829591754942, 0.451936922203, 2.5485944793) * ac + gain(0.20025578522, 3.87449418804, 0.505054525019) * dc)
 
 
+def _map(batch: pa.RecordBatch, i: int, intensity: float) -> np.ndarray:
+    """Row i's map: full size, and half size twice as large added."""
+    full = [np.sign(p) * np.abs(p) ** 2.4 for p in both_planes(batch, i)]
+    half = [np.stack([halve(p) for p in planes]) for planes in full]
+    d, small = difference_map(*full, intensity), difference_map(*half, intensity)
+    h, w = d.shape
+    return d * 0.85 + 0.5 * small.repeat(2, 0).repeat(2, 1)[:h, :w]
+
+
 def _maps(intensity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                full = [np.sign(p) * np.abs(p) ** 2.4 for p in (plane_arrays(batch, i, s) for s in ("a", "b"))]
-                half = [np.stack([halve(p) for p in planes]) for planes in full]
-                d, small = difference_map(*full, intensity), difference_map(*half, intensity)
-                h, w = d.shape
-                d = d * 0.85 + 0.5 * small.repeat(2, 0).repeat(2, 1)[:h, :w]
-                size = [pa.array([w], pa.int32()), pa.array([h], pa.int32())]
+                d = _map(batch, i, intensity)
+                size = [pa.array([d.shape[1]], pa.int32()), pa.array([d.shape[0]], pa.int32())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), *size, pa.array([d.ravel()], pa.list_(pa.float64()))], ["pair_id", "ord", "width", "height", "data"])
 
     return run
 
 
+def _norms(intensity: float, q: float):
+    """Norms in the task, so that no map goes back to Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = (np.abs(_map(batch, i, intensity)) for i in range(batch.num_rows))
+            found = [((d**q).mean() ** (1 / q), (d**3).mean() ** (1 / 3), d.max()) for d in maps]
+            columns = [pa.array([f[k] for f in found], pa.float64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["pair_id", "ord", "norm_q", "norm_3", "norm_inf"])
+
+    return run
+
+
+def _inputs(pairs: DataFrame) -> DataFrame:
+    return pairs.select("pair_id", F.col("ord").cast("int"), "a_width", "a_height", "a_planes", "b_width", "b_height", "b_planes")
+
+
 def distortion_maps(pairs: DataFrame, intensity: float = 203.0) -> DataFrame:
     """(pair_id, ord, width, height, data) of pairs(pair_id, ord, a_*, b_*)."""
-    rows = pairs.select("pair_id", F.col("ord").cast("int"), "a_width", "a_height", "a_planes", "b_width", "b_height", "b_planes")
-    return rows.mapInArrow(_maps(intensity), f"pair_id {dict(pairs.dtypes)['pair_id']}, ord int, width int, height int, data array<double>")
+    return _inputs(pairs).mapInArrow(_maps(intensity), f"pair_id {dict(pairs.dtypes)['pair_id']}, ord int, width int, height int, data array<double>")
 
 
 def psychovisual_distance(pairs: DataFrame, q: float = 2.0, intensity: float = 203.0) -> DataFrame:
     """(pair_id, ord, norm_q, norm_3, norm_inf)."""
-    total = lambda f: F.aggregate("data", F.lit(0.0), lambda s, x: s + f(F.abs(x)))
-    n = F.size("data")
-    return distortion_maps(pairs, intensity).select(
-        "pair_id", "ord", F.pow(total(lambda x: F.pow(x, F.lit(float(q)))) / n, F.lit(1.0 / q)).alias("norm_q"), F.pow(total(lambda x: x * x * x) / n, F.lit(1 / 3)).alias("norm_3"), F.array_max("data").alias("norm_inf")
-    )
+    return _inputs(pairs).mapInArrow(_norms(intensity, q), f"pair_id {dict(pairs.dtypes)['pair_id']}, ord int, norm_q double, norm_3 double, norm_inf double")

@@ -17,3 +17,11 @@ def plane_arrays(batch: pa.RecordBatch, i: int, side: str) -> np.ndarray:
     if flat.size != len(planes) * width * height:
         raise DifferingInputs(f"a plane of {width} x {height} has {flat.size / max(len(planes), 1):.0f} samples")
     return flat.reshape(len(planes), height, width)
+
+
+def both_planes(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row i's planes of both sides, which have to be of one shape."""
+    a, b = (plane_arrays(batch, i, s) for s in ("a", "b"))
+    if a.shape != b.shape:
+        raise DifferingInputs(f"frames differ: {a.shape[2]} x {a.shape[1]} of {len(a)} planes and {b.shape[2]} x {b.shape[1]} of {len(b)}")
+    return a, b

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import SamplingError
@@ -100,6 +100,28 @@ def zip_lists(lists: DataFrame, source: str, other: str, keys: tuple[str, ...] =
     return both.select(*keys, "ord", F.col("z.a").alias("src_frame"), F.col("z.b").alias("enc_frame"))
 
 
+def numbered(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """rows with `ord`, a row's number inside its key from 0, and `size`, the rows of its key.
+
+    Rows are dealt by ranges of key and order, numbered inside their partition, and
+    shifted by what earlier partitions hold of the key; so one key of any size is spread.
+    The order has to tell all rows of a key apart."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id())
+    counts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_own"))  # a key's partitions: n rows at most
+    w = Window.partitionBy(*keys)
+    shifts = counts.select(*keys, "_part", (F.sum("_own").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"), F.sum("_own").over(w).alias("size"))
+    placed = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
+    both = placed.join(shifts, [*keys, "_part"])
+    return both.withColumn("ord", F.coalesce("_before", F.lit(0)) + F.col("_nth") - 1).drop("_part", "_nth", "_before")
+
+
+def zip_ordered(source: DataFrame, other: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Ordinal zip of numbered frames (keys, ord, frame_idx): an equi-join on key and number."""
+    a = source.select(*keys, "ord", F.col("frame_idx").alias("src_frame"))
+    return a.join(other.select(*keys, "ord", F.col("frame_idx").alias("enc_frame")), [*keys, "ord"]).withColumn("ord", F.col("ord").cast("int"))
+
+
 def attach(pairs: DataFrame, source: DataFrame, other: DataFrame, keys: tuple[str, ...] = (), values: tuple[str, ...] = ("width", "height", "planes")) -> DataFrame:
     """Both frames of each pair: columns a_* of the source and b_* of the other video."""
     a = source.select(*keys, F.col("frame_idx").alias("src_frame"), *(F.col(v).alias(f"a_{v}") for v in values))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import pixel
 from ..functions.planes import blur, halve
-from .rows import plane_arrays
+from .rows import both_planes
 
 MAPS = ("structure", "artifact", "detail")
 
@@ -48,7 +48,7 @@ def _maps(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
 def _scales(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            both = [np.sign(p) * np.abs(p) ** 2.4 for p in (plane_arrays(batch, i, name) for name in ("a", "b"))]
+            both = [np.sign(p) * np.abs(p) ** 2.4 for p in both_planes(batch, i)]
             rows = []
             for scale in range(K.STRUCTURAL_SCALES):
                 if scale:

@@ -77,9 +77,10 @@ SELECT a.user_id, CAST(a.ord AS INTEGER) AS ord, a.event_id AS src_frame, b.even
 AND b.ord = (SELECT max(ord) FROM t m WHERE m.user_id = a.user_id) - a.ord""")
 def pair_zip_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's frames forwards against the same frames backwards."""
-    e = fixtures.table(spark, sf_dir, "events")
-    lists = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), lambda s: s["event_id"]).alias("a")).withColumn("b", F.reverse("a"))
-    return sampling.zip_lists(lists, "a", "b", ("user_id",))
+    e = fixtures.table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    forwards = sampling.numbered(e, ("user_id",), ("ts", "event_id")).withColumnRenamed("event_id", "frame_idx")
+    backwards = forwards.withColumn("ord", F.col("size") - 1 - F.col("ord"))
+    return sampling.zip_ordered(forwards, backwards, ("user_id",))
 
 
 @query("SELECT event_id AS frame_idx FROM events WHERE event_id >= 100 AND event_id < 5000 AND (event_id - 100) % 7 = 0")

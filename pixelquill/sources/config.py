@@ -87,3 +87,62 @@ def display_from(displays: dict, spaces: dict, name: str) -> Display:
 
 def read_display(spark: SparkSession, folder: str, name: str, displays: str = "display_models.json", spaces: str = "color_spaces.json") -> Display:
     return display_from(read_document(spark, f"{folder}/{displays}"), read_document(spark, f"{folder}/{spaces}"), name)
+
+
+#: The documents that a configuration folder holds at least; callers may ask for more.
+DOCUMENTS = ("color_spaces.json", "display_models.json")
+
+
+def find_folder(spark: SparkSession, candidates: list[str], documents: tuple[str, ...] = DOCUMENTS) -> str:
+    """The first candidate that holds all documents; any file system that Spark reads."""
+    missing = {}
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for folder in dict.fromkeys(c.rstrip("/") for c in candidates if c):
+        where = path(folder)
+        store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        missing[folder] = [d for d in documents if not store.exists(path(where, d))]
+        if not missing[folder]:
+            return folder
+    raise ConfigurationError("no configuration folder: " + "; ".join(f"{k} lacks {', '.join(v)}" for k, v in missing.items()) if missing else "no configuration folder was named")
+
+
+def table_of(document: dict, key: str, rows: int, columns: int) -> list[list[float]]:
+    found = document.get(key)
+    if not isinstance(found, list) or len(found) != rows:
+        raise ConfigurationError(f"{key} needs {rows} rows")
+    for i, row in enumerate(found):
+        if not isinstance(row, list) or len(row) != columns:
+            raise ConfigurationError(f"{key}, row {i}: {columns} numbers are needed")
+        if any(isinstance(v, bool) or not isinstance(v, int | float) for v in row):
+            raise ConfigurationError(f"{key}, row {i} has something else than numbers")
+    return found
+
+
+def read_sensitivity(spark: SparkSession, path: str):
+    """The sensitivity table of a JSON document: axes L_bkg and rho, log10 tables o0_c1, o0_c2, o0_c3 and o5_c1."""
+    from ..operators.visibility import Sensitivity
+
+    document = read_document(spark, path)
+    axes = []
+    for key in ("L_bkg", "rho"):
+        if not document.get(key):
+            raise ConfigurationError(f"{key} is missing or empty")
+        axes.append(table_of({key: [document[key]]}, key, 1, len(document[key]))[0])
+    return Sensitivity.from_axes(*axes, [table_of(document, k, len(axes[0]), len(axes[1])) for k in ("o0_c1", "o0_c2", "o0_c3", "o5_c1")])
+
+
+def check_parameters(spark: SparkSession, path: str, known: dict) -> dict:
+    """The parameters document's values of the known names, each of the known one's form; names left out keep their value."""
+    document, out = read_document(spark, path), dict(known)
+    for key, have in known.items():
+        if key not in document:
+            continue
+        value = document[key]
+        if isinstance(have, tuple):
+            table_of({key: [value]}, key, 1, len(have))
+            out[key] = tuple(float(v) for v in value)
+        elif isinstance(have, str):
+            out[key] = str(value)
+        else:
+            out[key] = type(have)(_number(document, key, have))
+    return out

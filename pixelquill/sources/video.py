@@ -1,9 +1,11 @@
 """Frames from uncompressed files: Y4M clips, raw planar and packed samples.
 
-Files come in through Spark's binary reader, so any store that Spark reads will do; a
-file is one row there, which bounds a file at 2 GB (cut longer clips into parts, whose
-`first` gives the index of their first frame).  Frames are rows of (video_id,
-frame_idx, width, height, fps, planes) with samples scaled to 0..1.
+Files are listed by Spark and opened in tasks: first their heads, from which follow the
+places of all frames, then ranges of frames of about RANGE_BYTES, each in a task that
+seeks to its first frame and reads no other.  So a clip of any length is spread, and a
+range of frames is all that is read of it.  Tasks open files through Arrow's file
+systems, so executors have to see the paths.  Frames are rows of (video_id, frame_idx,
+width, height, fps, planes) with samples scaled to 0..1.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +25,8 @@ from ..errors import DifferingInputs, UnsupportedInput
 
 FRAMES = "video_id string, frame_idx long, width int, height int, fps double, planes array<array<float>>"
 
+#: Bytes of frames that one task reads, and tasks of one read at most.
+RANGE_BYTES, MAX_RANGES = 64 << 20, 20_000
 #: Sample name -> (numpy type, the value of full scale).
 SAMPLES = {"uint8": ("<u1", 255.0), "uint16": ("<u2", 65535.0), "half": ("<f2", 1.0), "float": ("<f4", 1.0)}
 #: Packed layouts: the place of r, g, b among the samples of a pixel, and samples a pixel.
@@ -63,21 +68,40 @@ def matrix_rgb(y: np.ndarray, cb: np.ndarray, cr: np.ndarray, kr: float, kb: flo
     return np.stack([r, (y - kr * r - kb * b) / (1 - kr - kb), b])
 
 
-def to_rgb(planes: list[np.ndarray], form: PixelFormat) -> np.ndarray:
-    """Sample planes of a format to RGB of 0..1; chroma is repeated, matrix 709 above 650 lines, else 601."""
+# Luma weights of red and blue by matrix name.
+MATRICES = {"709": (0.2126, 0.0722), "601": (0.299, 0.114), "2020": (0.2627, 0.0593), "240": (0.212, 0.087), "fcc": (0.3, 0.11)}
+
+
+@dataclass(frozen=True)
+class Colour:
+    """What is known about samples beyond their format; None is what the file says, or the default."""
+
+    matrix: str | None = None  # by default 709 above 650 lines, else 601
+    full_range: bool | None = None  # by default that of the format
+
+    def weights(self, height: int) -> tuple[float, float]:
+        name = self.matrix or ("709" if height > 650 else "601")
+        if name not in MATRICES:
+            raise UnsupportedInput(f"matrix {name!r}")
+        return MATRICES[name]
+
+
+def to_rgb(planes: list[np.ndarray], form: PixelFormat, colour: Colour = Colour()) -> np.ndarray:
+    """Sample planes of a format to RGB of 0..1; chroma is repeated."""
     top = float((1 << form.depth) - 1)
     if form.family == "rgb":
         return np.stack(planes) / top
     unit = 1 << (form.depth - 8)
-    scale = (lambda p, low, span: p / top if form.full_range else (p - low * unit) / (span * unit))
+    full = form.full_range if colour.full_range is None else colour.full_range
+    scale = (lambda p, low, span: p / top if full else (p - low * unit) / (span * unit))
     y = scale(planes[0].astype(np.float64), 16, 219)
     if form.family == "gray":
         return np.stack([y, y, y])
     h, w = y.shape
     half = (1 << (form.depth - 1))
-    cb, cr = ((p.astype(np.float64) - half) / (top if form.full_range else 224 * unit) for p in planes[1:3])
+    cb, cr = ((p.astype(np.float64) - half) / (top if full else 224 * unit) for p in planes[1:3])
     cb, cr = (p.repeat(1 << form.sub_h, 0).repeat(1 << form.sub_w, 1)[:h, :w] for p in (cb, cr))
-    return matrix_rgb(y, cb, cr, *((0.2126, 0.0722) if h > 650 else (0.299, 0.114)))
+    return matrix_rgb(y, cb, cr, *colour.weights(h))
 
 
 _Y4M = {"420": "yuv420p", "420jpeg": "yuv420p", "420mpeg2": "yuv420p", "420paldv": "yuv420p", "422": "yuv422p", "444": "yuv444p", "411": "yuv411p", "440": "yuv440p", "mono": "gray"}
@@ -93,55 +117,141 @@ def _y4m_format(tag: str) -> PixelFormat:
     raise UnsupportedInput(f"Y4M colour space {tag!r}")
 
 
-def _y4m_frames(content: memoryview) -> Iterator[tuple[int, int, float, np.ndarray]]:
-    head = bytes(content[:4096]).split(b"\n", 1)[0]
-    if not head.startswith(b"YUV4MPEG2"):
-        raise UnsupportedInput("not a Y4M file")
-    fields = {x[:1]: x[1:] for x in head.decode("ascii", "replace").split(" ")[1:] if x}
-    w, h = int(fields["W"]), int(fields["H"])
-    up, _, down = fields.get("F", "30:1").partition(":")
-    fps = int(up) / max(int(down or 1), 1)
-    form = _y4m_format(fields.get("C", "420"))
-    kind = np.dtype("<u2" if form.depth > 8 else "<u1")
-    cw, ch = -(-w // (1 << form.sub_w)), -(-h // (1 << form.sub_h))
-    shapes = [(h, w)] + [(ch, cw)] * (2 if form.family == "yuv" else 0)
-    at = len(head) + 1
-    while at < len(content):
-        line = bytes(content[at : at + 256]).split(b"\n", 1)[0]
+def _open(path: str) -> pa.NativeFile:
+    where = re.sub(r"^file:/+", "/", path)
+    store, name = (fs.LocalFileSystem(), where) if where.startswith("/") else fs.FileSystem.from_uri(where)
+    return store.open_input_file(name)
+
+
+@dataclass(frozen=True)
+class Clip:
+    """The head of a Y4M file."""
+
+    width: int
+    height: int
+    fps: float
+    form: PixelFormat
+    full_range: bool | None
+    begin: int  # where the first frame's marker is
+
+    @classmethod
+    def of(cls, file: pa.NativeFile) -> Clip:
+        head = file.read_at(min(4096, file.size()), 0).split(b"\n", 1)[0]
+        if not head.startswith(b"YUV4MPEG2"):
+            raise UnsupportedInput("not a Y4M file")
+        words = [x for x in head.decode("ascii", "replace").split(" ")[1:] if x]
+        fields = {x[:1]: x[1:] for x in words if x[0] != "X"}
+        span = next((x[len("XCOLORRANGE=") :] for x in words if x.startswith("XCOLORRANGE=")), None)
+        up, _, down = fields.get("F", "30:1").partition(":")
+        return cls(int(fields["W"]), int(fields["H"]), int(up) / max(int(down or 1), 1), _y4m_format(fields.get("C", "420")), None if span is None else span == "FULL", len(head) + 1)
+
+    @property
+    def kind(self) -> np.dtype:
+        return np.dtype("<u2" if self.form.depth > 8 else "<u1")
+
+    @property
+    def shapes(self) -> list[tuple[int, int]]:
+        chroma = (-(-self.height // (1 << self.form.sub_h)), -(-self.width // (1 << self.form.sub_w)))
+        return [(self.height, self.width)] + [chroma] * (2 if self.form.family == "yuv" else 0) if self.form.family != "rgb" else [(self.height, self.width)] * 3
+
+    @property
+    def size(self) -> int:
+        return sum(h * w for h, w in self.shapes) * self.kind.itemsize
+
+    def marker(self, file: pa.NativeFile, at: int) -> int:
+        """The length of the marker line at a place."""
+        line = file.read_at(min(256, file.size() - at), at).split(b"\n", 1)[0]
         if not line.startswith(b"FRAME"):
             raise UnsupportedInput("a Y4M frame has no marker")
-        at += len(line) + 1
-        planes = []
-        for shape in shapes:
-            size = shape[0] * shape[1] * kind.itemsize
-            if at + size > len(content):
-                raise UnsupportedInput("the last Y4M frame is cut off")
-            planes.append(np.frombuffer(content[at : at + size], kind).reshape(shape))
-            at += size
-        yield w, h, fps, to_rgb(planes, form)
+        return len(line) + 1
+
+    def places(self, file: pa.NativeFile) -> np.ndarray:
+        """Where each frame's marker is: one step apart, or else found marker by marker."""
+        whole = file.size() - self.begin
+        if not whole:
+            return np.zeros(0, np.int64)
+        step = self.marker(file, self.begin) + self.size
+        if whole % step == 0:
+            even = self.begin + np.arange(whole // step, dtype=np.int64) * step
+            if all(file.read_at(min(5, file.size() - int(p)), int(p)) == b"FRAME" for p in (even[len(even) // 2], even[-1])) and self.marker(file, int(even[-1])) + self.size == step:
+                return even
+        at, out = self.begin, []
+        while at < file.size():
+            out.append(at)
+            at += self.marker(file, at) + self.size
+        if at > file.size():
+            raise UnsupportedInput("the last Y4M frame is cut off")
+        return np.array(out, np.int64)
 
+    def frame(self, file: pa.NativeFile, at: int, colour: Colour) -> np.ndarray:
+        skip = self.marker(file, at)
+        data, done, planes = np.frombuffer(file.read_at(self.size, at + skip), self.kind), 0, []
+        for h, w in self.shapes:
+            planes.append(data[done : done + h * w].reshape(h, w))
+            done += h * w
+        return to_rgb(planes, self.form, Colour(colour.matrix, self.full_range if colour.full_range is None else colour.full_range))
 
-def _rows(frames: Iterator, video: str, first: int) -> Iterator[pa.RecordBatch]:
-    for i, (w, h, fps, rgb) in enumerate(frames):
-        planes = pa.array([[p.astype(np.float32).ravel() for p in rgb]], pa.list_(pa.list_(pa.float32())))
-        yield pa.RecordBatch.from_arrays([pa.array([video]), pa.array([first + i], pa.int64()), pa.array([w], pa.int32()), pa.array([h], pa.int32()), pa.array([fps], pa.float64()), planes], ["video_id", "frame_idx", "width", "height", "fps", "planes"])
 
+def _row(video: str, index: int, w: int, h: int, fps: float, rgb: np.ndarray) -> pa.RecordBatch:
+    planes = pa.array([[p.astype(np.float32).ravel() for p in rgb]], pa.list_(pa.list_(pa.float32())))
+    return pa.RecordBatch.from_arrays([pa.array([video]), pa.array([index], pa.int64()), pa.array([w], pa.int32()), pa.array([h], pa.int32()), pa.array([fps], pa.float64()), planes], ["video_id", "frame_idx", "width", "height", "fps", "planes"])
 
-def read_y4m(spark: SparkSession, path: str, first: int = 0) -> DataFrame:
-    """Frames of all Y4M files at path; the file's name is the video_id."""
+
+def _files(spark: SparkSession, path: str | list[str], whole_path: bool = False) -> DataFrame:
+    """(path, name) of the files; their contents are not read."""
+    return spark.read.format("binaryFile").load(path).select("path", (F.col("path") if whole_path else F.element_at(F.split("path", "/"), -1)).alias("name"))
+
+
+RANGES = "path string, name string, first long, places array<long>"
+
+
+def _ranges(files: DataFrame, places, start: int, end: int | None) -> DataFrame:
+    """RANGES rows, one a task as far as MAX_RANGES reach; places(file) gives (places of frames, bytes of one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield from _rows(_y4m_frames(memoryview(content.as_buffer())), name, first)
+            for path, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with _open(path) as file:
+                    found, size = places(file)
+                    step = max(1, RANGE_BYTES // max(size, 1))
+                    last = len(found) if end is None else min(end, len(found))
+                    rows = [(path, name, i, found[i : min(i + step, last)].tolist()) for i in range(max(start, 0), last, step)]
+                columns = list(zip(*rows, strict=True)) or [[]] * 4
+                kinds = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "name", "first", "places"])
 
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return files.mapInArrow(run, FRAMES)
+    rows = files.mapInArrow(run, RANGES)
+    return rows.repartition(max(1, min(rows.count(), MAX_RANGES)))  # a count of heads
 
 
-def read_raw(spark: SparkSession, path: str, width: int, height: int, sample: str = "uint8", stride: int | None = None, layout: str = "planar", fps: float = 30.0, first: int = 0) -> DataFrame:
-    """Frames of headerless files: three planes one after the other, or a packed layout; stride counts samples of a row."""
-    if layout != "planar":
+def read_y4m(spark: SparkSession, path: str, first: int = 0, start: int = 0, end: int | None = None, colour: Colour = Colour(), whole_path: bool = False) -> DataFrame:
+    """Frames [start, end) of all Y4M files at path, numbered from `first` on.
+    The video_id is the file's name, or its whole path where names repeat between folders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                with _open(r["path"]) as file:
+                    clip = Clip.of(file)
+                    for k, at in enumerate(r["places"]):
+                        yield _row(r["name"], first + r["first"] + k, clip.width, clip.height, clip.fps, clip.frame(file, at, colour))
+
+    def places(file: pa.NativeFile) -> tuple[np.ndarray, int]:
+        clip = Clip.of(file)
+        return clip.places(file), clip.size
+
+    return _ranges(_files(spark, path, whole_path), places, start, end).mapInArrow(run, FRAMES)
+
+
+def read_raw(
+    spark: SparkSession, path: str, width: int, height: int, sample: str = "uint8", stride: int | None = None, layout: str = "planar", fps: float = 30.0, first: int = 0,
+    start: int = 0, end: int | None = None, colour: Colour = Colour(), whole_path: bool = False,
+) -> DataFrame:
+    """Frames [start, end) of headerless files: three planes one after the other, or a packed layout; stride counts samples of a row.
+    The layout yuyv422 holds two pixels in four samples (y, cb, y, cr)."""
+    if layout == "yuyv422":
+        sample, places, per = "uint8", (), 2
+    elif layout != "planar":
         sample, places, per = PACKED[layout] if layout in PACKED else (None, None, None)
         if sample is None:
             raise UnsupportedInput(f"layout {layout!r}")
@@ -150,29 +260,34 @@ def read_raw(spark: SparkSession, path: str, width: int, height: int, sample: st
     if sample not in SAMPLES:
         raise UnsupportedInput(f"sample type {sample!r}")
     kind, top = SAMPLES[sample]
-    row = stride or width * per
+    across = -(-width // 2) * 4 if layout == "yuyv422" else width * per
+    row = stride or across
     frame = row * height * (3 if layout == "planar" else 1)
-
-    def frames(content: pa.Buffer) -> Iterator[tuple[int, int, float, np.ndarray]]:
-        data = np.frombuffer(content, kind)
-        if len(data) % frame:
-            raise DifferingInputs(f"{len(data)} samples are no whole frames of {frame}")
-        for i in range(0, len(data), frame):
-            own = data[i : i + frame].astype(np.float64) / top
-            if layout == "planar":
-                rgb = np.stack([unstride(own[c * row * height :], row, width, height) for c in range(3)])
-            else:
-                pixels = unstride(own, row, width * per, height).reshape(height, width, per)
-                rgb = np.stack([pixels[:, :, c] for c in places])
-            yield width, height, fps, rgb
+    size = frame * np.dtype(kind).itemsize
+
+    def rgb_of(data: np.ndarray) -> np.ndarray:
+        if layout == "planar":
+            own = data.astype(np.float64) / top
+            return np.stack([unstride(own[c * row * height :], row, width, height) for c in range(3)])
+        pixels = unstride(data, row, across, height)
+        if layout == "yuyv422":
+            return to_rgb([pixels[:, ::2][:, :width], pixels[:, 1::4], pixels[:, 3::4]], pixel_format("yuv422p"), colour)
+        pixels = pixels.astype(np.float64).reshape(height, width, per) / top
+        return np.stack([pixels[:, :, c] for c in places])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield from _rows(frames(content.as_buffer()), name, first)
+            for r in batch.to_pylist():
+                with _open(r["path"]) as file:
+                    for k, at in enumerate(r["places"]):
+                        yield _row(r["name"], first + r["first"] + k, width, height, fps, rgb_of(np.frombuffer(file.read_at(size, at), kind)))
+
+    def found(file: pa.NativeFile) -> tuple[np.ndarray, int]:
+        if file.size() % size:
+            raise DifferingInputs(f"{file.size()} bytes are no whole frames of {size}")
+        return np.arange(0, file.size(), size, dtype=np.int64), size
 
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return files.mapInArrow(run, FRAMES)
+    return _ranges(_files(spark, path, whole_path), found, start, end).mapInArrow(run, FRAMES)
 
 
 def frame_index(frames: DataFrame) -> DataFrame:
@@ -186,28 +301,26 @@ def file_index(spark: SparkSession, path: str, cache: str | None = None) -> Data
     With a cache (a Parquet table), files that it knows at the same time and size are not
     opened; new ones are added to it."""
     shape = "path string, modified timestamp, bytes long, width int, height int, fps double, frames long"
-    files = spark.read.format("binaryFile").load(path)
-    present = files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+    present = spark.read.format("binaryFile").load(path).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, content in enumerate(batch.column(3)):
-                sizes = [(w, h, fps) for w, h, fps, _ in _y4m_frames(memoryview(content.as_buffer()))]
-                w, h, fps = sizes[0] if sizes else (0, 0, 0.0)
-                more = [pa.array([w], pa.int32()), pa.array([h], pa.int32()), pa.array([fps]), pa.array([len(sizes)], pa.int64())]
+            for i, name in enumerate(batch.column(0).to_pylist()):
+                with _open(name) as file:  # heads and markers only; no frame is decoded
+                    clip = Clip.of(file)
+                    more = [pa.array([clip.width], pa.int32()), pa.array([clip.height], pa.int32()), pa.array([clip.fps]), pa.array([len(clip.places(file))], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 1) for k in range(3)), *more], ["path", "modified", "bytes", "width", "height", "fps", "frames"])
 
-    opened = lambda rows: rows.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"), "content").mapInArrow(run, shape)
+    opened = lambda rows: rows.select("path", "modified", "bytes").mapInArrow(run, shape)
     if cache is None:
-        return opened(files)
+        return opened(present)
     try:
         known = spark.read.schema(shape).parquet(cache)
         known.limit(1).collect()
     except AnalysisException:
-        opened(files).write.parquet(cache)
+        opened(present).write.parquet(cache)
         return spark.read.schema(shape).parquet(cache)
     fresh = present.join(known, ["path", "modified", "bytes"], "left_anti")
-    names = [r["path"] for r in fresh.select("path").collect()]  # new files only
-    if names:
-        opened(spark.read.format("binaryFile").load(names)).write.mode("append").parquet(cache)
+    if not fresh.isEmpty():
+        opened(fresh).write.mode("append").parquet(cache)
     return spark.read.schema(shape).parquet(cache).join(present, ["path", "modified", "bytes"], "left_semi")

@@ -53,3 +53,26 @@ def test_crops(spark):
     assert got == {(0, 0): 7, (0, 1): 8, (0, 2): 9, (1, 0): 12, (1, 1): 13, (1, 2): 14}
     row = spark.createDataFrame([([float(k) for k in range(20)],)], "p array<double>")
     assert row.select(S.crop_plane(F.col("p"), F.lit(5), F.lit(4), 1, 1, 2, 0)).collect()[0][0] == [7, 8, 9, 12, 13, 14]
+
+
+def test_numbering_spreads_a_hot_key(spark):
+    """Numbers inside keys agree with sorting each key, whatever the partitions; none holds a whole hot key."""
+    rows = spark.range(900).selectExpr("IF(id % 3 = 0, id % 7, 99) AS k", "(id * 37) % 900 AS t")
+    got = S.numbered(rows, ("k",), ("t",)).collect()
+    by_key = {}
+    for r in got:
+        by_key.setdefault(r.k, []).append((r.ord, r.t, r.size))
+    assert sum(map(len, by_key.values())) == 900
+    for found in by_key.values():
+        found.sort()
+        assert [o for o, _, _ in found] == list(range(len(found))) and [t for _, t, _ in found] == sorted(t for _, t, _ in found)
+        assert {n for _, _, n in found} == {len(found)}
+
+
+def test_frames_of_differing_sizes_are_refused(spark):
+    from pixelquill.operators.structural import structural_score
+
+    row = [("p", 0, 2, 1, [[0.0, 0.0]] * 3, 1, 2, [[0.0, 0.0]] * 3)]
+    pairs = spark.createDataFrame(row, "pair_id string, ord int, a_width int, a_height int, a_planes array<array<float>>, b_width int, b_height int, b_planes array<array<float>>")
+    with pytest.raises(Exception, match="frames differ"):
+        structural_score(pairs).collect()

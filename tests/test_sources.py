@@ -155,3 +155,83 @@ def test_streamed_filter_equals_the_batch(spark, tmp_path):
     batch = spark.createDataFrame(rows, shape)
     want = {(r.pair_id, r.ord): r.f for r in batch.select("pair_id", "ord", temporal.fir(F.col("v"), taps, ["pair_id"], ["ord"]).alias("f")).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_one_clip_is_many_tasks(spark, tmp_path, monkeypatch):
+    """A long clip is dealt by ranges of frames, and a range reads its own frames only."""
+    plain = lambda v: (np.full((4, 6), v), np.full((2, 3), 128), np.full((2, 3), 128))
+    path = tmp_path / "long.y4m"
+    y4m(path, [plain(16 + k) for k in range(40)])
+    monkeypatch.setattr(video, "RANGE_BYTES", 36 * 8)
+    frames = video.read_y4m(spark, str(path))
+    assert frames.rdd.getNumPartitions() == 5
+    assert [(r.frame_idx, round(r.planes[0][0] * 219)) for r in frames.orderBy("frame_idx").collect()] == [(k, k) for k in range(40)]
+    part = video.read_y4m(spark, str(path), start=10, end=26)
+    assert part.rdd.getNumPartitions() == 2 and sorted(r.frame_idx for r in part.collect()) == list(range(10, 26))
+    data = bytearray(path.read_bytes())
+    place = data.index(b"FRAME", len(data) - 3 * 42)
+    data[place : place + 5] = b"BROKE"  # beyond the range: never looked at
+    path.write_bytes(data)
+    assert video.read_y4m(spark, str(path), end=16).count() == 16
+    with pytest.raises(Exception, match="no marker"):
+        video.read_y4m(spark, str(path)).collect()
+    (tmp_path / "raw").write_bytes(bytes(range(240)))
+    raw = video.read_raw(spark, str(tmp_path / "raw"), 4, 2, start=3, end=9)
+    assert [(r.frame_idx, round(r.planes[0][0] * 255)) for r in raw.orderBy("frame_idx").collect()] == [(k, 24 * k) for k in range(3, 9)]
+
+
+def test_markers_of_differing_lengths(spark, tmp_path):
+    frames = [b"FRAME" + extra + b"\n" + bytes([v] * 16) for v, extra in ((16, b""), (100, b" Ixyz"), (235, b" Q"))]
+    (tmp_path / "m.y4m").write_bytes(b"YUV4MPEG2 W4 H4 F25:1 Cmono\n" + b"".join(frames))
+    assert [round(r.planes[0][0] * 219) for r in video.read_y4m(spark, str(tmp_path / "m.y4m")).orderBy("frame_idx").collect()] == [0, 84, 219]
+    assert video.file_index(spark, str(tmp_path / "m.y4m")).collect()[0].frames == 3
+    (tmp_path / "cut.y4m").write_bytes((tmp_path / "m.y4m").read_bytes()[:-1])
+    with pytest.raises(Exception, match="cut off"):
+        video.read_y4m(spark, str(tmp_path / "cut.y4m")).collect()
+
+
+def test_colour_metadata_and_yuyv(spark, tmp_path):
+    (tmp_path / "f.y4m").write_bytes(b"YUV4MPEG2 W2 H1 F25:1 C444 XCOLORRANGE=FULL\nFRAME\n" + bytes([51, 204, 128, 128, 128, 228]))
+    full = video.read_y4m(spark, str(tmp_path / "f.y4m")).collect()[0].planes
+    assert full[0][0] == pytest.approx(0.2) and full[0][1] == pytest.approx(0.8 + 2 * (1 - 0.299) * 100 / 255, abs=1e-6)
+    wide = video.read_y4m(spark, str(tmp_path / "f.y4m"), colour=video.Colour("2020", False)).collect()[0].planes
+    assert wide[0][1] == pytest.approx((204 - 16) / 219 + 2 * (1 - 0.2627) * 100 / 224, abs=1e-6)
+    (tmp_path / "p").write_bytes(bytes([16, 128, 235, 128, 126, 90, 126, 200]))
+    got = np.array(video.read_raw(spark, str(tmp_path / "p"), 4, 1, layout="yuyv422", colour=video.Colour("709")).collect()[0].planes)
+    y, cb, cr = (np.array([16, 235, 126, 126]) - 16) / 219, np.array([0, 0, -38, -38]) / 224, np.array([0, 0, 72, 72]) / 224
+    assert np.allclose(got, video.matrix_rgb(y, cb, cr, 0.2126, 0.0722), atol=1e-6)
+    with pytest.raises(UnsupportedInput):
+        video.Colour("none").weights(4)
+
+
+def test_configuration_documents(spark, tmp_path):
+    for name in config.DOCUMENTS:
+        (tmp_path / "full").mkdir(exist_ok=True)
+        (tmp_path / "full" / name).write_text("{}")
+    (tmp_path / "part").mkdir()
+    assert config.find_folder(spark, ["", str(tmp_path / "part"), str(tmp_path / "full")]) == str(tmp_path / "full")
+    with pytest.raises(ConfigurationError, match="lacks"):
+        config.find_folder(spark, [str(tmp_path / "part")])
+    table = {"L_bkg": [0.1, 10], "rho": [0.5, 1, 2]} | {k: [[1, 2, 3], [4, 5, 6.5]] for k in ("o0_c1", "o0_c2", "o0_c3", "o5_c1")}
+    write = lambda d: (tmp_path / "t.json").write_text(json.dumps(d)) and str(tmp_path / "t.json")
+    found = config.read_sensitivity(spark, write(table))
+    assert np.allclose(found.log_background, [-1, 1]) and found.tables[3][1][2] == 6.5
+    for broken in ({"rho": []}, {"o0_c2": [[1, 2, 3]]}, {"o0_c3": [[1, 2], [3, 4]]}, {"o5_c1": [[1, 2, "x"], [4, 5, 6]]}):
+        with pytest.raises(ConfigurationError):
+            config.read_sensitivity(spark, write(table | broken))
+    known = {"a": 1.5, "b": (1.0, 2.0), "c": "soft", "d": 3}
+    assert config.check_parameters(spark, write({"a": 2, "b": [3, 4], "e": 0}), known) == {"a": 2.0, "b": (3.0, 4.0), "c": "soft", "d": 3}
+    with pytest.raises(ConfigurationError):
+        config.check_parameters(spark, write({"b": [1]}), known)
+
+
+def test_display_metric_from_the_command_line(spark, tmp_path, capsys):
+    y4m(tmp_path / "a.y4m", [(np.full((16, 16), 60 + k), np.full((8, 8), 128), np.full((8, 8), 128)) for k in range(3)])
+    (tmp_path / "display_models.json").write_text(json.dumps({"d": {"resolution": [1920, 1080], "viewing_distance_meters": 0.6, "diagonal_size_inches": 24, "max_luminance": 200, "contrast": 1000, "colorspace": "s"}}))
+    (tmp_path / "color_spaces.json").write_text(json.dumps({"s": {"EOTF": "sRGB", "RGB2X": [0.41, 0.36, 0.18], "RGB2Y": [0.21, 0.72, 0.07], "RGB2Z": [0.02, 0.12, 0.95]}}))
+    (tmp_path / "t.json").write_text(json.dumps({"L_bkg": [0.01, 1000], "rho": [0.1, 50]} | {k: [[1, 0.5], [2, 1]] for k in ("o0_c1", "o0_c2", "o0_c3", "o5_c1")}))
+    args = ["-s", str(tmp_path / "a.y4m"), "-e", str(tmp_path / "a.y4m"), "-m", "display", "--config-dir", str(tmp_path), "--display", "d"]
+    scores_found, names = cli.compare(spark, cli.options([*args, "--sensitivity", str(tmp_path / "t.json")]))
+    assert names == ["score"] and [r.score for r in scores_found.collect()] == [10.0] * 3
+    with pytest.raises(SystemExit, match="sensitivity"):
+        cli.compare(spark, cli.options(args))
