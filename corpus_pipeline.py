@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelquill.llm import bpe, decontaminate, near_duplicates, quality_classifier, secrets
-from pixelquill.llm._spark import new_path, small_batches, table
+from pixelquill.llm._spark import drop_path, new_path, small_batches, table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -49,15 +49,18 @@ def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", _quality), ("near duplicates", _near_duplicates), ("benchmark decontamination", _decontaminate), ("secret scans", _secrets), ("encoding", _encode)]
 
-#: The classifier, the network and the merges have no SQL form; tests hold the stages against brute force.
+#: The classifier, the network and the merges have no SQL form; tests/llm/test_pipeline_edges.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over documents; each result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         path = new_path(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_path(spark, before)  # its successor is written
+        before = path
     return docs
