@@ -265,6 +265,7 @@ def _lessons(rows: DataFrame, named: DataFrame, heads: dict, told: dict) -> list
     nth = F.row_number().over(Window.partitionBy("head", "view", "y").orderBy("mark", "id"))
     found = [tuple(r) for r in few.withColumn("nth", nth).where(F.col("nth") <= each).select("head", "view", "y", "mark").collect()]
     drop_path(spark, path)
+    shared.destroy()
     return found
 
 
