@@ -250,3 +250,9 @@ def sensitivity(log_background: Column, log_frequency: Column, backgrounds: list
 def base_difference(t: Column, r: Column, s: Column) -> Column:
     """The base band's difference: weighted, not masked."""
     return F.abs(t - r) * s
+
+
+def band_frequency(ppd: float) -> Column:
+    """Cycles per degree of `band` of `bands`."""
+    lower = F.lit(0.3228 * ppd / 2) * F.pow(F.lit(2.0), 1 - F.col("band"))
+    return F.when(F.col("band") == F.col("bands") - 1, F.lit(K.BASE_FREQUENCY)).when(F.col("band") == 0, F.lit(ppd / 2)).otherwise(lower)

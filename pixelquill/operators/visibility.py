@@ -149,9 +149,11 @@ def _filtered(length: int, taps: np.ndarray, chunk: int):
                 t, r = (_fir([p[s] for p in past], taps) for s in (0, 1))
                 n = 3 if o == 0 else 4
                 d = masked(t[:n], r[:n], (h, w))
-            total = (np.abs(d[:, first : first + lines]) ** P["beta"]).sum(axis=(1, 2))
-            out += [(pair, int(o), int(band), int(bands), c, float(q), lines * w) for c, q in enumerate(total)]
-        return pd.DataFrame(out, columns=["pair_id", "ord", "band", "bands", "ch", "total", "pixels"])
+            d = d[:, first : first + lines]
+            total = (np.abs(d) ** P["beta"]).sum(axis=(1, 2))
+            own = zip(total, d.sum(axis=(1, 2)), d.min(axis=(1, 2)), d.max(axis=(1, 2)), strict=True)
+            out += [(pair, int(o), int(band), int(bands), c, *map(float, v), lines * w) for c, v in enumerate(own)]
+        return pd.DataFrame(out, columns=["pair_id", "ord", "band", "bands", "ch", "total", "added", "least", "most", "pixels"])
 
     return run
 
@@ -164,12 +166,15 @@ def _fir(past: list[np.ndarray], taps: np.ndarray) -> np.ndarray:
 
 
 def band_scores(bands: DataFrame, fps: float = 30.0, chunk: int = 64) -> DataFrame:
-    """(pair_id, ord, band, bands, ch, q): filtered over time, masked, pooled over pixels."""
+    """(pair_id, ord, band, bands, ch, q, minimum, maximum, mean, pixels): filtered over time, masked, pooled over pixels."""
     length, taps = filter_length(fps, P["filter_len"]), kernels(fps, P["filter_len"])
     spread = with_history(bands, ["pair_id", "band", "strip"], length, chunk)
     kind = dict(bands.dtypes)["pair_id"]
-    sums = spread.groupBy("pair_id", "band", "strip", "chunk").applyInPandas(_filtered(length, taps, chunk), f"pair_id {kind}, ord int, band int, bands int, ch int, total double, pixels long")
-    return sums.groupBy("pair_id", "ord", "band", "bands", "ch").agg(F.pow(F.sum("total") / F.sum("pixels"), F.lit(1 / P["beta"])).alias("q"))
+    sums = spread.groupBy("pair_id", "band", "strip", "chunk").applyInPandas(_filtered(length, taps, chunk), f"pair_id {kind}, ord int, band int, bands int, ch int, total double, added double, least double, most double, pixels long")
+    return sums.groupBy("pair_id", "ord", "band", "bands", "ch").agg(
+        F.pow(F.sum("total") / F.sum("pixels"), F.lit(1 / P["beta"])).alias("q"),
+        F.min("least").alias("minimum"), F.max("most").alias("maximum"), (F.sum("added") / F.sum("pixels")).alias("mean"), F.sum("pixels").alias("pixels"),
+    )
 
 
 def display_difference(pairs: DataFrame, display: Display, table: Sensitivity, fps: float = 30.0, mode: str = "weber_g1", chunk: int = 64, strip: int = STRIP) -> DataFrame:

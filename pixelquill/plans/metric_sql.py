@@ -143,9 +143,11 @@ full_ AS (SELECT a.frame, a.d * 0.85 + 0.5 * b.d AS d FROM d a JOIN d b ON a.par
 SELECT 'colour' AS pair_id, CAST(frame AS INTEGER) AS ord, round(sqrt(avg(d * d)), 6) + 0.0 AS norm_q, round(pow(avg(d * d * d), 1.0 / 3), 6) + 0.0 AS norm_3, round(max(d), 6) + 0.0 AS norm_inf FROM full_ GROUP BY frame"""
 
 
-def display(colour: str, shown, sensitivity: tuple[tuple[float, float], ...], digits: int = 4) -> str:
+def display(colour: str, shown, sensitivity: tuple[tuple[float, float], ...], digits: int = 4, bands: bool = False) -> str:
     """The display difference of 8 x 8 frames at 30 a second: two bands, nine taps, a sensitivity given by
-    (steepness, centre) per channel over 13 backgrounds (10^-2 to 10^4) and 15 frequencies (10^-1 to 10^1.8)."""
+    (steepness, centre) per channel over 13 backgrounds (10^-2 to 10^4) and 15 frequencies (10^-1 to 10^1.8).
+
+    bands: the statistics of every band and channel, instead of the scores."""
     import math
 
     import numpy as np
@@ -177,6 +179,10 @@ def display(colour: str, shown, sensitivity: tuple[tuple[float, float], ...], di
     response = " UNION ALL ".join(f"SELECT {c} AS c, j, exp(-pow(j * 3.75, {p['beta_tf'][c]!r}) / {p['sigma_tf'][c]!r}) AS f FROM range(5) r(j)" for c in range(3))
     most = 10.0 ** p["d_max"]
     q = f"(q * CASE WHEN frame = 0 THEN {p['image_int']!r} ELSE 1.0 END)"
+    rounded = ", ".join(f"round({n}, {digits}) + 0.0 AS {n}" for n in ("q", "minimum", "maximum", "mean"))
+    last = f"SELECT 'colour' AS pair_id, CAST(frame AS INTEGER) AS ord, CAST(band AS INTEGER) AS band, CAST(c AS INTEGER) AS ch, {rounded}, pixels FROM detail"
+    if not bands:
+        last = f"SELECT 'colour' AS pair_id, CAST(frame AS INTEGER) AS ord, round(least(greatest(CASE WHEN {q} <= 0.1 THEN 10.0 - {q} * {p['jod_a'] * 0.1 ** (p['jod_exp'] - 1)!r} ELSE 10.0 - {p['jod_a']!r} * pow({q}, {p['jod_exp']!r}) END, 0.0), 10.0), {digits}) + 0.0 AS score FROM frames"
     return f"""{_linear(colour)},
 five(k, w) AS (VALUES (-2, 0.05), (-1, 0.25), (0, 0.4), (1, 0.25), (2, 0.05)),
 wide13 AS (SELECT j, exp(-j * j / 18.0) / sum(exp(-j * j / 18.0)) OVER () AS w FROM range(-6, 7) r(j)),
@@ -197,8 +203,10 @@ mut AS (SELECT frame, c, y, x, least(abs(t), abs(r)) AS v FROM tr),
 across(s, c, w) AS (VALUES {across}),
 mask AS (SELECT frame, a.c, y, x, greatest(sum(a.w * m2.v * {10.0 ** p['mask_c']!r}), 0.0) AS m FROM m2 JOIN across a ON a.s = m2.c WHERE frame > 0 OR a.c < 3 GROUP BY ALL),
 diff AS (SELECT frame, c, {power("abs(t - r)", repr(p['mask_p']))} / (1 + {power("m", pick(p['mask_q']))}) AS d FROM tr JOIN mask USING (frame, c, y, x)),
-pooled AS (SELECT 0 AS band, frame, c, pow(avg(pow({most!r} * d / ({most!r} + d), {p['beta']!r})), {1 / p['beta']!r}) AS q FROM diff GROUP BY ALL
-  UNION ALL SELECT 1, frame, c, pow(avg(pow(abs(d), {p['beta']!r})), {1 / p['beta']!r}) * {pick(p['baseband_weight'])} FROM (SELECT frame, c, y, x, max(v) FILTER (side = 1) - max(v) FILTER (side = 0) AS d FROM con WHERE band = 1 GROUP BY ALL) GROUP BY frame, c),
+values_of AS (SELECT 0 AS band, frame, c, {most!r} * d / ({most!r} + d) AS d FROM diff
+  UNION ALL SELECT 1, frame, c, abs(max(v) FILTER (side = 1) - max(v) FILTER (side = 0)) FROM con WHERE band = 1 GROUP BY frame, c, y, x),
+detail AS (SELECT band, frame, c, pow(avg(pow(d, {p['beta']!r})), {1 / p['beta']!r}) AS q, min(d) AS minimum, max(d) AS maximum, avg(d) AS mean, count(*) AS pixels FROM values_of GROUP BY ALL),
+pooled AS (SELECT band, frame, c, q * CASE WHEN band = 1 THEN {pick(p['baseband_weight'])} ELSE 1.0 END AS q FROM detail),
 channel AS (SELECT frame, c, pow(sum(pow(q, {p['beta_sch']!r})), {1 / p['beta_sch']!r}) * CASE WHEN c = 3 THEN {p['ch_trans_w']!r} WHEN c > 0 THEN {p['ch_chrom_w']!r} ELSE 1.0 END AS q FROM pooled GROUP BY frame, c),
 frames AS (SELECT frame, pow(sum(pow(q, {p['beta_tch']!r})), {1 / p['beta_tch']!r}) AS q FROM channel GROUP BY frame)
-SELECT 'colour' AS pair_id, CAST(frame AS INTEGER) AS ord, round(least(greatest(CASE WHEN {q} <= 0.1 THEN 10.0 - {q} * {p['jod_a'] * 0.1 ** (p['jod_exp'] - 1)!r} ELSE 10.0 - {p['jod_a']!r} * pow({q}, {p['jod_exp']!r}) END, 0.0), 10.0), {digits}) + 0.0 AS score FROM frames"""
+{last}"""

@@ -514,6 +514,15 @@ def display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", r6(F.col("score"), "score", 4))
 
 
+@query(metric_sql.display(COLOUR, Display(ambient=250.0), fixtures.MADE_UP, bands=True))
+def display_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every band and channel adds, and the spread of its differences."""
+    from ..operators.visibility import band_scores, contrast_bands
+
+    found = band_scores(contrast_bands(fixtures.colour_pairs(spark, sf_dir), Display(ambient=250.0), fixtures.made_up_sensitivity()))
+    return found.select("pair_id", "ord", "band", "ch", *(r6(F.col(c), c, 4) for c in ("q", "minimum", "maximum", "mean")), "pixels")
+
+
 @query()
 def display_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.visibility import band_scores, contrast_bands

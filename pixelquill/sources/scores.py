@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import UnsupportedInput
+from ..functions.pixel import band_frequency
 
 
 def score_arrays(scores: DataFrame, values: list[str]) -> DataFrame:
@@ -45,8 +46,10 @@ def report(summary: DataFrame, label: str) -> str:
 
 
 def telemetry(scores: DataFrame, bands: DataFrame, ppd: float, display: str) -> DataFrame:
-    """(pair_id, ord, json): a frame's quality, the viewing setup and every band's pooled channels."""
-    per_band = bands.groupBy("pair_id", "ord", "band").agg(F.array_sort(F.collect_list(F.struct("ch", "q"))).alias("channels"))
-    listed = per_band.groupBy("pair_id", "ord").agg(F.array_sort(F.collect_list(F.struct("band", "channels"))).alias("bands"))
+    """(pair_id, ord, json): a frame's quality, the viewing setup and every band's frequency (rho, cycles per degree),
+    pixels and channels, each with its pooled, least, largest and mean difference."""
+    channel = F.struct("ch", "q", "minimum", "maximum", "mean")
+    per_band = bands.groupBy("pair_id", "ord", "band").agg(F.max("pixels").alias("pixels"), F.first(band_frequency(ppd)).alias("rho"), F.array_sort(F.collect_list(channel)).alias("channels"))
+    listed = per_band.groupBy("pair_id", "ord").agg(F.array_sort(F.collect_list(F.struct("band", "rho", "pixels", "channels"))).alias("bands"))
     both = scores.join(listed, ["pair_id", "ord"])
     return both.select("pair_id", "ord", F.to_json(F.struct(F.col("ord").alias("frame"), F.col("score").alias("jod"), F.lit(ppd).alias("ppd"), F.lit(display).alias("display"), "bands")).alias("json"))
