@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,8 @@ class Colour:
 
     matrix: str | None = None  # by default 709 above 650 lines, else 601
     full_range: bool | None = None  # by default that of the format
+    centred: bool = False  # whether chroma samples lie in the middle of their columns, or on the left one
+    repeated: bool = False  # chroma repeated instead of interpolated
 
     def weights(self, height: int) -> tuple[float, float]:
         name = self.matrix or ("709" if height > 650 else "601")
@@ -86,8 +89,36 @@ class Colour:
         return MATRICES[name]
 
 
+def _cubic(x: np.ndarray, b: float = 1 / 3, c: float = 1 / 3) -> np.ndarray:
+    """The bicubic kernel of two parameters."""
+    x = np.abs(x)
+    near = ((12 - 9 * b - 6 * c) * x**3 + (-18 + 12 * b + 6 * c) * x**2 + 6 - 2 * b) / 6
+    far = ((-b - 6 * c) * x**3 + (6 * b + 30 * c) * x**2 + (-12 * b - 48 * c) * x + 8 * b + 24 * c) / 6
+    return np.where(x < 1, near, np.where(x < 2, far, 0.0))
+
+
+@lru_cache(maxsize=64)
+def _taps(have: int, want: int, factor: int, centred: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Per place its four samples, mirrored at the borders, and their weights."""
+    at = (np.arange(want) + 0.5) / factor - 0.5 if centred else np.arange(want) / factor
+    places = np.floor(at)[:, None] + np.arange(-1, 3)
+    weights = _cubic(places - at[:, None])
+    inside = np.mod(places.astype(int), 2 * have)
+    return np.minimum(inside, 2 * have - 1 - inside), weights / weights.sum(1, keepdims=True)
+
+
+def enlarged(plane: np.ndarray, size: tuple[int, int], sub_h: int, sub_w: int, centred: bool = False) -> np.ndarray:
+    """Chroma at every pixel, by bicubic interpolation."""
+    for axis, sub, middle in ((0, sub_h, True), (1, sub_w, centred)):
+        if sub:
+            places, weights = _taps(plane.shape[axis], size[axis], 1 << sub, middle)
+            moved = np.moveaxis(plane, axis, 0)
+            plane = np.moveaxis(np.einsum("ik,ik...->i...", weights, moved[places]), 0, axis)
+    return plane
+
+
 def to_rgb(planes: list[np.ndarray], form: PixelFormat, colour: Colour = Colour()) -> np.ndarray:
-    """Sample planes of a format to RGB of 0..1; chroma is repeated."""
+    """Sample planes of a format to RGB of 0..1."""
     top = float((1 << form.depth) - 1)
     if form.family == "rgb":
         return np.stack(planes) / top
@@ -100,7 +131,10 @@ def to_rgb(planes: list[np.ndarray], form: PixelFormat, colour: Colour = Colour(
     h, w = y.shape
     half = (1 << (form.depth - 1))
     cb, cr = ((p.astype(np.float64) - half) / (top if full else 224 * unit) for p in planes[1:3])
-    cb, cr = (p.repeat(1 << form.sub_h, 0).repeat(1 << form.sub_w, 1)[:h, :w] for p in (cb, cr))
+    if colour.repeated:
+        cb, cr = (p.repeat(1 << form.sub_h, 0).repeat(1 << form.sub_w, 1)[:h, :w] for p in (cb, cr))
+    else:
+        cb, cr = (enlarged(p, (h, w), form.sub_h, form.sub_w, colour.centred) for p in (cb, cr))
     return matrix_rgb(y, cb, cr, *colour.weights(h))
 
 
@@ -189,7 +223,7 @@ class Clip:
         for h, w in self.shapes:
             planes.append(data[done : done + h * w].reshape(h, w))
             done += h * w
-        return to_rgb(planes, self.form, Colour(colour.matrix, self.full_range if colour.full_range is None else colour.full_range))
+        return to_rgb(planes, self.form, replace(colour, full_range=self.full_range if colour.full_range is None else colour.full_range))
 
 
 def _row(video: str, index: int, w: int, h: int, fps: float, rgb: np.ndarray) -> pa.RecordBatch:

@@ -197,7 +197,7 @@ def test_colour_metadata_and_yuyv(spark, tmp_path):
     wide = video.read_y4m(spark, str(tmp_path / "f.y4m"), colour=video.Colour("2020", False)).collect()[0].planes
     assert wide[0][1] == pytest.approx((204 - 16) / 219 + 2 * (1 - 0.2627) * 100 / 224, abs=1e-6)
     (tmp_path / "p").write_bytes(bytes([16, 128, 235, 128, 126, 90, 126, 200]))
-    got = np.array(video.read_raw(spark, str(tmp_path / "p"), 4, 1, layout="yuyv422", colour=video.Colour("709")).collect()[0].planes)
+    got = np.array(video.read_raw(spark, str(tmp_path / "p"), 4, 1, layout="yuyv422", colour=video.Colour("709", repeated=True)).collect()[0].planes)
     y, cb, cr = (np.array([16, 235, 126, 126]) - 16) / 219, np.array([0, 0, -38, -38]) / 224, np.array([0, 0, 72, 72]) / 224
     assert np.allclose(got, video.matrix_rgb(y, cb, cr, 0.2126, 0.0722), atol=1e-6)
     with pytest.raises(UnsupportedInput):
@@ -235,3 +235,19 @@ def test_display_metric_from_the_command_line(spark, tmp_path, capsys):
     assert names == ["score"] and [r.score for r in scores_found.collect()] == [10.0] * 3
     with pytest.raises(SystemExit, match="sensitivity"):
         cli.compare(spark, cli.options(args))
+
+
+def test_chroma_is_interpolated():
+    x = np.linspace(0, 1, 16)
+    plane = np.tile(x[::2], (8, 1))
+    out = video.enlarged(plane, (16, 16), 1, 1)
+    assert np.allclose(out[:, 4:-4], x[4:-4])  # a slope stays one, chroma on the left column
+    middle = video.enlarged(plane.T, (16, 16), 1, 1)
+    assert np.allclose(middle[4:-4, 5], (x[4:-4] * 15 - 0.5) / 15)  # and between the lines
+    assert np.allclose(video.enlarged(np.full((2, 3), 0.25), (3, 5), 1, 1, True), 0.25)
+    # The kernel of 1/3 and 1/3 has 8/9 and 1/18 at whole places.
+    spike = np.zeros((1, 9))
+    spike[0, 4] = 1
+    row = video.enlarged(spike, (1, 18), 0, 1)[0]
+    assert np.allclose(row[[6, 8, 10]], [1 / 18, 8 / 9, 1 / 18]) and np.isclose(row[7], row[9])
+    assert np.isclose(row[5:12:2].sum(), 1) and np.isclose(row[[4, 6, 8, 10, 12]].sum(), 1)
