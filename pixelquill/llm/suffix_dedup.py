@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import kept
+from ._spark import kept, written
 from ._text import LOWER, SPACED, U64, Words, ngrams, pieces, signed, texts_of
 from .decontaminate import winnow
 
@@ -159,14 +159,15 @@ def _neighbours(within: bool, reach: int):
 
 
 def repeated(rows: DataFrame, within: bool, reach: int = 1) -> DataFrame:
-    """Rows (key, doc, at) that agree with one of another document for the `reach` of their keys."""
+    """Rows (doc, at) whose keys agree with one of another document for `reach`."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, "key", "doc", "at").sortWithinPartitions("key", "doc", "at")
-    found = kept(ordered.mapInArrow(_neighbours(within, reach), f"{SHAPE.format(kind=dict(rows.dtypes)['key'])}, state int, part int, many boolean"))
+    marked = ordered.mapInArrow(_neighbours(within, reach), f"{SHAPE.format(kind=dict(rows.dtypes)['key'])}, state int, part int, many boolean")
+    found = written(marked.withColumn("key", F.when(F.col("state") > 0, F.col("key"))), "runs")  # only edges need their keys yet
     edges = found.where("state = 2").groupBy("key").agg(F.max("many").alias("many"), F.countDistinct("part").alias("parts"), F.min("doc").alias("low"), F.max("doc").alias("high"))
     edges = edges.where(F.col("many") | (F.col("low") != F.col("high")) | (F.lit(within) & (F.col("parts") > 1))).select("key")
     settled = found.where("state = 1").join(edges, "key", "left_semi")
-    return found.where("state = 0").unionByName(settled).select("key", "doc", "at")
+    return found.where("state = 0").unionByName(settled).select("doc", "at")
 
 
 def _stretches(least: int):
