@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lm_score, near_duplicates, quality_classifier, quality_rules, secrets, suffix_dedup, token_store, url_filter
+from . import bpe, decontaminate, lm_score, near_duplicates, periodic_runs, quality_classifier, quality_rules, secrets, suffix_dedup, token_store, url_filter
 from ._spark import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,6 +140,50 @@ SELECT doc_id, CAST(min(i) - 1 AS BIGINT) AS first_word, CAST(max(i) + 50 - min(
 """
 
 
+def _crc32(text: str) -> str:
+    """DuckDB: the unsigned crc32 of a column of ASCII text."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * length({text})), lambda b: (ascii({text}[b // 8 + 1]) >> (b % 8)) & 1)), lambda a, b: xor(a >> 1, (xor(a, b) & 1) * 3988292384)), 4294967295)"
+
+
+@_query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_tails(table(spark, sf_dir, "documents"))
+    found = periodic_runs.periodic_runs(docs).withColumn("best", periodic_runs.longest(F.col("runs")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+# A window of 2^k words inside a run of period q, 2^(k-1) < q <= 2^k, comes again exactly q words on; so
+# runs are stretches of windows with one distance to their next occurrence.  Names of windows double in length.
+_LEVELS = 16  # up to 4 * 2^15 words
+_doubled = "".join(f", n{k} AS MATERIALIZED (SELECT * FROM (SELECT doc_id, i, md5(c || lead(c, {1 << (k - 1)}) OVER (PARTITION BY doc_id ORDER BY i)) AS c FROM n{k - 1}) WHERE c IS NOT NULL)" for k in range(1, _LEVELS))
+_next = " UNION ALL ".join(f"SELECT doc_id, i, {1 << k} AS w, lead(i) OVER (PARTITION BY doc_id, c ORDER BY i) - i AS q FROM n{k}" for k in range(_LEVELS))
+ORACLES["op11_periodic_runs"] = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, CAST(doc_id AS VARCHAR) AS name FROM documents
+), h AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n, {_crc32("name")} AS h FROM d
+), t AS (SELECT *, CASE WHEN n > 0 AND h % 10 = 0 THEN (h // 10) % n END AS a FROM h
+), r AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM t
+), words AS MATERIALIZED (
+  SELECT doc_id, n, i, w[1 + CASE WHEN a IS NULL OR i < a THEN i ELSE a + (i - a) % p END] AS x FROM r, unnest(range(n)) AS u(i)
+), n0 AS (SELECT doc_id, i, md5(x) AS c FROM words){_doubled}
+, again AS (SELECT * FROM ({_next}) WHERE q <= w AND 2 * q > w
+), cut AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM again
+), runs AS MATERIALIZED (
+  SELECT doc_id, min(i) AS start, count(*) - 1 + any_value(w) + q AS length, q AS period FROM cut GROUP BY doc_id, q, g HAVING count(*) - 1 + any_value(w) + q >= greatest(6, 4 * q)
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s FROM runs GROUP BY doc_id
+), best AS (SELECT doc_id, start, length, period FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1
+), gone AS (SELECT DISTINCT doc_id, i FROM runs, unnest(range(start + period, start + length)) AS u(i)
+), left_over AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS s FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+       CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(l.s, '')) AS runs_sha256, sha256(coalesce(o.s, '')) AS collapsed_sha256
+FROM t LEFT JOIN listed l USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN left_over o USING (doc_id)
+"""
+
+
 # The parts of contracts that SQL can say, taken from the operators' own results.
 
 
