@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lm_score, near_duplicates, periodic_runs, quality_classifier, quality_rules, secrets, suffix_dedup, token_store, url_filter
+from . import bpe, decontaminate, lm_score, near_duplicates, periodic_runs, quality_classifier, quality_rules, secrets, suffix_dedup, token_store, url_filter, vector_codes
 from ._spark import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,6 +184,38 @@ FROM t LEFT JOIN listed l USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN
 """
 
 
+@_query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def _round(r: int) -> str:
+    """DuckDB: parts p assigned to the entries of b<r> as a<r>; the entries after that as b<r + 1>."""
+    return f""", a{r} AS MATERIALIZED (
+  SELECT vec_id, part, min(d * 16 + entry) % 16 AS entry, min(d * 16 + entry) // 16 AS d FROM (
+    SELECT vec_id, part, entry, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS BIGINT) AS d FROM p JOIN b{r} USING (part)
+  ) GROUP BY vec_id, part
+), s{r} AS (
+  SELECT part, entry, place, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM (SELECT part, entry, generate_subscripts(x, 1) AS place, unnest(x) AS v FROM a{r} JOIN p USING (vec_id, part)) GROUP BY part, entry, place
+), b{r + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(m, c) AS c FROM b{r} LEFT JOIN (SELECT part, entry, list((s - ((s % n + n) % n)) // n ORDER BY place) AS m FROM s{r} GROUP BY part, entry) USING (part, entry)
+)"""
+
+
+ORACLES["op12_vector_codes"] = f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * x) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (SELECT vec_id, j AS part, q[j * (len(q) // 8) + 1 : (j + 1) * (len(q) // 8)] AS x FROM v, unnest(range(8)) AS u(j)
+), b0 AS (SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS BIGINT) AS entry, x AS c FROM p QUALIFY entry < 16
+){"".join(map(_round, range(7)))}
+, coded AS (SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b6) AS codebooks_sha256
+FROM coded JOIN v USING (vec_id)
+"""
+
+
 # The parts of contracts that SQL can say, taken from the operators' own results.
 
 
