@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lm_score, near_duplicates, periodic_runs, quality_classifier, quality_rules, secrets, suffix_dedup, token_store, url_filter, vector_codes
+from . import bpe, decontaminate, lm_score, near_duplicates, periodic_runs, quality_classifier, quality_rules, secrets, suffix_dedup, suffix_trees, token_store, url_filter, vector_codes
 from ._spark import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,6 +216,24 @@ FROM coded JOIN v USING (vec_id)
 """
 
 
+@_query
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_trees.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op13_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS k FROM w, unnest(range(1, len(w) - 33)) AS r(i)
+), many AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1
+), gone AS (SELECT DISTINCT doc_id, i + j AS i FROM (SELECT doc_id, i FROM s SEMI JOIN many USING (k)), unnest(range(35)) AS r(j)
+), words AS (SELECT doc_id, i, w[i] AS x FROM w, unnest(range(1, len(w) + 1)) AS r(i)
+), stays AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN stays USING (doc_id)
+"""
+
+
 # The parts of contracts that SQL can say, taken from the operators' own results.
 
 
