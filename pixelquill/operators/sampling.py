@@ -7,11 +7,13 @@ equi-join on frame_idx, so it reaches the scan before any pixel is decoded.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import SamplingError
+from ..sources.shared import materialised
 
 #: Names of the metrics, and the short forms that are taken for them.
 METRICS = {"structural": "structural", "struct": "structural", "psychovisual": "psychovisual", "psycho": "psychovisual", "display": "display", "visibility": "display"}
@@ -105,21 +107,27 @@ def numbered(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) ->
 
     Rows are dealt by ranges of key and order, numbered inside their partition, and
     shifted by what earlier partitions hold of the key; so one key of any size is spread.
-    The order has to tell all rows of a key apart."""
+    The dealt rows are written once, each with the number of its partition, and both
+    numbers come from what is written: ranges that are drawn twice need not be the same.
+    The order has to tell all rows of a key apart; null keys are one key."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id())
-    counts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_own"))  # a key's partitions: n rows at most
+    nth = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    placed = materialised(dealt.withColumn("_nth", nth))
+    counts = placed.groupBy(*keys, "_part").agg(F.max("_nth").cast("long").alias("_own"))  # a key's partitions: n rows at most
     w = Window.partitionBy(*keys)
-    shifts = counts.select(*keys, "_part", (F.sum("_own").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"), F.sum("_own").over(w).alias("size"))
-    placed = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
-    both = placed.join(shifts, [*keys, "_part"])
-    return both.withColumn("ord", F.coalesce("_before", F.lit(0)) + F.col("_nth") - 1).drop("_part", "_nth", "_before")
-
-
-def zip_ordered(source: DataFrame, other: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Ordinal zip of numbered frames (keys, ord, frame_idx): an equi-join on key and number."""
-    a = source.select(*keys, "ord", F.col("frame_idx").alias("src_frame"))
-    return a.join(other.select(*keys, "ord", F.col("frame_idx").alias("enc_frame")), [*keys, "ord"]).withColumn("ord", F.col("ord").cast("int"))
+    before = F.coalesce(F.sum("_own").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = counts.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_own_part"), before.alias("_before"), F.sum("_own").over(w).alias("size"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys), F.col("_part") == F.col("_own_part"))
+    both = placed.join(shifts, same)
+    return both.withColumn("ord", F.col("_before") + F.col("_nth") - 1).select(*rows.columns, "size", "ord")
+
+
+def zip_ordered(source: DataFrame, other: DataFrame, keys: tuple[str, ...] = (), values: tuple[str, ...] = ()) -> DataFrame:
+    """Ordinal zip of numbered frames (keys, ord, frame_idx, values): an equi-join on key and number; a_* and b_* carry values."""
+    a = source.select(*keys, "ord", F.col("frame_idx").alias("src_frame"), *(F.col(v).alias(f"a_{v}") for v in values))
+    b = other.select(*keys, "ord", F.col("frame_idx").alias("enc_frame"), *(F.col(v).alias(f"b_{v}") for v in values))
+    return a.join(b, [*keys, "ord"]).withColumn("ord", F.col("ord").cast("int"))
 
 
 def attach(pairs: DataFrame, source: DataFrame, other: DataFrame, keys: tuple[str, ...] = (), values: tuple[str, ...] = ("width", "height", "planes")) -> DataFrame:

@@ -71,16 +71,15 @@ def pair_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.pair_by_offset(source, other, sampling.Span(1, 30, 2, 3))
 
 
-@query("""WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ord, event_id FROM events),
-s AS (SELECT user_id, ord, event_id FROM e), t AS (SELECT user_id, ord, event_id FROM e)
-SELECT a.user_id, CAST(a.ord AS INTEGER) AS ord, a.event_id AS src_frame, b.event_id AS enc_frame FROM s a JOIN t b ON a.user_id = b.user_id
-AND b.ord = (SELECT max(ord) FROM t m WHERE m.user_id = a.user_id) - a.ord""")
+@query("""WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ord, event_id, event_type, value, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, CAST(a.ord AS INTEGER) AS ord, a.event_id AS src_frame, b.event_id AS enc_frame, a.event_type AS a_event_type, a.value AS a_value, b.event_type AS b_event_type, b.value AS b_value
+FROM e a JOIN e b USING (user_id) WHERE b.ord = a.n - 1 - a.ord""")
 def pair_zip_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's frames forwards against the same frames backwards."""
-    e = fixtures.table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    """Each user's frames forwards against the same frames backwards; what frames carry comes along."""
+    e = fixtures.table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
     forwards = sampling.numbered(e, ("user_id",), ("ts", "event_id")).withColumnRenamed("event_id", "frame_idx")
     backwards = forwards.withColumn("ord", F.col("size") - 1 - F.col("ord"))
-    return sampling.zip_ordered(forwards, backwards, ("user_id",))
+    return sampling.zip_ordered(forwards, backwards, ("user_id",), ("event_type", "value"))
 
 
 @query("SELECT event_id AS frame_idx FROM events WHERE event_id >= 100 AND event_id < 5000 AND (event_id - 100) % 7 = 0")

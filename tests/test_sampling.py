@@ -69,6 +69,21 @@ def test_numbering_spreads_a_hot_key(spark):
         assert {n for _, _, n in found} == {len(found)}
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_are_right_beside_a_payload(spark, adaptive):
+    """Many partitions whose ranges are sampled, and a column that only one use needs."""
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rows = spark.range(0, 600_000, 1, 16).selectExpr("IF(id % 3 = 0, null, id % 5) AS k", "(id * 7919) % 600000 AS t", "sha2(CAST(id AS string), 256) AS payload")
+        got = S.numbered(rows, ("k",), ("t",))
+        wrong = got.selectExpr("*", "row_number() OVER (PARTITION BY k ORDER BY t) - 1 AS want", "count(*) OVER (PARTITION BY k) AS n").where("ord != want OR size != n")
+        assert got.count() == 600_000 and wrong.count() == 0 and got.columns == ["k", "t", "payload", "size", "ord"]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_frames_of_differing_sizes_are_refused(spark):
     from pixelquill.operators.structural import structural_score
 
