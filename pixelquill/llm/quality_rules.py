@@ -1,13 +1,15 @@
 """Quality rules with adaptive thresholds.
 
 Fixed cutoffs that suit one language or site fail on another.  Here each
-measure's cutoff comes from its own distribution: a mergeable KLL quantile
-sketch per language and source (built by partial aggregation, so a hot source
-never meets in one task) gives the quartiles and two far quantiles.  The cutoff is
-the fence FENCE interquartile ranges beyond the quartile, but never nearer than the
-quantile NEAR and never farther than FAR: so a long tail fails from NEAR on, an
-even distribution from FAR on, and where all values are the same none fails.  No
-cutoff has a fixed value in it.
+measure's cutoff comes from its own distribution, read from a quantile sketch per language
+and source: a histogram whose buckets keep the leading DIGITS bits of the measure in
+units of 2^-20, so a bucket is at most 1/128 as wide as its values.  Sketches merge by adding
+counts (partial aggregation, so a hot source never meets in one task), have no
+chance in them and do not depend on how rows are dealt out: verdicts are the same in every
+run.  The high cutoff is the fence FENCE interquartile ranges beyond the upper quartile, but
+never nearer than the quantile NEAR and never farther than FAR: so a long tail fails
+from NEAR on, an even distribution from FAR on, and where all values are the same none fails
+(quantiles count as their bucket's far edge).  No cutoff has a fixed value in it.
 
 Cases: a null or empty text has no words, fails the base rule and is not kept.
 Null or absent languages and sources form groups of their own.  Repeated rows are judged
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import kept
@@ -45,9 +47,11 @@ MEASURES = {
     "word_length": ("word_chars / n_words", "both"),
 }
 #: Width of the fence beyond a quartile, in interquartile ranges.
-FENCE = 4.0
-#: Ranks that a high cutoff stays between; a low one is their mirror image.
-NEAR, FAR = 0.97, 0.995
+FENCE = 4
+#: Thousandths of the ranks that a high cutoff stays between; a low one is their mirror image.
+NEAR, FAR = 970, 995
+#: Units of a measure, and leading bits that tell buckets apart.
+UNITS, DIGITS = 1 << 20, 8
 
 
 def repeats(keys: np.ndarray) -> np.ndarray:
@@ -100,17 +104,33 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.mapInArrow(_stats, STATS.format(id=kind))
 
 
-def thresholds(stats: DataFrame, k: int = 200) -> DataFrame:
-    """Per language and source, the low and high cutoff of each measure."""
-    sound = stats.where(F.col("n_words") > 0)
-    sketches = sound.groupBy("lang", "source").agg(*(F.kll_sketch_agg_double(F.expr(e).cast("double"), k).alias(m) for m, (e, _) in MEASURES.items()))
-    cut = []
-    for m, (_, side) in MEASURES.items():
-        at = lambda q: F.kll_sketch_get_quantile_double(m, F.lit(q))  # noqa: E731, B023
-        room = F.lit(FENCE) * (at(0.75) - at(0.25))
-        cut.append(F.least(F.greatest(at(0.75) + room, at(NEAR)), at(FAR)).alias(f"{m}_max"))
-        cut.append((F.greatest(F.least(at(0.25) - room, at(1 - NEAR)), at(1 - FAR)) if side == "both" else F.lit(float("-inf"))).alias(f"{m}_min"))
-    return sketches.select("lang", "source", *cut)
+def in_units(measure_sql: str) -> Column:
+    return F.floor(F.expr(measure_sql) * UNITS).cast("long")
+
+
+def sketch(stats: DataFrame) -> DataFrame:
+    """(lang, source, measure, low, high, n): the buckets of each group's measures, with their edges in units."""
+    listed = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), in_units(e).alias("v")) for m, (e, _) in MEASURES.items())))
+    rows = stats.where(F.col("n_words") > 0).select("lang", "source", listed.alias("m")).select("lang", "source", "m.*")
+    placed = rows.withColumn("s", F.greatest(F.length(F.bin("v")) - DIGITS, F.lit(0))).withColumn("low", F.expr("shiftleft(shiftright(v, s), s)"))
+    return placed.groupBy("lang", "source", "measure", "low", (F.col("low") + F.expr("shiftleft(1L, s)") - 1).alias("high")).agg(F.count("*").alias("n"))
+
+
+def thresholds(stats: DataFrame) -> DataFrame:
+    """Per language and source, the low and high cutoff of each measure, in units."""
+    w = Window.partitionBy("lang", "source", "measure")  # the buckets of a group, a few thousand at most
+    ranked = sketch(stats).withColumn("upto", F.sum("n").over(w.orderBy("low"))).withColumn("total", F.sum("n").over(w))
+
+    def at(edge: str, thousandths: int) -> Column:
+        """The edge of the bucket that holds a rank."""
+        return F.min(F.when(F.col("upto") > F.floor(F.col("total") * thousandths / 1000), F.col(edge)))
+
+    room = FENCE * (at("high", 750) - at("low", 250))
+    most = F.least(F.greatest(at("high", 750) + room, at("high", NEAR)), at("high", FAR))
+    least = F.greatest(F.least(at("low", 250) - room, at("low", 1000 - NEAR)), at("low", 1000 - FAR))
+    cut = ranked.groupBy("lang", "source", "measure").agg(most.alias("most"), least.alias("least"))
+    own = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}")
+    return cut.groupBy("lang", "source").agg(*(own(m, c) for m in MEASURES for c in ("least", "most")))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -118,7 +138,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stats = kept(document_stats(docs, id_col, text_col, lang_col, source_col))
     limits = thresholds(stats).withColumnsRenamed({"lang": "lang_", "source": "source_"})
     joined = stats.join(limits, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")), "left")
-    outside = [F.when(~F.expr(e).between(F.col(f"{m}_min"), F.col(f"{m}_max")), F.lit(m)) for m, (e, _) in MEASURES.items()]
+    beyond = lambda m, e, side: (in_units(e) > F.col(f"{m}_most")) | ((in_units(e) < F.col(f"{m}_least")) if side == "both" else F.lit(False))
+    outside = [F.when(beyond(m, e, side), F.lit(m)) for m, (e, side) in MEASURES.items()]
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     failed = F.when(F.col("n_words") > 0, F.array_compact(F.array(*outside))).otherwise(F.array().cast("array<string>"))
     return joined.select(

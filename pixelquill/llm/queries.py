@@ -257,18 +257,39 @@ def base_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-ORACLES["base_quality_rules"] = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents), win AS (
+# The counts of every document, and then the sketches and cutoffs of its language and source.
+_counts = r"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents), win AS (
   SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS k FROM d, unnest(range(1, len(w) - 1)) AS r(i)
 ), twice AS (SELECT doc_id, k FROM win GROUP BY ALL HAVING count(*) > 1), hit AS (
   SELECT doc_id, count(DISTINCT i + j) AS n FROM win SEMI JOIN twice USING (doc_id, k), unnest(range(3)) AS s(j) GROUP BY doc_id
 ), lines AS (
-  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
 ), m AS (
-  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM d
+  SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM d
 )
-SELECT doc_id, n_words, word_chars, n_symbols, CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(h.n, 0) AS BIGINT) AS n_repeat_words, n_words < 50 OR 100 * coalesce(h.n, 0) > 50 * n_words AS base_failed
-FROM m LEFT JOIN hit h USING (doc_id) LEFT JOIN lines l USING (doc_id)
+, f AS (
+  SELECT doc_id, lang, source, n_words, word_chars, n_symbols, CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(l.lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(h.n, 0) AS BIGINT) AS n_repeat_words,
+         n_words < 50 OR 100 * coalesce(h.n, 0) > 50 * n_words AS base_failed
+  FROM m LEFT JOIN hit h USING (doc_id) LEFT JOIN lines l USING (doc_id)
+)"""
+ORACLES["base_quality_rules"] = _counts + " SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed FROM f"
+ORACLES["op10_quality_rules"] = _counts + r"""
+, v AS (
+  SELECT doc_id, lang, source, measure, sides, CAST(floor(x * 1048576) AS BIGINT) AS v FROM (
+    SELECT doc_id, lang, source, unnest(['symbol_ratio', 'dup_line_ratio', 'repeat_ratio', 'word_length']) AS measure, unnest([false, false, false, true]) AS sides,
+           unnest([n_symbols / n_words, n_dup_lines / greatest(n_lines, 1), n_repeat_words / n_words, word_chars / n_words]) AS x FROM f WHERE n_words > 0)
+), b AS (SELECT lang, source, measure, (v >> s) << s AS low, ((v >> s) << s) + (1::BIGINT << s) - 1 AS high, count(*) AS n FROM (SELECT *, greatest(length(bin(v)) - 8, 0) AS s FROM v) GROUP BY ALL
+), r AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY low) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM b
+), q AS (
+  SELECT lang, source, measure, min(high) FILTER (upto > total * 750 // 1000) AS h75, min(high) FILTER (upto > total * 970 // 1000) AS h97, min(high) FILTER (upto > total * 995 // 1000) AS h99,
+         min(low) FILTER (upto > total * 250 // 1000) AS l25, min(low) FILTER (upto > total * 30 // 1000) AS l03, min(low) FILTER (upto > total * 5 // 1000) AS l00 FROM r GROUP BY ALL
+), bad AS (
+  SELECT doc_id, string_agg(v.measure, ',' ORDER BY list_position(['symbol_ratio', 'dup_line_ratio', 'repeat_ratio', 'word_length'], v.measure)) AS failed FROM v
+  JOIN q ON v.lang IS NOT DISTINCT FROM q.lang AND v.source IS NOT DISTINCT FROM q.source AND v.measure = q.measure
+  WHERE v > least(greatest(h75 + 4 * (h75 - l25), h97), h99) OR (sides AND v < greatest(least(l25 - 4 * (h75 - l25), l03), l00)) GROUP BY doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed IS NULL AS kept, coalesce(failed, '') AS failed_rules FROM f LEFT JOIN bad USING (doc_id)
 """
 
 

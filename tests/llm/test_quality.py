@@ -64,10 +64,30 @@ def test_thresholds_come_from_the_sketches(spark):
     stats = spark.createDataFrame([("en", "s", 1000, int(v), int(v) // 2, 0, 1, int(1000 * r)) for v, r in zip(rng.integers(3000, 9000, 3000), repeat, strict=True)], STATS)
     t = R.thresholds(stats).collect()[0]
     # Uniform: the fence lies beyond the last quantile, which is the cutoff; a long tail: the fence lies below the first.
-    assert abs(t.word_length_max - 8.97) < 0.1 and abs(t.word_length_min - 3.03) < 0.1
-    assert np.quantile(repeat, R.NEAR - 0.02) < t.repeat_ratio_max < np.quantile(repeat, R.FAR)
+    assert abs(t.word_length_most / R.UNITS - 8.97) < 0.1 and abs(t.word_length_least / R.UNITS - 3.03) < 0.1
+    assert np.quantile(repeat, R.NEAR / 1000 - 0.02) < t.repeat_ratio_most / R.UNITS < np.quantile(repeat, R.FAR / 1000)
     # All the same: the cutoff is that value, so nothing fails, and any other value would.
-    assert t.dup_line_ratio_max == 0.0
+    assert t.dup_line_ratio_most == 0
+
+
+def test_verdicts_do_not_depend_on_chance_or_partitions(spark):
+    """A group of 100,000 rows, judged three times over different partitions, gets the same verdict row by row."""
+    word = "substr(sha2(CAST(id * 131 + k AS string), 256), 1, 1 + CAST(pow(rand(5) * 3, 2) AS int))"
+    docs = spark.range(100_000).selectExpr("id AS doc_id", f"array_join(transform(sequence(0, 51 + CAST(id % 13 AS int)), k -> {word}), ' ') AS text", "'en' AS lang", "'web' AS source").persist()
+    judged = [R.quality_rules(docs.repartition(n) if n else docs).select("doc_id", "kept", F.concat_ws(",", "failed_rules").alias("failed")) for n in (0, 3, 17)]
+    assert judged[0].where("NOT kept").count() > 500
+    for other in judged[1:]:
+        assert judged[0].exceptAll(other).count() == 0
+    docs.unpersist()
+
+
+def test_quantiles_lie_in_the_bucket_of_the_exact_rank(spark):
+    v = np.sort(np.random.default_rng(1).lognormal(0, 2, 5000))
+    stats = spark.createDataFrame([("en", None, 1_000_000, int(x * 1e6), 0, 0, 1, 0) for x in v], STATS)
+    t = R.thresholds(stats).collect()[0]
+    exact = np.floor(v * R.UNITS)
+    # The fence lies between the far quantiles, whose buckets are at most 1/128 wide.
+    assert exact[4850] <= t.word_length_most <= exact[4975] * (1 + 1 / 128) and exact[25] * (1 - 1 / 128) - 1 <= t.word_length_least <= exact[150]
 
 
 def test_thresholds_find_what_base_rules_pass(spark):
