@@ -3,8 +3,8 @@
 Documents are dealt out by ranges of their id, so shards follow each other in
 ascending id order; each shard is a run of blocks.  A block holds the ids of
 consecutive documents as one sequence in which frequent pairs are replaced by
-nonterminals, again and again, until no pair pays for its rule or the symbols of
-16 bits are used up.  No rule crosses a document's end.  Beside the sequence it
+nonterminals, again and again, until no pair pays for its rule; symbols have as many
+bits as the block's rules call for.  No rule crosses a document's end.  Beside the sequence it
 stores the rules (two symbols each), the length every rule expands to and each
 document's first symbol and token, so one document is decoded by expanding its
 own symbols only.
@@ -14,7 +14,8 @@ occurrences overlap the one of better rank is taken.  The best pair of a round a
 gets all its uses, so each round shortens the sequence, and rounds go on to the end.
 
 File format: a folder of Parquet files with the columns of SCHEMA, written by
-Spark's committer; a row is a block, binary columns are little-endian arrays.
+Spark's committer; a row is a block, binary columns are little-endian arrays (symbols and
+rules are packed in symbol_bits each).
 
 Texts are encoded by the tokenizers library.  The byte-level split always begins
 a token at a space before anything but white space, at a line end after an ASCII
@@ -45,7 +46,7 @@ from ._text import U64, pieces, span_hashes, texts_of
 
 #: Tokens a block holds before it is closed.
 BLOCK_TOKENS = 1 << 20
-#: Pairs replaced in one round (others wait for the next), and the uses that pay for a rule.
+#: Pairs replaced in one round (others wait for the next) while symbols have 16 bits, and the uses that pay for a rule.
 ROUND_RULES = 4096
 MIN_USES = 4
 #: Distinct pieces a Python worker remembers, from task to task.
@@ -174,65 +175,132 @@ def gather(flat: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarr
     return flat[np.arange(total) + np.repeat(start - out, lengths)]
 
 
+def _taken(at: np.ndarray, rank: np.ndarray, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, ranks) of the uses that are replaced, and which pairs still pay: where two uses overlap, the one of better rank stays."""
+    touch = at[1:] == at[:-1] + 1
+    take = np.ones(len(at), bool)
+    take[:-1] &= ~touch | (rank[:-1] <= rank[1:])
+    take[1:] &= ~touch | (rank[1:] < rank[:-1])
+    at, rank = at[take], rank[take]
+    pays = np.bincount(rank, minlength=pairs) >= MIN_USES
+    good = pays[rank]
+    return at[good], rank[good], pays
+
+
+def _every_second(key: np.ndarray, at: np.ndarray | None, none_such: np.unsignedinteger) -> None:
+    """In a run of one symbol only every second pair counts, so uses never overlap themselves."""
+    same = key[1:] == key[:-1]
+    if at is not None:
+        same &= at[1:] == at[:-1] + 1
+    again = np.flatnonzero(same) + 1
+    if len(again):
+        breaks = np.flatnonzero(np.r_[True, again[1:] != again[:-1] + 1])
+        nth = np.arange(len(again)) - np.repeat(breaks, np.diff(np.append(breaks, len(again))))
+        key[again[nth % 2 == 0]] = none_such
+
+
+def _counted(key: np.ndarray, none_such: np.unsignedinteger) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs used MIN_USES times and more, ascending; their uses)."""
+    ordered = np.sort(key)
+    begin = np.r_[0, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1]
+    uses = np.diff(np.append(begin, len(ordered)))
+    often = np.flatnonzero(uses >= MIN_USES)
+    often = often[ordered[begin[often]] != none_such]
+    return ordered[begin[often]], uses[often]
+
+
 def compress(seq: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (symbols, the places of documents' final symbols, rules as rows of two symbols).
-    `ends` are those places before; nonterminals count from base."""
-    room = (1 << 16) - base
-    narrow = room > 0
-    room = room if narrow else 1 << 15
-    word, shift = (np.uint32, 16) if narrow else (np.uint64, 32)
-    multiplier, drop = (np.uint32(0x9E3779B1), np.uint32(16)) if narrow else (np.uint64(0x9E3779B97F4A7C15), np.uint64(48))
-    seq = seq.astype(np.uint16 if narrow else np.uint32)
-    rules = np.zeros((0, 2), np.int64)
-    none_such = np.iinfo(word).max  # no pair of symbols has this key
-    while len(seq) > 1 and len(rules) < room:
-        key = seq[:-1].astype(word)
-        key <<= word(shift)
-        key |= seq[1:]
+    `ends` are those places before; nonterminals count from base.
+
+    Rounds go over all pairs while the next round's rules fit 16-bit symbols.  Later ones only go over
+    pairs that can still pay: those that did before, and those with a new symbol, as others' uses only
+    become fewer."""
+    seq, rules = seq.astype(np.uint32), np.zeros((0, 2), np.int64)
+
+    def replaced(at: np.ndarray, rank: np.ndarray, pays: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Put new symbols at the places; returns which symbols stay."""
+        nonlocal rules, ends
+        seq[at] = (base + len(rules) + np.cumsum(pays) - 1)[rank]
+        rules = np.concatenate([rules, np.stack([first[pays], second[pays]], 1).astype(np.int64)])
+        stays = np.ones(len(seq), bool)
+        stays[at + 1] = False
+        ends = ends - np.searchsorted(at + 1, ends, "right")
+        return stays
+
+    while len(seq) > 1 and base + len(rules) + ROUND_RULES <= 1 << 16:
+        key = (seq[:-1] << np.uint32(16)) | seq[1:]
+        none_such = np.iinfo(np.uint32).max  # no pair of symbols has this key
         key[ends[:-1]] = none_such  # pairs of two documents
-        again = np.flatnonzero(key[1:] == key[:-1]) + 1
-        if len(again):  # in a run of one symbol every second pair counts, so uses never overlap themselves
-            breaks = np.flatnonzero(np.r_[True, again[1:] != again[:-1] + 1])
-            nth = np.arange(len(again)) - np.repeat(breaks, np.diff(np.append(breaks, len(again))))
-            key[again[nth % 2 == 0]] = none_such
-        ordered = np.sort(key)
-        begin = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
-        begin = np.concatenate([[0], begin])
-        uses = np.diff(np.append(begin, len(ordered)))
-        often = np.flatnonzero(uses >= MIN_USES)
-        often = often[ordered[begin[often]] != none_such]
-        if not len(often):
-            break
-        if len(often) > ROUND_RULES:
-            often = often[np.argpartition(-uses[often], ROUND_RULES)[:ROUND_RULES]]
-        often = often[np.argsort(-uses[often], kind="stable")][: room - len(rules)]
-        chosen = ordered[begin[often]]
+        _every_second(key, None, none_such)
+        pairs, uses = _counted(key, none_such)
+        if not len(pairs):
+            return seq, ends, rules
+        best = np.argpartition(-uses, ROUND_RULES)[:ROUND_RULES] if len(uses) > ROUND_RULES else np.arange(len(uses))
+        chosen = pairs[best[np.argsort(-uses[best], kind="stable")]]
         none = len(chosen)
         rank = np.full(1 << 16, none, np.uint16)  # by hash; the better of two in a slot stays
-        rank[((chosen * multiplier) >> drop)[::-1]] = np.arange(none, dtype=np.uint16)[::-1]
-        r = rank[(key * multiplier) >> drop]
+        slot = lambda k: (k * np.uint32(0x9E3779B1)) >> np.uint32(16)
+        rank[slot(chosen)[::-1]] = np.arange(none, dtype=np.uint16)[::-1]
+        r = rank[slot(key)]
         at = np.flatnonzero(r < none)
         r = r[at]
         right = chosen[r] == key[at]
-        at, r = at[right], r[right].astype(np.int32)
-        touch = at[1:] == at[:-1] + 1
-        take = np.ones(len(at), bool)
-        take[:-1] &= ~touch | (r[:-1] <= r[1:])
-        take[1:] &= ~touch | (r[1:] < r[:-1])
-        at, r = at[take], r[take]
-        pays = np.bincount(r, minlength=none) >= MIN_USES
-        good = pays[r]
-        at, r = at[good], r[good]
-        number = np.cumsum(pays) - 1
-        seq[at] = base + len(rules) + number[r]
-        rules = np.concatenate([rules, np.stack([chosen[pays] >> word(shift), chosen[pays] & word((1 << shift) - 1)], 1).astype(np.int64)])
-        stays = np.ones(len(seq), bool)
-        stays[at + 1] = False
-        seq = seq[stays]
-        ends = ends - np.searchsorted(at + 1, ends, "right")
+        at, r, pays = _taken(at[right], r[right].astype(np.int32), none)
+        seq = seq[replaced(at, r, pays, chosen >> np.uint32(16), chosen & np.uint32(0xFFFF))]
+    live = np.ones(len(seq), bool)
+    while len(seq) > 1:
+        live[-1] = live[ends] = False  # pairs of two documents
+        at = np.flatnonzero(live)
+        key = (seq[at].astype(U64) << U64(32)) | seq[at + 1]
+        none_such = np.iinfo(U64).max
+        _every_second(key, at, none_such)
+        pairs, uses = _counted(key, none_such) if len(key) else (key, key)
+        if not len(pairs):
+            break
+        order = np.argsort(-uses, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        place = np.searchsorted(pairs, key)
+        place[place == len(pairs)] = 0
+        right = pairs[place] == key
+        known = at[right]
+        at, r, pays = _taken(known, rank[place[right]], len(pairs))
+        ranked = pairs[order]
+        live[:] = False
+        live[known] = True
+        stays = replaced(at, r, pays, ranked >> U64(32), ranked & U64(0xFFFFFFFF))
+        live[at] = True
+        live[np.maximum(at - 1, 0)] = True
+        before = at - 2  # what stands before a place that is replaced may be a new symbol's second part
+        live[before[before >= 0]] |= ~stays[np.maximum(at - 1, 0)][before >= 0]
+        seq, live = seq[stays], live[stays]
     return seq, ends, rules
 
 
+def packed(values: np.ndarray, bits: int) -> bytes:
+    """Non-negative integers of so many bits each, one after the other from the lowest bit on."""
+    if bits in (8, 16, 32):
+        return values.astype(f"<u{bits // 8}").tobytes()
+    wide = values.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return np.packbits(np.unpackbits(wide, axis=1, count=bits, bitorder="little").ravel(), bitorder="little").tobytes()
+
+
+def unpacked(data: bytes, bits: int) -> np.ndarray:
+    if bits in (8, 16, 32):
+        return np.frombuffer(data, f"<u{bits // 8}").astype(np.int64)
+    flags = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
+    flags = flags[: len(flags) // bits * bits].reshape(-1, bits)
+    whole = np.zeros((len(flags), 32), np.uint8)
+    whole[:, :bits] = flags
+    return np.packbits(whole, axis=1, bitorder="little").view("<u4").ravel().astype(np.int64)
+
+
+def symbol_bits(base: int, rules: int) -> int:
+    """The width of a block's symbols."""
+    return max(8, (base + rules - 1).bit_length())
+
+
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(flat, start, length): what every symbol expands to.  Rules name earlier symbols only."""
     n = base + len(rules)
@@ -272,13 +340,13 @@ def _write(path: str, end_id: int):
             tokens = np.concatenate([x[1] for x in held])
             n = len(tokens)
             symbols, ends, rules = compress(tokens, np.cumsum(counts) - 1, base)
-            width = symbols.dtype
+            bits = symbol_bits(base, len(rules))
             _, _, length = expansions(rules, base)
             row = pa.RecordBatch.from_pydict({
                 "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "first_token": pa.array([first], pa.int64()), "n_tokens": pa.array([n], pa.int64()), "base": pa.array([base], pa.int32()),
                 "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "doc_symbol": pa.array([np.r_[0, ends + 1].astype("<u4").tobytes()], pa.binary()),
-                "doc_token": pa.array([np.r_[0, np.cumsum(counts)].astype("<u8").tobytes()], pa.binary()), "rules": pa.array([rules.astype(width).tobytes()], pa.binary()),
-                "lengths": pa.array([length[base:].astype("<u4").tobytes()], pa.binary()), "symbols": pa.array([symbols.tobytes()], pa.binary()),
+                "doc_token": pa.array([np.r_[0, np.cumsum(counts)].astype("<u8").tobytes()], pa.binary()), "rules": pa.array([packed(rules.ravel(), bits)], pa.binary()),
+                "lengths": pa.array([length[base:].astype("<u4").tobytes()], pa.binary()), "symbols": pa.array([packed(symbols, bits)], pa.binary()),
             })
             block, first = block + 1, first + n
             held.clear()
@@ -321,14 +389,14 @@ class Block:
     """One stored block; documents decode on their own."""
 
     def __init__(self, row: dict):
-        narrow = row["base"] < 1 << 16
-        width = np.uint16 if narrow else np.uint32
+        rules = len(row["lengths"]) // 4
+        bits = symbol_bits(row["base"], rules)
         self.ids = row["ids"]
-        self.symbols = np.frombuffer(row["symbols"], width)
         self.doc_symbol = np.frombuffer(row["doc_symbol"], "<u4").astype(np.int64)
         self.doc_token = np.frombuffer(row["doc_token"], "<u8").astype(np.int64)
         self.first_token = row["first_token"]
-        self.table = expansions(np.frombuffer(row["rules"], width).reshape(-1, 2).astype(np.int64), row["base"])
+        self.symbols = unpacked(row["symbols"], bits)[: self.doc_symbol[-1]]
+        self.table = expansions(unpacked(row["rules"], bits)[: 2 * rules].reshape(-1, 2), row["base"])
 
     def document(self, k: int) -> np.ndarray:
         return expand(self.symbols[self.doc_symbol[k] : self.doc_symbol[k + 1]], self.table)

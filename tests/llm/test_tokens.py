@@ -46,7 +46,7 @@ def test_grammar_round_trip(base):
 
 
 def test_grammar_goes_on_to_its_end():
-    """No pair that pays is left, unless the symbols are used up; runs of one symbol take few rounds."""
+    """No pair that pays is left; runs of one symbol take few rounds."""
     rng = np.random.default_rng(7)
     phrase = rng.integers(0, 50, 300)
     for tokens in (np.full(1 << 16, 9), np.tile(phrase, 60), rng.zipf(1.5, 30_000) % 400):
@@ -62,6 +62,36 @@ def test_grammar_goes_on_to_its_end():
     assert len(T.compress(np.tile(phrase, 60).astype(np.int32), np.array([17_999]), 50257)[0]) < 40
 
 
+def test_grammar_goes_on_beyond_16_bits():
+    """A block whose rules outgrow 16-bit symbols ends with no pair of MIN_USES inside documents."""
+    rng = np.random.default_rng(2)
+    phrases = [rng.integers(0, 50_000, rng.integers(2, 9)) for _ in range(25_000)]
+    tokens = np.concatenate([phrases[k] for k in rng.integers(0, len(phrases), 160_000)]).astype(np.int32)
+    ends = np.append(np.sort(rng.permutation(len(tokens) - 1)[:700]), len(tokens) - 1)
+    symbols, stops, rules = T.compress(tokens, ends, 50257)
+    assert 50257 + len(rules) > 1 << 16
+    table = T.expansions(rules, 50257)
+    assert (T.expand(symbols, table) == tokens).all()
+    uses = {}
+    for a, b in zip(np.r_[0, stops[:-1] + 1].tolist(), (stops + 1).tolist(), strict=True):
+        last = None
+        for p in zip(symbols[a:b].tolist(), symbols[a + 1 : b].tolist(), strict=False):
+            last = None if p == last else p
+            if last:
+                uses[p] = uses.get(p, 0) + 1
+    assert max(uses.values()) < T.MIN_USES
+    bits = T.symbol_bits(50257, len(rules))
+    assert bits > 16 and (T.unpacked(T.packed(symbols, bits), bits)[: len(symbols)] == symbols).all()
+
+
+@pytest.mark.parametrize("bits", [8, 9, 16, 17, 23, 32])
+def test_packed_integers(bits):
+    for n in (0, 1, 7, 8, 1000):
+        v = np.random.default_rng(n).integers(0, 1 << bits, n, dtype=np.uint64)
+        data = T.packed(v, bits)
+        assert len(data) == -(-n * bits // 8) and (T.unpacked(data, bits)[:n] == v).all()
+
+
 def key(r):
     return (r[0] is not None, r[0] or 0, *r[2:])
 
