@@ -257,7 +257,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.join(F.broadcast(hot), "key", "left").select("key", part.alias("part"), "id", "text")
 
     placed = rows.select("key", "text").mapInArrow(_anchors(least), ANCHORS)
-    shared = placed.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor", (F.col("times") > GROUP).alias("wide"))
+    # Written, so that both sides of the join below are plain exchanges, which Spark can split where an anchor is hot.
+    shared = written(placed.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor", (F.col("times") > GROUP).alias("wide")), "anchors")
     places = placed.join(shared, "anchor").groupBy("key").agg(F.collect_set(F.struct("at", "wide")).alias("places"))  # a text's length at most
     suffixes = texts.join(to_all_salts(places), ["key", "part"]).select("id", "key", "text", "places").mapInArrow(_segments(least), SEGMENTS)
     grown = suffixes.repartition("prefix", "salt").sortWithinPartitions("prefix", "salt").mapInArrow(_trees(least, SUFFIXES), FOUND)
