@@ -11,21 +11,31 @@ import argparse
 import sys
 import time
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from .functions.constants import DISPLAY_PARAMETERS
 from .operators import pooling, sampling
 from .operators.psychovisual import psychovisual_distance
 from .operators.structural import structural_score
 from .operators.visibility import display_difference
-from .sources import config
+from .sources import config, frames, video
 from .sources import scores as files
-from .sources import video
+
+
+class Once(argparse.Action):
+    """Stores a value, and refuses an option that is given again."""
+
+    def __call__(self, parser, namespace, values, option_string=None):
+        given = namespace.__dict__.setdefault("_given", set())
+        if self.dest in given:
+            parser.error(f"{option_string} is given more than once")
+        given.add(self.dest)
+        setattr(namespace, self.dest, values)
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("pixelquill")
+    p.register("action", None, Once)
     p.add_argument("-s", "--source", required=True)
     p.add_argument("-e", "--encoded", required=True)
     p.add_argument("-m", "--metric", default="structural")
@@ -59,26 +69,26 @@ def options(argv: list[str]) -> argparse.Namespace:
     return p.parse_args([a for a in argv if a.strip()])
 
 
-def _cropped(frames: DataFrame, o: argparse.Namespace, side: str) -> DataFrame:
-    edges = [getattr(o, f"crop_{e}_{side}") for e in ("top", "bottom", "left", "right")]
-    if not any(edges):
-        return frames
-    cut = F.transform("planes", lambda p: sampling.crop_plane(p, F.col("width"), F.col("height"), *edges))
-    return frames.withColumn("planes", cut).withColumns({"width": F.col("width") - edges[2] - edges[3], "height": F.col("height") - edges[0] - edges[1]})
+def _one(spark: SparkSession, path: str) -> Row:
+    """The index row of a path that is one file."""
+    rows = video.file_index(spark, path).limit(2).collect()
+    if len(rows) != 1:
+        raise SystemExit(f"{path} is not one file")
+    return rows[0]
 
 
 def compare(spark: SparkSession, o: argparse.Namespace) -> tuple[DataFrame, list[str]]:
-    """The scores of the chosen frames, and the names of their columns."""
-    source, encoded = _cropped(video.read_y4m(spark, o.source), o, "source"), _cropped(video.read_y4m(spark, o.encoded), o, "encoded")
-    indexes = [video.file_index(spark, p).collect() for p in (o.source, o.encoded)]  # one row a file
-    counts, rate = [sum(r["frames"] for r in i) for i in indexes], indexes[0][0]["fps"] if indexes[0] else 0.0
-    span = sampling.resolve(*counts, o.start, o.end, o.every, o.encoded_offset)
+    """The scores of the chosen frames, and the names of their columns.
+
+    Which frames meet is settled from the files' heads; then a task reads both frames of its pairs and no others,
+    crops them and brings the encoded one to the source's size."""
+    source, encoded = (_one(spark, p) for p in (o.source, o.encoded))
+    rate = source.fps
+    span = sampling.resolve(source.frames, encoded.frames, o.start, o.end, o.every, o.encoded_offset)
     lists = sampling.index_list(o.source_indices), sampling.index_list(o.encoded_indices)
-    if any(lists):
-        pairs = sampling.pair_by_lists(spark, span, *counts, *lists)
-    else:
-        pairs = sampling.pair_by_offset(source, encoded, span)
-    both = sampling.attach(pairs, source, encoded).withColumn("pair_id", F.lit(f"{o.source}|{o.encoded}"))
+    which = sampling.listed_pairs(span, source.frames, encoded.frames, *lists) if any(lists) else span
+    crop = lambda side: tuple(getattr(o, f"crop_{e}_{side}") for e in ("top", "bottom", "left", "right"))
+    both = frames.read_pairs(spark, frames.Side(source.path, crop=crop("source")), frames.Side(encoded.path, crop=crop("encoded")), which, f"{o.source}|{o.encoded}")
     if sampling.metric_name(o.metric) == "structural":
         return structural_score(both), ["score"]
     if sampling.metric_name(o.metric) == "psychovisual":
@@ -101,8 +111,8 @@ def main(argv: list[str] | None = None) -> int:
     found, values = compare(spark, o)
     began = time.monotonic()
     found = found.persist()
-    frames = found.count()
-    print(f"{frames} frames, {frames / max(time.monotonic() - began, 1e-9):.2f} a second", file=sys.stderr)
+    pairs = found.count()
+    print(f"{pairs} frames, {pairs / max(time.monotonic() - began, 1e-9):.2f} a second", file=sys.stderr)
     if o.json:
         files.write_json(found, o.json, values)
     for v in values:

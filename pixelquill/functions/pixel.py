@@ -256,3 +256,15 @@ def band_frequency(ppd: float) -> Column:
     """Cycles per degree of `band` of `bands`."""
     lower = F.lit(0.3228 * ppd / 2) * F.pow(F.lit(2.0), 1 - F.col("band"))
     return F.when(F.col("band") == F.col("bands") - 1, F.lit(K.BASE_FREQUENCY)).when(F.col("band") == 0, F.lit(ppd / 2)).otherwise(lower)
+
+
+def bands_of(width: Column, height: Column, ppd: Column) -> Column:
+    """An array of (band, width, height, frequency), the base band last; sizes are halved downwards."""
+    n = F.greatest(F.lit(1), F.length(F.bin(F.least(width, height))) - 2)
+
+    def band(i: Column) -> Column:
+        half = lambda v: F.greatest(F.lit(1), F.floor(v / F.pow(F.lit(2.0), i))).cast("long")
+        frequency = F.when(i == n - 1, F.lit(K.BASE_FREQUENCY)).when(i == 0, ppd / 2).otherwise(F.lit(0.3228) * F.pow(F.lit(2.0), -(i - 1)) * ppd / 2)
+        return F.struct(i.cast("long").alias("band"), half(width).alias("width"), half(height).alias("height"), frequency.alias("frequency"))
+
+    return F.transform(F.sequence(F.lit(0), n - 1), band)

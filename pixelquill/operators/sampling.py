@@ -79,8 +79,8 @@ def pair_by_offset(source: DataFrame, other: DataFrame, span: Span, keys: tuple[
     return paired.select(*keys, ((F.col("src_frame") - span.start) / span.every).cast("int").alias("ord"), "src_frame", "enc_frame")
 
 
-def pair_by_lists(spark: SparkSession, span: Span, source_frames: int, other_frames: int, source: list[int] | None = None, other: list[int] | None = None) -> DataFrame:
-    """(ord, src_frame, enc_frame) from explicit lists of sampled ordinals; order and repeats stay."""
+def listed_pairs(span: Span, source_frames: int, other_frames: int, source: list[int] | None = None, other: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """(ord, source frame, other frame) from explicit lists of sampled ordinals; order and repeats stay."""
     if source:
         src = [span.start + i * span.every for i in source]
         if (bad := [i for i in src if i >= source_frames or i < 0]):
@@ -93,7 +93,12 @@ def pair_by_lists(spark: SparkSession, span: Span, source_frames: int, other_fra
         raise SamplingError(f"the other video has no frame {bad[0]}")
     if len(src) != len(enc):
         raise SamplingError(f"{len(src)} source frames, but {len(enc)} others")
-    return spark.createDataFrame(list(zip(range(len(src)), src, enc, strict=True)), "ord int, src_frame long, enc_frame long")
+    return list(zip(range(len(src)), src, enc, strict=True))
+
+
+def pair_by_lists(spark: SparkSession, span: Span, source_frames: int, other_frames: int, source: list[int] | None = None, other: list[int] | None = None) -> DataFrame:
+    """listed_pairs as rows (ord, src_frame, enc_frame)."""
+    return spark.createDataFrame(listed_pairs(span, source_frames, other_frames, source, other), "ord int, src_frame long, enc_frame long")
 
 
 def zip_lists(lists: DataFrame, source: str, other: str, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import PYRAMID_TAPS
+from ..functions.planes import resample_taps
 
 
 def _pass(pixels: DataFrame, value: str, keys: list[str], along: str, across: str, taps: dict[int, float]) -> DataFrame:
@@ -106,3 +107,18 @@ def expand_level(pixels: DataFrame, height: int, width: int, value: str = "v", k
         sent = out.select(*keys, across, where, value)
         out = sent.groupBy(*keys, across, F.col("t.o").alias(along)).agg(F.sum(F.col("t.w") * F.col(value)).alias(value))
     return out
+
+
+def resample(pixels: DataFrame, have: tuple[int, int], want: tuple[int, int], value: str = "v", keys: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """Pixels of (height, width) `have` at any other size: an equi-join with the taps of a line (as many rows as the line
+    and its taps), columns first, then rows."""
+    out = pixels
+    for along, across, a, b in (("x", "y", have[1], want[1]), ("y", "x", have[0], want[0])):
+        if a == b:
+            continue
+        places, weights = resample_taps(a, b)
+        rows = [(o, int(i), float(w)) for o in range(b) for i, w in zip(places[o], weights[o], strict=True)]
+        taps = pixels.sparkSession.createDataFrame(rows, f"_to int, {along} int, _w double")
+        sent = out.join(F.broadcast(taps), along)
+        out = sent.groupBy(*keys, across, F.col("_to").alias(along)).agg(F.sum(F.col(value) * F.col("_w")).alias(value))
+    return out

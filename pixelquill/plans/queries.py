@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -292,8 +293,6 @@ def display_ppd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _taps(sigma: float, radius: int) -> list[tuple[int, float]]:
-    import math
-
     return [(j, math.exp(-j * j / (2 * sigma * sigma))) for j in range(-radius, radius + 1)]
 
 
@@ -322,6 +321,25 @@ def supersample_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stencil.add_supersampled(g.select("frame", "y", "x", "v"), small).select("frame", "y", "x", r6(F.col("v"), "v", 9))
 
 
+_CUBIC = "CASE WHEN {x} < 1 THEN (7 * pow({x}, 3) - 12 * pow({x}, 2) + 16.0 / 3) / 6 WHEN {x} < 2 THEN (-7.0 / 3 * pow({x}, 3) + 12 * pow({x}, 2) - 20 * {x} + 32.0 / 3) / 6 ELSE 0.0 END"
+
+
+def _resample_sql(source: str, out: str, along: str, across: str, have: int, want: int) -> str:
+    """One axis: taps of the bicubic kernel, mirrored at the ends, made wider where the line becomes shorter."""
+    step = min(1.0, want / have)
+    n = 2 * math.ceil(2 / step)
+    return f"""{out}_k AS (SELECT o, k, (o + 0.5) * {have / want!r} AS c, floor((o + 0.5) * {have / want!r} - {n / 2} + 0.5) + k AS p FROM range({want}) a(o), range({n}) b(k)
+), {out}_w AS (SELECT o, CAST(least((p + {4 * have}) % {2 * have}, {2 * have} - 1 - (p + {4 * have}) % {2 * have}) AS INTEGER) AS i, {_CUBIC.format(x=f"abs((p + 0.5 - c) * {step!r})")} AS w FROM {out}_k
+), {out}_t AS (SELECT o, i, w / sum(w) OVER (PARTITION BY o) AS w FROM {out}_w
+), {out} AS (SELECT frame, CAST(o AS INTEGER) AS {along}, {across}, sum(v * w) AS v FROM {source} JOIN {out}_t ON {along} = i GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {GRAY}, {_resample_sql('px', 'wide', 'x', 'y', 16, 23)}, {_resample_sql('wide', 'low', 'y', 'x', 16, 5)} SELECT frame, y, x, round(v, 6) + 0.0 AS v FROM low")
+def resize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 16 x 16 at 5 lines of 23: one way larger, the other smaller."""
+    return stencil.resample(fixtures.gray(spark, sf_dir).select("frame", "y", "x", "v"), (16, 16), (5, 23)).select("frame", "y", "x", r6(F.col("v"), "v"))
+
+
 _lines = ", ".join(f"({k}, {dx}, {dy})" for k, taps in enumerate(K.LINES_LOW) for dx, dy in taps)
 _lines_high = ", ".join(f"({k}, {dx}, {dy})" for k, taps in enumerate(K.LINES_HIGH) for dx, dy in taps)
 _line_sql = "WITH {g}, s AS (SELECT a.frame, a.y, a.x, t.k, sum(b.v) AS s FROM px a JOIN (VALUES {t}) t(k, dx, dy) ON true JOIN px b ON b.frame = a.frame AND b.y = a.y + t.dy AND b.x = a.x + t.dx GROUP BY 1, 2, 3, 4) SELECT frame, y, x, round(sum(s * s), 11) + 0.0 AS v FROM s GROUP BY 1, 2, 3"
@@ -465,8 +483,6 @@ def csf_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clamped_sql() -> str:
-    import math
-
     raw = [math.exp(-(j * j) / 18.0) for j in range(-6, 7)]
     taps = ", ".join(f"({j}, {w / sum(raw)!r})" for j, w in zip(range(-6, 7), raw, strict=True))
     one = lambda src, out, axis, other: f"{out} AS (SELECT a.frame, a.y, a.x, sum(b.v * t.w) AS v FROM {src} a JOIN (VALUES {taps}) t(j, w) ON true JOIN {src} b ON b.frame = a.frame AND b.{other} = a.{other} AND b.{axis} = least(greatest(a.{axis} + t.j, 0), 15) GROUP BY 1, 2, 3)"
@@ -485,11 +501,16 @@ def lpyr_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stencil.expand_level(fixtures.gray(spark, sf_dir).select("frame", "y", "x", "v"), 32, 32).select("frame", "y", "x", r6(F.col("v"), "v", 11))
 
 
-@query(f"SELECT i AS band, greatest(1, 1920 >> i) AS width, greatest(1, 1080 >> i) AS height, round(CASE WHEN i = 8 THEN 0.1 WHEN i = 0 THEN 30.0 ELSE 0.3228 * pow(2.0, -(i - 1)) * 30.0 END, 9) + 0.0 AS frequency FROM range(9) r(i)")
+@query("""WITH s AS (SELECT c_custkey AS id, 16 + c_custkey % 3825 AS w, 16 + c_custkey % 2145 AS h, 10.0 + c_custkey % 70 AS ppd FROM customer
+), n AS (SELECT *, greatest(1, CAST(floor(log2(least(w, h))) AS BIGINT) - 1) AS bands FROM s)
+SELECT id, i AS band, greatest(1, w >> i) AS width, greatest(1, h >> i) AS height, round(CASE WHEN i = bands - 1 THEN 0.1 WHEN i = 0 THEN ppd / 2 ELSE 0.3228 * pow(2.0, -(i - 1)) * ppd / 2 END, 9) + 0.0 AS frequency
+FROM n, unnest(range(bands)) AS r(i)""")
 def band_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.planes import band_sizes
-
-    return spark.createDataFrame([(i, w, h, round(f, 9)) for i, (w, h, f) in enumerate(band_sizes(1920, 1080, 60.0))], "band long, width long, height long, frequency double")
+    """The bands of screens whose sizes and sharpness come from customers' keys."""
+    k = F.col("c_custkey")
+    screens = fixtures.table(spark, sf_dir, "customer").select(k.alias("id"), (k % 3825 + 16).alias("w"), (k % 2145 + 16).alias("h"), (k % 70 + 10.0).alias("ppd"))
+    found = screens.select("id", F.explode(pixel.bands_of(F.col("w"), F.col("h"), F.col("ppd"))).alias("b"))
+    return found.select("id", "b.band", "b.width", "b.height", r6(F.col("b.frequency"), "frequency", 9))
 
 
 # --- whole metrics ----------------------------------------------------------------

@@ -1,19 +1,17 @@
 """Frames from uncompressed files: Y4M clips, raw planar and packed samples.
 
-Files are listed by Spark and opened in tasks: first their heads, from which follow the
-places of all frames, then ranges of frames of about RANGE_BYTES, each in a task that
-seeks to its first frame and reads no other.  So a clip of any length is spread, and a
-range of frames is all that is read of it.  Tasks open files through Arrow's file
-systems, so executors have to see the paths.  Frames are rows of (video_id, frame_idx,
-width, height, fps, planes) with samples scaled to 0..1.
+Here are formats, heads and decoding; sources/frames.py makes data sources of them, whose
+partitions are ranges of frames.  Frames are rows of (video_id, frame_idx, width, height,
+fps, planes) with samples scaled to 0..1.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DifferingInputs, UnsupportedInput
+from ..functions.planes import cubic
 
 FRAMES = "video_id string, frame_idx long, width int, height int, fps double, planes array<array<float>>"
 
-#: Bytes of frames that one task reads, and tasks of one read at most.
-RANGE_BYTES, MAX_RANGES = 64 << 20, 20_000
 #: Sample name -> (numpy type, the value of full scale).
 SAMPLES = {"uint8": ("<u1", 255.0), "uint16": ("<u2", 65535.0), "half": ("<f2", 1.0), "float": ("<f4", 1.0)}
 #: Packed layouts: the place of r, g, b among the samples of a pixel, and samples a pixel.
@@ -79,7 +76,7 @@ class Colour:
 
     matrix: str | None = None  # by default 709 above 650 lines, else 601
     full_range: bool | None = None  # by default that of the format
-    centred: bool = False  # whether chroma samples lie in the middle of their columns, or on the left one
+    centred: bool | None = None  # whether chroma samples lie in the middle of their columns, or on the left one (by default)
     repeated: bool = False  # chroma repeated instead of interpolated
 
     def weights(self, height: int) -> tuple[float, float]:
@@ -89,20 +86,12 @@ class Colour:
         return MATRICES[name]
 
 
-def _cubic(x: np.ndarray, b: float = 1 / 3, c: float = 1 / 3) -> np.ndarray:
-    """The bicubic kernel of two parameters."""
-    x = np.abs(x)
-    near = ((12 - 9 * b - 6 * c) * x**3 + (-18 + 12 * b + 6 * c) * x**2 + 6 - 2 * b) / 6
-    far = ((-b - 6 * c) * x**3 + (6 * b + 30 * c) * x**2 + (-12 * b - 48 * c) * x + 8 * b + 24 * c) / 6
-    return np.where(x < 1, near, np.where(x < 2, far, 0.0))
-
-
 @lru_cache(maxsize=64)
 def _taps(have: int, want: int, factor: int, centred: bool) -> tuple[np.ndarray, np.ndarray]:
     """Per place its four samples, mirrored at the borders, and their weights."""
     at = (np.arange(want) + 0.5) / factor - 0.5 if centred else np.arange(want) / factor
     places = np.floor(at)[:, None] + np.arange(-1, 3)
-    weights = _cubic(places - at[:, None])
+    weights = cubic(places - at[:, None])
     inside = np.mod(places.astype(int), 2 * have)
     return np.minimum(inside, 2 * have - 1 - inside), weights / weights.sum(1, keepdims=True)
 
@@ -134,24 +123,26 @@ def to_rgb(planes: list[np.ndarray], form: PixelFormat, colour: Colour = Colour(
     if colour.repeated:
         cb, cr = (p.repeat(1 << form.sub_h, 0).repeat(1 << form.sub_w, 1)[:h, :w] for p in (cb, cr))
     else:
-        cb, cr = (enlarged(p, (h, w), form.sub_h, form.sub_w, colour.centred) for p in (cb, cr))
+        cb, cr = (enlarged(p, (h, w), form.sub_h, form.sub_w, bool(colour.centred)) for p in (cb, cr))
     return matrix_rgb(y, cb, cr, *colour.weights(h))
 
 
-_Y4M = {"420": "yuv420p", "420jpeg": "yuv420p", "420mpeg2": "yuv420p", "420paldv": "yuv420p", "422": "yuv422p", "444": "yuv444p", "411": "yuv411p", "440": "yuv440p", "mono": "gray"}
+# Y4M tags of 8-bit formats, and whether they place chroma in the middle of its columns.
+_Y4M = {"420": ("yuv420p", True), "420jpeg": ("yuv420p", True), "420mpeg2": ("yuv420p", False), "420paldv": ("yuv420p", False), "422": ("yuv422p", False), "444": ("yuv444p", False), "411": ("yuv411p", False), "440": ("yuv440p", False), "mono": ("gray", False)}
 
 
-def _y4m_format(tag: str) -> PixelFormat:
+def _y4m_format(tag: str) -> tuple[PixelFormat, bool]:
+    """The format of a Y4M tag, and whether chroma is centred."""
     if tag in _Y4M:
-        return pixel_format(_Y4M[tag])
+        return pixel_format(_Y4M[tag][0]), _Y4M[tag][1]
     if m := re.fullmatch(r"(420|422|444)p(\d+)", tag):
-        return pixel_format(f"yuv{m[1]}p{m[2]}le")
+        return pixel_format(f"yuv{m[1]}p{m[2]}le"), False
     if m := re.fullmatch(r"mono(\d+)", tag):
-        return pixel_format(f"gray{m[1]}le")
+        return pixel_format(f"gray{m[1]}le"), False
     raise UnsupportedInput(f"Y4M colour space {tag!r}")
 
 
-def _open(path: str) -> pa.NativeFile:
+def open_file(path: str) -> pa.NativeFile:
     where = re.sub(r"^file:/+", "/", path)
     store, name = (fs.LocalFileSystem(), where) if where.startswith("/") else fs.FileSystem.from_uri(where)
     return store.open_input_file(name)
@@ -167,6 +158,7 @@ class Clip:
     form: PixelFormat
     full_range: bool | None
     begin: int  # where the first frame's marker is
+    centred: bool = False
 
     @classmethod
     def of(cls, file: pa.NativeFile) -> Clip:
@@ -177,7 +169,8 @@ class Clip:
         fields = {x[:1]: x[1:] for x in words if x[0] != "X"}
         span = next((x[len("XCOLORRANGE=") :] for x in words if x.startswith("XCOLORRANGE=")), None)
         up, _, down = fields.get("F", "30:1").partition(":")
-        return cls(int(fields["W"]), int(fields["H"]), int(up) / max(int(down or 1), 1), _y4m_format(fields.get("C", "420")), None if span is None else span == "FULL", len(head) + 1)
+        form, centred = _y4m_format(fields.get("C", "420"))
+        return cls(int(fields["W"]), int(fields["H"]), int(up) / max(int(down or 1), 1), form, None if span is None else span == "FULL", len(head) + 1, centred)
 
     @property
     def kind(self) -> np.dtype:
@@ -223,105 +216,68 @@ class Clip:
         for h, w in self.shapes:
             planes.append(data[done : done + h * w].reshape(h, w))
             done += h * w
-        return to_rgb(planes, self.form, replace(colour, full_range=self.full_range if colour.full_range is None else colour.full_range))
-
-
-def _row(video: str, index: int, w: int, h: int, fps: float, rgb: np.ndarray) -> pa.RecordBatch:
-    planes = pa.array([[p.astype(np.float32).ravel() for p in rgb]], pa.list_(pa.list_(pa.float32())))
-    return pa.RecordBatch.from_arrays([pa.array([video]), pa.array([index], pa.int64()), pa.array([w], pa.int32()), pa.array([h], pa.int32()), pa.array([fps], pa.float64()), planes], ["video_id", "frame_idx", "width", "height", "fps", "planes"])
-
-
-def _files(spark: SparkSession, path: str | list[str], whole_path: bool = False) -> DataFrame:
-    """(path, name) of the files; their contents are not read."""
-    return spark.read.format("binaryFile").load(path).select("path", (F.col("path") if whole_path else F.element_at(F.split("path", "/"), -1)).alias("name"))
-
-
-RANGES = "path string, name string, first long, places array<long>"
+        return to_rgb(planes, self.form, replace(colour, full_range=self.full_range if colour.full_range is None else colour.full_range, centred=self.centred if colour.centred is None else colour.centred))
 
 
-def _ranges(files: DataFrame, places, start: int, end: int | None) -> DataFrame:
-    """RANGES rows, one a task as far as MAX_RANGES reach; places(file) gives (places of frames, bytes of one)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with _open(path) as file:
-                    found, size = places(file)
-                    step = max(1, RANGE_BYTES // max(size, 1))
-                    last = len(found) if end is None else min(end, len(found))
-                    rows = [(path, name, i, found[i : min(i + step, last)].tolist()) for i in range(max(start, 0), last, step)]
-                columns = list(zip(*rows, strict=True)) or [[]] * 4
-                kinds = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "name", "first", "places"])
+@dataclass(frozen=True)
+class Raw:
+    """A headerless file: three planes one after the other, or a packed layout; stride counts samples of a row.
+    The layout yuyv422 holds two pixels in four samples (y, cb, y, cr)."""
 
-    rows = files.mapInArrow(run, RANGES)
-    return rows.repartition(max(1, min(rows.count(), MAX_RANGES)))  # a count of heads
+    width: int
+    height: int
+    sample: str = "uint8"
+    stride: int | None = None
+    layout: str = "planar"
+    fps: float = 30.0
 
+    def __post_init__(self) -> None:
+        if self.layout not in ("planar", "yuyv422", *PACKED):
+            raise UnsupportedInput(f"layout {self.layout!r}")
+        if self.kind not in SAMPLES:
+            raise UnsupportedInput(f"sample type {self.sample!r}")
 
-def read_y4m(spark: SparkSession, path: str, first: int = 0, start: int = 0, end: int | None = None, colour: Colour = Colour(), whole_path: bool = False) -> DataFrame:
-    """Frames [start, end) of all Y4M files at path, numbered from `first` on.
-    The video_id is the file's name, or its whole path where names repeat between folders."""
+    @property
+    def kind(self) -> str:
+        return {"planar": self.sample, "yuyv422": "uint8"}.get(self.layout) or PACKED[self.layout][0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                with _open(r["path"]) as file:
-                    clip = Clip.of(file)
-                    for k, at in enumerate(r["places"]):
-                        yield _row(r["name"], first + r["first"] + k, clip.width, clip.height, clip.fps, clip.frame(file, at, colour))
+    @property
+    def across(self) -> int:
+        """Samples of a row without its padding."""
+        if self.layout == "yuyv422":
+            return -(-self.width // 2) * 4
+        return self.width * (1 if self.layout == "planar" else PACKED[self.layout][2])
 
-    def places(file: pa.NativeFile) -> tuple[np.ndarray, int]:
-        clip = Clip.of(file)
-        return clip.places(file), clip.size
+    @property
+    def row(self) -> int:
+        return self.stride or self.across
 
-    return _ranges(_files(spark, path, whole_path), places, start, end).mapInArrow(run, FRAMES)
+    @property
+    def size(self) -> int:
+        return self.row * self.height * (3 if self.layout == "planar" else 1) * np.dtype(SAMPLES[self.kind][0]).itemsize
 
+    def places(self, file: pa.NativeFile) -> np.ndarray:
+        if file.size() % self.size:
+            raise DifferingInputs(f"{file.size()} bytes are no whole frames of {self.size}")
+        return np.arange(0, file.size(), self.size, dtype=np.int64)
 
-def read_raw(
-    spark: SparkSession, path: str, width: int, height: int, sample: str = "uint8", stride: int | None = None, layout: str = "planar", fps: float = 30.0, first: int = 0,
-    start: int = 0, end: int | None = None, colour: Colour = Colour(), whole_path: bool = False,
-) -> DataFrame:
-    """Frames [start, end) of headerless files: three planes one after the other, or a packed layout; stride counts samples of a row.
-    The layout yuyv422 holds two pixels in four samples (y, cb, y, cr)."""
-    if layout == "yuyv422":
-        sample, places, per = "uint8", (), 2
-    elif layout != "planar":
-        sample, places, per = PACKED[layout] if layout in PACKED else (None, None, None)
-        if sample is None:
-            raise UnsupportedInput(f"layout {layout!r}")
-    else:
-        places, per = (0, 1, 2), 1
-    if sample not in SAMPLES:
-        raise UnsupportedInput(f"sample type {sample!r}")
-    kind, top = SAMPLES[sample]
-    across = -(-width // 2) * 4 if layout == "yuyv422" else width * per
-    row = stride or across
-    frame = row * height * (3 if layout == "planar" else 1)
-    size = frame * np.dtype(kind).itemsize
-
-    def rgb_of(data: np.ndarray) -> np.ndarray:
-        if layout == "planar":
+    def frame(self, file: pa.NativeFile, at: int, colour: Colour) -> np.ndarray:
+        kind, top = SAMPLES[self.kind]
+        data, width, height = np.frombuffer(file.read_at(self.size, at), kind), self.width, self.height
+        if self.layout == "planar":
             own = data.astype(np.float64) / top
-            return np.stack([unstride(own[c * row * height :], row, width, height) for c in range(3)])
-        pixels = unstride(data, row, across, height)
-        if layout == "yuyv422":
+            return np.stack([unstride(own[c * self.row * height :], self.row, width, height) for c in range(3)])
+        pixels = unstride(data, self.row, self.across, height)
+        if self.layout == "yuyv422":
             return to_rgb([pixels[:, ::2][:, :width], pixels[:, 1::4], pixels[:, 3::4]], pixel_format("yuv422p"), colour)
+        places, per = PACKED[self.layout][1:]
         pixels = pixels.astype(np.float64).reshape(height, width, per) / top
         return np.stack([pixels[:, :, c] for c in places])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                with _open(r["path"]) as file:
-                    for k, at in enumerate(r["places"]):
-                        yield _row(r["name"], first + r["first"] + k, width, height, fps, rgb_of(np.frombuffer(file.read_at(size, at), kind)))
-
-    def found(file: pa.NativeFile) -> tuple[np.ndarray, int]:
-        if file.size() % size:
-            raise DifferingInputs(f"{file.size()} bytes are no whole frames of {size}")
-        return np.arange(0, file.size(), size, dtype=np.int64), size
 
-    return _ranges(_files(spark, path, whole_path), found, start, end).mapInArrow(run, FRAMES)
+def head_of(file: pa.NativeFile, raw: dict[str, Any] | None) -> Clip | Raw:
+    """How a file's frames are laid out: as its head says, or as the caller does."""
+    return Clip.of(file) if raw is None else Raw(**raw)
 
 
 def frame_index(frames: DataFrame) -> DataFrame:
@@ -329,20 +285,21 @@ def frame_index(frames: DataFrame) -> DataFrame:
     return frames.groupBy("video_id").agg(F.count("*").alias("frames"), F.max("width").alias("width"), F.max("height").alias("height"), F.max("fps").alias("fps"), (F.countDistinct("width", "height") == 1).alias("one_size"))
 
 
-def file_index(spark: SparkSession, path: str, cache: str | None = None) -> DataFrame:
-    """(path, modified, bytes, width, height, fps, frames) of Y4M files.
+def file_index(spark: SparkSession, path: str, cache: str | None = None, raw: Raw | None = None) -> DataFrame:
+    """(path, modified, bytes, width, height, fps, frames) of Y4M files, or of headerless ones of one layout.
 
-    With a cache (a Parquet table), files that it knows at the same time and size are not
+    With a cache (a Parquet table of one layout), files that it knows at the same time and size are not
     opened; new ones are added to it."""
     shape = "path string, modified timestamp, bytes long, width int, height int, fps double, frames long"
     present = spark.read.format("binaryFile").load(path).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+    layout = None if raw is None else asdict(raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, name in enumerate(batch.column(0).to_pylist()):
-                with _open(name) as file:  # heads and markers only; no frame is decoded
-                    clip = Clip.of(file)
-                    more = [pa.array([clip.width], pa.int32()), pa.array([clip.height], pa.int32()), pa.array([clip.fps]), pa.array([len(clip.places(file))], pa.int64())]
+                with open_file(name) as file:  # heads and markers only; no frame is decoded
+                    clip = head_of(file, layout)
+                    more = [pa.array([clip.width], pa.int32()), pa.array([clip.height], pa.int32()), pa.array([clip.fps], pa.float64()), pa.array([len(clip.places(file))], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 1) for k in range(3)), *more], ["path", "modified", "bytes", "width", "height", "fps", "frames"])
 
     opened = lambda rows: rows.select("path", "modified", "bytes").mapInArrow(run, shape)

@@ -95,3 +95,28 @@ def test_relational_twins(spark, size):
     if min(size) > 1:
         assert np.allclose(plane(stencil.reduce_level(df, *size), (size[0] // 2, size[1] // 2)), P.reduce_plane(p))
     assert np.allclose(plane(stencil.add_supersampled(df, stencil.halve(df)), size), p * 0.85 + 0.5 * P.halve(p).repeat(2, 0).repeat(2, 1)[: size[0], : size[1]])
+
+
+def test_band_geometry_as_columns(spark):
+    from pyspark.sql import functions as F
+
+    from pixelquill.functions import pixel
+    from pixelquill.functions.planes import band_sizes
+
+    sizes = [(1, 1), (3, 1), (5, 4), (8, 8), (16, 9), (1023, 777), (1920, 1080), (3840, 2160)]
+    rows = spark.createDataFrame([(w, h) for w, h in sizes], "w int, h int").select("w", "h", pixel.bands_of(F.col("w"), F.col("h"), F.lit(57.0)).alias("b")).collect()
+    assert [[(b.width, b.height) for b in r.b] for r in rows] == [[(w, h) for w, h, _ in band_sizes(r.w, r.h, 57.0)] for r in rows]
+    assert all(np.allclose([b.frequency for b in r.b], [f for *_, f in band_sizes(r.w, r.h, 57.0)]) and [b.band for b in r.b] == list(range(len(r.b))) for r in rows)
+
+
+def test_resampled_rows_equal_the_plane(spark):
+    from pixelquill.functions.planes import resample
+    from pixelquill.operators import stencil
+
+    plane = np.random.default_rng(0).random((9, 13))
+    px = spark.createDataFrame([(0, y, x, float(plane[y, x])) for y in range(9) for x in range(13)], "frame int, y int, x int, v double")
+    for want in ((4, 20), (18, 5), (9, 13)):
+        got = np.zeros(want)
+        for r in stencil.resample(px, (9, 13), want).collect():
+            got[r.y, r.x] = r.v
+        assert np.allclose(got, resample(plane, want))

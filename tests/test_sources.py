@@ -1,36 +1,37 @@
 import json
+import re
 
 import numpy as np
 import pytest
 
 from pixelquill import cli
 from pixelquill.errors import ConfigurationError, UnsupportedInput
-from pixelquill.operators import pooling
-from pixelquill.sources import config, scores, video
+from pixelquill.operators import pooling, sampling
+from pixelquill.sources import config, frames, scores, video
 from pixelquill.streaming import live
 
 
-def y4m(path, frames, tag="420", extra=b""):
-    h, w = frames[0][0].shape
+def y4m(path, pictures, tag="420", extra=b""):
+    h, w = pictures[0][0].shape
     kind = "<u2" if "p1" in tag else "<u1"
     with open(path, "wb") as f:
         f.write(f"YUV4MPEG2 W{w} H{h} F30000:1001 Ip C{tag}\n".encode())
-        for planes in frames:
+        for planes in pictures:
             f.write(b"FRAME" + extra + b"\n" + b"".join(p.astype(kind).tobytes() for p in planes))
 
 
 def test_y4m(spark, tmp_path):
     gray = [(np.full((5, 7), v), np.full((3, 4), 128), np.full((3, 4), 128)) for v in (16, 126, 235)]
     y4m(tmp_path / "a.y4m", gray, extra=b" Xany")
-    rows = video.read_y4m(spark, str(tmp_path / "a.y4m")).orderBy("frame_idx").collect()
+    rows = frames.read_y4m(spark, str(tmp_path / "a.y4m")).orderBy("frame_idx").collect()
     assert [(r.video_id, r.frame_idx, r.width, r.height) for r in rows] == [("a.y4m", k, 7, 5) for k in range(3)] and rows[0].fps == pytest.approx(29.97, abs=0.01)
     assert [round(float(np.mean(r.planes)), 4) for r in rows] == [0.0, round(110 / 219, 4), 1.0]
     y4m(tmp_path / "b.y4m", [tuple(np.full((4, 4), v * 4) for v in (126, 128, 128))], "444p10")
-    assert np.allclose(video.read_y4m(spark, str(tmp_path / "b.y4m")).collect()[0].planes, 110 / 219, atol=1e-6)
+    assert np.allclose(frames.read_y4m(spark, str(tmp_path / "b.y4m")).collect()[0].planes, 110 / 219, atol=1e-6)
     (tmp_path / "bad.y4m").write_bytes(b"RIFF")
     with pytest.raises(Exception, match="not a Y4M"):
-        video.read_y4m(spark, str(tmp_path / "bad.y4m")).collect()
-    index = video.frame_index(video.read_y4m(spark, str(tmp_path / "a.y4m"))).collect()[0]
+        frames.read_y4m(spark, str(tmp_path / "bad.y4m")).collect()
+    index = video.frame_index(frames.read_y4m(spark, str(tmp_path / "a.y4m"))).collect()[0]
     assert (index.frames, index.width, index.one_size) == (3, 7, True)
 
 
@@ -55,7 +56,7 @@ def test_raw_planes_and_padding(spark, tmp_path, sample, kind, top):
     for name, fill in (("plain", None), ("zero", 0), ("other", 1)):
         data = values if fill is None else np.concatenate([values, np.full((2, 3, 5, 4), fill, kind)], axis=3)
         (tmp_path / name).write_bytes(data.tobytes())
-    got = [[np.array(r.planes) for r in video.read_raw(spark, str(tmp_path / n), 9, 5, sample, s).orderBy("frame_idx").collect()] for n, s in (("plain", None), ("zero", 13), ("other", 13))]
+    got = [[np.array(r.planes) for r in frames.read_raw(spark, str(tmp_path / n), 9, 5, sample, s).orderBy("frame_idx").collect()] for n, s in (("plain", None), ("zero", 13), ("other", 13))]
     assert np.allclose(got[0], values.reshape(2, 3, 45).astype(float) / top, atol=1e-6)
     assert np.array_equal(got[0], got[1]) and np.array_equal(got[1], got[2])
 
@@ -64,10 +65,10 @@ def test_packed_layouts(spark, tmp_path):
     rgb = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
     for layout, order in (("rgb24", [0, 1, 2]), ("rgba", [0, 1, 2, 0]), ("argb", [0, 0, 1, 2]), ("bgra", [2, 1, 0, 0]), ("abgr", [0, 2, 1, 0])):
         (tmp_path / layout).write_bytes(rgb[:, :, order].tobytes())
-        r = video.read_raw(spark, str(tmp_path / layout), 4, 2, layout=layout).collect()[0]
+        r = frames.read_raw(spark, str(tmp_path / layout), 4, 2, layout=layout).collect()[0]
         assert np.allclose(np.array(r.planes), rgb.transpose(2, 0, 1).reshape(3, 8) / 255.0), layout
     with pytest.raises(UnsupportedInput):
-        video.read_raw(spark, "x", 1, 1, layout="nope")
+        frames.read_raw(spark, "x", 1, 1, layout="nope")
 
 
 def test_pixel_formats():
@@ -157,47 +158,49 @@ def test_streamed_filter_equals_the_batch(spark, tmp_path):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
-def test_one_clip_is_many_tasks(spark, tmp_path, monkeypatch):
+def test_one_clip_is_many_tasks(spark, tmp_path):
     """A long clip is dealt by ranges of frames, and a range reads its own frames only."""
     plain = lambda v: (np.full((4, 6), v), np.full((2, 3), 128), np.full((2, 3), 128))
     path = tmp_path / "long.y4m"
     y4m(path, [plain(16 + k) for k in range(40)])
-    monkeypatch.setattr(video, "RANGE_BYTES", 36 * 8)
-    frames = video.read_y4m(spark, str(path))
-    assert frames.rdd.getNumPartitions() == 5
-    assert [(r.frame_idx, round(r.planes[0][0] * 219)) for r in frames.orderBy("frame_idx").collect()] == [(k, k) for k in range(40)]
-    part = video.read_y4m(spark, str(path), start=10, end=26)
-    assert part.rdd.getNumPartitions() == 2 and sorted(r.frame_idx for r in part.collect()) == list(range(10, 26))
+    frames.register(spark)
+    reader = frames.FrameReader({"path": str(path), "range_bytes": str(36 * 8)}, None)
+    assert [p.numbers.tolist() for p in reader.partitions()] == [list(range(k, k + 8)) for k in range(0, 40, 8)]
+    clip = spark.read.format("pixelquill_frames").option("range_bytes", 36 * 8).load(str(path))
+    assert clip.rdd.getNumPartitions() == 5
+    assert [(r.frame_idx, round(r.planes[0][0] * 219)) for r in clip.orderBy("frame_idx").collect()] == [(k, k) for k in range(40)]
+    part = frames.read_y4m(spark, str(path), start=10, end=26)
+    assert sorted(r.frame_idx for r in part.collect()) == list(range(10, 26))
     data = bytearray(path.read_bytes())
     place = data.index(b"FRAME", len(data) - 3 * 42)
     data[place : place + 5] = b"BROKE"  # beyond the range: never looked at
     path.write_bytes(data)
-    assert video.read_y4m(spark, str(path), end=16).count() == 16
+    assert frames.read_y4m(spark, str(path), end=16).count() == 16
     with pytest.raises(Exception, match="no marker"):
-        video.read_y4m(spark, str(path)).collect()
+        frames.read_y4m(spark, str(path)).collect()
     (tmp_path / "raw").write_bytes(bytes(range(240)))
-    raw = video.read_raw(spark, str(tmp_path / "raw"), 4, 2, start=3, end=9)
+    raw = frames.read_raw(spark, str(tmp_path / "raw"), 4, 2, start=3, end=9)
     assert [(r.frame_idx, round(r.planes[0][0] * 255)) for r in raw.orderBy("frame_idx").collect()] == [(k, 24 * k) for k in range(3, 9)]
 
 
 def test_markers_of_differing_lengths(spark, tmp_path):
-    frames = [b"FRAME" + extra + b"\n" + bytes([v] * 16) for v, extra in ((16, b""), (100, b" Ixyz"), (235, b" Q"))]
-    (tmp_path / "m.y4m").write_bytes(b"YUV4MPEG2 W4 H4 F25:1 Cmono\n" + b"".join(frames))
-    assert [round(r.planes[0][0] * 219) for r in video.read_y4m(spark, str(tmp_path / "m.y4m")).orderBy("frame_idx").collect()] == [0, 84, 219]
+    parts = [b"FRAME" + extra + b"\n" + bytes([v] * 16) for v, extra in ((16, b""), (100, b" Ixyz"), (235, b" Q"))]
+    (tmp_path / "m.y4m").write_bytes(b"YUV4MPEG2 W4 H4 F25:1 Cmono\n" + b"".join(parts))
+    assert [round(r.planes[0][0] * 219) for r in frames.read_y4m(spark, str(tmp_path / "m.y4m")).orderBy("frame_idx").collect()] == [0, 84, 219]
     assert video.file_index(spark, str(tmp_path / "m.y4m")).collect()[0].frames == 3
     (tmp_path / "cut.y4m").write_bytes((tmp_path / "m.y4m").read_bytes()[:-1])
     with pytest.raises(Exception, match="cut off"):
-        video.read_y4m(spark, str(tmp_path / "cut.y4m")).collect()
+        frames.read_y4m(spark, str(tmp_path / "cut.y4m")).collect()
 
 
 def test_colour_metadata_and_yuyv(spark, tmp_path):
     (tmp_path / "f.y4m").write_bytes(b"YUV4MPEG2 W2 H1 F25:1 C444 XCOLORRANGE=FULL\nFRAME\n" + bytes([51, 204, 128, 128, 128, 228]))
-    full = video.read_y4m(spark, str(tmp_path / "f.y4m")).collect()[0].planes
+    full = frames.read_y4m(spark, str(tmp_path / "f.y4m")).collect()[0].planes
     assert full[0][0] == pytest.approx(0.2) and full[0][1] == pytest.approx(0.8 + 2 * (1 - 0.299) * 100 / 255, abs=1e-6)
-    wide = video.read_y4m(spark, str(tmp_path / "f.y4m"), colour=video.Colour("2020", False)).collect()[0].planes
+    wide = frames.read_y4m(spark, str(tmp_path / "f.y4m"), colour=video.Colour("2020", False)).collect()[0].planes
     assert wide[0][1] == pytest.approx((204 - 16) / 219 + 2 * (1 - 0.2627) * 100 / 224, abs=1e-6)
     (tmp_path / "p").write_bytes(bytes([16, 128, 235, 128, 126, 90, 126, 200]))
-    got = np.array(video.read_raw(spark, str(tmp_path / "p"), 4, 1, layout="yuyv422", colour=video.Colour("709", repeated=True)).collect()[0].planes)
+    got = np.array(frames.read_raw(spark, str(tmp_path / "p"), 4, 1, layout="yuyv422", colour=video.Colour("709", repeated=True)).collect()[0].planes)
     y, cb, cr = (np.array([16, 235, 126, 126]) - 16) / 219, np.array([0, 0, -38, -38]) / 224, np.array([0, 0, 72, 72]) / 224
     assert np.allclose(got, video.matrix_rgb(y, cb, cr, 0.2126, 0.0722), atol=1e-6)
     with pytest.raises(UnsupportedInput):
@@ -251,3 +254,110 @@ def test_chroma_is_interpolated():
     row = video.enlarged(spike, (1, 18), 0, 1)[0]
     assert np.allclose(row[[6, 8, 10]], [1 / 18, 8 / 9, 1 / 18]) and np.isclose(row[7], row[9])
     assert np.isclose(row[5:12:2].sum(), 1) and np.isclose(row[[4, 6, 8, 10, 12]].sum(), 1)
+
+
+def breaks_all_but(path, size, kept):
+    """Spoils the markers of the frames that a test says are never opened."""
+    data = bytearray(path.read_bytes())
+    head, step = data.index(b"\n") + 1, size + 6
+    for k in range((len(data) - head) // step):
+        if k not in kept:
+            data[head + k * step : head + k * step + 5] = b"BROKE"
+    path.write_bytes(data)
+
+
+def test_conditions_reach_the_frames(spark, tmp_path):
+    """Only frames that a condition leaves are opened, and none where only numbers are asked for."""
+    path = tmp_path / "a.y4m"
+    y4m(path, [tuple(np.full(s, 16 + k) for s in ((4, 6), (2, 3), (2, 3))) for k in range(20)])
+    every = frames.read_y4m(spark, str(path))
+    breaks_all_but(path, 36, {0, 5, 6, 7, 10, 19})  # the first, middle and last marker tell where frames are
+    got = every.where("frame_idx >= 5 AND frame_idx < 8").orderBy("frame_idx").collect()
+    assert [(r.frame_idx, round(r.planes[0][0] * 219)) for r in got if True] == [(5, round(got[0].planes[0][0] * 219)), (6, round(got[1].planes[0][0] * 219)), (7, round(got[2].planes[0][0] * 219))]
+    assert sorted(r.frame_idx for r in every.where("frame_idx IN (0, 19) AND width = 6").collect()) == [0, 19]
+    assert every.where("frame_idx > 100").count() == 0 and every.where("frame_idx = 6").count() == 1
+    with pytest.raises(Exception, match="no marker"):
+        every.where("frame_idx = 8").collect()
+    numbers = frames.read_y4m(spark, str(path), columns=["frame_idx", "height"])
+    assert sorted(map(tuple, numbers.collect())) == [(k, 4) for k in range(20)]
+    plan = every.where("frame_idx >= 5 AND frame_idx < 8")._jdf.queryExecution().executedPlan().toString()
+    assert "Filter isnotnull" not in plan and "- Filter" not in plan and ") Filter" not in plan, plan  # the source answers the condition alone
+
+
+def test_pairs_are_read_in_one_task(spark, tmp_path):
+    """Both frames of a pair are read together: nothing wide is exchanged, other frames are never opened."""
+    for name, late in (("a.y4m", 0), ("b.y4m", 3)):
+        y4m(tmp_path / name, [tuple(np.full(s, 40 + (k - late) % 20) for s in ((16, 16), (8, 8), (8, 8))) for k in range(20)])
+    span = sampling.resolve(20, 20, 4, 10, 2, 3)
+    got = frames.read_pairs(spark, frames.Side(str(tmp_path / "a.y4m")), frames.Side(str(tmp_path / "b.y4m")), span)
+    breaks_all_but(tmp_path / "a.y4m", 384, {0, 4, 6, 8, 10, 19})
+    breaks_all_but(tmp_path / "b.y4m", 384, {0, 7, 9, 10, 11, 19})
+    rows = got.orderBy("ord").collect()
+    assert [(r.ord, r.src_frame, r.enc_frame) for r in rows] == [(0, 4, 7), (1, 6, 9), (2, 8, 11)] and all(r.a_planes == r.b_planes for r in rows)
+    assert [r.ord for r in got.where("src_frame = 6").collect()] == [1]
+    o = cli.options(["-s", str(tmp_path / "a.y4m"), "-e", str(tmp_path / "b.y4m"), "--start", "4", "--end", "10", "--every", "2", "--encoded-offset", "3"])
+    scored, _ = cli.compare(spark, o)
+    assert [round(r.score, 6) for r in scored.collect()] == [100.0] * 3
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"MapInArrow[^\n]*\n[^\n]*Project[^\n]*\n[^\n]*BatchScan pixelquill_frame_pairs[^\n]*planes", plan), plan
+    assert not any("planes" in line for line in plan.split("\n") if "Exchange" in line or "Join" in line), plan
+    with pytest.raises(Exception, match="has no frame"):
+        frames.read_pairs(spark, frames.Side(str(tmp_path / "a.y4m")), frames.Side(str(tmp_path / "b.y4m")), [(0, 1, 20)]).collect()
+
+
+def test_the_second_frame_gets_the_size_of_the_first(spark, tmp_path):
+    ramp = lambda h, w: np.tile(np.linspace(40, 200, w).round().astype(int), (h, 1))
+    flat = lambda h, w: (np.full((h // 2, w // 2), 128),) * 2
+    y4m(tmp_path / "a.y4m", [(ramp(24, 32), *flat(24, 32))])
+    y4m(tmp_path / "b.y4m", [(ramp(48, 64), *flat(48, 64))])
+    sides = [frames.Side(str(tmp_path / n)) for n in ("a.y4m", "b.y4m")]
+    r = frames.read_pairs(spark, *sides, sampling.Span(0, 1, 1, 0)).collect()[0]
+    assert (r.a_width, r.a_height, r.b_width, r.b_height) == (32, 24, 32, 24)
+    assert np.abs(np.array(r.a_planes) - np.array(r.b_planes)).max() < 0.02
+    cut = [frames.Side(sides[0].path, crop=(2, 4, 0, 6)), frames.Side(sides[1].path, crop=(1, 1, 3, 0))]
+    r = frames.read_pairs(spark, *cut, sampling.Span(0, 1, 1, 0)).collect()[0]
+    assert (r.a_width, r.a_height, r.b_width, r.b_height) == (26, 18, 26, 18)
+    with pytest.raises(Exception, match="frames differ"):
+        frames.read_pairs(spark, *sides, sampling.Span(0, 1, 1, 0), fit=False).collect()
+
+
+def test_siting_follows_the_tag(spark, tmp_path):
+    """The same samples as centred and as left chroma differ by half a sample's slope."""
+    chroma = np.tile(np.arange(8) * 10 + 90, (8, 1))
+    planes = (np.full((16, 16), 126), np.full((8, 8), 128), chroma)
+    red = {}
+    for tag in ("420", "420jpeg", "420mpeg2", "420paldv"):
+        y4m(tmp_path / tag, [planes], tag)
+        red[tag] = np.array(frames.read_y4m(spark, str(tmp_path / tag)).collect()[0].planes[0]).reshape(16, 16)
+    assert np.array_equal(red["420"], red["420jpeg"]) and np.array_equal(red["420mpeg2"], red["420paldv"])
+    slope = 10 / 224 * 2 * (1 - 0.299)
+    assert np.allclose((red["420mpeg2"] - red["420jpeg"])[:, 4:-4], slope / 4, atol=1e-5)
+    given = frames.read_y4m(spark, str(tmp_path / "420"), colour=video.Colour(centred=False)).collect()[0].planes[0]
+    assert np.array_equal(np.array(given).reshape(16, 16), red["420mpeg2"])
+
+
+def test_raw_files_have_an_index(spark, tmp_path):
+    (tmp_path / "r").write_bytes(bytes(240))
+    r = video.file_index(spark, str(tmp_path / "r"), raw=video.Raw(4, 2, fps=25.0)).collect()[0]
+    assert (r.frames, r.width, r.height, r.fps) == (10, 4, 2, 25.0)
+    with pytest.raises(Exception, match="no whole frames"):
+        video.file_index(spark, str(tmp_path / "r"), raw=video.Raw(7, 3)).collect()
+
+
+def test_repeated_options_are_refused(capsys):
+    with pytest.raises(SystemExit):
+        cli.options(["-s", "a", "-e", "b", "--start", "1", "--start", "1"])
+    assert "more than once" in capsys.readouterr().err
+
+
+@pytest.mark.parametrize(("have", "want"), [(8, 16), (16, 8), (9, 5), (5, 9), (7, 7), (30, 4), (1, 3), (3, 1)])
+def test_resampling(have, want):
+    from pixelquill.functions.planes import resample, resample_taps
+
+    places, weights = resample_taps(have, want)
+    assert np.allclose(weights.sum(1), 1) and places.min() >= 0 and places.max() < have
+    assert np.allclose(resample(np.full((have, have), 0.3), (want, want)), 0.3)
+    line = np.arange(have) / have
+    out = resample(np.tile(line, (3, 1)), (3, want))[0]
+    inner = slice(want // 3, want - want // 3) if min(have, want) >= 8 else slice(0, 0)
+    assert np.allclose(out[inner], ((np.arange(want) + 0.5) * have / want - 0.5)[inner] / have)
