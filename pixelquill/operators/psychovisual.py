@@ -1,7 +1,9 @@
 """Psychovisual distance: a difference map and its norms (0: identical).
 
 Tasks turn a pair into its map (full and half size, added up) without moving its planes;
-norms are taken there too, unless the map itself is asked for.
+norms are taken there too, unless the map itself is asked for.  The map comes tile by tile,
+each from the tile and HALO pixels around it, which is as far as its stages reach one after
+the other; so beside the frames themselves a task's memory does not grow with their size.
 """
 
 from __future__ import annotations
@@ -15,9 +17,19 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.planes import erode, halve, line_sums, psycho_blur
-from .rows import both_planes
+from .rows import both_planes, tiles, widened
 
 _OPSIN = np.array(K.PSYCHO_OPSIN)
+#: Pixels of a tile's side.
+TILE = 512
+
+
+def _reach(name: str) -> int:
+    return max(int(K.PSYCHO_SIGMAS[name] * 3), 8)
+
+
+#: How far a pixel of the map sees: the blurs one after the other, and then lines of 4 pixels or the mask with its erosion.
+HALO = sum(_reach(n) for n in ("opsin", "lf", "mf", "hf")) + max(4, _reach("mask") + 3)
 
 
 def _absorb(rgb: np.ndarray) -> np.ndarray:
@@ -101,33 +113,54 @@ def difference_map(a: np.ndarray, b: np.ndarray, intensity: float) -> np.ndarray
     return np.sqrt(gain(0.829591754942, 0.451936922203, 2.5485944793) * ac + gain(0.20025578522, 3.87449418804, 0.505054525019) * dc)
 
 
-def _map(batch: pa.RecordBatch, i: int, intensity: float) -> np.ndarray:
-    """Row i's map: full size, and half size twice as large added."""
-    full = [np.sign(p) * np.abs(p) ** 2.4 for p in both_planes(batch, i)]
-    half = [np.stack([halve(p) for p in planes]) for planes in full]
-    d, small = difference_map(*full, intensity), difference_map(*half, intensity)
-    h, w = d.shape
-    return d * 0.85 + 0.5 * small.repeat(2, 0).repeat(2, 1)[:h, :w]
+def _linear(planes: np.ndarray) -> np.ndarray:
+    planes = planes.astype(np.float64)
+    return np.sign(planes) * np.abs(planes) ** 2.4
 
 
-def _maps(intensity: float):
+def map_tiles(a: np.ndarray, b: np.ndarray, intensity: float, tile: int = TILE) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """(lines, columns, their part of the map) of two encoded frames: full size, and half size twice as large added."""
+    if tile % 2:
+        raise ValueError("a tile has to hold whole pixels of the half size")
+    h, w = a.shape[1:]
+    for rows, columns in tiles(h, w, tile):
+        whole, own = zip(*(widened(s, HALO, n) for s, n in ((rows, h), (columns, w))), strict=True)
+        d = difference_map(*(_linear(p[:, whole[0], whole[1]]) for p in (a, b)), intensity)[own[0], own[1]]
+        half = [slice(s.start // 2, -(-s.stop // 2)) for s in (rows, columns)]
+        outer, inside = zip(*(widened(s, HALO, -(-n // 2)) for s, n in zip(half, (h, w), strict=True)), strict=True)
+        cut = [slice(2 * s.start, min(2 * s.stop, n)) for s, n in zip(outer, (h, w), strict=True)]
+        small = difference_map(*(np.stack([halve(c) for c in _linear(p[:, cut[0], cut[1]])]) for p in (a, b)), intensity)[inside[0], inside[1]]
+        yield rows, columns, d * 0.85 + 0.5 * small.repeat(2, 0).repeat(2, 1)[: d.shape[0], : d.shape[1]]
+
+
+def _maps(intensity: float, tile: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                d = _map(batch, i, intensity)
+                a, b = both_planes(batch, i)
+                d = np.zeros(a.shape[1:])
+                for rows, columns, part in map_tiles(a, b, intensity, tile):
+                    d[rows, columns] = part
                 size = [pa.array([d.shape[1]], pa.int32()), pa.array([d.shape[0]], pa.int32())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), *size, pa.array([d.ravel()], pa.list_(pa.float64()))], ["pair_id", "ord", "width", "height", "data"])
 
     return run
 
 
-def _norms(intensity: float, q: float):
+def _norms(intensity: float, q: float, tile: int):
     """Norms in the task, so that no map goes back to Spark."""
 
+    def norms(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
+        powers, cubes, most = 0.0, 0.0, 0.0
+        for _, _, part in map_tiles(a, b, intensity, tile):
+            d = np.abs(part)
+            powers, cubes, most = powers + float((d**q).sum()), cubes + float((d**3).sum()), max(most, float(d.max()))
+        n = a.shape[1] * a.shape[2]
+        return (powers / n) ** (1 / q), (cubes / n) ** (1 / 3), most
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            maps = (np.abs(_map(batch, i, intensity)) for i in range(batch.num_rows))
-            found = [((d**q).mean() ** (1 / q), (d**3).mean() ** (1 / 3), d.max()) for d in maps]
+            found = [norms(*both_planes(batch, i)) for i in range(batch.num_rows)]
             columns = [pa.array([f[k] for f in found], pa.float64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["pair_id", "ord", "norm_q", "norm_3", "norm_inf"])
 
@@ -138,11 +171,11 @@ def _inputs(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", F.col("ord").cast("int"), "a_width", "a_height", "a_planes", "b_width", "b_height", "b_planes")
 
 
-def distortion_maps(pairs: DataFrame, intensity: float = 203.0) -> DataFrame:
+def distortion_maps(pairs: DataFrame, intensity: float = 203.0, tile: int = TILE) -> DataFrame:
     """(pair_id, ord, width, height, data) of pairs(pair_id, ord, a_*, b_*)."""
-    return _inputs(pairs).mapInArrow(_maps(intensity), f"pair_id {dict(pairs.dtypes)['pair_id']}, ord int, width int, height int, data array<double>")
+    return _inputs(pairs).mapInArrow(_maps(intensity, tile), f"pair_id {dict(pairs.dtypes)['pair_id']}, ord int, width int, height int, data array<double>")
 
 
-def psychovisual_distance(pairs: DataFrame, q: float = 2.0, intensity: float = 203.0) -> DataFrame:
+def psychovisual_distance(pairs: DataFrame, q: float = 2.0, intensity: float = 203.0, tile: int = TILE) -> DataFrame:
     """(pair_id, ord, norm_q, norm_3, norm_inf)."""
-    return _inputs(pairs).mapInArrow(_norms(intensity, q), f"pair_id {dict(pairs.dtypes)['pair_id']}, ord int, norm_q double, norm_3 double, norm_inf double")
+    return _inputs(pairs).mapInArrow(_norms(intensity, q, tile), f"pair_id {dict(pairs.dtypes)['pair_id']}, ord int, norm_q double, norm_3 double, norm_inf double")

@@ -1,7 +1,9 @@
 """Structural score: one number of at most 100 per frame pair (100: identical).
 
 Tasks turn a pair into pooled maps, a few rows per scale, without moving its planes; the
-rest (weights, polynomial) is a join with a 108-row table and a sum.
+rest (weights, polynomial) is a join with a 108-row table and a sum.  A pair is worked through
+in tiles of TILE pixels with as much around them as the blur reaches on each scale, so beside
+the frames themselves a task's memory does not grow with their size.
 """
 
 from __future__ import annotations
@@ -16,9 +18,11 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import pixel
 from ..functions.planes import blur, halve
-from .rows import both_planes
+from .rows import both_planes, tiles, widened
 
 MAPS = ("structure", "artifact", "detail")
+#: Pixels of a tile's side.
+TILE = 1024
 
 
 def weights(spark: SparkSession) -> DataFrame:
@@ -45,25 +49,55 @@ def _maps(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
     yield np.maximum(-v, 0)
 
 
-def _scales(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            both = [np.sign(p) * np.abs(p) ** 2.4 for p in both_planes(batch, i)]
-            rows = []
-            for scale in range(K.STRUCTURAL_SCALES):
-                if scale:
-                    both = [np.stack([halve(p) for p in planes]) for planes in both]
-                a, b = (_xyb(p) for p in both)
-                rows += [(scale, plane, name, float(v.mean()), float((v**4).mean() ** 0.25)) for plane in range(3) for name, v in zip(MAPS, _maps(a[plane], b[plane]), strict=True)]
-            own = pa.array([i] * len(rows))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *columns], ["pair_id", "ord", "scale", "plane", "map", "mean", "norm4"])
-
-
-def scale_maps(pairs: DataFrame) -> DataFrame:
+def _halved(planes: np.ndarray, times: int) -> np.ndarray:
+    for _ in range(times):
+        planes = np.stack([halve(p) for p in planes])
+    return planes
+
+
+def pooled_maps(a: np.ndarray, b: np.ndarray, tile: int = TILE) -> dict[tuple[int, int, str], tuple[float, float]]:
+    """(scale, plane, map) -> (mean, 4-norm) of two encoded frames, tile by tile."""
+    if tile % (1 << (K.STRUCTURAL_SCALES - 1)):
+        raise ValueError("a tile has to hold whole pixels of the coarsest scale")
+    h, w = a.shape[1:]
+    sums: dict[tuple[int, int, str], list[float]] = {}
+    for rows, columns in tiles(h, w, tile):
+        for scale in range(K.STRUCTURAL_SCALES):
+            unit = 1 << scale
+            cut, inner = [], []
+            for own, length in ((rows, h), (columns, w)):
+                small = slice(own.start // unit, -(-own.stop // unit))
+                outer, inside = widened(small, K.STRUCTURAL_RADIUS, -(-length // unit))
+                cut.append(slice(outer.start * unit, min(outer.stop * unit, length)))
+                inner.append(inside)
+            both = [p[:, cut[0], cut[1]].astype(np.float64) for p in (a, b)]
+            x, y = (_xyb(_halved(np.sign(p) * np.abs(p) ** 2.4, scale)) for p in both)
+            for plane in range(3):
+                for name, v in zip(MAPS, _maps(x[plane], y[plane]), strict=True):
+                    v = v[inner[0], inner[1]]
+                    total = sums.setdefault((scale, plane, name), [0.0, 0.0, 0])
+                    total[0] += float(v.sum())
+                    total[1] += float((v**4).sum())
+                    total[2] += v.size
+    return {k: (s / n, (s4 / n) ** 0.25) for k, (s, s4, n) in sums.items()}
+
+
+def _scales(tile: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = [(*k, *v) for k, v in pooled_maps(*both_planes(batch, i), tile).items()]
+                own = pa.array([i] * len(rows))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *columns], ["pair_id", "ord", "scale", "plane", "map", "mean", "norm4"])
+
+    return run
+
+
+def scale_maps(pairs: DataFrame, tile: int = TILE) -> DataFrame:
     """(pair_id, ord, scale, plane, map, mean, norm4) of pairs(pair_id, ord, a_*, b_*)."""
     rows = pairs.select("pair_id", F.col("ord").cast("int"), "a_width", "a_height", "a_planes", "b_width", "b_height", "b_planes")
-    return rows.mapInArrow(_scales, f"pair_id {dict(pairs.dtypes)['pair_id']}, ord int, scale int, plane int, map string, mean double, norm4 double")
+    return rows.mapInArrow(_scales(tile), f"pair_id {dict(pairs.dtypes)['pair_id']}, ord int, scale int, plane int, map string, mean double, norm4 double")
 
 
 def structural_score(pairs: DataFrame) -> DataFrame:

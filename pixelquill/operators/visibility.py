@@ -80,7 +80,7 @@ def _bands(display: Display, table: Sensitivity, mode: str, strip: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ref, test = (light(p, display) for p in both_planes(batch, i))
+                ref, test = (light(p.astype(np.float64), display) for p in both_planes(batch, i))
                 sizes = band_sizes(ref.shape[2], ref.shape[1], display.ppd)
                 both = [[pyramid(p, len(sizes)) for p in img] for img in (test, ref)]
                 for k, (w, h, frequency) in enumerate(sizes):

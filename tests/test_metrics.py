@@ -80,3 +80,39 @@ def test_planes_of_wrong_size(spark, frames):
     bad = pairs(spark, [(frames[0][0], frames[0][1])]).withColumn("a_width", F.lit(20))
     with pytest.raises(Exception, match=DifferingInputs.__name__):
         structural_score(bad).collect()
+
+
+@pytest.mark.parametrize("size", [(150, 203), (64, 64), (33, 129), (7, 300)])
+def test_tiles_give_what_whole_frames_give(size):
+    """Odd sizes, tiles that end inside the frame, and halos that reach over several tiles."""
+    from pixelquill.operators import structural
+
+    rng = np.random.default_rng(5)
+    a = np.clip(np.add.accumulate(rng.normal(0, 0.05, (3, *size)), axis=2) + 0.5, 0, 1).astype(np.float32)
+    b = (np.floor(a * 12) / 12).astype(np.float32)
+    whole, tiled = structural.pooled_maps(a, b, 1024), structural.pooled_maps(a, b, 32)
+    assert whole.keys() == tiled.keys() and all(np.allclose(whole[k], tiled[k], rtol=1e-9) for k in whole)
+    maps = []
+    for tile in (512, 48):
+        d = np.full(size, np.nan)
+        for rows, columns, part in psychovisual.map_tiles(a, b, 203.0, tile):
+            d[rows, columns] = part
+        maps.append(d)
+    assert np.allclose(maps[0], maps[1], rtol=1e-9, atol=1e-9) and maps[0].max() > 0.1
+
+
+def test_memory_of_tiles_does_not_grow_with_the_frame():
+    import tracemalloc
+
+    from pixelquill.operators import structural
+
+    peaks = []
+    for n in (768, 1024):
+        a = np.random.default_rng(1).random((3, n, n), dtype=np.float32)
+        b = np.floor(a * 12) / 12
+        for run in (lambda: structural.pooled_maps(a, b, 256), lambda: [p.max() for *_, p in psychovisual.map_tiles(a, b, 203.0, 256)]):  # noqa: B023
+            tracemalloc.start()
+            run()
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+    assert peaks[2] < 1.2 * peaks[0] and peaks[3] < 1.2 * peaks[1], peaks
