@@ -49,7 +49,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--qnorm", type=float, default=2.0)
     p.add_argument("--config-dir", help="folder of the display metric's documents")
     p.add_argument("--sensitivity", help="JSON document of the contrast sensitivity")
-    p.add_argument("--parameters", help="JSON document of the display metric's parameters, to be checked")
+    p.add_argument("--parameters", help="JSON document of the display metric's parameters")
     p.add_argument("--display", default="standard_4k", help="a display of the configuration")
     p.add_argument("--fps", type=float, default=0.0, help="frames a second for the display metric; else the source's")
     p.add_argument("--json")
@@ -95,14 +95,11 @@ def compare(spark: SparkSession, o: argparse.Namespace) -> tuple[DataFrame, list
         return psychovisual_distance(both, o.qnorm, o.intensity_target), ["norm_q", "norm_3", "norm_inf"]
     folder = config.find_folder(spark, [o.config_dir or ""])
     shown = config.read_display(spark, folder, o.display)
-    if o.parameters:
-        given = config.check_parameters(spark, o.parameters, DISPLAY_PARAMETERS)
-        if changed := sorted(k for k, v in given.items() if v != DISPLAY_PARAMETERS[k]):
-            raise SystemExit(f"the display metric is calibrated for other values of {', '.join(changed)}")
+    parameters = config.check_parameters(spark, o.parameters, DISPLAY_PARAMETERS) if o.parameters else DISPLAY_PARAMETERS
     if not o.sensitivity:
         raise SystemExit("the display metric needs a contrast sensitivity: --sensitivity FILE")
     table = config.read_sensitivity(spark, o.sensitivity)
-    return display_difference(both, shown, table, o.fps or rate or 30.0), ["score"]
+    return display_difference(both, shown, table, o.fps or rate or 30.0, parameters=parameters), ["score"]
 
 
 def main(argv: list[str] | None = None) -> int:

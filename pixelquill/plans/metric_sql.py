@@ -143,8 +143,8 @@ full_ AS (SELECT a.frame, a.d * 0.85 + 0.5 * b.d AS d FROM d a JOIN d b ON a.par
 SELECT 'colour' AS pair_id, CAST(frame AS INTEGER) AS ord, round(sqrt(avg(d * d)), 6) + 0.0 AS norm_q, round(pow(avg(d * d * d), 1.0 / 3), 6) + 0.0 AS norm_3, round(max(d), 6) + 0.0 AS norm_inf FROM full_ GROUP BY frame"""
 
 
-def display(colour: str, shown, sensitivity: tuple[tuple[float, float], ...], digits: int = 4, bands: bool = False) -> str:
-    """The display difference of 8 x 8 frames at 30 a second: two bands, nine taps, a sensitivity given by
+def display(colour: str, shown, sensitivity: tuple[tuple[float, float], ...], digits: int = 4, bands: bool = False, p: dict = K.DISPLAY_PARAMETERS) -> str:
+    """The display difference of 8 x 8 frames at 30 a second: two bands, a sensitivity given by
     (steepness, centre) per channel over 13 backgrounds (10^-2 to 10^4) and 15 frequencies (10^-1 to 10^1.8).
 
     bands: the statistics of every band and channel, instead of the scores."""
@@ -152,7 +152,8 @@ def display(colour: str, shown, sensitivity: tuple[tuple[float, float], ...], di
 
     import numpy as np
 
-    p = K.DISPLAY_PARAMETERS
+    n, reach = 9 if p["filter_len"] < 0 else p["filter_len"], 2 * p["pu_dilate"]
+    half = n // 2
     matrix = (np.array(K.LMS_TO_DKL) @ np.array(K.XYZ_TO_LMS) @ np.array(shown.rgb_to_xyz)).tolist()
     mirror = "CASE WHEN 2 * o + k < 0 THEN -(2 * o + k) WHEN 2 * o + k > 7 THEN 14 - (2 * o + k) ELSE 2 * o + k END"
     down = lambda src, out, axis, other: f"{out} AS (SELECT frame, side, c, o AS {axis}, {other}, sum(w * v) AS v FROM range(4) r(o), five, {src} WHERE {src}.{axis} = {mirror} GROUP BY ALL)"
@@ -176,8 +177,9 @@ def display(colour: str, shown, sensitivity: tuple[tuple[float, float], ...], di
     power = lambda v, e: f"(pow({v} + 1e-5, {e}) - pow(1e-5, {e}))"
     pick = lambda values: "CASE c " + " ".join(f"WHEN {c} THEN {v!r}" for c, v in enumerate(values)) + " END"
     across = ", ".join(f"({s}, {d}, {2.0 ** p['xcm_weights'][s * 4 + d]!r})" for s in range(4) for d in range(4))
-    response = " UNION ALL ".join(f"SELECT {c} AS c, j, exp(-pow(j * 3.75, {p['beta_tf'][c]!r}) / {p['sigma_tf'][c]!r}) AS f FROM range(5) r(j)" for c in range(3))
+    response = " UNION ALL ".join(f"SELECT {c} AS c, j, exp(-pow(j * {15.0 / half!r}, {p['beta_tf'][c]!r}) / {p['sigma_tf'][c]!r}) AS f FROM range({half + 1}) r(j)" for c in range(3))
     most = 10.0 ** p["d_max"]
+    bounded = {"soft": f"{most!r} * d / ({most!r} + d)", "hard": f"least(d, {most!r})", "none": "d"}[p["dclamp_type"]]
     q = f"(q * CASE WHEN frame = 0 THEN {p['image_int']!r} ELSE 1.0 END)"
     rounded = ", ".join(f"round({n}, {digits}) + 0.0 AS {n}" for n in ("q", "minimum", "maximum", "mean"))
     last = f"SELECT 'colour' AS pair_id, CAST(frame AS INTEGER) AS ord, CAST(band AS INTEGER) AS band, CAST(c AS INTEGER) AS ch, {rounded}, pixels FROM detail"
@@ -185,9 +187,9 @@ def display(colour: str, shown, sensitivity: tuple[tuple[float, float], ...], di
         last = f"SELECT 'colour' AS pair_id, CAST(frame AS INTEGER) AS ord, round(least(greatest(CASE WHEN {q} <= 0.1 THEN 10.0 - {q} * {p['jod_a'] * 0.1 ** (p['jod_exp'] - 1)!r} ELSE 10.0 - {p['jod_a']!r} * pow({q}, {p['jod_exp']!r}) END, 0.0), 10.0), {digits}) + 0.0 AS score FROM frames"
     return f"""{_linear(colour)},
 five(k, w) AS (VALUES (-2, 0.05), (-1, 0.25), (0, 0.4), (1, 0.25), (2, 0.05)),
-wide13 AS (SELECT j, exp(-j * j / 18.0) / sum(exp(-j * j / 18.0)) OVER () AS w FROM range(-6, 7) r(j)),
+wide13 AS (SELECT j, exp(-j * j / {2.0 * p['pu_dilate'] ** 2!r}) / sum(exp(-j * j / {2.0 * p['pu_dilate'] ** 2!r})) OVER () AS w FROM range({-reach}, {reach + 1}) r(j)),
 res AS ({response}), full_res AS (SELECT * FROM res UNION ALL SELECT 3, j, 1 - f FROM res WHERE c = 0),
-taps AS (SELECT c, k, sum(CASE WHEN j = 0 THEN f ELSE 2 * f * cos(2 * pi() * j * ((k + 5) % 9) / 9) END) AS w FROM full_res, range(9) r(k) GROUP BY c, k),
+taps AS (SELECT c, k, sum(CASE WHEN j = 0 THEN f ELSE 2 * f * cos(2 * pi() * j * ((k + {n - half}) % {n}) / {n}) END) AS w FROM full_res, range({n}) r(k) GROUP BY c, k),
 lum AS (SELECT frame, side, c, y, x, {shown.black!r} + {shown.peak - shown.black!r} * CASE WHEN greatest(v, 0) <= 0.04045 THEN greatest(v, 0) / 12.92 ELSE pow((greatest(v, 0) + 0.055) / 1.055, 2.4) END AS v FROM enc),
 lw AS ({_wide("lum", "frame, side")}),
 l0 AS ({" UNION ALL ".join(f"SELECT frame, side, {c} AS c, y, x, {_mix(row, 'r', 'g', 'b')} AS v FROM lw" for c, row in enumerate(matrix))}),
@@ -203,7 +205,7 @@ mut AS (SELECT frame, c, y, x, least(abs(t), abs(r)) AS v FROM tr),
 across(s, c, w) AS (VALUES {across}),
 mask AS (SELECT frame, a.c, y, x, greatest(sum(a.w * m2.v * {10.0 ** p['mask_c']!r}), 0.0) AS m FROM m2 JOIN across a ON a.s = m2.c WHERE frame > 0 OR a.c < 3 GROUP BY ALL),
 diff AS (SELECT frame, c, {power("abs(t - r)", repr(p['mask_p']))} / (1 + {power("m", pick(p['mask_q']))}) AS d FROM tr JOIN mask USING (frame, c, y, x)),
-values_of AS (SELECT 0 AS band, frame, c, {most!r} * d / ({most!r} + d) AS d FROM diff
+values_of AS (SELECT 0 AS band, frame, c, {bounded} AS d FROM diff
   UNION ALL SELECT 1, frame, c, abs(max(v) FILTER (side = 1) - max(v) FILTER (side = 0)) FROM con WHERE band = 1 GROUP BY frame, c, y, x),
 detail AS (SELECT band, frame, c, pow(avg(pow(d, {p['beta']!r})), {1 / p['beta']!r}) AS q, min(d) AS minimum, max(d) AS maximum, avg(d) AS mean, count(*) AS pixels FROM values_of GROUP BY ALL),
 pooled AS (SELECT band, frame, c, q * CASE WHEN band = 1 THEN {pick(p['baseband_weight'])} ELSE 1.0 END AS q FROM detail),

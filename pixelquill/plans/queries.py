@@ -14,6 +14,7 @@ from ..operators import pooling, sampling, stencil, temporal
 from ..operators.psychovisual import psychovisual_distance
 from ..operators.structural import structural_score
 from ..operators.visibility import display_difference
+from ..sources import formats
 from ..sources.config import Display
 from . import fixtures, metric_sql
 
@@ -443,6 +444,34 @@ _colour_query(
 )
 
 
+# Videos made up of customers' keys: every pixel format, and metadata that is said, unspecified, null or unknown.
+_said = lambda names: ["unspecified", None, *names, "other"]
+_METADATA = {"matrix": (7, _said(formats.MATRICES)), "transfer": (11, _said(formats.TRANSFERS)), "primaries": (13, _said(formats.PRIMARIES)), "range": (17, [*_said(formats.RANGES)][:-1]), "location": (19, [*_said(formats.LOCATIONS)][:-1])}
+_NAMES = [*formats.PIXEL_FORMATS, "nv12"]
+_sql_list = lambda names: "[" + ", ".join("NULL" if n is None else f"'{n}'" for n in names) + "]"
+_known = lambda c, names: f"({c} IS NULL OR {c} = 'unspecified' OR {c} IN ({', '.join(repr(n) for n in names)}))"
+_filled = lambda c, other: f"coalesce(nullif({c}, 'unspecified'), {other})"
+
+
+@query(f"""WITH v AS (SELECT c_custkey AS id, {_sql_list(_NAMES)}[1 + c_custkey % {len(_NAMES)}] AS name, 320 + c_custkey % 1600 AS width, 240 + c_custkey % 900 AS height,
+  {", ".join(f"{_sql_list(names)}[1 + (c_custkey // {step}) % {len(names)}] AS {c}_" for c, (step, names) in _METADATA.items())} FROM customer
+), f AS (SELECT *, name LIKE '%rgb%' OR name IN ('argb', 'abgr', 'bgra') AS rgb, CASE WHEN name = 'nv12' THEN NULL WHEN name IN ('rgb48le', 'rgba64le') THEN 16 ELSE coalesce(CAST(nullif(regexp_extract(name, 'p([0-9]+)le', 1), '') AS INTEGER), 8) END AS depth,
+  CASE WHEN name LIKE '%420%' OR name LIKE '%422%' THEN 1 WHEN name LIKE '%41%' THEN 2 ELSE 0 END AS sub_w, CASE WHEN name LIKE '%420%' OR name LIKE '%440%' THEN 1 WHEN name LIKE '%410%' THEN 2 ELSE 0 END AS sub_h FROM v)
+SELECT id, CASE WHEN depth IS NULL THEN NULL WHEN rgb THEN 'rgb' ELSE 'yuv' END AS family, depth, CASE WHEN depth IS NOT NULL THEN sub_w END AS sub_w, CASE WHEN depth IS NOT NULL THEN sub_h END AS sub_h,
+  {_filled("matrix_", "CASE WHEN rgb THEN 'rgb' WHEN height > 650 THEN 'bt709' ELSE 'bt470bg' END")} AS matrix,
+  {_filled("transfer_", "CASE WHEN matrix_ = 'bt470bg' THEN 'gamma28' WHEN rgb THEN 'iec61966-2-1' ELSE 'bt709' END")} AS transfer, {_filled("primaries_", "CASE WHEN matrix_ = 'bt470bg' THEN 'bt470bg' ELSE 'bt709' END")} AS primaries,
+  {_filled("location_", "'left'")} AS location, CASE WHEN range_ = 'pc' THEN true WHEN range_ = 'tv' THEN false WHEN depth IS NOT NULL THEN rgb OR name LIKE 'yuvj%' END AS full_range,
+  CASE WHEN depth IS NULL THEN 'pixel format' {" ".join(f"WHEN NOT {_known(c + '_', [n for n in names if n not in (None, 'other')])} THEN '{c}'" for c, (_, names) in _METADATA.items())}
+    WHEN width % (1 << sub_w) <> 0 OR height % (1 << sub_h) <> 0 THEN 'size' END AS problem FROM f""")
+def video_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    pick = lambda names, step=1: F.get(F.array(*map(F.lit, names)), (F.floor(k / step) % len(names)).cast("int"))
+    videos = fixtures.table(spark, sf_dir, "customer").select(
+        k.alias("id"), pick(_NAMES).alias("pixel_format"), (k % 1600 + 320).alias("width"), (k % 900 + 240).alias("height"), *(pick(names, step).alias(c) for c, (step, names) in _METADATA.items())
+    )
+    return formats.described(videos).select("id", "family", "depth", "sub_w", "sub_h", "matrix", "transfer", "primaries", "location", "full_range", "problem")
+
+
 @query("SELECT event_id AS frame_idx, (event_id - 50) // 3 AS position FROM events WHERE event_id >= 50 AND event_id < 900 AND (event_id - 50) % 3 = 0")
 def clip_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.clip_slice(fixtures.table(spark, sf_dir, "events").select(F.col("event_id").alias("frame_idx")), 50, 900, 3)
@@ -534,6 +563,20 @@ def display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", r6(F.col("score"), "score", 4))
 
 
+#: Another set of parameters: seven taps, a narrower mask, a hard bound, other weights.
+OTHER_PARAMETERS = P | {
+    "filter_len": 7, "pu_dilate": 2, "dclamp_type": "hard", "d_max": 1.1, "mask_p": 2.0, "mask_c": -0.5, "mask_q": (1.4, 2.5, 3.1, 3.0), "beta": 2.5, "beta_tch": 3.0, "beta_sch": 3.5, "sensitivity_correction": 1.25,
+    "jod_a": 0.05, "jod_exp": 0.9, "image_int": 0.6, "ch_chrom_w": 0.8, "ch_trans_w": 0.7, "sigma_tf": (6.0, 14.0, 7.0, 0.2), "beta_tf": (1.3, 1.1, 0.9, 0.2), "baseband_weight": (0.01, 1.5, 4.0, 20.0),
+}
+
+
+@query(metric_sql.display(COLOUR, Display(ambient=250.0), fixtures.MADE_UP, p=OTHER_PARAMETERS))
+def display_other_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The display metric with parameters that a caller gives."""
+    found = display_difference(fixtures.colour_pairs(spark, sf_dir), Display(ambient=250.0), fixtures.made_up_sensitivity(), parameters=OTHER_PARAMETERS)
+    return found.withColumn("score", r6(F.col("score"), "score", 4))
+
+
 @query(metric_sql.display(COLOUR, Display(ambient=250.0), fixtures.MADE_UP, bands=True))
 def display_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every band and channel adds, and the spread of its differences."""

@@ -30,6 +30,7 @@ from pyspark.sql.types import StructType
 from ..errors import DifferingInputs, SamplingError
 from ..functions.planes import resample
 from ..operators.sampling import Span
+from .formats import to_709
 from .video import FRAMES, Clip, Colour, Raw, head_of, open_file
 
 #: Bytes of frames that one task reads, and heads that the driver opens at a time.
@@ -40,6 +41,11 @@ PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 PAIRS = "ord int, src_frame long, enc_frame long, a_width int, a_height int, a_planes array<array<float>>, b_width int, b_height int, b_planes array<array<float>>"
 
 
+def picture(head: Clip | Raw, file: pa.NativeFile, at: int, colour: Colour) -> np.ndarray:
+    """A frame's RGB planes, in the transfer and primaries of BT.709."""
+    return to_709(head.frame(file, at, colour), colour.transfer, colour.primaries)
+
+
 def holds(condition: Filter, values: np.ndarray) -> np.ndarray | None:
     """Where a condition on one numeric column holds; None if it is of another kind."""
     known = {EqualTo: np.equal, GreaterThan: np.greater, GreaterThanOrEqual: np.greater_equal, LessThan: np.less, LessThanOrEqual: np.less_equal}
@@ -123,7 +129,7 @@ class FrameReader(DataSourceReader):
             return
         with open_file(partition.path) as file:
             for k, at in enumerate(partition.places.tolist()):
-                yield _batch({c: v.slice(k, 1) for c, v in about.items()} | {"planes": _planes(head.frame(file, at, self.colour))}, self.schema)
+                yield _batch({c: v.slice(k, 1) for c, v in about.items()} | {"planes": _planes(picture(head, file, at, self.colour))}, self.schema)
 
 
 class FrameSource(DataSource):
@@ -213,7 +219,7 @@ class PairReader(DataSourceReader):
             return
         with open_file(self.sides[0]["path"]) as a, open_file(self.sides[1]["path"]) as b:
             for k, places in enumerate(partition.rows[:, 3:].tolist()):
-                both = self._sized([h.frame(f, at, c) for h, f, at, c in zip(partition.heads, (a, b), places, self.colours, strict=True)])
+                both = self._sized([picture(h, f, at, c) for h, f, at, c in zip(partition.heads, (a, b), places, self.colours, strict=True)])
                 row = {c: v.slice(k, 1) for c, v in numbers.items()}
                 for side, planes in zip("ab", both, strict=True):
                     row |= {f"{side}_width": pa.array([planes.shape[2]], pa.int32()), f"{side}_height": pa.array([planes.shape[1]], pa.int32()), f"{side}_planes": _planes(planes)}

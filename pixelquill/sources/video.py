@@ -42,11 +42,13 @@ class PixelFormat:
 
 
 def pixel_format(name: str) -> PixelFormat:
-    """What a planar YUV, gray or RGB format name says."""
+    """What the name of a YUV (with or without alpha), gray or RGB format says."""
     low = name.lower()
+    if low == "yuyv422":
+        return PixelFormat(low, "yuv", 8, 1, 0, False)
     if low in PACKED:
         return PixelFormat(low, "rgb", 16 if PACKED[low][0] == "uint16" else 8, 0, 0, True)
-    if m := re.fullmatch(r"yuv(j?)(420|422|440|444|411|410)p(\d+)?(le)?", low):
+    if m := re.fullmatch(r"yuv([ja]?)(420|422|440|444|411|410)p(\d+)?(le)?", low):
         sub = {"420": (1, 1), "422": (1, 0), "440": (0, 1), "444": (0, 0), "411": (2, 0), "410": (2, 2)}[m[2]]
         return PixelFormat(low, "yuv", int(m[3] or 8), *sub, m[1] == "j")
     if m := re.fullmatch(r"gbrp(\d+)?(le)?", low):
@@ -78,6 +80,8 @@ class Colour:
     full_range: bool | None = None  # by default that of the format
     centred: bool | None = None  # whether chroma samples lie in the middle of their columns, or on the left one (by default)
     repeated: bool = False  # chroma repeated instead of interpolated
+    transfer: str = "bt709"  # of the samples; frames come in that of BT.709
+    primaries: str = "bt709"
 
     def weights(self, height: int) -> tuple[float, float]:
         name = self.matrix or ("709" if height > 650 else "601")

@@ -361,3 +361,48 @@ def test_resampling(have, want):
     out = resample(np.tile(line, (3, 1)), (3, want))[0]
     inner = slice(want // 3, want - want // 3) if min(have, want) >= 8 else slice(0, 0)
     assert np.allclose(out[inner], ((np.arange(want) + 0.5) * have / want - 0.5)[inner] / have)
+
+
+def test_formats_and_colours(spark):
+    from pixelquill.sources import formats
+
+    names = {r.name: r for r in formats.pixel_formats(spark).collect()}
+    assert len(names) == len(formats.PIXEL_FORMATS) == 50
+    assert (names["yuva422p10le"].depth, names["yuva422p10le"].sub_w, names["yuva422p10le"].sub_h) == (10, 1, 0) and names["yuvj411p"].full_range and names["rgb48le"].depth == 16
+    v = np.linspace(-0.1, 1.2, 27)
+    for transfer in formats.TRANSFERS:
+        light = formats.linear_light(v, transfer)
+        assert (np.diff(light) >= 0).all() and (transfer in ("smpte2084", "smpte428", "arib-std-b67") or abs(formats.linear_light(np.ones(1), transfer)[0] - 1) < 1e-9)
+    assert np.allclose(formats.linear_light(formats.encoded_709(v), "bt709"), v)
+    for name in formats.PRIMARIES:
+        assert np.allclose(formats.primaries_to_709(name) @ np.ones(3), 1, atol=0.01 if name == "smpte428" else 1e-9)
+    assert np.allclose(formats.primaries_to_709("bt709"), np.eye(3)) and np.allclose(formats.primaries_to_709("bt2020")[0], [1.6605, -0.5876, -0.0728], atol=1e-3)
+    rgb = np.random.default_rng(0).random((3, 4, 5))
+    assert formats.to_709(rgb) is rgb and np.allclose(formats.to_709(formats.encoded_709(rgb), "bt709"), formats.encoded_709(rgb))
+    assert np.allclose(formats.to_709(rgb, "linear"), formats.encoded_709(rgb))
+    with pytest.raises(UnsupportedInput):
+        formats.to_709(rgb, "none")
+    with pytest.raises(UnsupportedInput):
+        formats.to_709(rgb, "linear", "none")
+
+
+def test_frames_of_another_transfer(spark, tmp_path):
+    from pixelquill.sources import formats
+
+    (tmp_path / "raw").write_bytes(bytes(range(0, 240, 10)))
+    raw = dict(width=4, height=2)
+    plain, other = (np.array(frames.read_raw(spark, str(tmp_path / "raw"), **raw, colour=video.Colour(**c)).collect()[0].planes) for c in ({}, {"transfer": "iec61966-2-1", "primaries": "bt2020"}))
+    assert np.allclose(other, formats.to_709(plain, "iec61966-2-1", "bt2020"), atol=1e-6) and np.abs(other - plain).max() > 0.05
+
+
+def test_other_parameters_from_the_command_line(spark, tmp_path):
+    for name, step in (("a.y4m", 1), ("b.y4m", 2)):
+        rng = np.random.default_rng(1)
+        y4m(tmp_path / name, [tuple((rng.integers(40, 200, s) // step) * step for s in ((16, 16), (8, 8), (8, 8))) for _ in range(3)])
+    (tmp_path / "display_models.json").write_text(json.dumps({"d": {"resolution": [1920, 1080], "colorspace": "s"}}))
+    (tmp_path / "color_spaces.json").write_text(json.dumps({"s": {"EOTF": "sRGB", "RGB2X": [0.41, 0.36, 0.18], "RGB2Y": [0.21, 0.72, 0.07], "RGB2Z": [0.02, 0.12, 0.95]}}))
+    (tmp_path / "t.json").write_text(json.dumps({"L_bkg": [0.01, 1000], "rho": [0.1, 50]} | {k: [[1, 0.5], [2, 1]] for k in ("o0_c1", "o0_c2", "o0_c3", "o5_c1")}))
+    (tmp_path / "p.json").write_text(json.dumps({"jod_a": 0.004, "dclamp_type": "hard"}))
+    args = ["-s", str(tmp_path / "a.y4m"), "-e", str(tmp_path / "b.y4m"), "-m", "display", "--config-dir", str(tmp_path), "--display", "d", "--sensitivity", str(tmp_path / "t.json")]
+    usual, other = (np.array([r.score for r in cli.compare(spark, cli.options([*args, *more]))[0].orderBy("ord").collect()]) for more in ([], ["--parameters", str(tmp_path / "p.json")]))
+    assert (other > usual).all() and (other < 10).all()
