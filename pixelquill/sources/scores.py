@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import UnsupportedInput
@@ -14,26 +14,32 @@ def score_arrays(scores: DataFrame, values: list[str]) -> DataFrame:
     return scores.select("ord", F.to_json(F.array(*(F.col(v).cast("double") for v in values))).alias("json"))
 
 
-def write_json(scores: DataFrame, path: str, values: list[str]) -> None:
-    """One JSON file `[[...], [...], ...]` in ascending ord.
-
-    One file means one task at the end, so this is for one video's scores; tables of
-    scores go to Parquet."""
+def write_json(scores: DataFrame, path: str, values: list[str], parts: int | None = None) -> None:
+    """The JSON array `[[...], [...], ...]` in ascending ord, as text parts that make up one array when put
+    together in the order of their names; each part is written by a task of its own.  ord has to be unique."""
+    spark = scores.sparkSession
     first, last = scores.agg(F.min("ord"), F.max("ord")).collect()[0]
     if first is None:
-        scores.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        spark.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
         return
-    marked = score_arrays(scores, values).repartition(1).sortWithinPartitions("ord").select(
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    marked = score_arrays(scores, values).repartitionByRange(n, "ord").sortWithinPartitions("ord").select(
         F.concat(F.when(F.col("ord") == first, "[").otherwise(""), F.col("json"), F.when(F.col("ord") == last, "]").otherwise(",")).alias("value")
     )
     marked.write.mode("overwrite").text(path)
 
 
 def read_json(spark: SparkSession, path: str, values: list[str]) -> DataFrame:
-    """(ord, values...) of a file that write_json wrote."""
-    text = spark.read.text(path, wholetext=True)
-    rows = text.select(F.posexplode(F.from_json("value", "array<array<double>>")).alias("ord", "v"))
-    return rows.select("ord", *(F.col("v")[i].alias(v) for i, v in enumerate(values)))
+    """(ord, values...) of one JSON array in a file, or in the parts that write_json wrote."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    inner = F.regexp_replace(F.regexp_replace("value", r"^\s*\[\s*(?=[\[\]])", ""), r"\]\s*\]\s*$", "]")  # the whole array's own brackets
+    rows = F.filter(F.from_json(F.concat(F.lit("["), F.regexp_replace(inner, r"^\s*\]\s*$|,\s*$", ""), F.lit("]")), "array<array<double>>"), lambda x: F.size(x) > 0)
+    parsed = files.select("file", rows.alias("rows"))
+    sizes = parsed.select("file", F.size("rows").cast("long").alias("n"))
+    w = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    starts = sizes.select("file", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start"))
+    placed = parsed.join(F.broadcast(starts), "file").select("start", F.posexplode("rows").alias("nth", "v"))
+    return placed.select((F.col("start") + F.col("nth")).cast("int").alias("ord"), *(F.col("v")[i].alias(v) for i, v in enumerate(values)))
 
 
 def report(summary: DataFrame, label: str) -> str:

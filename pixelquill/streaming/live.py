@@ -1,7 +1,7 @@
-"""Streams: live score output, and the temporal filter with state per pair.
+"""Streams: live score output, and the temporal filter over numbers and over planes.
 
-Frames carry an ordinal.  The filter holds what arrives early until its turn, so late
-and reordered frames give the same values as a batch; its state is the last samples of a
+Frames carry an ordinal.  The filters hold what arrives early until its turn, so late
+and reordered frames give the same values as a batch; their state is the last samples of a
 pair and the early ones.
 """
 
@@ -9,19 +9,37 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
+#: The state store that keeps state by column families, which stateful processors need.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-def live_scores(scores: DataFrame, path: str, checkpoint: str, values: list[str]) -> StreamingQuery:
-    """Append "ord value..." lines as batches complete; order is that of arrival."""
-    from pyspark.sql import functions as F
 
-    lines = scores.select(F.concat_ws(" ", F.col("ord").cast("string"), *(F.col(v).cast("string") for v in values)).alias("value"))
-    return lines.writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
+def live_scores(scores: DataFrame, path: str, checkpoint: str, values: list[str], pairs: int) -> StreamingQuery:
+    """The number of pairs, and then "ord value..." lines as batches complete; order is that of arrival.
+
+    A batch's lines go to a folder of its own number and replace what is there, so a batch that runs
+    again after a failure or restart neither repeats lines nor loses any.  `live_lines` reads the folders."""
+    scores.sparkSession.createDataFrame([(str(pairs),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/batch=-1")
+
+    def put(rows: DataFrame, batch: int) -> None:
+        line = F.concat_ws(" ", F.col("ord").cast("string"), *(F.col(v).cast("string") for v in values))
+        rows.select(line.alias("value")).write.mode("overwrite").text(f"{path}/batch={batch}")
+
+    return scores.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
+
+
+def live_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, value): what live_scores has written so far; batch -1 holds the number of pairs."""
+    return spark.read.schema("value string, batch long").text(path).select("batch", "value")
 
 
 def stream_fir(series: DataFrame, taps: list[float], key: str = "pair_id", value: str = "v") -> DataFrame:
@@ -43,3 +61,86 @@ def stream_fir(series: DataFrame, taps: list[float], key: str = "pair_id", value
 
     kind = dict(series.dtypes)[key]
     return series.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ord long, filtered double", "due long, past string, early string", "append", GroupStateTimeout.NoTimeout)
+
+
+class PlaneFilter(StatefulProcessor):
+    """The temporal filter of one strip of one pair.
+
+    State: the next frame's number, when the pair was last heard of, and a map of frames by number, which are those
+    that the filter still looks back to and those that came early.  It goes when a pair's last frame is out
+    (`frames` is their number), or when nothing has come for `idle` milliseconds, early frames included."""
+
+    def __init__(self, taps: np.ndarray, idle: int):
+        self.taps, self.idle = np.asarray(taps, np.float64), idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.due = handle.getValueState("due", "ord long")
+        self.heard = handle.getValueState("heard", "at long")
+        self.planes = handle.getMapState("planes", "ord long", "data binary")
+
+    def _forget(self) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.due.clear()
+        self.heard.clear()
+        self.planes.clear()
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        length = self.taps.shape[1]
+        due = self.due.get()[0] if self.due.exists() else 0
+        total, out = None, []
+        for batch in rows:
+            for o, planes, n in zip(batch["ord"], batch["planes"], batch["frames"], strict=True):
+                total = int(n) if n is not None and not pd.isna(n) else total
+                if o >= due:
+                    self.planes.updateValue((int(o),), (np.stack([np.asarray(p, "<f4") for p in planes]).tobytes(),))
+        held: dict[int, np.ndarray] = {}
+
+        def frame(o: int) -> np.ndarray:
+            if o not in held:
+                held[o] = np.frombuffer(self.planes.getValue((o,))[0], "<f4").reshape(3, -1).astype(np.float64)
+            return held[o]
+
+        while self.planes.containsKey((due,)):
+            past = np.stack([frame(max(due - k, 0)) for k in range(length)])  # before the first frame stands the first
+            channels = [np.tensordot(self.taps[c], past[:, c], 1) for c in range(3)]
+            if due:
+                channels.append(np.tensordot(self.taps[3], past[:, 0], 1))
+            out.append((*key, due, channels))
+            gone = due - length + 1  # no later frame looks back to it
+            if gone >= 0 and self.planes.containsKey((gone,)):
+                self.planes.removeKey((gone,))
+                held.pop(gone, None)
+            due += 1
+        if total is not None and due >= total:
+            self._forget()
+        else:
+            now = timerValues.getCurrentProcessingTimeInMs()
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.due.update((due,))
+            self.heard.update((now,))
+            self.handle.registerTimer(now + self.idle)
+        yield pd.DataFrame(out, columns=["pair_id", "strip", "ord", "filtered"])
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.heard.exists() and self.heard.get()[0] + self.idle <= timerValues.getCurrentProcessingTimeInMs():
+            self._forget()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_planes(frames: DataFrame, taps: np.ndarray, idle: int = 600_000) -> DataFrame:
+    """(pair_id, strip, ord, filtered) of a stream of (pair_id, strip, ord, frames, planes).
+
+    planes holds the three channels of a strip (as large as one wants a task's frame to be), frames the pair's number of
+    frames, or null where it is not known; taps are those of temporal.kernels.  filtered has the three sustained
+    channels, and the transient one from the second frame on.  Frames that come twice count once."""
+    frames.sparkSession.conf.set(*STATE_STORE)
+    kinds = dict(frames.dtypes)
+    shape = f"pair_id {kinds['pair_id']}, strip {kinds['strip']}, ord long, filtered array<array<double>>"
+    rows = frames.select("pair_id", "strip", F.col("ord").cast("long"), F.col("frames").cast("long"), F.col("planes").cast("array<array<float>>"))
+    return rows.groupBy("pair_id", "strip").transformWithStateInPandas(PlaneFilter(taps, idle), shape, "append", "processingTime")

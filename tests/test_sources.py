@@ -95,6 +95,11 @@ def test_score_files(spark, tmp_path):
     s = spark.createDataFrame([(k, k / 3, float(k)) for k in range(20)], "ord int, a double, b double").repartition(5)
     scores.write_json(s, str(tmp_path / "s"), ["a", "b"])
     assert sorted(map(tuple, scores.read_json(spark, str(tmp_path / "s"), ["a", "b"]).collect())) == sorted(map(tuple, s.collect()))
+    parts = sorted(f for f in (tmp_path / "s").iterdir() if f.name.startswith("part-"))
+    assert len(parts) > 2  # many tasks, one array
+    assert json.loads("".join(f.read_text() for f in parts)) == [[k / 3, float(k)] for k in range(20)]
+    (tmp_path / "one.json").write_text("[[1.5], [2.5],\n [3.0]]\n")
+    assert sorted(map(tuple, scores.read_json(spark, str(tmp_path / "one.json"), ["a"]).collect())) == [(0, 1.5), (1, 2.5), (2, 3.0)]
     scores.write_json(s.limit(0), str(tmp_path / "e"), ["a"])
     assert scores.read_json(spark, str(tmp_path / "e"), ["a"]).count() == 0
 
@@ -129,12 +134,25 @@ def test_command_line(spark, tmp_path, capsys):
 
 
 def test_live_stream(spark, tmp_path):
-    spark.createDataFrame([(0, 1.5), (1, 2.5)], "ord int, score double").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("ord int, score double").parquet(str(tmp_path / "in"))
-    q = live.live_scores(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["score"])
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["0 1.5", "1 2.5"]
+    """The number of pairs first; a batch that runs again after a restart repeats and loses nothing."""
+    shape = "ord int, score double"
+    add = lambda rows: spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    add([(0, 1.5), (1, 2.5)])
+
+    def run():
+        stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = live.live_scores(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["score"], 4)
+        q.processAllAvailable()
+        q.stop()
+        return [r.value for r in live.live_lines(spark, str(tmp_path / "out")).orderBy("batch", "value").collect()]
+
+    assert run() == ["4", "0 1.5", "1 2.5"]
+    add([(2, 3.5)])
+    assert run() == ["4", "0 1.5", "1 2.5", "2 3.5"]
+    for name in ("1", ".1.crc"):  # as if the sink had written the last batch, and the query had died before it said so
+        (tmp_path / "cp" / "commits" / name).unlink(missing_ok=True)
+    add([(3, 4.5)])
+    assert run() == ["4", "0 1.5", "1 2.5", "2 3.5", "3 4.5"]
 
 
 def test_streamed_filter_equals_the_batch(spark, tmp_path):
@@ -406,3 +424,42 @@ def test_other_parameters_from_the_command_line(spark, tmp_path):
     args = ["-s", str(tmp_path / "a.y4m"), "-e", str(tmp_path / "b.y4m"), "-m", "display", "--config-dir", str(tmp_path), "--display", "d", "--sensitivity", str(tmp_path / "t.json")]
     usual, other = (np.array([r.score for r in cli.compare(spark, cli.options([*args, *more]))[0].orderBy("ord").collect()]) for more in ([], ["--parameters", str(tmp_path / "p.json")]))
     assert (other > usual).all() and (other < 10).all()
+
+
+def test_streamed_planes_equal_the_batch(spark, tmp_path):
+    """Planes of many strips, late and early and repeated frames; the state of finished and of silent pairs is dropped."""
+    import time
+
+    from pixelquill.operators import temporal, visibility
+
+    taps = temporal.kernels(30.0)
+    rng = np.random.default_rng(4)
+    shape = "pair_id string, strip int, ord int, frames int, planes array<array<float>>"
+    planes = {(p, s, k): rng.random((3, 6)).astype(np.float32) for p in ("a", "b") for s in (0, 8) for k in range(14)}
+    rows = [(p, s, k, 14 if p == "a" else None, planes[p, s, k].tolist()) for p, s, k in planes]
+    rows = [rows[i] for i in rng.permutation(len(rows))] + rows[3:5]
+    for part in range(3):
+        spark.createDataFrame(rows[part::3], shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    filtered = live.stream_planes(stream, taps, idle=1000)
+    q = filtered.writeStream.format("memory").queryName("planes").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="300 milliseconds").start()
+
+    def until(done, seconds=60):
+        """Timers keep such a stream busy, so its end is not waited for."""
+        deadline = time.time() + seconds
+        while time.time() < deadline and q.isActive and not done():
+            time.sleep(0.3)
+        return done()
+
+    assert until(lambda: spark.sql("SELECT * FROM planes").count() >= len(planes)), q.exception()
+    got = {(r.pair_id, r.strip, r.ord): np.array(r.filtered) for r in spark.sql("SELECT * FROM planes").collect()}
+    assert got.keys() == planes.keys()
+    for (p, s, k), found in got.items():
+        past = [planes[p, s, max(k - j, 0)].astype(np.float64).reshape(3, 1, 6) for j in range(taps.shape[1])]
+        want = visibility._fir(past, taps).reshape(4, 6)
+        assert np.allclose(found, want[: 3 if k == 0 else 4])
+    # Finished and silent pairs leave no frame behind.
+    kept = lambda: sum(o["numRowsTotal"] for o in (q.lastProgress or {"stateOperators": [{"numRowsTotal": 1}]})["stateOperators"])
+    gone = until(lambda: kept() == 0, 30)
+    q.stop()
+    assert gone, kept()
