@@ -16,7 +16,7 @@ from ..operators.structural import structural_score
 from ..operators.visibility import display_difference
 from ..sources import formats
 from ..sources.config import Display
-from . import fixtures, metric_sql
+from . import file_queries, fixtures, metric_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -542,6 +542,80 @@ def band_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "b.band", "b.width", "b.height", r6(F.col("b.frequency"), "frequency", 9))
 
 
+# --- files and streams ----------------------------------------------------------
+
+
+def _clip_sql(top: int, lines: int = 16, where: str = "true") -> str:
+    """Sums of the samples of clips' planes; samples are single-precision values, rounded to whole units."""
+    stored = lambda e: f"CAST(round_even(CAST(CAST({e} AS FLOAT) AS DOUBLE) * {top}, 0) AS BIGINT)"
+    planes = " UNION ALL ".join(f"SELECT frame, {k} AS plane, y, x, {stored(e)} AS u FROM pair" for k, e in enumerate(("v", "1.0 - v", "d")))
+    return f"""WITH {GRAY}, pl AS ({planes}) SELECT printf('clip%06d', frame // 8) AS video_id, frame % 8 AS frame_idx, CAST(plane AS INTEGER) AS plane, CAST(sum(u) AS BIGINT) AS total, CAST(sum(u * (y * 16 + x + 1)) AS BIGINT) AS moment
+  FROM pl WHERE y < {lines} AND {where} GROUP BY 1, 2, 3"""
+
+
+@query(_clip_sql(65535, 13, "frame % 8 BETWEEN 2 AND 5"))
+def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_queries.raw_frames(spark, sf_dir)
+
+
+@query(_clip_sql(255))
+def packed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_queries.packed_frames(spark, sf_dir)
+
+
+@query("""WITH f AS (SELECT DISTINCT event_id // 256 AS frame FROM events WHERE event_id // 256 < (SELECT count(*) FROM events) // 256)
+SELECT printf('clip%06d', frame // 8) AS video_id, 16 AS width, 16 AS height, CAST(25.0 AS DOUBLE) AS fps, count(*) AS frames, CAST((SELECT count(DISTINCT frame // 8) FROM f) AS INTEGER) AS clips FROM f GROUP BY frame // 8""")
+def clip_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_queries.clip_index(spark, sf_dir)
+
+
+@query(f"""WITH {GRAY}, u AS (SELECT frame, y, x, round_even(CAST(CAST(v AS FLOAT) AS DOUBLE) * 255, 0) AS u FROM px), e AS (
+  SELECT a.frame AS src, b.frame - 8 AS enc, abs(a.u - b.u) AS e FROM u a JOIN u b ON b.frame = a.frame + 10 AND a.y = b.y AND a.x = b.x WHERE a.frame < 6)
+SELECT CAST(src AS INTEGER) AS ord, src AS src_frame, enc AS enc_frame, round(sqrt(avg(e * e)), 6) + 0.0 AS norm_q, round(pow(avg(e * e * e), 1.0 / 3), 6) + 0.0 AS norm_3, round(max(e), 6) + 0.0 AS norm_inf FROM e GROUP BY src, enc""")
+def clip_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both frames of a pair come from one task of the pair reader."""
+    found = file_queries.clip_pairs(spark, sf_dir)
+    return found.select("ord", "src_frame", "enc_frame", *(r6(F.col(c), c) for c in ("norm_q", "norm_3", "norm_inf")))
+
+
+@query(f"WITH {NORMS} SELECT CAST(frame AS INTEGER) AS ord, round(norm_q, 6) + 0.0 AS norm_q, round(norm_3, 6) + 0.0 AS norm_3, round(norm_inf, 6) + 0.0 AS norm_inf FROM n")
+def score_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame's norms written as one JSON array in parallel parts, and read back."""
+    values = _frame_norms(spark, sf_dir).withColumn("ord", F.col("frame").cast("int"))
+    return file_queries.score_files(spark, sf_dir, values).select("ord", *(r6(F.col(c), c) for c in ("norm_q", "norm_3", "norm_inf")))
+
+
+@query("""WITH s AS (SELECT event_id AS ord, CAST(round(value * 100) AS BIGINT) AS score FROM events)
+SELECT -1 AS batch, CAST(count(*) AS VARCHAR) AS value FROM s UNION ALL SELECT 0, ord || ' ' || score FROM s""")
+def live_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream's scores through the live sink."""
+    e = fixtures.table(spark, sf_dir, "events")
+    return file_queries.live_file(spark, e.select(F.col("event_id").alias("ord"), F.round(F.col("value") * 100).cast("long").alias("score"))).select(F.col("batch").cast("int").alias("batch"), "value")
+
+
+def _stream_sql() -> str:
+    """Nine taps at 30 frames a second, formed here; the first frame stands before itself."""
+    response = " UNION ALL ".join(f"SELECT {c} AS c, j, exp(-pow(j * 3.75, {P['beta_tf'][c]!r}) / {P['sigma_tf'][c]!r}) AS f FROM range(5) r(j)" for c in range(3))
+    return f"""WITH {PLANES}, res AS ({response}), full_res AS (SELECT * FROM res UNION ALL SELECT 3, j, 1 - f FROM res WHERE c = 0
+), taps AS (SELECT c, k, sum(CASE WHEN j = 0 THEN f ELSE 2 * f * cos(2 * pi() * j * ((k + 5) % 9) / 9) END) AS w FROM full_res, range(9) r(k) GROUP BY c, k
+), s AS (SELECT vec // 24 AS pair_id, (vec % 24) // 3 AS ord, vec % 3 AS c, y * 8 + x AS i, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM pl WHERE vec // 24 < (SELECT count(DISTINCT vec) FROM pl) // 24)
+SELECT n.pair_id, n.ord, CAST(t.c AS INTEGER) AS channel, round(sum(t.w * o.v), 5) + 0.0 AS total, round(sum(t.w * o.v * (o.i + 1)), 4) + 0.0 AS moment
+FROM (SELECT DISTINCT pair_id, ord FROM s) n, taps t JOIN s o ON o.pair_id = n.pair_id AND o.ord = greatest(n.ord - t.k, 0) AND o.c = t.c % 3 WHERE n.ord > 0 OR t.c < 3 GROUP BY ALL"""
+
+
+@query(_stream_sql())
+def streamed_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips of eight frames of three planes through the stateful stream, in the kernels' four channels."""
+    px = fixtures.planes8(spark, sf_dir)
+    whole = F.floor(px.agg(F.countDistinct("vec").alias("n")).select("n").scalar() / 24)
+    planes = px.groupBy("vec").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("p")).select("vec", F.transform("p", lambda s: s["v"].cast("float")).alias("p"))  # 64 pixels a plane
+    three = planes.groupBy(F.floor(F.col("vec") / 24).alias("pair_id"), F.floor(F.pmod("vec", F.lit(24)) / 3).cast("int").alias("ord")).agg(F.array_sort(F.collect_list(F.struct("vec", "p"))).alias("q")).where(F.col("pair_id") < whole)
+    series = three.select("pair_id", F.lit(0).alias("strip"), "ord", F.lit(8).alias("frames"), F.transform("q", lambda s: s["p"]).alias("planes"))
+    found = file_queries.planes_through_a_stream(spark, series, temporal.kernels(30.0)).select("pair_id", "ord", F.posexplode("filtered").alias("channel", "p"))
+    moment = F.aggregate(F.transform("p", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return found.select("pair_id", "ord", "channel", r6(F.aggregate("p", F.lit(0.0), lambda a, x: a + x), "total", 5), r6(moment, "moment", 4))
+
+
 # --- whole metrics ----------------------------------------------------------------
 
 

@@ -23,18 +23,20 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulP
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def live_scores(scores: DataFrame, path: str, checkpoint: str, values: list[str], pairs: int) -> StreamingQuery:
+def live_scores(scores: DataFrame, path: str, checkpoint: str, values: list[str], pairs: int, once: bool = False) -> StreamingQuery:
     """The number of pairs, and then "ord value..." lines as batches complete; order is that of arrival.
 
     A batch's lines go to a folder of its own number and replace what is there, so a batch that runs
-    again after a failure or restart neither repeats lines nor loses any.  `live_lines` reads the folders."""
+    again after a failure or restart neither repeats lines nor loses any.  `live_lines` reads the folders.
+    `once` ends the query when it has gone through what is there."""
     scores.sparkSession.createDataFrame([(str(pairs),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/batch=-1")
 
     def put(rows: DataFrame, batch: int) -> None:
         line = F.concat_ws(" ", F.col("ord").cast("string"), *(F.col(v).cast("string") for v in values))
         rows.select(line.alias("value")).write.mode("overwrite").text(f"{path}/batch={batch}")
 
-    return scores.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
+    writer = scores.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def live_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -68,9 +70,9 @@ class PlaneFilter(StatefulProcessor):
 
     State: the next frame's number, when the pair was last heard of, and a map of frames by number, which are those
     that the filter still looks back to and those that came early.  It goes when a pair's last frame is out
-    (`frames` is their number), or when nothing has come for `idle` milliseconds, early frames included."""
+    (`frames` is their number), or when nothing has come for `idle` milliseconds (None: never), early frames included."""
 
-    def __init__(self, taps: np.ndarray, idle: int):
+    def __init__(self, taps: np.ndarray, idle: int | None):
         self.taps, self.idle = np.asarray(taps, np.float64), idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -79,9 +81,13 @@ class PlaneFilter(StatefulProcessor):
         self.heard = handle.getValueState("heard", "at long")
         self.planes = handle.getMapState("planes", "ord long", "data binary")
 
+    def _drop_timers(self) -> None:
+        if self.idle is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+
     def _forget(self) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        self._drop_timers()
         self.due.clear()
         self.heard.clear()
         self.planes.clear()
@@ -116,12 +122,12 @@ class PlaneFilter(StatefulProcessor):
         if total is not None and due >= total:
             self._forget()
         else:
-            now = timerValues.getCurrentProcessingTimeInMs()
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
             self.due.update((due,))
-            self.heard.update((now,))
-            self.handle.registerTimer(now + self.idle)
+            self._drop_timers()
+            if self.idle is not None:
+                now = timerValues.getCurrentProcessingTimeInMs()
+                self.heard.update((now,))
+                self.handle.registerTimer(now + self.idle)
         yield pd.DataFrame(out, columns=["pair_id", "strip", "ord", "filtered"])
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -133,14 +139,16 @@ class PlaneFilter(StatefulProcessor):
         pass
 
 
-def stream_planes(frames: DataFrame, taps: np.ndarray, idle: int = 600_000) -> DataFrame:
+def stream_planes(frames: DataFrame, taps: np.ndarray, idle: int | None = 600_000) -> DataFrame:
     """(pair_id, strip, ord, filtered) of a stream of (pair_id, strip, ord, frames, planes).
 
     planes holds the three channels of a strip (as large as one wants a task's frame to be), frames the pair's number of
     frames, or null where it is not known; taps are those of temporal.kernels.  filtered has the three sustained
-    channels, and the transient one from the second frame on.  Frames that come twice count once."""
+    channels, and the transient one from the second frame on.  Frames that come twice count once.
+
+    Timers keep a stream busy, so one that is to end by itself takes idle=None and says how many frames its pairs have."""
     frames.sparkSession.conf.set(*STATE_STORE)
     kinds = dict(frames.dtypes)
     shape = f"pair_id {kinds['pair_id']}, strip {kinds['strip']}, ord long, filtered array<array<double>>"
     rows = frames.select("pair_id", "strip", F.col("ord").cast("long"), F.col("frames").cast("long"), F.col("planes").cast("array<array<float>>"))
-    return rows.groupBy("pair_id", "strip").transformWithStateInPandas(PlaneFilter(taps, idle), shape, "append", "processingTime")
+    return rows.groupBy("pair_id", "strip").transformWithStateInPandas(PlaneFilter(taps, idle), shape, "append", "none" if idle is None else "processingTime")
