@@ -100,9 +100,9 @@ def scale_maps(pairs: DataFrame, tile: int = TILE) -> DataFrame:
     return rows.mapInArrow(_scales(tile), f"pair_id {dict(pairs.dtypes)['pair_id']}, ord int, scale int, plane int, map string, mean double, norm4 double")
 
 
-def structural_score(pairs: DataFrame) -> DataFrame:
+def structural_score(pairs: DataFrame, tile: int = TILE) -> DataFrame:
     """(pair_id, ord, score)."""
-    maps = scale_maps(pairs)
+    maps = scale_maps(pairs, tile)
     long = maps.select("pair_id", "ord", "scale", "plane", "map", F.explode(F.array(F.struct(F.lit("mean").alias("kind"), F.col("mean").alias("v")), F.struct(F.lit("norm4").alias("kind"), F.col("norm4").alias("v")))).alias("s"))
     weighted = long.select("pair_id", "ord", "scale", "plane", "map", "s.kind", "s.v").join(F.broadcast(weights(pairs.sparkSession)), ["plane", "scale", "kind", "map"])
     return weighted.groupBy("pair_id", "ord").agg(F.sum(F.col("v") * F.col("weight")).alias("total")).select("pair_id", "ord", pixel.structural_value(F.col("total")).alias("score"))

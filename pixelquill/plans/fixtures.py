@@ -42,15 +42,33 @@ def colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy(F.floor(F.col("vec") / 3).alias("frame"), "y", "x").agg(own("r", 0), own("g", 1), own("b", 2)).where("r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL")
 
 
-def colour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plane rows of the colour frames and their twins: (pair_id, ord, a_*, b_*)."""
-    px = colour(spark, sf_dir)
-    rows = px.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("y", "x", "r", "g", "b"))).alias("p"))  # 64 pixels a frame
+def pairs_of(px: DataFrame, size: int) -> DataFrame:
+    """Plane rows of square colour frames (frame, y, x, r, g, b) and their twins: (pair_id, ord, a_*, b_*)."""
+    rows = px.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("y", "x", "r", "g", "b"))).alias("p"))  # size * size pixels a frame
     plane = lambda c, f=None: F.transform("p", lambda s: (f(s[c]) if f else s[c]).cast("float"))
     a = F.array(*(plane(c) for c in "rgb"))
     b = F.array(*(plane(c, quantised) for c in "rgb"))
-    size = F.lit(8)
-    return rows.select(F.lit("colour").alias("pair_id"), F.col("frame").cast("int").alias("ord"), size.alias("a_width"), size.alias("a_height"), a.alias("a_planes"), size.alias("b_width"), size.alias("b_height"), b.alias("b_planes"))
+    side = F.lit(size)
+    return rows.select(F.lit("colour").alias("pair_id"), F.col("frame").cast("int").alias("ord"), side.alias("a_width"), side.alias("a_height"), a.alias("a_planes"), side.alias("b_width"), side.alias("b_height"), b.alias("b_planes"))
+
+
+def colour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs_of(colour(spark, sf_dir), 8)
+
+
+#: The side of the larger frames.
+LARGE = 48
+
+
+def large_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of LARGE x LARGE from events, three planes after each other, where all three are full."""
+    plane, frame = LARGE * LARGE, 3 * LARGE * LARGE
+    e = table(spark, sf_dir, "events").select("event_id", (F.least(F.col("value").cast("double"), F.lit(500.0)) / 500).alias("v"))
+    whole = F.floor(e.agg(F.count("*").alias("n")).select("n").scalar() / frame)
+    at = F.pmod("event_id", F.lit(plane))
+    px = e.select(F.floor(F.col("event_id") / frame).alias("frame"), F.pmod(F.floor(F.col("event_id") / plane), F.lit(3)).alias("c"), F.floor(at / LARGE).cast("int").alias("y"), (at % LARGE).cast("int").alias("x"), "v")
+    own = lambda c, k: F.max(F.when(F.col("c") == k, F.col("v"))).alias(c)
+    return pairs_of(px.where(F.col("frame") < whole).groupBy("frame", "y", "x").agg(own("r", 0), own("g", 1), own("b", 2)), LARGE)
 
 
 #: Steepness and centre of the made-up sensitivities of the four channels.

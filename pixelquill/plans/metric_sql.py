@@ -127,7 +127,8 @@ named AS ({by_channel("bands", names)}),
 ab AS (SELECT part, frame, c, y, x, max(v) FILTER (side = 0) AS a, max(v) FILTER (side = 1) AS b FROM named GROUP BY ALL),
 field AS ({" UNION ALL ".join(fields)}),
 lines(kind, k, dx, dy) AS (VALUES {lines}),
-sums AS (SELECT p.part, p.frame, p.o, p.y, p.x, l.k, sum(q.v) AS s FROM field p JOIN lines l USING (kind) JOIN field q ON q.part = p.part AND q.frame = p.frame AND q.o = p.o AND q.y = p.y + l.dy AND q.x = p.x + l.dx GROUP BY ALL),
+sent AS MATERIALIZED (SELECT part, frame, o, y, x, k, y + dy AS qy, x + dx AS qx FROM field JOIN lines USING (kind)),
+sums AS (SELECT p.part, p.frame, p.o, p.y, p.x, p.k, sum(q.v) AS s FROM sent p JOIN field q ON q.part = p.part AND q.frame = p.frame AND q.o = p.o AND q.y = qy AND q.x = qx GROUP BY ALL),
 oriented AS (SELECT part, frame, y, x, sum(s * s) AS e FROM sums GROUP BY ALL),
 flat AS (SELECT part, frame, y, x, sum({case(plain)}) AS e, sum({case(low)}) AS dc FROM ab GROUP BY ALL),
 min_ AS (SELECT part, frame, side, 0 AS c, y, x, sqrt(pow((uhf0 + hf0) * 2.5, 2) + pow(uhf1 * 0.4 + hf1 * 0.4, 2)) AS m FROM bands),
@@ -135,7 +136,8 @@ mc AS (SELECT part, frame, side, c, y, x, {compress} AS v FROM min_),
 {blur("mc", "mask", "mask")},
 masks AS (SELECT part, frame, y, x, max(v) FILTER (side = 0) AS v, max(v) FILTER (side = 1) AS w FROM mask GROUP BY ALL),
 around(dy, dx) AS (VALUES {near}),
-cand AS (SELECT p.part, p.frame, p.y, p.x, q.v FROM masks p, around t JOIN masks q ON q.part = p.part AND q.frame = p.frame AND q.y = p.y + t.dy AND q.x = p.x + t.dx UNION ALL SELECT part, frame, y, x, 2 * v FROM masks UNION ALL SELECT part, frame, y, x, 2 * v FROM masks),
+near_ AS MATERIALIZED (SELECT part, frame, y, x, y + dy AS qy, x + dx AS qx FROM masks, around),
+cand AS (SELECT p.part, p.frame, p.y, p.x, q.v FROM near_ p JOIN masks q ON q.part = p.part AND q.frame = p.frame AND q.y = qy AND q.x = qx UNION ALL SELECT part, frame, y, x, 2 * v FROM masks UNION ALL SELECT part, frame, y, x, 2 * v FROM masks),
 eroded AS (SELECT part, frame, y, x, 0.45 * l[1] + 0.3 * l[2] + 0.25 * l[3] AS m FROM (SELECT part, frame, y, x, list_sort(list(v)) AS l FROM cand GROUP BY ALL)),
 d AS (SELECT part, frame, y, x, sqrt({gain(0.829591754942, 0.451936922203, 2.5485944793)} * (o.e + f.e + {K.MASK_WEIGHT!r} * (v - w) * (v - w)) + {gain(0.20025578522, 3.87449418804, 0.505054525019)} * dc) AS d
   FROM oriented o JOIN flat f USING (part, frame, y, x) JOIN masks USING (part, frame, y, x) JOIN eroded USING (part, frame, y, x)),

@@ -660,10 +660,36 @@ def display_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pair_id", "ord", "band", "ch", *(r6(F.col(c), c, 4) for c in ("q", "minimum", "maximum", "mean")), "pixels")
 
 
-@query()
+@query(f"""SELECT pair_id, ord, score AS jod, round({Display(ambient=250.0).ppd!r}, 6) + 0.0 AS ppd, 'default' AS display, band, ch, q, minimum, maximum, mean, pixels, round(CASE WHEN band = 0 THEN {Display(ambient=250.0).ppd / 2!r} ELSE 0.1 END, 6) + 0.0 AS rho
+FROM ({metric_sql.display(COLOUR, Display(ambient=250.0), fixtures.MADE_UP)}) JOIN ({metric_sql.display(COLOUR, Display(ambient=250.0), fixtures.MADE_UP, bands=True)}) USING (pair_id, ord)""")
 def display_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the telemetry documents hold, read back from their JSON."""
     from ..operators.visibility import band_scores, contrast_bands
-    from ..sources.scores import telemetry
+    from ..sources.scores import TELEMETRY, telemetry
 
     pairs, shown, table = fixtures.colour_pairs(spark, sf_dir), Display(ambient=250.0), fixtures.made_up_sensitivity()
-    return telemetry(display_difference(pairs, shown, table), band_scores(contrast_bands(pairs, shown, table)), shown.ppd, shown.name)
+    found = telemetry(display_difference(pairs, shown, table), band_scores(contrast_bands(pairs, shown, table)), shown.ppd, shown.name)
+    parsed = found.select("pair_id", F.from_json("json", TELEMETRY).alias("j")).select("pair_id", "j.*").withColumn("b", F.explode("bands"))
+    flat = parsed.select("pair_id", F.col("frame").alias("ord"), "jod", "ppd", "display", "b.band", "b.rho", "b.pixels", F.explode("b.channels").alias("c")).select("*", "c.*")
+    return flat.select("pair_id", "ord", r6(F.col("jod"), "jod", 4), r6(F.col("ppd"), "ppd"), "display", "band", "ch", *(r6(F.col(c), c, 4) for c in ("q", "minimum", "maximum", "mean")), "pixels", r6(F.col("rho"), "rho"))
+
+
+# Frames of 48 x 48, where the widest blur, all six scales and tiles with their halos come into play.
+_SIDE = fixtures.LARGE
+BIG = f"""big AS (
+  SELECT event_id // {_SIDE * _SIDE} AS vec, CAST((event_id % {_SIDE * _SIDE}) // {_SIDE} AS INTEGER) AS y, CAST(event_id % {_SIDE} AS INTEGER) AS x, least(CAST(value AS DOUBLE), 500.0) / 500 AS v FROM events
+), rgb AS (
+  SELECT vec // 3 AS frame, y, x, max(v) FILTER (vec % 3 = 0) AS r, max(v) FILTER (vec % 3 = 1) AS g, max(v) FILTER (vec % 3 = 2) AS b
+  FROM big WHERE vec // 3 < (SELECT count(*) FROM events) // {3 * _SIDE * _SIDE} GROUP BY 1, 2, 3
+)"""
+
+
+@query(metric_sql.structural(BIG))
+def structural_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structural_score(fixtures.large_pairs(spark, sf_dir), tile=32).withColumn("score", r6(F.col("score"), "score"))
+
+
+@query(metric_sql.psychovisual(BIG))
+def psychovisual_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = psychovisual_distance(fixtures.large_pairs(spark, sf_dir), tile=16)
+    return found.select("pair_id", "ord", *(r6(F.col(c), c) for c in ("norm_q", "norm_3", "norm_inf")))

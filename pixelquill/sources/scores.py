@@ -51,6 +51,10 @@ def report(summary: DataFrame, label: str) -> str:
     return "\n".join([f"{label:-^33}", *(f"{title:>18} : {rows[0][k]:12.6f}" for k, title in names.items())])
 
 
+#: What a telemetry document holds.
+TELEMETRY = "frame int, jod double, ppd double, display string, bands array<struct<band: int, rho: double, pixels: long, channels: array<struct<ch: int, q: double, minimum: double, maximum: double, mean: double>>>>"
+
+
 def telemetry(scores: DataFrame, bands: DataFrame, ppd: float, display: str) -> DataFrame:
     """(pair_id, ord, json): a frame's quality, the viewing setup and every band's frequency (rho, cycles per degree),
     pixels and channels, each with its pooled, least, largest and mean difference."""
