@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from .sampling import numbered
 
 
 def filter_length(fps: float = 30.0, override: int = -1) -> int:
@@ -48,3 +49,15 @@ def with_history(rows: DataFrame, keys: list[str], length: int, chunk: int = 64,
     video is many tasks."""
     last = F.floor((F.col(order) + length - 1) / chunk)
     return rows.withColumn("chunk", F.explode(F.sequence(F.floor(F.col(order) / chunk), last)))
+
+
+def filtered_series(rows: DataFrame, value: str, taps: dict[str, np.ndarray], keys: tuple[str, ...], order: tuple[str, ...], chunk: int = 4096) -> DataFrame:
+    """rows with `ord` and one filtered column per kernel, for series of any length.
+
+    Rows are numbered inside their key without a window over it (sampling.numbered) and filtered in chunks that get
+    the few rows before them, so one long series is many tasks; the order has to tell all rows of a key apart."""
+    length = max(len(t) for t in taps.values())
+    placed = numbered(rows, keys, order).drop("size")
+    spread = with_history(placed, list(keys), length, chunk)
+    found = spread.withColumns({name: fir(F.col(value), t, [*keys, "chunk"], ["ord"]) for name, t in taps.items()})
+    return found.where(F.col("chunk") == F.floor(F.col("ord") / chunk)).drop("chunk")

@@ -405,19 +405,21 @@ def lpyr_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- time -----------------------------------------------------------------------
 
-_kernel = temporal.kernels(30.0)
-
-
-def _fir_sql(taps) -> str:
-    return " + ".join(f"coalesce(lag(v, {k}) OVER w, first_value(v) OVER w) * {float(t)!r}" if k else f"v * {float(t)!r}" for k, t in enumerate(taps))
+def _taps_sql() -> str:
+    """Nine taps at 30 frames a second, formed in SQL: channel c, tap k, weight w."""
+    response = " UNION ALL ".join(f"SELECT {c} AS c, j, exp(-pow(j * 3.75, {P['beta_tf'][c]!r}) / {P['sigma_tf'][c]!r}) AS f FROM range(5) r(j)" for c in range(3))
+    return f"""res AS ({response}), full_res AS (SELECT * FROM res UNION ALL SELECT 3, j, 1 - f FROM res WHERE c = 0
+), taps AS (SELECT c, k, sum(CASE WHEN j = 0 THEN f ELSE 2 * f * cos(2 * pi() * j * ((k + 5) % 9) / 9) END) AS w FROM full_res, range(9) r(k) GROUP BY c, k)"""
 
 
-@query(f"""WITH s AS (SELECT user_id, event_id, ts, CAST(value AS DOUBLE) AS v FROM events)
-SELECT user_id, event_id, round({_fir_sql(_kernel[0])}, 6) + 0.0 AS sustained, round({_fir_sql(_kernel[3])}, 6) + 0.0 AS transient FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+@query(f"""WITH {_taps_sql()}, s AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, CAST(value AS DOUBLE) AS v FROM events
+), past AS MATERIALIZED (SELECT user_id, event_id, c, w, greatest(n - k, 0) AS n FROM s, taps WHERE c IN (0, 3))
+SELECT user_id, p.event_id, round(sum(w * v) FILTER (c = 0), 6) + 0.0 AS sustained, round(sum(w * v) FILTER (c = 3), 6) + 0.0 AS transient FROM past p JOIN s USING (user_id, n) GROUP BY 1, 2""")
 def temporal_fir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kernel = temporal.kernels(30.0)
     s = fixtures.table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.col("value").cast("double").alias("v"))
-    f = [temporal.fir(F.col("v"), k, ["user_id"], ["ts", "event_id"]) for k in (_kernel[0], _kernel[3])]
-    return s.select("user_id", "event_id", r6(f[0], "sustained"), r6(f[1], "transient"))
+    found = temporal.filtered_series(s, "v", {"sustained": kernel[0], "transient": kernel[3]}, ("user_id",), ("ts", "event_id"))
+    return found.select("user_id", "event_id", r6(F.col("sustained"), "sustained"), r6(F.col("transient"), "transient"))
 
 
 @query("""WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
@@ -595,10 +597,7 @@ def live_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_sql() -> str:
     """Nine taps at 30 frames a second, formed here; the first frame stands before itself."""
-    response = " UNION ALL ".join(f"SELECT {c} AS c, j, exp(-pow(j * 3.75, {P['beta_tf'][c]!r}) / {P['sigma_tf'][c]!r}) AS f FROM range(5) r(j)" for c in range(3))
-    return f"""WITH {PLANES}, res AS ({response}), full_res AS (SELECT * FROM res UNION ALL SELECT 3, j, 1 - f FROM res WHERE c = 0
-), taps AS (SELECT c, k, sum(CASE WHEN j = 0 THEN f ELSE 2 * f * cos(2 * pi() * j * ((k + 5) % 9) / 9) END) AS w FROM full_res, range(9) r(k) GROUP BY c, k
-), s AS (SELECT vec // 24 AS pair_id, (vec % 24) // 3 AS ord, vec % 3 AS c, y * 8 + x AS i, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM pl WHERE vec // 24 < (SELECT count(DISTINCT vec) FROM pl) // 24)
+    return f"""WITH {PLANES}, {_taps_sql()}, s AS (SELECT vec // 24 AS pair_id, (vec % 24) // 3 AS ord, vec % 3 AS c, y * 8 + x AS i, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM pl WHERE vec // 24 < (SELECT count(DISTINCT vec) FROM pl) // 24)
 SELECT n.pair_id, n.ord, CAST(t.c AS INTEGER) AS channel, round(sum(t.w * o.v), 5) + 0.0 AS total, round(sum(t.w * o.v * (o.i + 1)), 4) + 0.0 AS moment
 FROM (SELECT DISTINCT pair_id, ord FROM s) n, taps t JOIN s o ON o.pair_id = n.pair_id AND o.ord = greatest(n.ord - t.k, 0) AND o.c = t.c % 3 WHERE n.ord > 0 OR t.c < 3 GROUP BY ALL"""
 

@@ -120,3 +120,15 @@ def test_resampled_rows_equal_the_plane(spark):
         for r in stencil.resample(px, (9, 13), want).collect():
             got[r.y, r.x] = r.v
         assert np.allclose(got, resample(plane, want))
+
+
+def test_long_series_are_filtered_in_chunks(spark):
+    """A key of most rows is dealt over many groups and gives what one window gives."""
+    from pyspark.sql import functions as F
+
+    taps = temporal.kernels(30.0)
+    rows = spark.range(3000).selectExpr("IF(id % 10 = 0, id % 3, 7) AS k", "(id * 1301) % 3000 AS t", "sin(id) AS v", "CAST(id AS string) AS other")
+    got = temporal.filtered_series(rows, "v", {"a": taps[0], "b": taps[3]}, ("k",), ("t",), chunk=50)
+    want = rows.select("*", temporal.fir(F.col("v"), taps[0], ["k"], ["t"]).alias("wa"), temporal.fir(F.col("v"), taps[3], ["k"], ["t"]).alias("wb"))
+    both = got.join(want, ["k", "t", "v", "other"])
+    assert got.count() == 3000 and both.where("abs(a - wa) < 1e-9 AND abs(b - wb) < 1e-9").count() == 3000
