@@ -95,6 +95,17 @@ MF_WEIGHTS = (2150.0, 10.6195433239, 16.2176043152)
 LF_WEIGHTS = (29.2353797994, 0.844626970982, 0.703646627719)
 MASK_WEIGHT = 10.0
 
+# The psychovisual response to light: scale, shift inside the logarithm, offset.
+RESPONSE_SCALE, RESPONSE_SHIFT, RESPONSE_OFFSET = 19.245013259874995, 9.9710635769299145, 23.16046239805755
+# Low frequencies to values: x, y, and b after a share of y.
+LOW_X, LOW_Y, LOW_B_FROM_Y, LOW_B = 33.832837186260, 14.458268100570, 0.362267051518, 49.87984651440
+# Suppression of x by y, slope of the soft clamp, bounds and gain of high and ultra-high frequencies.
+SUPPRESSION, SOFT_SLOPE, HF_MOST, UHF_MOST, UHF_GAIN = 0.653020556257, 0.688059627878, 28.4691806922, 5.19175294647, 2.69313763794
+# Compression of the mask, and its gains (offset, scaler, mul) on fine and coarse differences with their common divisor.
+COMPRESS_GAIN, COMPRESS_BIAS = 6.19424080439, 12.61050594197
+FINE_GAIN, COARSE_GAIN = (0.829591754942, 0.451936922203, 2.5485944793), (0.20025578522, 3.87449418804, 0.505054525019)
+GAIN_DIVISOR = 0.79079917404 * 17.83
+
 # Display photometry, cone and opponent matrices.
 XYZ_TO_LMS = ((0.187596268556126, 0.585168649077728, -0.026384263306304), (-0.133397430663221, 0.405505777260049, 0.034502127690364), (0.000244379021663, -0.000542995890619, 0.019406849066323))
 LMS_TO_DKL = ((1.0, 1.0, 0.0), (1.0, -2.311130285, 0.0), (-1.0, -1.0, 50.9775696))

@@ -38,7 +38,7 @@ def absorbance(r: Column, g: Column, b: Column, clamp: bool = False) -> list[Col
 
 
 def log_gamma(v: Column) -> Column:
-    return F.lit(19.245013259874995) * F.ln(v + 9.9710635769299145) - 23.16046239805755
+    return F.lit(K.RESPONSE_SCALE) * F.ln(v + K.RESPONSE_SHIFT) - K.RESPONSE_OFFSET
 
 
 def adapted_xyb(rgb: list[Column], blurred: list[Column], intensity: float = 203.0) -> list[Column]:
@@ -50,7 +50,7 @@ def adapted_xyb(rgb: list[Column], blurred: list[Column], intensity: float = 203
 
 
 def low_to_values(x: Column, y: Column, b: Column) -> list[Column]:
-    return [x * 33.832837186260, y * 14.458268100570, (b + F.lit(-0.362267051518) * y) * 49.87984651440]
+    return [x * K.LOW_X, y * K.LOW_Y, (b + F.lit(-K.LOW_B_FROM_Y) * y) * K.LOW_B]
 
 
 def shrink_near_zero(v: Column, w: float) -> Column:
@@ -61,18 +61,18 @@ def stretch_near_zero(v: Column, w: float) -> Column:
     return F.when(v > w, v + w).when(v < -w, v - w).otherwise(v * 2.0)
 
 
-def soft_clamp(v: Column, most: float, slope: float = 0.688059627878) -> Column:
+def soft_clamp(v: Column, most: float, slope: float = K.SOFT_SLOPE) -> Column:
     return F.when(v >= most, (v - most) * slope + most).when(v < -most, (v + most) * slope - most).otherwise(v)
 
 
-def suppress_by(x: Column, y: Column, yw: float = 46.0, s: float = 0.653020556257) -> Column:
+def suppress_by(x: Column, y: Column, yw: float = 46.0, s: float = K.SUPPRESSION) -> Column:
     return x * (F.lit(s) + F.lit(yw * (1 - s)) / (F.lit(yw) + y * y))
 
 
 def split_high(hf: Column, unblurred: Column) -> tuple[Column, Column]:
     """High and ultra-high band of the luma channel."""
-    high = soft_clamp(hf, 28.4691806922)
-    ultra = soft_clamp(unblurred - high, 5.19175294647) * 2.69313763794
+    high = soft_clamp(hf, K.HF_MOST)
+    ultra = soft_clamp(unblurred - high, K.UHF_MOST) * K.UHF_GAIN
     return stretch_near_zero(high * 2.155, 0.132), ultra
 
 
@@ -110,17 +110,17 @@ def mask_input(hf_x: Column, uhf_x: Column, hf_y: Column, uhf_y: Column) -> Colu
     return F.sqrt(x * x + y * y)
 
 
-def mask_compress(v: Column, mul: float = 6.19424080439, bias: float = 12.61050594197) -> Column:
+def mask_compress(v: Column, mul: float = K.COMPRESS_GAIN, bias: float = K.COMPRESS_BIAS) -> Column:
     return F.sqrt(F.lit(mul) * F.abs(v) + mul * bias) - math.sqrt(mul * bias)
 
 
 def _mask_gain(v: Column, offset: float, scaler: float, mul: float) -> Column:
-    r = (F.lit(1.0) + F.lit(mul) / (F.lit(scaler) * v + offset)) * (1.0 / (0.79079917404 * 17.83))
+    r = (F.lit(1.0) + F.lit(mul) / (F.lit(scaler) * v + offset)) * (1.0 / K.GAIN_DIVISOR)
     return r * r
 
 
 def combined_difference(mask: Column, ac: Column, dc: Column) -> Column:
-    fine, coarse = _mask_gain(mask, 0.829591754942, 0.451936922203, 2.5485944793), _mask_gain(mask, 0.20025578522, 3.87449418804, 0.505054525019)
+    fine, coarse = _mask_gain(mask, *K.FINE_GAIN), _mask_gain(mask, *K.COARSE_GAIN)
     return F.sqrt(fine * ac + coarse * dc)
 
 

@@ -40,7 +40,7 @@ def adapted(rgb: np.ndarray, intensity: float) -> np.ndarray:
     """Linear RGB to adapted x, y, b."""
     floor = _OPSIN[:, 3, None, None]
     around = np.maximum(np.maximum(_absorb(np.stack([psycho_blur(p, "opsin") for p in rgb]) * intensity), floor), 1e-4)
-    sensitivity = np.maximum((19.245013259874995 * np.log(around + 9.9710635769299145) - 23.16046239805755) / around, 1e-4)
+    sensitivity = np.maximum((K.RESPONSE_SCALE * np.log(around + K.RESPONSE_SHIFT) - K.RESPONSE_OFFSET) / around, 1e-4)
     l, m, s = np.maximum(_absorb(rgb * intensity) * sensitivity, floor)
     return np.stack([l - m, l + m, s])
 
@@ -54,7 +54,7 @@ def _stretch(v: np.ndarray, w: float) -> np.ndarray:
 
 
 def _soft(v: np.ndarray, most: float) -> np.ndarray:
-    return np.where(np.abs(v) > most, np.sign(v) * ((np.abs(v) - most) * 0.688059627878 + most), v)
+    return np.where(np.abs(v) > most, np.sign(v) * ((np.abs(v) - most) * K.SOFT_SLOPE + most), v)
 
 
 def bands(xyb: np.ndarray) -> dict[str, list[np.ndarray]]:
@@ -64,13 +64,13 @@ def bands(xyb: np.ndarray) -> dict[str, list[np.ndarray]]:
     middle = [psycho_blur(p, "mf") for p in rest]
     high = [rest[c] - middle[c] for c in (0, 1)]
     middle[0], middle[1] = _shrink(middle[0], 0.29), _stretch(middle[1], 0.1)
-    high[0] = high[0] * (0.653020556257 + 46.0 * (1 - 0.653020556257) / (46.0 + high[1] ** 2))
+    high[0] = high[0] * (K.SUPPRESSION + 46.0 * (1 - K.SUPPRESSION) / (46.0 + high[1] ** 2))
     soft = [psycho_blur(p, "hf") for p in high]
     hf_x, uhf_x = _shrink(soft[0], 1.5), _shrink(high[0] - soft[0], 0.04)
-    clamped = _soft(soft[1], 28.4691806922)
-    uhf_y, hf_y = _soft(high[1] - clamped, 5.19175294647) * 2.69313763794, _stretch(clamped * 2.155, 0.132)
+    clamped = _soft(soft[1], K.HF_MOST)
+    uhf_y, hf_y = _soft(high[1] - clamped, K.UHF_MOST) * K.UHF_GAIN, _stretch(clamped * 2.155, 0.132)
     x, y, b = low
-    values = [x * 33.832837186260, y * 14.458268100570, (b - 0.362267051518 * y) * 49.87984651440]
+    values = [x * K.LOW_X, y * K.LOW_Y, (b - K.LOW_B_FROM_Y * y) * K.LOW_B]
     return {"lf": values, "mf": middle, "hf": [hf_x, hf_y], "uhf": [uhf_x, uhf_y]}
 
 
@@ -90,7 +90,7 @@ def _oriented(a: np.ndarray, b: np.ndarray, lines: str, weight: float, exponent:
 def _mask(one: dict) -> np.ndarray:
     (hx, hy), (ux, uy) = one["hf"], one["uhf"]
     v = np.sqrt(((ux + hx) * 2.5) ** 2 + (uy * 0.4 + hy * 0.4) ** 2)
-    mul, bias = 6.19424080439, 12.61050594197
+    mul, bias = K.COMPRESS_GAIN, K.COMPRESS_BIAS
     return psycho_blur(np.sqrt(mul * v + mul * bias) - np.sqrt(mul * bias), "mask")
 
 
@@ -109,8 +109,8 @@ def difference_map(a: np.ndarray, b: np.ndarray, intensity: float) -> np.ndarray
     mask_a, mask_b = _mask(p), _mask(q)
     ac += K.MASK_WEIGHT * (mask_a - mask_b) ** 2
     m = erode(mask_a)
-    gain = lambda offset, scaler, mul: ((1 + mul / (scaler * m + offset)) / (0.79079917404 * 17.83)) ** 2
-    return np.sqrt(gain(0.829591754942, 0.451936922203, 2.5485944793) * ac + gain(0.20025578522, 3.87449418804, 0.505054525019) * dc)
+    gain = lambda offset, scaler, mul: ((1 + mul / (scaler * m + offset)) / K.GAIN_DIVISOR) ** 2
+    return np.sqrt(gain(*K.FINE_GAIN) * ac + gain(*K.COARSE_GAIN) * dc)
 
 
 def _linear(planes: np.ndarray) -> np.ndarray:

@@ -74,7 +74,7 @@ def _stretch(v: str, w: float) -> str:
 
 
 def _clamp(v: str, most: float) -> str:
-    return f"(CASE WHEN abs({v}) > {most!r} THEN sign({v}) * ((abs({v}) - {most!r}) * 0.688059627878 + {most!r}) ELSE {v} END)"
+    return f"(CASE WHEN abs({v}) > {most!r} THEN sign({v}) * ((abs({v}) - {most!r}) * {K.SOFT_SLOPE!r} + {most!r}) ELSE {v} END)"
 
 
 def _outside(low: float, high: float) -> str:
@@ -87,7 +87,7 @@ def psychovisual(colour: str, intensity: float = 203.0) -> str:
     blur = lambda src, out, name: _blur(src, out, K.PSYCHO_SIGMAS[name], radius[name])
     lit = lambda p: [f"({p}{n} * {intensity!r})" for n in "rgb"]
     around = [f"greatest({_mix(row, *lit('s'))}, {row[3]!r}, 1e-4)" for row in K.PSYCHO_OPSIN]
-    sense = [f"greatest((19.245013259874995 * ln({e} + 9.9710635769299145) - 23.16046239805755) / {e}, 1e-4)" for e in around]
+    sense = [f"greatest(({K.RESPONSE_SCALE!r} * ln({e} + {K.RESPONSE_SHIFT!r}) - {K.RESPONSE_OFFSET!r}) / {e}, 1e-4)" for e in around]
     lms = [f"greatest({_mix(row, *lit(''))} * {s}, {row[3]!r})" for row, s in zip(K.PSYCHO_OPSIN, sense, strict=True)]
     by_channel = lambda src, names: " UNION ALL ".join(f"SELECT part, frame, side, {k} AS c, y, x, {n} AS v FROM {src}" for k, n in enumerate(names))
     names = ["lf0", "lf1", "lf2", "mf0", "mf1", "mf2", "hf0", "hf1", "uhf0", "uhf1"]
@@ -102,8 +102,8 @@ def psychovisual(colour: str, intensity: float = 203.0) -> str:
     plain += [(place["mf" + str(c)], f"{w!r} * (a - b) * (a - b)") for c, w in enumerate(K.MF_WEIGHTS)]
     low = [(place["lf" + str(c)], f"{w!r} * (a - b) * (a - b)") for c, w in enumerate(K.LF_WEIGHTS)]
     case = lambda terms: "CASE c " + " ".join(f"WHEN {c} THEN {e}" for c, e in terms) + " ELSE 0.0 END"
-    gain = lambda offset, scaler, mul: f"pow((1 + {mul!r} / ({scaler!r} * m + {offset!r})) / {0.79079917404 * 17.83!r}, 2)"
-    compress = "sqrt(6.19424080439 * m + 6.19424080439 * 12.61050594197) - sqrt(6.19424080439 * 12.61050594197)"
+    gain = lambda offset, scaler, mul: f"pow((1 + {mul!r} / ({scaler!r} * m + {offset!r})) / {K.GAIN_DIVISOR!r}, 2)"
+    compress = f"sqrt({K.COMPRESS_GAIN!r} * m + {K.COMPRESS_GAIN!r} * {K.COMPRESS_BIAS!r}) - sqrt({K.COMPRESS_GAIN!r} * {K.COMPRESS_BIAS!r})"
     near = ", ".join(f"({dy}, {dx})" for dy in (-3, 0, 3) for dx in (-3, 0, 3))
     return f"""{_linear(colour)}, {_halved(1)}, lin AS (SELECT * FROM lin0 UNION ALL SELECT * FROM lin1),
 {blur("lin", "near", "opsin")},
@@ -115,12 +115,12 @@ rest AS (SELECT part, frame, side, c, y, x, a.v - b.v AS v FROM xyb a JOIN lf b
 {blur("rest", "mf", "mf")},
 high AS (SELECT part, frame, side, c, y, x, a.v - b.v AS v FROM rest a JOIN mf b USING (part, frame, side, c, y, x) WHERE c < 2),
 h0 AS (SELECT part, frame, side, y, x, max(v) FILTER (c = 0) AS hx, max(v) FILTER (c = 1) AS hy FROM high GROUP BY ALL),
-h1 AS (SELECT part, frame, side, y, x, hx * (0.653020556257 + 46.0 * (1 - 0.653020556257) / (46.0 + hy * hy)) AS hx, hy FROM h0),
+h1 AS (SELECT part, frame, side, y, x, hx * ({K.SUPPRESSION!r} + 46.0 * (1 - {K.SUPPRESSION!r}) / (46.0 + hy * hy)) AS hx, hy FROM h0),
 hl AS ({by_channel("h1", ("hx", "hy"))}),
 {blur("hl", "hs", "hf")},
-h2 AS (SELECT * FROM h1 JOIN (SELECT part, frame, side, y, x, max(v) FILTER (c = 0) AS sx, {_clamp("max(v) FILTER (c = 1)", 28.4691806922)} AS cy FROM hs GROUP BY ALL) USING (part, frame, side, y, x)),
-fine AS (SELECT part, frame, side, y, x, {_shrink("sx", 1.5)} AS hf0, {_stretch("(cy * 2.155)", 0.132)} AS hf1, {_shrink("(hx - sx)", 0.04)} AS uhf0, {_clamp("(hy - cy)", 5.19175294647)} * 2.69313763794 AS uhf1 FROM h2),
-bands AS (SELECT part, frame, side, y, x, lw.lx * 33.832837186260 AS lf0, lw.y_ * 14.458268100570 AS lf1, (lw.z - 0.362267051518 * lw.y_) * 49.87984651440 AS lf2, mw.mf0, mw.mf1, mw.mf2, hf0, hf1, uhf0, uhf1
+h2 AS (SELECT * FROM h1 JOIN (SELECT part, frame, side, y, x, max(v) FILTER (c = 0) AS sx, {_clamp("max(v) FILTER (c = 1)", K.HF_MOST)} AS cy FROM hs GROUP BY ALL) USING (part, frame, side, y, x)),
+fine AS (SELECT part, frame, side, y, x, {_shrink("sx", 1.5)} AS hf0, {_stretch("(cy * 2.155)", 0.132)} AS hf1, {_shrink("(hx - sx)", 0.04)} AS uhf0, {_clamp("(hy - cy)", K.UHF_MOST)} * {K.UHF_GAIN!r} AS uhf1 FROM h2),
+bands AS (SELECT part, frame, side, y, x, lw.lx * {K.LOW_X!r} AS lf0, lw.y_ * {K.LOW_Y!r} AS lf1, (lw.z - {K.LOW_B_FROM_Y!r} * lw.y_) * {K.LOW_B!r} AS lf2, mw.mf0, mw.mf1, mw.mf2, hf0, hf1, uhf0, uhf1
   FROM fine JOIN (SELECT part, frame, side, y, x, max(v) FILTER (c = 0) AS lx, max(v) FILTER (c = 1) AS y_, max(v) FILTER (c = 2) AS z FROM lf GROUP BY ALL) lw USING (part, frame, side, y, x)
   JOIN (SELECT part, frame, side, y, x, {_shrink("max(v) FILTER (c = 0)", 0.29)} AS mf0, {_stretch("max(v) FILTER (c = 1)", 0.1)} AS mf1, max(v) FILTER (c = 2) AS mf2 FROM mf GROUP BY ALL) mw USING (part, frame, side, y, x)),
 named AS ({by_channel("bands", names)}),
@@ -139,7 +139,7 @@ around(dy, dx) AS (VALUES {near}),
 near_ AS MATERIALIZED (SELECT part, frame, y, x, y + dy AS qy, x + dx AS qx FROM masks, around),
 cand AS (SELECT p.part, p.frame, p.y, p.x, q.v FROM near_ p JOIN masks q ON q.part = p.part AND q.frame = p.frame AND q.y = qy AND q.x = qx UNION ALL SELECT part, frame, y, x, 2 * v FROM masks UNION ALL SELECT part, frame, y, x, 2 * v FROM masks),
 eroded AS (SELECT part, frame, y, x, 0.45 * l[1] + 0.3 * l[2] + 0.25 * l[3] AS m FROM (SELECT part, frame, y, x, list_sort(list(v)) AS l FROM cand GROUP BY ALL)),
-d AS (SELECT part, frame, y, x, sqrt({gain(0.829591754942, 0.451936922203, 2.5485944793)} * (o.e + f.e + {K.MASK_WEIGHT!r} * (v - w) * (v - w)) + {gain(0.20025578522, 3.87449418804, 0.505054525019)} * dc) AS d
+d AS (SELECT part, frame, y, x, sqrt({gain(*K.FINE_GAIN)} * (o.e + f.e + {K.MASK_WEIGHT!r} * (v - w) * (v - w)) + {gain(*K.COARSE_GAIN)} * dc) AS d
   FROM oriented o JOIN flat f USING (part, frame, y, x) JOIN masks USING (part, frame, y, x) JOIN eroded USING (part, frame, y, x)),
 full_ AS (SELECT a.frame, a.d * 0.85 + 0.5 * b.d AS d FROM d a JOIN d b ON a.part = 0 AND b.part = 1 AND a.frame = b.frame AND b.y = a.y // 2 AND b.x = a.x // 2)
 SELECT 'colour' AS pair_id, CAST(frame AS INTEGER) AS ord, round(sqrt(avg(d * d)), 6) + 0.0 AS norm_q, round(pow(avg(d * d * d), 1.0 / 3), 6) + 0.0 AS norm_3, round(max(d), 6) + 0.0 AS norm_inf FROM full_ GROUP BY frame"""
