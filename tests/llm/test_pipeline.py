@@ -45,9 +45,56 @@ def test_stages_follow_each_other(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == kept[names[-1]]
 
 
+def test_encoding_against_the_library(spark, edges):
+    """The last stage's ids and texts are those of the tokenizers library, row by row."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(__import__("public_tokenizers").path(corpus_pipeline.VOCABULARY))
+    library.no_truncation()
+    library.no_padding()
+    rows = dict(corpus_pipeline.STAGES)["encoding"](spark, edges, SF).collect()
+    want = []
+    for r in edges.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want.append((r.doc_id, ids, len(ids), library.decode(ids, skip_special_tokens=False)))
+    assert sorted(((r.doc_id, r.ids, r.n_tokens, r.decoded) for r in rows), key=repr) == sorted(want, key=repr)
+
+
+def test_rejection_follows_the_labels(spark):
+    """What the first stage drops, held against the labels themselves."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["quality classifier"](spark, docs, "/root/testdata/sf0.01").collect()}
+    told = labels.join(docs.select("doc_id"), "doc_id").collect()
+    good = [r.doc_id in kept for r in told if r.quality == 1 and r.toxic == 0]
+    bad = [r.doc_id in kept for r in told if r.quality == 0 or r.toxic == 1]
+    assert len(good) > 50 and len(bad) > 10 and sum(good) >= 0.9 * len(good) and sum(bad) <= 0.2 * len(bad)
+
+
+def test_redaction_replaces_every_span(spark):
+    """The fourth stage's texts are the input's with each span that the scan finds replaced, those of the network too."""
+    import numpy as np
+
+    from .conftest import make
+    from .test_secrets import FAMILIES
+
+    rng = np.random.default_rng(6)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(600).collect()]
+    texts += [f"{texts[rng.integers(600)]} then {secret(rng)} end of text" for secret in FAMILIES.values() for _ in range(2)]
+    docs = make(spark, texts)
+    found = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    assert sum(s.kind == 3 for spans in found.values() for s in spans) >= 10  # the network's
+    for r in dict(corpus_pipeline.STAGES)["secret scans"](spark, docs, SF).collect():
+        text, done, out = texts[r.doc_id], 0, ""
+        for s in sorted(found[r.doc_id], key=lambda s: (s.start, -s.end)):
+            if s.start >= done:
+                out += text[done : s.start] + "[secret]"
+            done = max(done, s.end)
+        assert r.text == out + text[done:]
+
+
 def test_queries_are_registered(spark):
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} <= {n.split("_")[0] for n in names} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= names
