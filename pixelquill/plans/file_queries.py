@@ -32,11 +32,16 @@ def clip_frames(spark: SparkSession, sf_dir: str, lines: int = 16) -> DataFrame:
     return rows.select(name.alias("video_id"), (F.col("frame") % CLIP).alias("frame_idx"), F.lit(16).alias("width"), F.lit(lines).alias("height"), F.lit(25.0).alias("fps"), planes.alias("planes"))
 
 
-def written(spark: SparkSession, sf_dir: str, raw: video.Raw | None = None, lines: int = 16) -> str:
-    """A folder of clips of one layout; padding is 255."""
+def written(spark: SparkSession, sf_dir: str, raw: video.Raw | None = None, lines: int = 16) -> str | None:
+    """A folder of clips of one layout, None where the tables have no full frame; padding is 255."""
     folder = new_folder(spark, "clips")
-    clips.write_clips(clip_frames(spark, sf_dir, lines), folder, raw, 255).agg(F.sum("frames")).collect()  # runs it
-    return folder
+    n = clips.write_clips(clip_frames(spark, sf_dir, lines), folder, raw, 255).agg(F.sum("frames")).collect()[0][0]  # runs it
+    return folder if n else None
+
+
+def read_back(spark: SparkSession, sf_dir: str, raw: video.Raw, lines: int) -> DataFrame:
+    folder = written(spark, sf_dir, raw, lines)
+    return frames.read_frames(spark, folder, raw) if folder else spark.createDataFrame([], video.FRAMES)
 
 
 def plane_sums(rows: DataFrame, top: float) -> DataFrame:
@@ -51,19 +56,21 @@ def plane_sums(rows: DataFrame, top: float) -> DataFrame:
 def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Padded 16-bit planes; only four frames of each clip are planned and read."""
     raw = video.Raw(16, 13, "uint16", 20)
-    rows = frames.read_frames(spark, written(spark, sf_dir, raw, 13), raw)
+    rows = read_back(spark, sf_dir, raw, 13)
     return plane_sums(rows.where("frame_idx >= 2 AND frame_idx < 6"), 65535.0)
 
 
 def packed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A packed layout with alpha in front."""
     raw = video.Raw(16, 16, layout="argb")
-    return plane_sums(frames.read_frames(spark, written(spark, sf_dir, raw), raw), 255.0)
+    return plane_sums(read_back(spark, sf_dir, raw, 16), 255.0)
 
 
 def clip_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index of Y4M clips, through its cache."""
     folder = written(spark, sf_dir)
+    if folder is None:
+        return spark.createDataFrame([], "video_id string, width int, height int, fps double, frames long, clips int")
     cache = new_folder(spark, "index")
     first = video.file_index(spark, f"{folder}/clip*", cache).count()
     found = video.file_index(spark, f"{folder}/clip*", cache)
@@ -71,11 +78,16 @@ def clip_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clip_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of the first clip against those of the second, two frames later, read as pairs; their first planes' norms."""
+    """Frames of the first clip against those of the last, up to two frames later, read as pairs; their first planes' norms."""
     raw = video.Raw(16, 16)
     folder = written(spark, sf_dir, raw)
-    span = sampling.resolve(CLIP, CLIP, 0, -1, 1, 2)
-    both = frames.read_pairs(spark, frames.Side(f"{folder}/clip000000", raw), frames.Side(f"{folder}/clip000001", raw), span, "clips")
+    if folder is None:
+        both = spark.createDataFrame([], frames.PAIRS)
+    else:
+        index = video.file_index(spark, folder, raw=raw)
+        first, last = index.orderBy("path").limit(1).collect()[0], index.orderBy(F.desc("path")).limit(1).collect()[0]
+        span = sampling.resolve(first.frames, last.frames, offset=min(2, last.frames - 1))
+        both = frames.read_pairs(spark, frames.Side(first.path, raw), frames.Side(last.path, raw), span, "clips")
     pixels = both.select("ord", "src_frame", "enc_frame", F.explode(F.arrays_zip(F.col("a_planes")[0].alias("a"), F.col("b_planes")[0].alias("b"))).alias("z"))
     difference = (F.col("z.a") - F.col("z.b")).cast("double") * 255
     return pixels.groupBy("ord", "src_frame", "enc_frame").agg(*pooling.norms(F.round(difference)))

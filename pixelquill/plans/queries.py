@@ -571,8 +571,9 @@ def clip_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_queries.clip_index(spark, sf_dir)
 
 
-@query(f"""WITH {GRAY}, u AS (SELECT frame, y, x, round_even(CAST(CAST(v AS FLOAT) AS DOUBLE) * 255, 0) AS u FROM px), e AS (
-  SELECT a.frame AS src, b.frame - 8 AS enc, abs(a.u - b.u) AS e FROM u a JOIN u b ON b.frame = a.frame + 10 AND a.y = b.y AND a.x = b.x WHERE a.frame < 6)
+@query(f"""WITH {GRAY}, u AS (SELECT frame, y, x, round_even(CAST(CAST(v AS FLOAT) AS DOUBLE) * 255, 0) AS u FROM px), f AS (SELECT count(DISTINCT frame) AS n, (count(DISTINCT frame) - 1) // 8 * 8 AS base FROM u
+), e AS (
+  SELECT a.frame AS src, b.frame - base AS enc, abs(a.u - b.u) AS e FROM f, u a JOIN u b ON b.frame - base = a.frame + least(2, n - base - 1) AND a.y = b.y AND a.x = b.x WHERE a.frame < 8)
 SELECT CAST(src AS INTEGER) AS ord, src AS src_frame, enc AS enc_frame, round(sqrt(avg(e * e)), 6) + 0.0 AS norm_q, round(pow(avg(e * e * e), 1.0 / 3), 6) + 0.0 AS norm_3, round(max(e), 6) + 0.0 AS norm_inf FROM e GROUP BY src, enc""")
 def clip_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both frames of a pair come from one task of the pair reader."""

@@ -463,3 +463,29 @@ def test_streamed_planes_equal_the_batch(spark, tmp_path):
     gone = until(lambda: kept() == 0, 30)
     q.stop()
     assert gone, kept()
+
+
+@pytest.mark.parametrize("layout", [None, {"sample": "float", "stride": 9}, {"layout": "bgra"}, {"layout": "rgb48le", "stride": 30}])
+def test_clips_are_written_and_read_back(spark, tmp_path, layout):
+    """Every layout, in order of frames whatever the partitions; a size that changes is refused."""
+    from pixelquill.sources import clips
+
+    rng = np.random.default_rng(3)
+    planes = {(v, k): rng.random((3, 4, 7)).astype(np.float32) for v in ("one", "two") for k in range(5)}
+    shape = "frame_idx long, video_id string, width int, height int, fps double, planes array<array<float>>"
+    rows = spark.createDataFrame([(k, v, 7, 4, 25.0, p.reshape(3, -1).tolist()) for (v, k), p in planes.items()], shape).repartition(3)
+    raw = None if layout is None else video.Raw(7, 4, **layout)
+    done = clips.write_clips(rows, str(tmp_path / "out"), raw, 255).collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.frames) for r in done) == [("one", 5), ("two", 5)] and len(list((tmp_path / "out").iterdir())) == 2
+    if raw is None:
+        assert [(r.frames, r.width, r.fps) for r in video.file_index(spark, str(tmp_path / "out")).collect()] == [(5, 7, 25.0)] * 2
+        with video.open_file(str(tmp_path / "out" / "one")) as f:
+            clip = video.Clip.of(f)
+            first = np.frombuffer(f.read_at(84, clip.begin + 6), np.uint8).reshape(3, 4, 7)
+        assert np.array_equal(first, np.rint(planes["one", 0].astype(float) * 255))
+    else:
+        found = {(r.video_id, r.frame_idx): np.array(r.planes).reshape(3, 4, 7) for r in frames.read_frames(spark, str(tmp_path / "out"), raw).collect()}
+        assert found.keys() == planes.keys() and all(np.abs(found[k] - planes[k]).max() < 0.003 for k in planes)
+    bad = spark.createDataFrame([(k, "x", 2, 1 + k, 25.0, [[0.5] * 2 * (1 + k)] * 3) for k in range(2)], shape)
+    with pytest.raises(Exception, match="another size"):
+        clips.write_clips(bad, str(tmp_path / "bad")).collect()
