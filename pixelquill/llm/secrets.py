@@ -3,9 +3,9 @@
 Every run of CANDIDATE characters of MIN_RUN and more is a candidate (shorter ones are
 found by the patterns only), and so is what is left of a run beside a pattern's span,
 if it has MIN_RUN characters.  A small convolutional network in numpy reads the candidate and its surroundings (long
-candidates in overlapping windows, the worst of which counts) and is trained on a
-bounded sample of labelled findings: a candidate that a pattern finds is positive,
-any other negative, unless a first fit takes it for a secret that the patterns miss.
+candidates in overlapping windows, the worst of which counts) and is trained on all
+distinct labelled findings: a candidate that a pattern finds is positive, any other
+negative, unless a first fit takes it for a secret that the patterns miss.
 So that it learns what secrets look like and not the patterns' own key words, it
 also sees random strings over several alphabets, in the negatives' surroundings and
 in none; so that it learns what words look like, it sees words of the surroundings
@@ -13,14 +13,19 @@ joined as in addresses, paths and names, as negatives.  Scores are calibrated on
 threshold is the highest one that still recalls RECALL of the held-out positives,
 as found and varied.
 
+The findings are dealt by hash into shards of about SHARD each.  In a round every shard
+goes on from the same weights over its own findings, and their mean, by the shards'
+rows, begins the next round.  Quantiles, calibration and threshold are read from
+counts of scores over all shards, in steps of 1 / BINS.
+
 Every candidate is scored.  Found are all pattern spans, and the candidates beyond
 them that reach the threshold; each with the probability of its candidate, where it
 has one.  Offsets are code points, ends exclusive.
 
 Cases: null and empty texts have no spans; where the findings have no positive or no
 negative the network adds nothing; repeated rows are scanned each; an empty table
-gives no rows.  The sample is drawn by a hash of the window, so ties and order do
-not matter.
+gives no rows.  Shards go by a hash of the window and weights and counts are summed as
+integers, so ties, order and partitions do not matter.
 """
 
 from __future__ import annotations
@@ -48,8 +53,12 @@ _run_bytes = np.isin(np.arange(256), np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZa
 #: Code points before, inside and after a window.
 BEFORE, INSIDE, AFTER = 16, 48, 8
 LENGTH = BEFORE + INSIDE + AFTER
-#: Labelled findings that the network is fitted on.
-SAMPLE = 4000
+#: Labelled findings of a shard; rounds over more than one shard; steps of a score's unit, and the largest score told apart.
+SHARD, ROUNDS, BINS, MOST_SCORE = 8000, 6, 256, 64
+#: Strings that are made up in a shard at least.
+LEAST_MADE = 1000
+#: Unit of the weights' sums.
+FIXED = 2.0**-30
 RECALL = 0.99
 #: Gradient steps at least.
 STEPS = 500
@@ -151,12 +160,12 @@ class Network:
         h = np.concatenate([np.take_along_axis(a, top[:, None], 1)[:, 0], a.mean(axis=1)], axis=1)
         return columns, z, top, h, h @ self.p["v"] + self.p["c"][0]
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01) -> None:
-        epochs = max(epochs, -(-STEPS * batch // max(len(x), 1)))
-        rng = np.random.default_rng(11)
-        weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
+    def fit(self, x: np.ndarray, y: np.ndarray, share: float, rounds: int = 1, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 11) -> None:
+        """One of several rounds over x.  share: the share of positives in all shards."""
+        epochs = max(-(-epochs // rounds), -(-STEPS * batch // max(len(x) * rounds, 1)))
+        rng = np.random.default_rng(seed)
+        weight = np.where(y > 0, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6))
         m, s = ({k: np.zeros_like(q) for k, q in self.p.items()} for _ in range(2))
-        self.p["e"][np.setdiff1d(np.arange(128), x)] = 0  # characters that it never sees say nothing
         step = 0
         for _ in range(epochs):
             order = rng.permutation(len(x))
@@ -185,17 +194,21 @@ class Network:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self.forward(x[i : i + 512])[-1] for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
 
-    def calibrate(self, score: np.ndarray, y: np.ndarray) -> None:
-        """Platt scaling by gradient steps, then the recall-constrained threshold."""
-        center, spread = score.mean(), score.std() + 1e-9
+    def calibrate(self, score: np.ndarray, y: np.ndarray, times: np.ndarray) -> None:
+        """Platt scaling by gradient steps, then the recall-constrained threshold.  times: how often each score occurs."""
+        center = np.average(score, weights=times)
+        spread = np.sqrt(np.average((score - center) ** 2, weights=times)) + 1e-9
+        high, low = times[y > 0].sum(), times[y < 1].sum()
         a, b, z = 1.0, 0.0, (score - center) / spread
-        target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+        target = np.where(y > 0, (high + 1) / (high + 2), 1 / (low + 2))
         for _ in range(500):
             g = _sigmoid(a * z + b) - target
-            a, b = a - 0.5 * (g * z).mean(), b - 0.5 * g.mean()
+            a, b = a - 0.5 * np.average(g * z, weights=times), b - 0.5 * np.average(g, weights=times)
         self.scale, self.shift = a / spread, b - a * center / spread
-        p = np.sort(self.probability(score)[y > 0])
-        self.threshold = float(p[int(np.floor((1 - RECALL) * len(p)))])
+        p = self.probability(score[y > 0])
+        order = np.argsort(p, kind="stable")
+        at = np.searchsorted(np.cumsum(times[y > 0][order]), int(np.floor((1 - RECALL) * high)), "right")
+        self.threshold = float(p[order[at]])
 
     def probability(self, score: np.ndarray) -> np.ndarray:
         return _sigmoid(self.scale * score + self.shift)
@@ -270,50 +283,173 @@ def joined(x: np.ndarray, rng: np.random.Generator, count: int) -> np.ndarray:
     return out
 
 
-def train(found: DataFrame, sample: int = SAMPLE) -> Network:
-    """Fit on at most `sample` distinct candidates of each label, drawn by hash."""
+class Shard:
+    """One shard's findings x with labels y, and what is made of them; the same in every pass."""
+
+    def __init__(self, number: int, x: np.ndarray, y: np.ndarray, only: bool):
+        self.number, self.x, self.y = number, x, y
+        order = self._rng(0).permutation(len(x))
+        self.out, self.own = order[: len(x) // 4], order[len(x) // 4 :]
+        if only and (y[self.out].sum() < 2 or (1 - y[self.out]).sum() < 2):
+            self.out = self.own = order
+        self.low = order[y[order] < 1]
+
+    def _rng(self, use: int) -> np.random.Generator:
+        return np.random.default_rng([3, self.number, use])
+
+    def first(self, fold: int) -> tuple[np.ndarray, np.ndarray]:
+        """Random strings and plain negatives, in no surroundings, of one half of the negatives."""
+        other, rng = self.low[fold::2], self._rng(1 + fold)
+        if not len(other):
+            return self.x[:0], self.x[:0]
+        strings = bare(varied(self.x[rng.choice(other, max(len(other), LEAST_MADE))], rng))
+        return strings, np.concatenate([bare(self.x[other]), bare(joined(self.x, rng, len(strings)))])
+
+    def trusted(self, firsts: list[Network], limits: list[float]) -> np.ndarray:
+        """What no pattern finds may be a secret all the same.  So each half of the negatives is judged,
+        without surroundings, by the network fitted on the other halves and on random strings; what
+        looks like those is set aside."""
+        out = np.ones(len(self.x), bool)
+        for fold, (net, limit) in enumerate(zip(firsts, limits, strict=True)):
+            half = self.low[1 - fold :: 2]
+            if np.isfinite(limit):
+                out[half] = net.logits(bare(self.x[half])) < limit
+        return out
+
+    def made(self, rows: np.ndarray, use: int, both: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The rows with positives varied from their negatives and negatives of joined words; both: and the negatives without surroundings."""
+        rng, x, y = self._rng(use), self.x[rows], self.y[rows]
+        low = x[y < 1]
+        more = varied(low[rng.integers(0, len(low), max(len(low), LEAST_MADE))], rng) if len(low) else low
+        words = joined(x, rng, len(more)) if len(more) else more
+        alone = bare(low) if both else low[:0]
+        return np.concatenate([x, more, alone, words]), np.r_[y, np.ones(len(more)), np.zeros(len(alone) + len(words))]
+
+
+def _packed(net: Network) -> np.ndarray:
+    return np.concatenate([q.ravel() for q in net.p.values()])
+
+
+def _unpack(net: Network, flat: np.ndarray) -> None:
+    at = 0
+    for k, q in net.p.items():
+        net.p[k] = flat[at : at + q.size].reshape(q.shape).copy()
+        at += q.size
+
+
+def _bins(score: np.ndarray) -> np.ndarray:
+    at = np.floor(np.clip(score, -MOST_SCORE, MOST_SCORE) * BINS).astype(np.int64) + MOST_SCORE * BINS
+    return np.bincount(at, minlength=2 * MOST_SCORE * BINS + 1)
+
+
+_EDGES = np.arange(-MOST_SCORE * BINS, MOST_SCORE * BINS + 1) / BINS
+
+
+def _fitted(net: Network, x: np.ndarray, y: np.ndarray, shared: dict, seed: int) -> np.ndarray:
+    """Rows, the weights times the rows, and which characters occur, as integers."""
+    own = Network()
+    _unpack(own, _packed(net))
+    if len(x):
+        own.fit(x, y, y.mean() if shared["share"] is None else shared["share"], shared["rounds"], seed=seed)
+    return np.concatenate([[len(x)], np.round(_packed(own) / FIXED).astype(np.int64) * len(x), np.bincount(x.ravel(), minlength=128)])
+
+
+def _first_pass(shard: Shard, shared: dict) -> list[np.ndarray]:
+    out = []
+    for fold in (0, 1):
+        strings, plain = shard.first(fold)
+        out.append(_fitted(shared["nets"][fold], np.concatenate([strings, plain]), np.r_[np.ones(len(strings)), np.zeros(len(plain))], shared, 11 + shared["round"]))
+    return out
+
+
+def _first_scores(shard: Shard, shared: dict) -> list[np.ndarray]:
+    return [_bins(shared["nets"][fold].logits(shard.first(fold)[0])) for fold in (0, 1)]
+
+
+def _count_pass(shard: Shard, shared: dict) -> list[np.ndarray]:
+    """Trusted negatives in the fit and beside it, and rows and positives of the fit with them and with all."""
+    out = []
+    for ok in (shard.trusted(*shared["first"]), np.ones(len(shard.x), bool)):
+        negative = [int((ok[r] & (shard.y[r] < 1)).sum()) for r in (shard.own, shard.out)]
+        y = shard.made(shard.own[ok[shard.own]], 3, True)[1]
+        out.append(np.array([*negative, len(y), int(y.sum())], np.int64))
+    return out
+
+
+def _trusted_of(shard: Shard, rows: np.ndarray, shared: dict) -> np.ndarray:
+    return rows[shard.trusted(*shared["first"])[rows]] if shared["first"] else rows
+
+
+def _main_pass(shard: Shard, shared: dict) -> list[np.ndarray]:
+    x, y = shard.made(_trusted_of(shard, shard.own, shared), 3, True)
+    return [_fitted(shared["nets"][0], x, y, shared, 11 + shared["round"])]
+
+
+def _main_scores(shard: Shard, shared: dict) -> list[np.ndarray]:
+    x, y = shard.made(_trusted_of(shard, shard.out, shared), 4, False)
+    score = shared["nets"][0].logits(x)
+    return [_bins(score[y < 1]), _bins(score[y > 0])]
+
+
+def _over_shards(shared, what):
+    """The sums of `what` over a task's shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for number, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(b"".join(r["x"] for r in rows.as_py()), np.uint8).reshape(-1, LENGTH)
+                y = np.array([float(r["y"]) for r in rows.as_py()])
+                own = what(Shard(number, x, y, shared.value["only"]), shared.value)
+                total = own if total is None else [a + b for a, b in zip(total, own, strict=True)]
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([[x.astype("<i8").tobytes() for x in total]], pa.list_(pa.binary()))})
+
+    return run
+
+
+def train(found: DataFrame, shard: int = SHARD) -> Network:
+    """Fit on all distinct candidates, in shards of about `shard` of them."""
+    sc = found.sparkSession.sparkContext
     flat = found.select(F.explode("found").alias("f")).select(F.substring("f.windows", 1, LENGTH).alias("x"), F.col("f.hit").alias("y"), F.col("f.part").alias("part")).where("NOT part").drop("part").distinct()
-    drawn = []
-    for y, n in sorted((r["y"], r["count"]) for r in flat.groupBy("y").count().collect()):
-        # The least hashes lie below a share of all hashes; without it every task would send `sample` rows.
-        below = -(2**63) + int(2**64 * 2 * sample / n) if n > 4 * sample else 2**63 - 1
-        own = flat.where((F.col("y") == y) & (F.xxhash64("x") <= below))
-        drawn += own.orderBy(F.xxhash64("x"), "x").limit(sample).collect()
+    flat = kept(flat)
+    count = {r["y"]: r["count"] for r in flat.groupBy("y").count().collect()}
     net = Network()
-    y = np.array([float(r["y"]) for r in drawn])
-    if not 0 < y.sum() < len(y):
+    if len(count) < 2:
         return net
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in drawn), np.uint8).reshape(-1, LENGTH)
-    rng = np.random.default_rng(3)
-    order = rng.permutation(len(x))
-    out, own = order[: len(x) // 4], order[len(x) // 4 :]
-    if y[out].sum() < 2 or (1 - y[out]).sum() < 2:
-        out = own = order
-    # What no pattern finds may be a secret all the same.  So each half of the negatives is first
-    # judged, without surroundings, by a network that was fitted on the other half and on random
-    # strings; what looks like those is set aside.
-    low = order[y[order] < 1]
-    trusted = np.ones(len(x), bool)
-    for fold in (0, 1):
-        other, own_half = low[fold::2], low[1 - fold :: 2]
-        if len(other) and len(own_half):
-            strings = bare(varied(x[rng.choice(other, max(len(other), 400))], rng))
-            plain = np.concatenate([bare(x[other]), bare(joined(x, rng, len(strings)))])
-            first = Network()
-            first.fit(np.concatenate([strings, plain]), np.r_[np.ones(len(strings)), np.zeros(len(plain))])
-            trusted[own_half] = first.logits(bare(x[own_half])) < np.quantile(first.logits(strings), ASIDE)
-    trusted |= not (trusted[own] & (y[own] < 1)).any() or not (trusted[out] & (y[out] < 1)).any()
-    own = own[trusted[own]]
-    low = x[own][y[own] < 1]
-    more = varied(low[rng.integers(0, len(low), max(len(low), 400))], rng)
-    made = joined(x[own], rng, len(more))
-    net.fit(np.concatenate([x[own], more, bare(low), made]), np.r_[y[own], np.ones(len(more)), np.zeros(len(low) + len(made))])
-    out = out[trusted[out]]
-    low = x[out][y[out] < 1]
-    fresh = varied(low[rng.integers(0, len(low), max(len(low), 400))], rng)
-    made = joined(x[out], rng, len(fresh))
-    seen = np.concatenate([x[out], fresh, made])
-    net.calibrate(net.logits(seen), np.r_[y[out], np.ones(len(fresh)), np.zeros(len(made))])
+    shards = -(-sum(count.values()) // shard)
+    rows = flat.groupBy(F.pmod(F.xxhash64("x"), F.lit(shards)).alias("shard")).agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("rows"))
+    dealt = kept(rows.repartition(min(shards, 2 * sc.defaultParallelism)))
+    rounds = 1 if shards == 1 else ROUNDS
+
+    def over(what, **shared) -> list[np.ndarray]:
+        """The sums over all shards: a short row per task."""
+        sent = sc.broadcast({"only": shards == 1, "rounds": rounds, **shared})
+        parts = [[np.frombuffer(x, "<i8") for x in r["sums"]] for r in dealt.mapInArrow(_over_shards(sent, what), "sums array<binary>").collect()]
+        sent.destroy()
+        return [sum(p[1:], p[0]) for p in zip(*parts, strict=True)]
+
+    def fit(nets: list[Network], what, **shared) -> None:
+        for k in range(rounds):
+            for own, sums in zip(nets, over(what, nets=nets, round=k, **shared), strict=True):
+                if sums[0]:
+                    _unpack(own, sums[1:-128] / sums[0] * FIXED)
+                    own.p["e"][sums[-128:] == 0] = 0  # characters that it never sees say nothing
+
+    firsts = [Network(), Network()]
+    fit(firsts, _first_pass, share=None)
+    limits = []
+    for times in over(_first_scores, nets=firsts):
+        limits.append(float(_EDGES[np.searchsorted(np.cumsum(times), ASIDE * times.sum(), "right")]) if times.sum() else np.inf)
+    first = (firsts, limits)
+    ok, every = over(_count_pass, first=first)
+    if not ok[0] or not ok[1]:  # no negative would be left
+        first, ok = None, every
+    fit([net], _main_pass, share=ok[3] / max(ok[2], 1), first=first)
+    low, high = over(_main_scores, nets=[net], first=first)
+    if high.sum() and low.sum():
+        at = [np.flatnonzero(low), np.flatnonzero(high)]
+        net.calibrate(np.r_[_EDGES[at[0]], _EDGES[at[1]]], np.r_[np.zeros(len(at[0])), np.ones(len(at[1]))], np.r_[low[at[0]], high[at[1]]])
     return net
 
 
@@ -339,10 +475,10 @@ def _judge(shared):
     return run
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
     """Per row: id and its spans (start, kind as an index of KINDS, end, p), by start and kind."""
     found = kept(findings(docs, id_col, text_col))
-    shared = docs.sparkSession.sparkContext.broadcast(train(found, sample))
+    shared = docs.sparkSession.sparkContext.broadcast(train(found, shard))
     return found.mapInArrow(_judge(shared), f"id {dict(docs.dtypes)[id_col]}, spans array<struct<start: int, kind: int, end: int, p: double>>").withColumnRenamed("id", id_col)
 
 
@@ -371,9 +507,9 @@ def _redact(shared, mark: str, at: int, count: int | None):
     return run
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", mark: str = "[secret]", sample: int = SAMPLE) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", mark: str = "[secret]", shard: int = SHARD) -> DataFrame:
     """docs with every span replaced by the mark, and count_col set to the new length where a text changed."""
     found = kept(findings(docs, id_col, text_col))
-    shared = docs.sparkSession.sparkContext.broadcast(train(found, sample))
+    shared = docs.sparkSession.sparkContext.broadcast(train(found, shard))
     count = docs.columns.index(count_col) if count_col in docs.columns else None
     return docs.mapInArrow(_redact(shared, mark, docs.columns.index(text_col), count), docs.schema)

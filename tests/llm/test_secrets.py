@@ -116,3 +116,20 @@ def test_redaction(spark, edges):
     before = {r.row: (r.text, r.n_chars) for r in edges.collect()}
     changed = [k for k in before if texts[k] != before[k]]
     assert changed == [15] and texts[15][0] == "[secret] and [secret]".replace("[secret] and", "[secret]\" and") and texts[15][1] == len(texts[15][0])
+
+
+def test_all_findings_train_in_any_number_of_shards(spark):
+    """Three shards learn as one does, every finding is in one of them, and partitions change nothing."""
+    rng = np.random.default_rng(8)
+    say = lambda: " ".join("".join(rng.choice(list("etaoinshrdlu"), rng.integers(1, 9))) for _ in range(4))
+    texts = [f"{say()} token = \"{draw(rng, '0123456789abcdef', 40)}\" {say()}" for _ in range(200)]
+    texts += [f"{say()} {rng.integers(10**15, 10**16)} {say()} www.some-site{k}.example.com/index {say()}" for k in range(300)]
+    docs = make(spark, texts)
+    found = S.findings(docs)
+    distinct = {(bytes(c.windows[: S.LENGTH]), c.hit) for r in found.collect() for c in r.found if not c.part}
+    nets = [S.train(f, shard=300) for f in (found, S.findings(docs.repartition(7)))]
+    assert np.array_equal(S._packed(nets[0]), S._packed(nets[1])) and nets[0].threshold == nets[1].threshold
+    ask = lambda t: nets[0].judge([S.windows(t, t.index("~") + 1, len(t) - 4)])[0]
+    assert np.mean([ask("the key ~" + draw(rng, ALNUM, 40) + " end") >= nets[0].threshold for _ in range(40)]) > 0.8
+    assert np.mean([ask(f"n ~{rng.integers(10**15, 10**16)} end") >= nets[0].threshold for _ in range(40)]) < 0.1
+    assert len(distinct) > 700
