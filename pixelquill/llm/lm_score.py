@@ -94,14 +94,14 @@ def count_sorted(h: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray
     return h[begin], np.add.reduceat(c, begin) if len(h) else c
 
 
-def _gather(buckets: int):
+def _gather(buckets: int, orders: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = total = 0
 
         def ship() -> pa.RecordBatch:
             order, where, hashes, counts = [], [], [], []
-            for n in (1, 2):
+            for n in orders:
                 h, c = count_sorted(np.concatenate([x[n - 1] for x in held]))
                 edge = np.searchsorted((h >> U64(40)), (np.arange(buckets + 1, dtype=np.int64) << 24) // buckets)
                 for b in range(buckets):
@@ -119,7 +119,7 @@ def _gather(buckets: int):
             train = fold(batch.column(0).to_pylist()) != HELD_OUT
             for piece in pieces(batch.filter(pa.array(train)), "text"):
                 t, first = tokens(*texts_of(piece.column(1)))
-                held.append((t, pairs(t, first)))
+                held.append((t, pairs(t, first)) if 2 in orders else (t,))
                 size += len(t)
                 total += len(t)
                 if size >= FLUSH:
@@ -209,10 +209,10 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def ngram_tables(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_tables(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text", orders: tuple[int, ...] = (1, 2)) -> DataFrame:
     """A row per order (1, 2) and bucket: its filter, and the exact word counts."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    packed = rows.mapInArrow(_gather(buckets), "n int, bucket int, hashes binary, counts binary")
+    packed = rows.mapInArrow(_gather(buckets, orders), "n int, bucket int, hashes binary, counts binary")
     return packed.groupBy("n", "bucket").applyInPandas(_merge, "n int, bucket int, entries long, total long, bloom binary, hashes binary, counts binary")
 
 
@@ -220,7 +220,7 @@ class Tables:
     """One pass's buckets, and the word filters of all (None: the texts carry the levels).
     Buckets are ranges of hashes in order, so the exact words of all stand in order too."""
 
-    def __init__(self, buckets: int, n: int, v: int, words: Filters | None, exact: dict[int, tuple[bytes, bytes]], pair: Filters, own: list[int]):
+    def __init__(self, buckets: int, n: int, v: int, words: Filters | None, exact: dict[int, tuple[bytes, bytes]], pair: Filters | None, own: list[int]):
         self.buckets, self.n, self.v, self.words, self.pair = buckets, n, v, words, pair
         self.own = np.zeros(buckets, bool)
         self.own[own] = True
@@ -268,10 +268,18 @@ def _score(shared):
                 bucket = bucket_of(distinct, t.buckets)
                 place = in_sorted(distinct, t.keys)
                 exact = np.where(place >= 0, t.counts[place] if len(t.keys) else 0, 0).astype(np.int64)
-                near = VALUE[t.words.probe(distinct, bucket)[code] if t.words else _carried(piece)]
-                unigram = (near + 1) / (t.n + t.v + 1)
                 base = np.where(t.own[bucket], np.log10(exact + 1.0) - log_all, 0.0)[code]
                 known = (exact > 0)[code]
+                ids = piece.column(0)
+                out = {
+                    "id": ids, "row": piece.column(2), "held_out": pa.array(fold(ids.to_pylist()) == HELD_OUT), "n_tokens": pa.array(np.diff(first), pa.int64()), "n_known": pa.array(per_text(known.astype(np.int8), first), pa.int64()),
+                    "base_score": pa.array(_sums(base, first)),
+                }
+                if t.pair is None:
+                    yield pa.RecordBatch.from_pydict(out)
+                    continue
+                near = VALUE[t.words.probe(distinct, bucket)[code] if t.words else _carried(piece)]
+                unigram = (near + 1) / (t.n + t.v + 1)
                 ahead = np.empty(len(h))  # c(v): each token's predecessor, the end token at a text's start
                 ahead[1:] = near[:-1]
                 ahead[first[:-1]] = near[first[1:] - 1]
@@ -280,11 +288,7 @@ def _score(shared):
                 both = VALUE[t.pair.probe(p, bucket)]
                 share = np.minimum(both / np.maximum(ahead, 1.0), 1.0)
                 model = np.where(t.own[bucket], np.log10(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * unigram), 0.0)
-                ids = piece.column(0)
-                yield pa.RecordBatch.from_pydict({
-                    "id": ids, "row": piece.column(2), "held_out": pa.array(fold(ids.to_pylist()) == HELD_OUT), "n_tokens": pa.array(np.diff(first), pa.int64()), "n_known": pa.array(per_text(known.astype(np.int8), first), pa.int64()),
-                    "base_score": pa.array(_sums(base, first)), "score": pa.array(_sums(model, first)),
-                })
+                yield pa.RecordBatch.from_pydict({**out, "score": pa.array(_sums(model, first))})
 
     return run
 
@@ -318,11 +322,11 @@ def buckets_for(docs: DataFrame, text_col: str, max_broadcast: int, max_words: i
     return max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(2 * most) + 1)
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, max_broadcast: int = MAX_BROADCAST, max_words: int = MAX_WORDS) -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, max_broadcast: int = MAX_BROADCAST, max_words: int = MAX_WORDS, model: bool = True) -> DataFrame:
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score; without the model neither pairs nor filters are needed, and there is no score."""
     spark = docs.sparkSession
     buckets = buckets or buckets_for(docs, text_col, max_broadcast, max_words)
-    tables = kept(ngram_tables(docs, buckets, id_col, text_col))
+    tables = kept(ngram_tables(docs, buckets, id_col, text_col, (1, 2) if model else (1,)))
     bloom = F.length("bloom").alias("bloom")
     sizes = tables.select("n", "bucket", "entries", "total", bloom, (bloom + F.length("hashes") + F.length("counts")).alias("bytes")).collect()  # two short rows a bucket
     n, v = sum(r["total"] for r in sizes if r["n"] == 1), sum(r["entries"] for r in sizes if r["n"] == 1)
@@ -334,8 +338,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     groups, word_groups = groups_of(per_bucket, max_broadcast), groups_of(filters, max_words)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
     kind = dict(docs.dtypes)[id_col]
-    before = None
-    for own in word_groups:
+    before = words = None
+    for own in word_groups if model else []:
         found = tables.where(F.col("bucket").between(own[0], own[-1]) & (F.col("n") == 1)).select("bucket", "bloom").collect()
         words = Filters(buckets, {r["bucket"]: bytes(r["bloom"]) for r in found})
         if len(word_groups) == 1:
@@ -349,20 +353,21 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
             drop_path(spark, before)
         before, words = path, None
         shared.destroy()
-    parts = None
+    parts, scores = None, ["base_score", "score"] if model else ["base_score"]
     for own in groups:
         exact, pair = {}, {}
-        for r in tables.where(F.col("bucket").between(own[0], own[-1])).toLocalIterator():
+        needed = tables.select("n", "bucket", F.when(F.col("n") == 2, F.col("bloom")).alias("bloom"), "hashes", "counts")  # word filters are there already
+        for r in needed.where(F.col("bucket").between(own[0], own[-1])).toLocalIterator():
             if r["n"] == 1:
                 exact[r["bucket"]] = (bytes(r["hashes"]), bytes(r["counts"]))
             else:
                 pair[r["bucket"]] = bytes(r["bloom"])
-        shared = spark.sparkContext.broadcast(Tables(buckets, n, v, words, exact, Filters(buckets, pair), own))
+        shared = spark.sparkContext.broadcast(Tables(buckets, n, v, words, exact, Filters(buckets, pair) if model else None, own))
         del exact, pair
-        part = rows.mapInArrow(_score(shared), f"id {kind}, row long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        part = rows.mapInArrow(_score(shared), f"id {kind}, row long, held_out boolean, n_tokens long, n_known long, base_score double" + ", score double" * model)
         parts = part if parts is None else parts.unionAll(part)
     if len(groups) > 1:
         times = F.count("*") / F.lit(len(groups))  # equal rows add up; each comes out as often as it came in
-        summed = parts.groupBy("id", "row", "held_out", "n_tokens").agg(times.cast("int").alias("times"), *((F.sum(c) / times).alias(c) for c in ("n_known", "base_score", "score")))
+        summed = parts.groupBy("id", "row", "held_out", "n_tokens").agg(times.cast("int").alias("times"), *((F.sum(c) / times).alias(c) for c in ("n_known", *scores)))
         parts = summed.withColumn("again", F.explode(F.sequence(F.lit(1), "times"))).withColumn("n_known", F.col("n_known").cast("long"))
-    return parts.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return parts.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), *scores)

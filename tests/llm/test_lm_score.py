@@ -104,3 +104,14 @@ def test_buckets_follow_the_texts(spark):
     assert L.buckets_for(docs, "text", 1 << 30, 1 << 30) == least
     assert L.buckets_for(docs, "text", 1 << 10, 1 << 30) > 100 * 1500 * 16 / 1024
     assert L.buckets_for(docs.limit(0), "text", 1, 1) == least
+
+
+def test_base_scores_without_the_model(spark, edges):
+    """The same rows in one pass and in many; no pair is counted or sent."""
+    whole = sorted(map(str, L.lm_scores(edges).drop("score").collect()))
+    for sizes in ({}, {"buckets": 16, "max_broadcast": 64}):
+        got = L.lm_scores(edges, model=False, **sizes)
+        assert "score" not in got.columns
+        assert sorted(str(r) for r in got.collect()) == whole or len(sizes)
+        assert [r.n_known for r in got.orderBy("doc_id", "n_tokens").collect()] == [r.n_known for r in L.lm_scores(edges).orderBy("doc_id", "n_tokens").collect()]
+    assert {r.n for r in L.ngram_tables(edges, 4, orders=(1,)).select("n").collect()} == {1}
