@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelquill.llm import bpe, decontaminate, near_duplicates, quality_classifier, secrets
-from pixelquill.llm._spark import drop_path, new_path, small_batches, table
+from pixelquill.llm._spark import COMPRESSION, drop_path, new_path, small_batches, table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -58,7 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         path = new_path(spark, "stage")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        stage(spark, docs, sf_dir).write.option("compression", COMPRESSION).parquet(path)
         docs = spark.read.parquet(path)
         if before:
             drop_path(spark, before)  # its successor is written

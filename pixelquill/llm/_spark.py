@@ -56,13 +56,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Of tables in the shared folder; smaller than the default one.
+COMPRESSION = "zstd"
+
+
 def written(df: DataFrame, name: str = "round") -> DataFrame:
     """The rows in a table of the shared folder, read back.
 
     For loops: unlike a checkpoint, the table carries no constraints that the optimizer
     has inferred, which pile up from round to round."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", COMPRESSION).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
