@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     keyed = nodes.select("node", F.explode("bands").alias("band"))
     buckets = keyed.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").drop("last")
-    stars = kept(keyed.join(buckets, "band").where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    stars = written(keyed.join(buckets, "band").where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
 
     met = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least", "sketch"), "node")
     met = kept(met)
@@ -238,11 +238,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     odd = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     likely = stars.join(side("a", met, "sketch"), "a").join(side("b", met, "sketch"), "b").where(odd <= MOST_ODD).select("a", "b")
     pairs = likely.join(side("a", sets, "members"), "a").join(side("b", sets, "members"), "b").select("a", "b", "members_a", "members_b")
-    links = kept(pairs.mapInArrow(_confirm(percent), "a long, b long"))
+    links = written(pairs.mapInArrow(_confirm(percent), "a long, b long"))
 
     clusters = components(stars).select("node", F.col("label").alias("cluster"))
     classes = components(links).select("node", F.col("label").alias("class"))
-    placed = kept(clusters.join(classes, "node", "left").select("node", "cluster", F.coalesce("class", "node").alias("class")))
+    placed = written(clusters.join(classes, "node", "left").select("node", "cluster", F.coalesce("class", "node").alias("class")))
     sizes = placed.groupBy("cluster", "class").agg(F.count("*").alias("m"))
     split = sizes.groupBy("cluster").agg(F.count("*").alias("parts"), F.max_by("class", "m").alias("main"), F.sum("m").alias("all"), F.max("m").alias("most")).where("parts > 1")
     tall, wide = F.ceil(F.col("all") / BLOCK).cast("int"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")
@@ -255,13 +255,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = both.groupBy("cluster", "i", "j").applyInPandas(_block(percent), "a long, b long")
 
     # Blocks link whole classes, so the last pass runs over classes, not over nodes.
-    joined = components(kept(more)).select(F.col("node").alias("class"), F.col("label").alias("whole"))
-    own_class = kept(nodes.select("node", "least").join(placed.select("node", "class"), "node", "left").select("node", "least", F.coalesce("class", "node").alias("class")))
+    joined = components(written(more)).select(F.col("node").alias("class"), F.col("label").alias("whole"))
+    own_class = written(nodes.select("node", "least").join(placed.select("node", "class"), "node", "left").select("node", "least", F.coalesce("class", "node").alias("class")))
     of_class = own_class.groupBy("class").agg(F.min("least").alias("least")).join(joined, "class", "left").select("class", "least", F.coalesce("whole", "class").alias("whole"))
-    of_class = kept(of_class)
+    of_class = written(of_class)
     first = of_class.groupBy("whole").agg(F.min("least").alias("component_id"))
-    named = kept(join_by_key(of_class.select("class", "whole"), first, "whole").select("class", "component_id"))
-    found = kept(join_by_key(own_class.select("node", "class"), named, "class").select("node", "component_id"))
+    named = written(join_by_key(of_class.select("class", "whole"), first, "whole").select("class", "component_id"))
+    found = written(join_by_key(own_class.select("node", "class"), named, "class").select("node", "component_id"))
     whole = join_by_key(full.select("id", "n", "node"), found, "node").select("id", "n", "component_id")
     alone = signed_rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     out = whole.unionAll(alone)

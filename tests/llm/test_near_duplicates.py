@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from pixelquill.llm import _components as C
 from pixelquill.llm import near_duplicates as N
 from pixelquill.llm._components import components
 
@@ -93,6 +94,24 @@ def test_components(spark):
     assert found == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200, 300: 300}
 
 
+@pytest.mark.parametrize("few", [0, 30, 1 << 13])
+def test_components_take_few_rounds(spark, few, monkeypatch):
+    """The last edges are settled at once: later rounds over a handful of them cost as much as the first."""
+    rng = random.Random(few)
+    edges = [(i, i + 1) for i in range(150)] + [(-5, 1000 + i) for i in range(100)] + [(-7, -7), (2, 1), (1, 2)]
+    edges += [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(200)]
+    low = {x: x for e in edges for x in e}
+    for _ in low:
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    writes, write = [], C.written
+    monkeypatch.setattr(C, "FEW", few, raising=False)
+    monkeypatch.setattr(C, "written", lambda df, *a: writes.append(1) or write(df, *a))
+    found = [(r.node, r.label) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert sorted(found) == sorted(low.items())
+    assert len(writes) <= 3 or few < 400
+
+
 def test_one_row_of_each_class_stays(spark):
     rng = random.Random(9)
     a, b, c, d, e = (" ".join(words(rng, 120, 5000)) for _ in range(5))
